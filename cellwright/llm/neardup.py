@@ -1,0 +1,251 @@
+"""MinHash near-duplicates by ProbMinHash signatures, banding and verification.
+
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  A text's shingles are its runs of five
+words (of a shorter text, all its words), weighted by how often they occur.  The similarity is the
+probability Jaccard index of the weights, and two texts are near-duplicates from 0.8 on.
+
+Signatures: every shingle is a Poisson process with its weight as rate, each arrival falls on a random
+register, and a register keeps the shingle of its first arrival.  A text is done when no process
+can beat its slowest register any more.  Two registers agree with the probability of the similarity.
+
+Candidates: 40 bands of 6 registers.  In every bucket one text leads; the others are compared with it
+word by word.  Only buckets whose texts are not yet in one class go on: one minus
+the similarity is a metric, so texts near the leader (>= 0.8) can't link with those far from it (< 0.6), and
+the bucket splits in two, with the few between in both.  Buckets that stay large are first
+split by pairs of bands.  This repeats until no bucket holds two classes: no pair of a bucket is
+dropped, and no bucket's pairs are all written out.
+
+Equal texts are one node from the start.  Classes are connected components.  Null texts are in
+classes of their own by id; texts without words equal only themselves.  Repeated rows share a
+class.  ``class_id`` is the least doc_id of the class (null if it has none).  An empty table gives an
+empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import BYTE_VALUE, materialize, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
+
+WORDS = 5
+SIMILARITY = 0.8
+ROWS, BANDS = 6, 40
+REGISTERS = ROWS * BANDS
+#: A bucket with more texts than this is split by pairs of bands before leaders take turns.
+LARGE = 32
+
+
+# --- shingles, signatures, similarity -------------------------------------------------------------
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, hash and count of the distinct shingles, by document and hash."""
+    low, start, end, doc = word_spans(data, offsets)
+    if not len(start):
+        return doc, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    word = span_hash(prefix_hash(BYTE_VALUE[low]), start, end)
+    prefix = prefix_hash(word)
+    first = np.searchsorted(doc, np.arange(len(offsets) - 1))
+    last = np.append(first[1:], len(doc))
+    at = np.arange(len(doc))
+    whole = at + words <= last[doc]
+    short = (at == first[doc]) & ~whole
+    begin = np.flatnonzero(whole | short)
+    stop = np.where(whole[begin], begin + words, last[doc[begin]])
+    found, doc = span_hash(prefix, begin, stop), doc[begin]
+    order = np.lexsort((found, doc))
+    found, doc = found[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+    where = np.flatnonzero(new)
+    return doc[where], found[where], np.diff(np.append(where, len(doc)))
+
+
+def signatures(doc: np.ndarray, ids: np.ndarray, count: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
+    """(n, registers) winning shingles; rows of documents without shingles are 0."""
+    best = np.full(n * registers, np.inf)
+    won = np.zeros(n * registers, np.uint64)
+    time = np.zeros(len(ids))
+    arrival = 0
+    base = doc * registers
+    while len(ids):
+        arrival += 1
+        h = mix(ids + np.uint64(arrival * 0xA24BAED4963EE407 & (2**64 - 1)))
+        time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / count
+        if arrival > 1:
+            go = time < limit[doc]
+            if not go.all():
+                ids, time, doc, base, count, h = ids[go], time[go], doc[go], base[go], count[go], h[go]
+        at = base + (mix(h + np.uint64(0x9FB21C651E98DF25)) % np.uint64(registers)).astype(np.int64)
+        np.minimum.at(best, at, time)
+        win = time == best[at]
+        won[at[win]] = ids[win]
+        limit = best.reshape(n, registers).max(axis=1)
+    return won.reshape(n, registers)
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """(n, BANDS) keys that differ between bands."""
+    rows = sig.reshape(len(sig), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), rows.shape[:2]).copy()
+    for i in range(ROWS):
+        key = mix(key ^ rows[:, :, i]) + key
+    return key
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two sorted arrays of ids with counts: the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
+    (ia, ca), (ib, cb) = a, b
+    if not len(ia) or not len(ib):
+        return 0.0
+    both, pa_, pb_ = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    ca, cb = ca / ca.sum(), cb / cb.sum()
+    x, y = ca[pa_], cb[pb_]
+    only_x = 1.0 - x.sum()  # the ratio x / y of these is infinite, so they add to the x part of every i
+    only_y = 1.0 - y.sum()
+    order = np.argsort(x / y, kind="stable")
+    x, y = x[order], y[order]
+    xs = np.cumsum(x[::-1])[::-1] + max(0.0, only_x)
+    ys = np.concatenate([[0.0], np.cumsum(y)[:-1]]) + max(0.0, only_y)
+    # equal ratios give the same maximum either way
+    return float((1.0 / (xs / x + ys / y)).sum())
+
+
+def _split(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    doc, ids, count = shingles(*text_bytes(column))
+    cuts = np.searchsorted(doc, np.arange(1, len(column)))
+    return list(zip(np.split(ids, cuts), np.split(count, cuts), strict=True)) if len(column) else []
+
+
+# --- Spark ----------------------------------------------------------------------------------------
+
+
+def _node(text: Column, doc_id: Column) -> Column:
+    """Equal texts are one node; null texts are told apart by id."""
+    return F.unhex(F.coalesce(F.md5(text.cast("binary")), F.md5(F.concat(F.lit("\0null\0"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))))
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches, "text"):
+        n = batch.num_rows
+        doc, ids, count = shingles(*text_bytes(batch.column(2)))
+        keys = band_keys(signatures(doc, ids, count, n))
+        some = np.bincount(doc, minlength=n) > 0
+        flat = pa.array(keys.view(np.int64)[some].ravel())
+        offs = pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, flat)], names=["doc_id", "node", "bands"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(sub_batches(batches, "t1", 2 << 20), "t2", 2 << 20):
+        s = [probability_jaccard(a, b) for a, b in zip(_split(batch.column(2)), _split(batch.column(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["leader", "node", "s"])
+
+
+def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (leader, node) with their similarity ``s``."""
+    # the second join deals rows by node, of which each has few pairs, whatever a leader has
+    with_1 = pairs.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("t1")), "leader")
+    both = with_1.join(texts.select("node", F.col("text").alias("t2")), "node").select("leader", "node", "t1", "t2")
+    return materialize(both.mapInArrow(_compare, "leader binary, node binary, s double"), "neardup-pairs")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) of all nodes of ``edges`` (a, b): the least node reachable, by passing labels and jumping along them."""
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "neardup-edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "neardup-labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
+        new = labels.join(near, "node").select("node", F.least("comp", "least").alias("to"), F.col("comp").alias("old"))
+        jumped = new.join(labels.select(F.col("node").alias("to"), F.col("comp").alias("further")), "to").select("node", F.least("to", "further").alias("comp"), "old")
+        step = materialize(jumped, "neardup-labels")
+        labels = step.select("node", "comp")
+        if step.where(F.col("comp") != F.col("old")).isEmpty():
+            return labels
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("comp", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, leader, n) of the buckets that hold two classes."""
+    kept = [F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")]
+    return _labelled(members, labels).groupBy("bucket").agg(*kept).where("c1 < c2").select("bucket", "leader", "n")
+
+
+def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, node) of every row, and (node, comp) of the nodes that have a link, if any."""
+    rows = docs.select("doc_id", _node(F.col("text"), F.col("doc_id")).alias("node"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = materialize(rows.mapInArrow(_sign, f"doc_id {kind}, node binary, bands array<long>"), "neardup-base")
+    nodes = base.select("doc_id", "node")
+    # a bucket's members, equal texts once
+    members = base.select("node", F.explode("bands").alias("bucket")).distinct()
+    leads = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").select("bucket", "leader")
+    members = materialize(members.join(leads, "bucket").select("bucket", "node", "leader"), "neardup-members")
+    found = materialize(members.select("node").distinct(), "neardup-nodes")
+    same = F.col("n2") == F.col("node")
+    texts = materialize(rows.select(F.col("node").alias("n2"), "text").join(found, same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
+    # first every text is compared with the least leader it meets
+    tested = similarities(members.where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)
+    results = [tested]
+    members = members.select("bucket", "node")
+    labels, split = _classes(results), False
+    while True:
+        open_ = _open(members, labels)
+        members = materialize(members.join(open_, "bucket"), "neardup-open")
+        if members.isEmpty():
+            return nodes, labels
+        if not split:
+            # large buckets: by pairs of bands
+            split = True
+            large = members.where(F.col("n") > LARGE).select("bucket", "node")
+            bands = base.select("node", "bands").dropDuplicates(["node"])
+            pairs_of_bands = large.join(bands, "node").select(F.col("bucket").alias("b1"), "node", F.explode("bands").alias("b2")).where("b1 != b2")
+            finer = pairs_of_bands.select(F.xxhash64(F.least("b1", "b2"), F.greatest("b1", "b2")).alias("bucket"), "node").distinct()
+            members = materialize(members.where(F.col("n") <= LARGE).select("bucket", "node").union(finer), "neardup-finer")
+            continue
+        pairs = members.where("node != leader").select("leader", "node").distinct()
+        known = reduce(DataFrame.union, results)
+        tested = similarities(pairs.join(known.select("leader", "node"), ["leader", "node"], "left_anti"), texts)
+        if not tested.isEmpty():
+            results.append(tested)
+            known = known.union(tested)
+            labels = _classes(results)
+        placed = members.where("node != leader").join(known, ["leader", "node"])
+        sides = F.when(F.col("s") >= SIMILARITY, F.array(F.lit("near"))).when(F.col("s") >= 2 * SIMILARITY - 1 - 1e-9, F.array(F.lit("near"), F.lit("far"))).otherwise(F.array(F.lit("far")))
+        members = placed.withColumn("side", F.explode(sides)).select(F.xxhash64("bucket", "leader", "side").alias("bucket"), "node")
+
+
+def _classes(results: list[DataFrame]) -> DataFrame | None:
+    links = reduce(DataFrame.union, results).where(F.col("s") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    return None if links.isEmpty() else components(links)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, keep (whether the row's id is its class's) of every row."""
+    nodes, labels = link(docs)
+    labelled = _labelled(nodes, labels).select("doc_id", "comp")
+    least = labelled.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("class_id"))
+    return labelled.join(least, F.col("comp") == F.col("c")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+
+
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each class: that with the least id, and of rows with that id the first by text."""
+    nodes, labels = link(docs)
+    labelled = _labelled(nodes, labels).select("doc_id", "node", "comp")
+    stays = labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("__keep_id"), F.col("k.node").alias("__keep_node"))
+    same = (F.col("__keep_node") == _node(docs["text"], docs["doc_id"])) & F.col("__keep_id").eqNullSafe(docs["doc_id"])
+    # rows repeated as a whole, or in id and text, leave one
+    return docs.join(stays, same).dropDuplicates(["__keep_id", "__keep_node"]).select(*docs.columns)

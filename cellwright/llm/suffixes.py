@@ -1,0 +1,316 @@
+"""Suffix-array dedup: removes bytes covered by 100-byte strings that start earlier in the corpus.
+
+Order is by doc_id (null first), then by a hash of the text where ids repeat, then by start.  All strings of
+``WINDOW`` bytes that occur at several places keep their earliest place; every byte of the others is removed.
+
+1. Anchors.  In each window the smallest hashed 32-byte substring (leftmost of equals) is its
+   anchor; equal windows have equal anchors.  Consecutive windows with the same anchor make one
+   piece.  Only pieces whose anchor occurs twice in the corpus go on.
+2. Equal pieces are reduced to the earliest; all windows of the others are repeats.
+3. What different pieces with the same anchor share is found by merging Burrows-Wheeler
+   transforms: pieces are put into shards, the transform of each shard is made from its own suffix
+   array, and an interleave of the shards' rows is refined symbol by symbol, ``WINDOW`` times.
+   Boundaries that appear on the way mark where common prefixes end; rows still in one block share
+   a window.  No suffixes of different shards are compared or sorted again.
+4. An anchor with more than ``MOST_PIECES`` different pieces is cut into single windows, which step 2
+   settles: such pieces are groups of any size, and equal windows meet by partial aggregation.
+
+Every step is a join or aggregation by hash; no task holds more than one bounded chunk of pieces.
+Null texts are empty.  Rows repeated in id and text are one document: they remove nothing from one another
+and get equal results.  An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import BYTE_VALUE, materialize, prefix_hash, span_hash, sub_batches, text_bytes
+
+WINDOW = 100
+ANCHOR = 32
+MOST_PIECES = 2000
+#: Bytes of pieces that are merged at once, and shards they are dealt to.
+CHUNK, SHARDS = 1 << 20, 8
+_PLACE = 30  # bits for the place in a batch
+
+
+# --- anchors ---------------------------------------------------------------------------------------
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window and number of windows of each piece, in order."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(data) < window:
+        return none
+    if len(data) >> _PLACE:
+        raise ValueError("a text of more than 1 GB")
+    prefix = prefix_hash(BYTE_VALUE[data])
+    at = np.arange(len(data) - anchor + 1)
+    h = span_hash(prefix, at, at + anchor)
+    low = (h & ~np.uint64((1 << _PLACE) - 1)) | at.astype(np.uint64)
+    size, width = window - anchor + 1, 1
+    while width * 2 <= size:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < size:
+        low = np.minimum(low[: len(low) - (size - width)], low[size - width :])
+    inside = np.zeros(len(data) + 1, np.int32)
+    long = np.flatnonzero(np.diff(offsets) >= window)
+    np.add.at(inside, offsets[long], 1)
+    np.add.at(inside, offsets[long + 1] - window + 1, -1)
+    start = np.flatnonzero(np.cumsum(inside)[: len(low)])
+    if not len(start):
+        return none
+    place = (low[start] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return h[place[new]], start[new], np.diff(np.append(new, len(start)))
+
+
+# --- transforms and their merge ---------------------------------------------------------------------
+
+
+def shard_transform(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of ``codes``, sorted by ``depth`` symbols at least, and the symbol before each suffix (cyclic).
+
+    ``codes`` are strings that each end with a 0.
+    """
+    n = len(codes)
+    packed = np.zeros(n + 8, np.uint64)
+    packed[:n] = codes
+    wide = codes.dtype.itemsize > 1
+    step, bits = (4, 16) if wide else (8, 8)
+    key = np.zeros(n, np.uint64)
+    for i in range(step):
+        key = (key << np.uint64(bits)) | packed[i : i + n]
+    order = np.argsort(key, kind="stable")
+    while True:
+        new = np.append(False, key[order[1:]] != key[order[:-1]])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if step >= depth or new.sum() == n - 1:
+            break
+        key = rank * np.int64(n + 1)
+        key[: n - step] += rank[step:] + 1
+        order = np.argsort(key, kind="stable")
+        step *= 2
+    return order, codes[order - 1]
+
+
+def merge_transforms(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave and blocks of the merged transforms.
+
+    The interleave tells, row by row, which transform the next row comes from.  It begins with all
+    rows of the first, then the second and so on: the order by no symbol.  Each round sorts, stably,
+    by the symbol before: from the order by h symbols follows that by h + 1.  A row begins a block
+    where its symbol or the block it came from differs from the row above.  Rows of string ends
+    keep their order and are blocks of their own, so nothing matches across an end.
+    """
+    symbols = np.concatenate(transforms)
+    source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    fixed = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
+    block = np.zeros(len(symbols), np.int32)
+    here = np.empty_like(symbols)
+    for _ in range(depth):
+        here[np.argsort(source, kind="stable")] = symbols
+        order = np.argsort(here, kind="stable")
+        source, came, sorted_ = source[order], block[order], here[order]
+        source[: len(fixed)] = fixed
+        new = np.append(False, (sorted_[1:] != sorted_[:-1]) | (came[1:] != came[:-1]))
+        new[1 : len(fixed) + 1] = True
+        block = np.cumsum(new, dtype=np.int32)
+    return source, block
+
+
+def shared_windows(pieces: list[bytes], window: int = WINDOW, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, piece and offset of every window that occurs more than once, by block."""
+    count = max(1, min(shards, len(pieces)))
+    transforms, ends, where, whose = [], [], [], []
+    wide = any(b"\xff" in p for p in pieces)
+    for s in range(count):
+        own = list(range(s, len(pieces), count))
+        sizes = np.array([len(pieces[i]) + 1 for i in own])
+        stop = np.cumsum(sizes)
+        raw = np.frombuffer(b"\0".join(pieces[i] for i in own) + b"\0", np.uint8)
+        codes = raw.astype(np.uint16 if wide else np.uint8) + np.array(1, np.uint16 if wide else np.uint8)
+        codes[stop - 1] = 0
+        order, symbol = shard_transform(codes, window)
+        string = np.searchsorted(stop, order, side="right")
+        transforms.append(symbol)
+        ends.append(len(own))
+        whose.append(np.array(own)[string])
+        where.append(order - (stop - sizes)[string])
+    source, block = merge_transforms(transforms, ends, window)
+    piece, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
+    rows = np.argsort(source, kind="stable")
+    piece[rows], offset[rows] = np.concatenate(whose), np.concatenate(where)
+    sizes = np.array([len(p) for p in pieces])
+    many = (np.bincount(block)[block] > 1) & (offset + window <= sizes[piece])
+    return block[many], piece[many], offset[many]
+
+
+def foreign_windows(pieces: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and offset of the windows that occur earlier in another piece.
+
+    ``owner`` has a row (doc, hash, start) for each piece: its earliest place.
+    """
+    block, piece, offset = shared_windows(pieces)
+    if not len(block):
+        return piece, offset
+    order = np.lexsort((owner["start"][piece] + offset, owner["th"][piece], owner["did"][piece], block))
+    block, piece, offset = block[order], piece[order], offset[order]
+    later = np.append(False, block[1:] == block[:-1])
+    return piece[later], offset[later]
+
+
+# --- Spark -----------------------------------------------------------------------------------------
+
+_NULL_ID = -(2**63)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches, "text"):
+        yield pa.RecordBatch.from_arrays([pa.array(pieces_of(*text_bytes(batch.column(0)))[0].view(np.int64))], names=["key"])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches, "text"):
+        data, offsets = text_bytes(batch.column(2))
+        key, start, n = pieces_of(data, offsets)
+        doc = np.searchsorted(offsets, start, side="right") - 1
+        own = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array((start - offsets[doc]) << 8 | n)], names=["key", "did", "th", "at"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each document that its list ``at`` names."""
+    for batch in sub_batches(batches, "text", 1 << 20):
+        data, offsets = text_bytes(batch.column(2))
+        lists = batch.column(3)
+        flat, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        doc = np.repeat(np.arange(batch.num_rows), counts)
+        start, n = flat >> 8, flat & 255
+        begin, size = offsets[doc] + start, n + WINDOW - 1
+        ends = np.cumsum(size)
+        bytes_ = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(bytes_)])
+        # the anchor again, from the piece itself: all its windows have the same
+        key = pieces_of(bytes_, np.append(0, ends))[0].view(np.int64)
+        own = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(key), binary, batch.column(0).take(own), batch.column(1).take(own), pa.array(start)], names=["key", "piece", "did", "th", "start"])
+
+
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of pieces, one by one."""
+    for batch in sub_batches(batches, "piece", 1 << 18):
+        rows = [(p[i : i + WINDOW], s + i) for p, s in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True) for i in range(len(p) - WINDOW + 1)]
+        own = pa.array(np.repeat(np.arange(batch.num_rows), [len(p) - WINDOW + 1 for p in batch.column(0).to_pylist()]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), batch.column(1).take(own), batch.column(2).take(own), pa.array([r[1] for r in rows], pa.int64())], names=["w", "did", "th", "start"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by key; whole keys are gathered up to CHUNK bytes, plus one key of MOST_PIECES at most."""
+
+    def settle(part: pa.Table) -> pa.RecordBatch:
+        owner = np.zeros(part.num_rows, dtype=[("did", "i8"), ("th", "i8"), ("start", "i8")])
+        for name in owner.dtype.names:
+            owner[name] = part.column(name).to_numpy()
+        piece, offset = foreign_windows(part.column("piece").to_pylist(), owner)
+        order = np.lexsort((offset, piece))
+        piece, offset = piece[order], offset[order]
+        new = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(piece) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(piece)))
+        return pa.RecordBatch.from_arrays([pa.array(owner["did"][piece[new]]), pa.array(owner["th"][piece[new]]), pa.array((owner["start"][piece[new]] + offset[new]) << 8 | n)], names=["did", "th", "run"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in sub_batches(batches, "piece", CHUNK // 4):
+        held.append(batch)
+        if sum(b.nbytes for b in held) < CHUNK:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield settle(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield settle(pa.Table.from_batches(held))
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches, "text"):
+        data, offsets = text_bytes(batch.column(1))
+        spans, owns, runs = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        rows = []
+        for i in range(batch.num_rows):
+            text = data[offsets[i] : offsets[i + 1]]
+            own = set(owns[i] or ())
+            edges = np.zeros(len(text) + 1, np.int32)
+            for x in [x for x in spans[i] or () if x >> 8 not in own] + (runs[i] or []):
+                edges[x >> 8] += 1
+                edges[(x >> 8) + (x & 255) + WINDOW - 1] -= 1
+            gone = np.cumsum(edges[:-1]) > 0
+            n_spans = int(gone[0] if len(gone) else 0) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+            rows.append((len(text), int(gone.sum()), n_spans, text[~gone].tobytes()))
+        n, removed, number, kept = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], names=["did", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def _repeats(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """By document: pieces that are repeated in part, starts of pieces that are the earliest, runs of windows that occur earlier elsewhere."""
+    keys = d.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    anchors = d.mapInArrow(_anchors, "key long, did long, th long, at long").join(keys, "key", "left_semi")
+    spans = materialize(anchors.groupBy("did", "th").agg(F.collect_set("at").alias("spans")), "suffix-spans")
+    pieces = d.join(spans, ["did", "th"]).select("did", "th", "text", "spans").mapInArrow(_cut, "key long, piece binary, did long, th long, start long")
+    earliest = F.min(F.struct("did", "th", "start")).alias("own")
+    different = materialize(pieces.groupBy("key", "piece").agg(earliest), "suffix-pieces").select("key", "piece", "own.*")
+    shared = different.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+    mixed = different.join(shared, "key")
+    merged = mixed.where(F.col("pieces") <= MOST_PIECES).select("key", "piece", "did", "th", "start").repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "did long, th long, run long")
+    single = mixed.where(F.col("pieces") > MOST_PIECES).select("piece", "did", "th", "start").mapInArrow(_singles, "w binary, did long, th long, start long")
+    owner = single.groupBy("w").agg(F.min(F.struct("did", "th", "start")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = single.join(owner, "w").where(F.struct("did", "th", "start") != F.col("o")).select("did", "th", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("run"))
+    runs = materialize(merged.union(later), "suffix-runs").groupBy("did", "th").agg(F.collect_list("run").alias("runs"))
+    owns = different.groupBy("did", "th").agg(F.collect_list("start").alias("owns"))
+    return spans, owns, runs
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that remain) of every row."""
+    d = _documents(docs)
+    spans, owns, runs = _repeats(d)
+    marks = spans.join(owns, ["did", "th"], "left").join(runs, ["did", "th"], "left")
+    done = d.join(marks, ["did", "th"], "left").select("did", "text", "spans", "owns", "runs")
+    out = done.mapInArrow(_remove, "did long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(F.nullif(F.col("did"), F.lit(_NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def brute_force(texts: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int, str]]:
+    """The same for a few texts in order, by a table of all windows."""
+    seen: set[bytes] = set()
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - window + 1):
+            w = t[i : i + window]
+            if w in seen:
+                gone[i : i + window] = b"\1" * window
+            seen.add(w)
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
