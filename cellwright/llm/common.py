@@ -132,7 +132,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return low, start, end, doc
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes of text each, or a single row."""
     for batch in batches:
         sizes = np.diff(text_bytes(batch.column(batch.schema.get_field_index(column)))[1])
