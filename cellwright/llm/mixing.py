@@ -28,6 +28,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 GOOD, POOR, UNKNOWN = 1.0, 0.25, 0.5
 RANGES = 4096
+#: Goals of up to so many sources (100 bytes each) are broadcast; of more, joined by shuffle.
+MOST_BROADCAST = 100_000
 TOKEN = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
@@ -94,6 +96,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, ranges: int = RANGES)
         .agg(F.min(F.struct("range", (F.col("upto") - F.col("words")).alias("below"))).alias("edge"))
     )
     goal = goal.join(edge.withColumnRenamed("source", "edge_source"), F.col("edge_source").eqNullSafe(F.col("source")), "left").drop("edge_source").withColumnRenamed("source", "goal_source")
+    goal = materialize(goal, "mix-goal")
+    if goal.count() <= MOST_BROADCAST:
+        goal = F.broadcast(goal)
     d = d.join(goal, F.col("goal_source").eqNullSafe(F.col("source")), "left").drop("goal_source")
     inside = F.col("edge").isNull() | (F.col("range") < F.col("edge.range"))
     split = F.col("edge").isNotNull() & (F.col("range") == F.col("edge.range"))
