@@ -1,11 +1,12 @@
 """Suffix-array dedup: removes bytes covered by 100-byte strings that start earlier in the corpus.
 
-Order is by doc_id (null first), then by a hash of the text where ids repeat, then by start.  All strings of
+Order is by doc_id (null first), then by 24 bits of a hash of the text where ids repeat, then by start.  All strings of
 ``WINDOW`` bytes that occur at several places keep their earliest place; every byte of the others is removed.
 
 1. Anchors.  In each window the smallest hashed 32-byte substring (leftmost of equals) is its
    anchor; equal windows have equal anchors.  Consecutive windows with the same anchor make one
-   piece.  Only pieces whose anchor occurs twice in the corpus go on.
+   piece.  Only pieces whose anchor occurs twice in the corpus go on.  Texts equal to an earlier one are
+   all repeats from 100 bytes on; they don't take part, and don't make an anchor count as repeated.
 2. Equal pieces are reduced to the earliest; all windows of the others are repeats.
 3. What different pieces with the same anchor share is found by merging Burrows-Wheeler
    transforms: pieces are put into shards, the transform of each shard is made from its own suffix
@@ -23,20 +24,22 @@ and get equal results.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, materialize, prefix_hash, span_hash, sub_batches, text_bytes
+from .common import BYTE_VALUE, materialize, mix, prefix_hash, span_hash, sub_batches, text_bytes
 
 WINDOW = 100
 ANCHOR = 32
 MOST_PIECES = 2000
 #: Bytes of pieces that are merged at once, and shards they are dealt to.
-CHUNK, SHARDS = 1 << 20, 8
+CHUNK, SHARDS = 1 << 17, 8
 _PLACE = 30  # bits for the place in a batch
 
 
@@ -76,9 +79,10 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, windo
 
 
 def shard_transform(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``codes``, sorted by ``depth`` symbols at least, and the symbol before each suffix (cyclic).
+    """Suffix array of ``codes``, sorted by ``depth`` symbols at least, and the symbols before each suffix (cyclic).
 
-    ``codes`` are strings that each end with a 0.
+    ``codes`` are strings that each end with a 0.  Bytes come two at a time, the earlier one first; wider codes singly.
+    Suffixes are sorted by a few symbols, then those still tied by twice as many, and so on.
     """
     n = len(codes)
     packed = np.zeros(n + 8, np.uint64)
@@ -89,40 +93,51 @@ def shard_transform(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
     for i in range(step):
         key = (key << np.uint64(bits)) | packed[i : i + n]
     order = np.argsort(key, kind="stable")
-    while True:
-        new = np.append(False, key[order[1:]] != key[order[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if step >= depth or new.sum() == n - 1:
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    rank = np.zeros(n + depth + 1, np.int64)  # the first place of its group, plus one; 0 past the end
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    while step < depth:
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(tied):
             break
-        key = rank * np.int64(n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        rows = order[tied]
+        group, then = rank[rows], rank[np.minimum(rows + step, n)]
+        by = np.lexsort((then, group))
+        rows, group, then = rows[by], group[by], then[by]
+        order[tied] = rows
+        fresh = np.append(True, (group[1:] != group[:-1]) | (then[1:] != then[:-1]))
+        new[tied] = fresh
+        rank[rows] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))] + 1
         step *= 2
-    return order, codes[order - 1]
+    if wide:
+        return order, codes[order - 1]
+    return order, codes[order - 2].astype(np.uint16) << 8 | codes[order - 1]
 
 
-def merge_transforms(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(transforms: list[np.ndarray], ends: list[int], depth: int, paired: bool) -> tuple[np.ndarray, np.ndarray]:
     """Interleave and blocks of the merged transforms.
 
     The interleave tells, row by row, which transform the next row comes from.  It begins with all
     rows of the first, then the second and so on: the order by no symbol.  Each round sorts, stably,
-    by the symbol before: from the order by h symbols follows that by h + 1.  A row begins a block
-    where its symbol or the block it came from differs from the row above.  Rows of string ends
-    keep their order and are blocks of their own, so nothing matches across an end.
+    by the symbols before (two, if ``paired``): from the order by h symbols follows that by h + 2.  A row begins a block
+    where its symbols or the block it came from differ from the row above.  Rows of string ends
+    keep their order, and rows whose symbols hold an end are blocks of their own, so nothing matches across an end.
     """
     symbols = np.concatenate(transforms)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     fixed = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
     block = np.zeros(len(symbols), np.int32)
     here = np.empty_like(symbols)
-    for _ in range(depth):
+    for _ in range(depth // 2 if paired else depth):
         here[np.argsort(source, kind="stable")] = symbols
         order = np.argsort(here, kind="stable")
         source, came, sorted_ = source[order], block[order], here[order]
         source[: len(fixed)] = fixed
         new = np.append(False, (sorted_[1:] != sorted_[:-1]) | (came[1:] != came[:-1]))
-        new[1 : len(fixed) + 1] = True
+        alone = np.flatnonzero((sorted_ & 255) == 0) if paired else np.zeros(0, np.int64)
+        alone = np.append(alone, np.arange(len(fixed)))
+        new[alone[alone > 0]] = True
+        new[(alone + 1)[alone + 1 < len(new)]] = True
         block = np.cumsum(new, dtype=np.int32)
     return source, block
 
@@ -145,7 +160,7 @@ def shared_windows(pieces: list[bytes], window: int = WINDOW, shards: int = SHAR
         ends.append(len(own))
         whose.append(np.array(own)[string])
         where.append(order - (stop - sizes)[string])
-    source, block = merge_transforms(transforms, ends, window)
+    source, block = merge_transforms(transforms, ends, window, not wide)
     piece, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
     rows = np.argsort(source, kind="stable")
     piece[rows], offset[rows] = np.concatenate(whose), np.concatenate(where)
@@ -175,26 +190,51 @@ _NULL_ID = -(2**63)
 
 def _documents(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.shiftrightunsigned(F.xxhash64(text), 40).alias("th"), text.alias("text"))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchor, and a hash of text and place: it tells whether an anchor occurs at different places of different texts."""
     for batch in sub_batches(batches, "text"):
-        yield pa.RecordBatch.from_arrays([pa.array(pieces_of(*text_bytes(batch.column(0)))[0].view(np.int64))], names=["key"])
+        data, offsets = text_bytes(batch.column(1))
+        key, start, _ = pieces_of(data, offsets)
+        doc = np.searchsorted(offsets, start, side="right") - 1
+        whole = batch.column(0).to_numpy().view(np.uint64)[doc]
+        at = mix(whole ^ mix((start - offsets[doc]).astype(np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at.view(np.int64))], names=["key", "at"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchor, document, and in one number: the document's hash, first window and number of windows."""
     for batch in sub_batches(batches, "text"):
         data, offsets = text_bytes(batch.column(2))
         key, start, n = pieces_of(data, offsets)
         doc = np.searchsorted(offsets, start, side="right") - 1
-        own = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array((start - offsets[doc]) << 8 | n)], names=["key", "did", "th", "at"])
+        th = batch.column(1).to_numpy()[doc]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(th << 38 | (start - offsets[doc]) << 8 | n)], names=["key", "did", "at"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, to halve what a join by document moves."""
+    press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    for batch in sub_batches(batches, "text"):
+        data, offsets = text_bytes(batch.column(2))
+        raw, off = data.tobytes(), offsets.tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(raw[a:b]) for a, b in itertools.pairwise(off)], pa.binary())], names=["did", "th", "z"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Batches with the column z turned into text."""
+    loosen = zstandard.ZstdDecompressor()
+    for batch in sub_batches(batches, "z", most):
+        at = batch.schema.get_field_index("z")
+        texts = pa.array([loosen.decompress(z) if z else b"" for z in batch.column(at).to_pylist()], pa.binary())
+        yield batch.set_column(at, "text", texts)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of each document that its list ``at`` names."""
-    for batch in sub_batches(batches, "text", 1 << 20):
+    for batch in sub_batches(_unpacked(batches), "text"):
         data, offsets = text_bytes(batch.column(2))
         lists = batch.column(3)
         flat, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
@@ -248,9 +288,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches, "text"):
+    for batch in sub_batches(_unpacked(batches), "text"):
         data, offsets = text_bytes(batch.column(1))
-        spans, owns, runs = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        spans, owns, runs, copy = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
         rows = []
         for i in range(batch.num_rows):
             text = data[offsets[i] : offsets[i + 1]]
@@ -259,19 +299,25 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in [x for x in spans[i] or () if x >> 8 not in own] + (runs[i] or []):
                 edges[x >> 8] += 1
                 edges[(x >> 8) + (x & 255) + WINDOW - 1] -= 1
-            gone = np.cumsum(edges[:-1]) > 0
+            gone = (np.cumsum(edges[:-1]) > 0) | bool(copy[i] and len(text) >= WINDOW)
             n_spans = int(gone[0] if len(gone) else 0) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
             rows.append((len(text), int(gone.sum()), n_spans, text[~gone].tobytes()))
         n, removed, number, kept = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], names=["did", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _repeats(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """By document: pieces that are repeated in part, starts of pieces that are the earliest, runs of windows that occur earlier elsewhere."""
-    keys = d.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    anchors = d.mapInArrow(_anchors, "key long, did long, th long, at long").join(keys, "key", "left_semi")
-    spans = materialize(anchors.groupBy("did", "th").agg(F.collect_set("at").alias("spans")), "suffix-spans")
-    pieces = d.join(spans, ["did", "th"]).select("did", "th", "text", "spans").mapInArrow(_cut, "key long, piece binary, did long, th long, start long")
+def _repeats(docs: DataFrame, d: DataFrame, packed: DataFrame) -> DataFrame:
+    """By document (did, th): spans, pieces that are repeated in part; owns, starts of pieces that are the earliest;
+    runs, windows that occur earlier in another piece; copy, whether an earlier document is equal."""
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = whole.select("did", F.shiftrightunsigned(F.xxhash64("text"), 40).alias("th"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"))
+    firsts = whole.groupBy("same").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("same", "first")
+    copies = materialize(whole.join(firsts, "same").where(F.col("did") > F.col("first")).select("did", "th").distinct(), "suffix-copies")
+    keys = d.select(F.xxhash64("text").alias("whole"), "text").mapInArrow(_keys, "key long, at long").groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("key")
+    found = d.mapInArrow(_anchors, "key long, did long, at long").join(keys, "key", "left_semi")
+    anchors = found.select("did", F.shiftrightunsigned("at", 38).alias("th"), F.col("at").bitwiseAND(F.lit((1 << 38) - 1)).alias("at"))
+    spans = materialize(anchors.groupBy("did", "th").agg(F.collect_set("at").alias("spans")).join(copies, ["did", "th"], "left_anti"), "suffix-spans")
+    pieces = packed.join(spans, ["did", "th"]).select("did", "th", "z", "spans").mapInArrow(_cut, "key long, piece binary, did long, th long, start long")
     earliest = F.min(F.struct("did", "th", "start")).alias("own")
     different = materialize(pieces.groupBy("key", "piece").agg(earliest), "suffix-pieces").select("key", "piece", "own.*")
     shared = different.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
@@ -282,15 +328,16 @@ def _repeats(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     later = single.join(owner, "w").where(F.struct("did", "th", "start") != F.col("o")).select("did", "th", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("run"))
     runs = materialize(merged.union(later), "suffix-runs").groupBy("did", "th").agg(F.collect_list("run").alias("runs"))
     owns = different.groupBy("did", "th").agg(F.collect_list("start").alias("owns"))
-    return spans, owns, runs
+    marks = spans.join(owns, ["did", "th"], "left").join(runs, ["did", "th"], "left").withColumn("copy", F.lit(False))
+    return marks.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that remain) of every row."""
     d = _documents(docs)
-    spans, owns, runs = _repeats(d)
-    marks = spans.join(owns, ["did", "th"], "left").join(runs, ["did", "th"], "left")
-    done = d.join(marks, ["did", "th"], "left").select("did", "text", "spans", "owns", "runs")
+    packed = d.mapInArrow(_pack, "did long, th long, z binary")
+    marks = _repeats(docs, d, packed)
+    done = packed.join(marks, ["did", "th"], "left").select("did", "z", "spans", "owns", "runs", "copy")
     out = done.mapInArrow(_remove, "did long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.nullif(F.col("did"), F.lit(_NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
