@@ -37,7 +37,7 @@ from .common import BYTE_VALUE, materialize, mix, prefix_hash, span_hash, sub_ba
 
 WINDOW = 100
 ANCHOR = 32
-MOST_PIECES = 2000
+MOST_PIECES = 16_000
 #: Bytes of pieces that are merged at once, and shards they are dealt to.
 CHUNK, SHARDS = 1 << 17, 8
 _PLACE = 30  # bits for the place in a batch
@@ -79,19 +79,17 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, windo
 
 
 def shard_transform(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``codes``, sorted by ``depth`` symbols at least, and the symbols before each suffix (cyclic).
+    """Suffix array of ``codes``, sorted by ``depth`` symbols at least, and the two symbols before each suffix (cyclic), the earlier one first.
 
-    ``codes`` are strings that each end with a 0.  Bytes come two at a time, the earlier one first; wider codes singly.
-    Suffixes are sorted by a few symbols, then those still tied by twice as many, and so on.
+    ``codes`` are strings of bytes that each end with a 0.
+    Suffixes are sorted by eight symbols, then those still tied by sixteen, and so on.
     """
     n = len(codes)
     packed = np.zeros(n + 8, np.uint64)
     packed[:n] = codes
-    wide = codes.dtype.itemsize > 1
-    step, bits = (4, 16) if wide else (8, 8)
-    key = np.zeros(n, np.uint64)
+    step, key = 8, np.zeros(n, np.uint64)
     for i in range(step):
-        key = (key << np.uint64(bits)) | packed[i : i + n]
+        key = (key << np.uint64(8)) | packed[i : i + n]
     order = np.argsort(key, kind="stable")
     new = np.append(True, key[order[1:]] != key[order[:-1]])
     rank = np.zeros(n + depth + 1, np.int64)  # the first place of its group, plus one; 0 past the end
@@ -109,64 +107,79 @@ def shard_transform(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
         new[tied] = fresh
         rank[rows] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))] + 1
         step *= 2
-    if wide:
-        return order, codes[order - 1]
     return order, codes[order - 2].astype(np.uint16) << 8 | codes[order - 1]
 
 
-def merge_transforms(transforms: list[np.ndarray], ends: list[int], depth: int, paired: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave and blocks of the merged transforms.
+def merge_transforms(symbols: np.ndarray, source: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave of the merged transforms by ``depth`` symbols, their rows, and the block of each.
 
-    The interleave tells, row by row, which transform the next row comes from.  It begins with all
-    rows of the first, then the second and so on: the order by no symbol.  Each round sorts, stably,
-    by the symbols before (two, if ``paired``): from the order by h symbols follows that by h + 2.  A row begins a block
-    where its symbols or the block it came from differ from the row above.  Rows of string ends
-    keep their order, and rows whose symbols hold an end are blocks of their own, so nothing matches across an end.
+    Rows come transform by transform, each in its own order: the two symbols before the row's suffix, its transform, and
+    how many symbols its string has from there on.  The interleave tells, row by row, which transform the next row comes from.
+    It begins with all rows of the first, then the second and so on: the order by no symbol.  Each round sorts, stably, by the two
+    symbols before: from the order by h symbols follows that by h + 2 of the suffixes two places earlier.  A row begins a block where its
+    symbols or the block it came from differ from the row above.  A string's first two rows lead nowhere and are left out, so a round
+    keeps exactly the suffixes that have h + 2 symbols.
     """
-    symbols = np.concatenate(transforms)
-    source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    fixed = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
+    before = symbols
     block = np.zeros(len(symbols), np.int32)
-    here = np.empty_like(symbols)
-    for _ in range(depth // 2 if paired else depth):
-        here[np.argsort(source, kind="stable")] = symbols
+    row = np.arange(len(symbols))
+    inter = source
+    for h in range(2, depth + 1, 2):
+        here = np.empty_like(before)
+        here[np.argsort(inter, kind="stable")] = before
+        some = here > 0
+        here, inter, block = here[some], inter[some], block[some]
         order = np.argsort(here, kind="stable")
-        source, came, sorted_ = source[order], block[order], here[order]
-        source[: len(fixed)] = fixed
+        inter, came, sorted_ = inter[order], block[order], here[order]
         new = np.append(False, (sorted_[1:] != sorted_[:-1]) | (came[1:] != came[:-1]))
-        alone = np.flatnonzero((sorted_ & 255) == 0) if paired else np.zeros(0, np.int64)
-        alone = np.append(alone, np.arange(len(fixed)))
-        new[alone[alone > 0]] = True
-        new[(alone + 1)[alone + 1 < len(new)]] = True
         block = np.cumsum(new, dtype=np.int32)
-    return source, block
+        keep = left >= h
+        before, left, row = before[keep], left[keep], row[keep]
+    out = np.empty_like(row)
+    out[np.argsort(inter, kind="stable")] = row
+    return inter, out, block
 
 
 def shared_windows(pieces: list[bytes], window: int = WINDOW, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Block, piece and offset of every window that occurs more than once, by block."""
     count = max(1, min(shards, len(pieces)))
-    transforms, ends, where, whose = [], [], [], []
-    wide = any(b"\xff" in p for p in pieces)
+    symbols, where, whose, source = [], [], [], []
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    used = np.unique(raw)
+    if len(used) > 255:
+        return _windows_by_value(pieces, window)
+    code = np.zeros(256, np.uint8)  # 0 is the end of a string
+    code[used] = np.arange(1, len(used) + 1)
     for s in range(count):
         own = list(range(s, len(pieces), count))
         sizes = np.array([len(pieces[i]) + 1 for i in own])
         stop = np.cumsum(sizes)
-        raw = np.frombuffer(b"\0".join(pieces[i] for i in own) + b"\0", np.uint8)
-        codes = raw.astype(np.uint16 if wide else np.uint8) + np.array(1, np.uint16 if wide else np.uint8)
+        codes = code[np.frombuffer(b"\0".join(pieces[i] for i in own) + b"\0", np.uint8)]
         codes[stop - 1] = 0
         order, symbol = shard_transform(codes, window)
         string = np.searchsorted(stop, order, side="right")
-        transforms.append(symbol)
-        ends.append(len(own))
+        offset = order - (stop - sizes)[string]
+        symbol[offset < 2] = 0
+        symbols.append(symbol)
         whose.append(np.array(own)[string])
-        where.append(order - (stop - sizes)[string])
-    source, block = merge_transforms(transforms, ends, window, not wide)
-    piece, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    rows = np.argsort(source, kind="stable")
-    piece[rows], offset[rows] = np.concatenate(whose), np.concatenate(where)
-    sizes = np.array([len(p) for p in pieces])
-    many = (np.bincount(block)[block] > 1) & (offset + window <= sizes[piece])
-    return block[many], piece[many], offset[many]
+        where.append(offset)
+        source.append(np.full(len(order), s, np.uint8))
+    piece, offset = np.concatenate(whose), np.concatenate(where)
+    left = np.array([len(p) for p in pieces])[piece] - offset
+    _, row, block = merge_transforms(np.concatenate(symbols), np.concatenate(source), left.astype(np.int32), window)
+    many = np.bincount(block)[block] > 1 if len(block) else np.zeros(0, bool)
+    return block[many], piece[row][many], offset[row][many]
+
+
+def _windows_by_value(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for bytes that are not UTF-8 and leave no code for the end of a string."""
+    groups: dict[bytes, list[tuple[int, int]]] = {}
+    for i, p in enumerate(pieces):
+        for j in range(len(p) - window + 1):
+            groups.setdefault(p[j : j + window], []).append((i, j))
+    rows = [(b, i, j) for b, g in enumerate(g for g in groups.values() if len(g) > 1) for i, j in g]
+    block, piece, offset = np.array(rows, np.int64).reshape(-1, 3).T
+    return block, piece, offset
 
 
 def foreign_windows(pieces: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
