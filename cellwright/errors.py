@@ -10,7 +10,7 @@ class FormulaError(Exception):
 
 
 class WorkbookError(Exception):
-    """``code``: not-a-zip, unsupported-zip, corrupt-zip, too-large, missing-part, invalid-xml, no-such-sheet, invalid-input."""
+    """``code``: not-a-zip, not-xlsx, missing-part, corrupt-zip, unsupported, no-such-sheet, part-too-large or invalid-input."""
 
     def __init__(self, code: str, message: str) -> None:
         super().__init__(message)

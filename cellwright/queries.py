@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import columns as C
+from .operators import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,8 +344,5 @@ def fill_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", "run", "delta", "n", "prior")
 
 
-def workbook_queries() -> dict[str, Query]:
-    """Queries that write and read files; none has an SQL form."""
-    from .operators import demo
-
-    return demo.QUERIES
+QUERIES |= files.QUERIES
+SQL |= files.SQL
