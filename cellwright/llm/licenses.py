@@ -2,7 +2,8 @@
 
 A text is normalised (case, copyright and rights-reserved lines, equivalent spellings, punctuation
 and spacing) and its SHA-256 is looked up among the digests of known license texts, normalised in the
-same way.  Only entire texts match: a license quoted inside a longer document doesn't.
+same way.  A copyright line starts with the word and a sign, year or placeholder, so that wrapped text which merely has the word
+first in a line stays.  Only entire texts match: a license quoted inside a longer document doesn't.
 
 Null and empty texts, and those of which nothing is left, have no license and a null digest.
 Repeated rows get the same answer.  An empty table gives an empty result.
@@ -76,7 +77,7 @@ SPELLINGS = [
 def normalise(text: Column) -> Column:
     """Words of the text, one space apart."""
     t = lower_ascii(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*", "\n")
+    t = F.regexp_replace(t, r"(^|\n)[ \t*#/;-]*(copyright[ \t:]*(\(c\)|©|<|\[|[0-9][0-9][0-9][0-9])|\(c\)|©)[^\n]*", "\n")
     t = F.regexp_replace(t, r"(^|\n)[ \t*#/;-]*all rights reserved[ .]*(\n|$)", "\n")
     t = F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     # spellings only where one occurs: most texts have none
@@ -106,7 +107,7 @@ def _sql() -> str:
 
     def norm(x: str) -> str:
         t = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        t = rf"regexp_replace({t}, '(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g')"
+        t = rf"regexp_replace({t}, '(^|\n)[ \t*#/;-]*(copyright[ \t:]*(\(c\)|©|<|\[|[0-9][0-9][0-9][0-9])|\(c\)|©)[^\n]*', chr(10), 'g')"
         t = rf"regexp_replace({t}, '(^|\n)[ \t*#/;-]*all rights reserved[ .]*(\n|$)', chr(10), 'g')"
         t = rf"' ' || trim(regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) || ' '"
         for old, new in SPELLINGS:
