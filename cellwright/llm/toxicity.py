@@ -121,14 +121,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
     vw, vb = np.zeros(n), 0.0
     # each class counts half, so that rare toxic rows matter
     each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for _ in range(STEPS):
+    # steps short enough for the steepest direction, and more of them where they are shorter
+    steep = 0.25 * float(sum(e * len(r) for e, r in zip(each, rows, strict=True)))
+    if pairs:
+        steep += 2 * penalty * float(np.mean([len(np.setxor1d(a, b)) for a, b in pairs]))
+    rate = min(0.3, 3 / max(steep, 1e-9))
+    for _ in range(int(STEPS * min(10, 0.3 / rate))):
         z = np.bincount(doc, w[flat], minlength=len(rows)) + bias
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
         g = np.bincount(flat, e[doc], minlength=n) + DECAY * w
         if pairs:
             change = np.bincount(p_doc, p_sign * w[p_at], minlength=len(pairs))
             g += np.bincount(p_at, 2 * penalty * change[p_doc] * p_sign / len(pairs), minlength=n)
-        vw, vb = 0.9 * vw - 0.3 * g, 0.9 * vb - 0.3 * e.sum()
+        vw, vb = 0.9 * vw - rate * g, 0.9 * vb - rate * e.sum()
         w, bias = w + np.clip(vw, -0.5, 0.5), bias + float(np.clip(vb, -0.5, 0.5))
     return w, bias
 
