@@ -8,12 +8,13 @@ Signatures: every shingle is a Poisson process with its weight as rate, each arr
 register, and a register keeps the shingle of its first arrival.  A text is done when no process
 can beat its slowest register any more.  Two registers agree with the probability of the similarity.
 
-Candidates: 40 bands of 6 registers.  In every bucket one text leads; the others are compared with it
-word by word.  Only buckets whose texts are not yet in one class go on: one minus
-the similarity is a metric, so texts near the leader (>= 0.8) can't link with those far from it (< 0.6), and
-the bucket splits in two, with the few between in both.  Buckets that stay large are first
-split by pairs of bands.  This repeats until no bucket holds two classes: no pair of a bucket is
-dropped, and no bucket's pairs are all written out.
+Candidates: 40 bands of 6 registers.  First every text is compared, word by word, with the least text it shares a
+bucket with, and then, in two rounds, with the leaders of buckets that still hold several classes.  After
+that few buckets do.  Texts in them that are outside the bucket's largest class are paired with the bucket's
+texts of other classes; large buckets are first split by pairs of neighbouring bands.  Pairs whose
+signatures agree in less than ``LIKELY`` of the registers (five standard deviations below 0.8) go, all others are
+compared.  So pairs within one class are never written out, and no pair of two classes is dropped for the
+size of its group.
 
 Equal texts are one node from the start.  Classes are connected components.  Null texts are in
 classes of their own by id; texts without words equal only themselves.  Repeated rows share a
@@ -37,8 +38,11 @@ WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
-#: A bucket with more texts than this is split by pairs of bands before leaders take turns.
-LARGE = 32
+LIKELY = 0.67
+#: Rounds in which the leaders of open buckets are compared with their texts.
+ROUNDS = 2
+#: A bucket with more texts than this outside its largest class is split by pairs of bands.
+LARGE, NEIGHBOURS = 64, 8
 
 
 # --- shingles, signatures, similarity -------------------------------------------------------------
@@ -99,6 +103,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def register_bytes(sig: np.ndarray) -> list[bytes]:
+    """A byte of each register."""
+    flat, k = (mix(sig) & np.uint64(255)).astype(np.uint8).tobytes(), sig.shape[1]
+    return [flat[i : i + k] for i in range(0, len(flat), k)]
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two sorted arrays of ids with counts: the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
     (ia, ca), (ib, cb) = a, b
@@ -137,11 +147,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "text"):
         n = batch.num_rows
         doc, ids, count = shingles(*text_bytes(batch.column(2)))
-        keys = band_keys(signatures(doc, ids, count, n))
+        sig = signatures(doc, ids, count, n)
+        keys = band_keys(sig)
         some = np.bincount(doc, minlength=n) > 0
         flat = pa.array(keys.view(np.int64)[some].ravel())
         offs = pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, flat)], names=["doc_id", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, flat), pa.array(register_bytes(sig), pa.binary())], names=["doc_id", "node", "bands", "sig"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,17 +189,18 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, leader, n) of the buckets that hold two classes."""
-    kept = [F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")]
-    return _labelled(members, labels).groupBy("bucket").agg(*kept).where("c1 < c2").select("bucket", "leader", "n")
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures agree in enough registers."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["leader", "node"]).filter(pa.array((a == b).mean(axis=1) >= LIKELY))
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, node) of every row, and (node, comp) of the nodes that have a link, if any."""
     rows = docs.select("doc_id", _node(F.col("text"), F.col("doc_id")).alias("node"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = materialize(rows.mapInArrow(_sign, f"doc_id {kind}, node binary, bands array<long>"), "neardup-base")
+    base = materialize(rows.mapInArrow(_sign, f"doc_id {kind}, node binary, bands array<long>, sig binary"), "neardup-base")
     nodes = base.select("doc_id", "node")
     # a bucket's members, equal texts once
     members = base.select("node", F.explode("bands").alias("bucket")).distinct()
@@ -197,35 +209,49 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     found = materialize(members.select("node").distinct(), "neardup-nodes")
     same = F.col("n2") == F.col("node")
     texts = materialize(rows.select(F.col("node").alias("n2"), "text").join(found, same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
-    # first every text is compared with the least leader it meets
-    tested = similarities(members.where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)
-    results = [tested]
+    # first every text is compared with the least text it meets
+    results = [similarities(members.where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
     members = members.select("bucket", "node")
-    labels, split = _classes(results), False
-    while True:
-        open_ = _open(members, labels)
-        members = materialize(members.join(open_, "bucket"), "neardup-open")
-        if members.isEmpty():
-            return nodes, labels
-        if not split:
-            # large buckets: by pairs of bands
-            split = True
-            large = members.where(F.col("n") > LARGE).select("bucket", "node")
-            bands = base.select("node", "bands").dropDuplicates(["node"])
-            pairs_of_bands = large.join(bands, "node").select(F.col("bucket").alias("b1"), "node", F.explode("bands").alias("b2")).where("b1 != b2")
-            finer = pairs_of_bands.select(F.xxhash64(F.least("b1", "b2"), F.greatest("b1", "b2")).alias("bucket"), "node").distinct()
-            members = materialize(members.where(F.col("n") <= LARGE).select("bucket", "node").union(finer), "neardup-finer")
-            continue
-        pairs = members.where("node != leader").select("leader", "node").distinct()
-        known = reduce(DataFrame.union, results)
-        tested = similarities(pairs.join(known.select("leader", "node"), ["leader", "node"], "left_anti"), texts)
-        if not tested.isEmpty():
-            results.append(tested)
-            known = known.union(tested)
-            labels = _classes(results)
-        placed = members.where("node != leader").join(known, ["leader", "node"])
-        sides = F.when(F.col("s") >= SIMILARITY, F.array(F.lit("near"))).when(F.col("s") >= 2 * SIMILARITY - 1 - 1e-9, F.array(F.lit("near"), F.lit("far"))).otherwise(F.array(F.lit("far")))
-        members = placed.withColumn("side", F.explode(sides)).select(F.xxhash64("bucket", "leader", "side").alias("bucket"), "node")
+    labels = _classes(results)
+    for _ in range(ROUNDS):
+        of = _labelled(members, labels).groupBy("bucket").agg(F.min(F.struct("comp", "node")).alias("low"), F.max(F.struct("comp", "node")).alias("high"))
+        of = of.where(F.col("low.comp") < F.col("high.comp")).select("bucket", "low", "high")
+        members = materialize(members.join(of, "bucket"), "neardup-open")
+        # both ends of the order of classes lead
+        pairs = members.select("node", F.explode(F.array("low.node", "high.node")).alias("leader")).where("node != leader")
+        pairs = pairs.select(F.least("node", "leader").alias("leader"), F.greatest("node", "leader").alias("node")).distinct()
+        results.append(similarities(_untested(pairs, results), texts))
+        labels = _classes(results)
+        members = members.select("bucket", "node")
+    left = materialize(_straying(members, labels), "neardup-open")
+    large = left.groupBy("bucket").agg(F.sum(F.col("strays").cast("int")).alias("n")).where(F.col("n") > LARGE).select("bucket")
+    bands = base.select("node", "bands").groupBy("node").agg(F.first("bands").alias("bands"))
+    near = F.flatten(F.transform("bands", lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(NEIGHBOURS)), lambda j: F.struct(x.alias("b1"), F.element_at("bands", ((i + j) % BANDS + 1).cast("int")).alias("b2")))))
+    finer = left.join(large, "bucket").select("bucket", "node").join(bands, "node").select("bucket", "node", F.explode(near).alias("x"))
+    finer = finer.where("x.b1 = bucket").select(F.xxhash64("x.b1", "x.b2").alias("bucket"), "node")
+    again = _straying(finer, labels)
+    left = materialize(left.join(large, "bucket", "left_anti").unionByName(again), "neardup-left")
+    sigs = base.select("node", "sig").groupBy("node").agg(F.first("sig").alias("sig"))
+    signed = left.join(sigs, "node")
+    one = signed.where("strays").select("bucket", F.col("node").alias("n1"), F.col("comp").alias("c1"), F.col("sig").alias("s1"))
+    two = signed.select("bucket", F.col("node").alias("n2"), F.col("comp").alias("c2"), F.col("strays").alias("t2"), F.col("sig").alias("s2"))
+    # two strays meet once
+    met = one.join(two, "bucket").where((F.col("c1") != F.col("c2")) & (~F.col("t2") | (F.col("n1") < F.col("n2"))))
+    pairs = met.select(F.least("n1", "n2").alias("leader"), F.greatest("n1", "n2").alias("node"), "s1", "s2").mapInArrow(_likely, "leader binary, node binary").distinct()
+    results.append(similarities(_untested(pairs, results), texts))
+    return nodes, _classes(results)
+
+
+def _untested(pairs: DataFrame, results: list[DataFrame]) -> DataFrame:
+    return pairs.join(reduce(DataFrame.union, results).select("leader", "node"), ["leader", "node"], "left_anti")
+
+
+def _straying(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, node, comp, strays) of the buckets with several classes; strays: not of the bucket's largest class."""
+    m = _labelled(members, labels).select("bucket", "node", "comp")
+    sizes = m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return m.join(main, "bucket").select("bucket", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("strays"))
 
 
 def _classes(results: list[DataFrame]) -> DataFrame | None:
