@@ -11,8 +11,8 @@ can beat its slowest register any more.  Two registers agree with the probabilit
 Candidates: 40 bands of 6 registers.  First every text is compared, word by word, with the least text it shares a
 bucket with, and then, in two rounds, with the leaders of buckets that still hold several classes.  After
 that few buckets do.  Texts in them that are outside the bucket's largest class are paired with the bucket's
-texts of other classes; large buckets are first split by pairs of neighbouring bands.  Pairs whose
-signatures agree in less than ``LIKELY`` of the registers (five standard deviations below 0.8) go, all others are
+texts of other classes, block by block: a task holds ``STRAYS`` by ``BLOCK`` texts at most.  Pairs that agree in less than
+``LIKELY`` of 1024 further registers (five standard deviations below 0.8) go, all others are
 compared.  So pairs within one class are never written out, and no pair of two classes is dropped for the
 size of its group.
 
@@ -38,11 +38,11 @@ WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
-LIKELY = 0.67
+#: Registers of the texts that share a bucket, and what share of them two texts must agree in to be compared.
+FINE, LIKELY = 1024, SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / 1024) ** 0.5
 #: Rounds in which the leaders of open buckets are compared with their texts.
 ROUNDS = 2
-#: A bucket with more texts than this outside its largest class is split by pairs of bands.
-LARGE, NEIGHBOURS = 64, 8
+STRAYS, BLOCK = 256, 1024
 
 
 # --- shingles, signatures, similarity -------------------------------------------------------------
@@ -147,12 +147,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "text"):
         n = batch.num_rows
         doc, ids, count = shingles(*text_bytes(batch.column(2)))
-        sig = signatures(doc, ids, count, n)
-        keys = band_keys(sig)
+        keys = band_keys(signatures(doc, ids, count, n))
         some = np.bincount(doc, minlength=n) > 0
         flat = pa.array(keys.view(np.int64)[some].ravel())
         offs = pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, flat), pa.array(register_bytes(sig), pa.binary())], names=["doc_id", "node", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, flat)], names=["doc_id", "node", "bands"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,29 +188,43 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in enough registers."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["leader", "node"]).filter(pa.array((a == b).mean(axis=1) >= LIKELY))
+def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches, "text"):
+        doc, ids, count = shingles(*text_bytes(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(register_bytes(signatures(doc, ids, count, batch.num_rows, FINE)), pa.binary())], names=["node", "sig"])
+
+
+def _likely(table: pa.Table) -> pa.Table:
+    """Pairs of a stray and a text of another class that agree in enough registers; two strays meet once."""
+    table = table.combine_chunks()
+    stray = np.array(table.column("left").to_pylist(), bool)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, FINE)
+    node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
+    wandering = table.column("strays").to_pylist()
+    right = np.flatnonzero(~stray)
+    found: list[tuple[bytes, bytes]] = []
+    for i in np.flatnonzero(stray):
+        near = right[(sig[right] == sig[i]).mean(axis=1) >= LIKELY]
+        found += [(min(node[i], node[j]), max(node[i], node[j])) for j in near if comp[i] != comp[j] and (not wandering[j] or node[i] < node[j])]
+    return pa.table({"leader": pa.array([f[0] for f in found], pa.binary()), "node": pa.array([f[1] for f in found], pa.binary())})
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, node) of every row, and (node, comp) of the nodes that have a link, if any."""
     rows = docs.select("doc_id", _node(F.col("text"), F.col("doc_id")).alias("node"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = materialize(rows.mapInArrow(_sign, f"doc_id {kind}, node binary, bands array<long>, sig binary"), "neardup-base")
+    base = materialize(rows.mapInArrow(_sign, f"doc_id {kind}, node binary, bands array<long>"), "neardup-base")
     nodes = base.select("doc_id", "node")
     # a bucket's members, equal texts once
-    members = base.select("node", F.explode("bands").alias("bucket")).distinct()
-    leads = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").select("bucket", "leader")
-    members = materialize(members.join(leads, "bucket").select("bucket", "node", "leader"), "neardup-members")
+    placed = base.select("node", "bands").groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = materialize(placed.join(shared, "bucket", "left_semi").select("bucket", "node"), "neardup-members")
+    leads = members.groupBy("bucket").agg(F.min("node").alias("leader"))
     found = materialize(members.select("node").distinct(), "neardup-nodes")
     same = F.col("n2") == F.col("node")
     texts = materialize(rows.select(F.col("node").alias("n2"), "text").join(found, same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
     # first every text is compared with the least text it meets
-    results = [similarities(members.where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
-    members = members.select("bucket", "node")
+    results = [similarities(members.join(leads, "bucket").where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
     labels = _classes(results)
     for _ in range(ROUNDS):
         of = _labelled(members, labels).groupBy("bucket").agg(F.min(F.struct("comp", "node")).alias("low"), F.max(F.struct("comp", "node")).alias("high"))
@@ -224,20 +237,16 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         labels = _classes(results)
         members = members.select("bucket", "node")
     left = materialize(_straying(members, labels), "neardup-open")
-    large = left.groupBy("bucket").agg(F.sum(F.col("strays").cast("int")).alias("n")).where(F.col("n") > LARGE).select("bucket")
-    bands = base.select("node", "bands").groupBy("node").agg(F.first("bands").alias("bands"))
-    near = F.flatten(F.transform("bands", lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(NEIGHBOURS)), lambda j: F.struct(x.alias("b1"), F.element_at("bands", ((i + j) % BANDS + 1).cast("int")).alias("b2")))))
-    finer = left.join(large, "bucket").select("bucket", "node").join(bands, "node").select("bucket", "node", F.explode(near).alias("x"))
-    finer = finer.where("x.b1 = bucket").select(F.xxhash64("x.b1", "x.b2").alias("bucket"), "node")
-    again = _straying(finer, labels)
-    left = materialize(left.join(large, "bucket", "left_anti").unionByName(again), "neardup-left")
-    sigs = base.select("node", "sig").groupBy("node").agg(F.first("sig").alias("sig"))
-    signed = left.join(sigs, "node")
-    one = signed.where("strays").select("bucket", F.col("node").alias("n1"), F.col("comp").alias("c1"), F.col("sig").alias("s1"))
-    two = signed.select("bucket", F.col("node").alias("n2"), F.col("comp").alias("c2"), F.col("strays").alias("t2"), F.col("sig").alias("s2"))
-    # two strays meet once
-    met = one.join(two, "bucket").where((F.col("c1") != F.col("c2")) & (~F.col("t2") | (F.col("n1") < F.col("n2"))))
-    pairs = met.select(F.least("n1", "n2").alias("leader"), F.greatest("n1", "n2").alias("node"), "s1", "s2").mapInArrow(_likely, "leader binary, node binary").distinct()
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count_if("strays") / STRAYS).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cols"))
+    sigs = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_finely, "node binary, sig binary")
+    signed = left.join(sizes, "bucket").join(sigs, "node").withColumn("h", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
+    mine = (F.col("h") % F.col("rows")).cast("int")
+    own = (F.floor(F.col("h") / 1024) % F.col("cols")).cast("int")
+    kept = ["bucket", "node", "comp", "strays", "sig"]
+    # a stray meets every block of texts, a text every block of strays
+    across = signed.where("strays").select(*kept, F.lit(True).alias("left"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    down = signed.select(*kept, F.lit(False).alias("left"), own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
+    pairs = across.unionByName(down).groupBy("bucket", "i", "j").applyInArrow(_likely, "leader binary, node binary").distinct()
     results.append(similarities(_untested(pairs, results), texts))
     return nodes, _classes(results)
 
