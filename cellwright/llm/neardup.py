@@ -9,12 +9,12 @@ register, and a register keeps the shingle of its first arrival.  A text is done
 can beat its slowest register any more.  Two registers agree with the probability of the similarity.
 
 Candidates: 40 bands of 6 registers.  First every text is compared, word by word, with the least text it shares a
-bucket with, and then, in two rounds, with the leaders of buckets that still hold several classes.  After
+bucket with, and then, in two rounds, with one more leader of a bucket that still holds several classes.  After
 that few buckets do.  Texts in them that are outside the bucket's largest class are paired with the bucket's
 texts of other classes, block by block: a task holds ``STRAYS`` by ``BLOCK`` texts at most.  Pairs that agree in less than
-``LIKELY`` of 1024 further registers (five standard deviations below 0.8) go, all others are
-compared.  So pairs within one class are never written out, and no pair of two classes is dropped for the
-size of its group.
+``LIKELY`` of 1024 further registers (five standard deviations below 0.8) go.  Of the others, each text's best with each other
+class is compared first, and when those links have joined classes, all that is left between two classes.
+So pairs within one class are hardly written out, and no pair of two classes is dropped for the size of its group.
 
 Equal texts are one node from the start.  Classes are connected components.  Null texts are in
 classes of their own by id; texts without words equal only themselves.  Repeated rows share a
@@ -24,7 +24,7 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,9 +38,9 @@ WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
-#: Registers of the texts that share a bucket, and what share of them two texts must agree in to be compared.
-FINE, LIKELY = 1024, SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / 1024) ** 0.5
-#: Rounds in which the leaders of open buckets are compared with their texts.
+#: Registers of the texts that share a bucket, kept as 4 bits each, and the similarity by which two texts are compared.
+FINE, LIKELY = 1024, SIMILARITY - 5 * 0.013
+#: Rounds in which each text of an open bucket is compared with one more leader.
 ROUNDS = 2
 STRAYS, BLOCK = 256, 1024
 
@@ -103,9 +103,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def register_bytes(sig: np.ndarray) -> list[bytes]:
-    """A byte of each register."""
-    flat, k = (mix(sig) & np.uint64(255)).astype(np.uint8).tobytes(), sig.shape[1]
+def register_nibbles(sig: np.ndarray) -> list[bytes]:
+    """Four bits of each register, two to a byte."""
+    low = (mix(sig) & np.uint64(15)).astype(np.uint8)
+    k = sig.shape[1] // 2
+    flat = (low[:, :k] << 4 | low[:, k:]).tobytes()
     return [flat[i : i + k] for i in range(0, len(flat), k)]
 
 
@@ -191,22 +193,34 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "text"):
         doc, ids, count = shingles(*text_bytes(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(register_bytes(signatures(doc, ids, count, batch.num_rows, FINE)), pa.binary())], names=["node", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(register_nibbles(signatures(doc, ids, count, batch.num_rows, FINE)), pa.binary())], names=["node", "sig"])
 
 
-def _likely(table: pa.Table) -> pa.Table:
-    """Pairs of a stray and a text of another class that agree in enough registers; two strays meet once."""
-    table = table.combine_chunks()
-    stray = np.array(table.column("left").to_pylist(), bool)
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, FINE)
-    node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
-    wandering = table.column("strays").to_pylist()
-    right = np.flatnonzero(~stray)
-    found: list[tuple[bytes, bytes]] = []
-    for i in np.flatnonzero(stray):
-        near = right[(sig[right] == sig[i]).mean(axis=1) >= LIKELY]
-        found += [(min(node[i], node[j]), max(node[i], node[j])) for j in near if comp[i] != comp[j] and (not wandering[j] or node[i] < node[j])]
-    return pa.table({"leader": pa.array([f[0] for f in found], pa.binary()), "node": pa.array([f[1] for f in found], pa.binary())})
+def _likely(best: bool) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of a stray and a text of another class that agree in enough registers; two strays meet once.
+
+    ``best``: only the most similar of each class for each stray.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        stray = np.array(table.column("left").to_pylist(), bool)
+        half = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, FINE // 2)
+        sig = np.concatenate([half >> 4, half & 15], axis=1)
+        node, wandering = table.column("node").to_pylist(), np.array(table.column("strays").to_pylist(), bool)
+        _, comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)
+        right = np.flatnonzero(~stray)
+        found: list[tuple[bytes, bytes]] = []
+        for i in np.flatnonzero(stray):
+            # two unlike registers agree in one of 16 cases
+            alike = ((sig[right] == sig[i]).mean(axis=1) - 1 / 16) * (16 / 15)
+            near = np.flatnonzero((alike >= LIKELY) & (comp[right] != comp[i]))
+            if best and len(near):
+                near = near[np.lexsort((-alike[near], comp[right[near]]))]
+                near = near[np.append(True, np.diff(comp[right[near]]) != 0)]
+            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in right[near] if best or not wandering[j] or node[i] < node[j]]
+        return pa.table({"leader": pa.array([f[0] for f in found], pa.binary()), "node": pa.array([f[1] for f in found], pa.binary())})
+
+    return run
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -227,18 +241,27 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     results = [similarities(members.join(leads, "bucket").where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
     labels = _classes(results)
     for _ in range(ROUNDS):
-        of = _labelled(members, labels).groupBy("bucket").agg(F.min(F.struct("comp", "node")).alias("low"), F.max(F.struct("comp", "node")).alias("high"))
-        of = of.where(F.col("low.comp") < F.col("high.comp")).select("bucket", "low", "high")
+        of = _labelled(members, labels).groupBy("bucket").agg(F.min(F.struct("comp", "node")).alias("low"), F.max("comp").alias("high"))
+        of = of.where(F.col("low.comp") < F.col("high")).select("bucket", "low")
         members = materialize(members.join(of, "bucket"), "neardup-open")
-        # both ends of the order of classes lead
-        pairs = members.select("node", F.explode(F.array("low.node", "high.node")).alias("leader")).where("node != leader")
-        pairs = pairs.select(F.least("node", "leader").alias("leader"), F.greatest("node", "leader").alias("node")).distinct()
-        results.append(similarities(_untested(pairs, results), texts))
+        pairs = _labelled(members, labels).where(F.col("comp") != F.col("low.comp")).select(F.least("node", "low.node").alias("leader"), F.greatest("node", "low.node").alias("node"), F.col("node").alias("own"))
+        pairs = _untested(pairs.distinct(), results).groupBy("own").agg(F.min(F.struct("leader", "node")).alias("p")).select("p.leader", "p.node").distinct()
+        results.append(similarities(pairs, texts))
         labels = _classes(results)
         members = members.select("bucket", "node")
     left = materialize(_straying(members, labels), "neardup-open")
+    sigs = materialize(texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_finely, "node binary, sig binary"), "neardup-sigs")
+    for best in (True, False):
+        results.append(similarities(_untested(_across(left, sigs, best), results), texts))
+        labels = _classes(results)
+        if best:
+            left = materialize(_straying(left.select("bucket", "node"), labels), "neardup-open")
+    return nodes, labels
+
+
+def _across(left: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
+    """Likely pairs (leader, node) between classes within the buckets of ``left``."""
     sizes = left.groupBy("bucket").agg(F.ceil(F.count_if("strays") / STRAYS).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cols"))
-    sigs = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_finely, "node binary, sig binary")
     signed = left.join(sizes, "bucket").join(sigs, "node").withColumn("h", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
     mine = (F.col("h") % F.col("rows")).cast("int")
     own = (F.floor(F.col("h") / 1024) % F.col("cols")).cast("int")
@@ -246,9 +269,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     # a stray meets every block of texts, a text every block of strays
     across = signed.where("strays").select(*kept, F.lit(True).alias("left"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
     down = signed.select(*kept, F.lit(False).alias("left"), own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
-    pairs = across.unionByName(down).groupBy("bucket", "i", "j").applyInArrow(_likely, "leader binary, node binary").distinct()
-    results.append(similarities(_untested(pairs, results), texts))
-    return nodes, _classes(results)
+    return across.unionByName(down).groupBy("bucket", "i", "j").applyInArrow(_likely(best), "leader binary, node binary").distinct()
 
 
 def _untested(pairs: DataFrame, results: list[DataFrame]) -> DataFrame:
