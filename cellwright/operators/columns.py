@@ -50,7 +50,8 @@ def with_formulas(df: DataFrame, formulas: dict[str, str], errors: bool | None =
     compiler.keeps = True
     out: dict[str, Column] = {}
     for name, formula in formulas.items():
-        out |= _outputs(name, compiler.lane(parse(formula)), errors)
+        x = compiler.lane(parse(formula))
+        out |= _outputs(name, compiler.held(x) if x.err is not None else x, errors)
     return _with_steps(df, compiler).withColumns(out).drop(*[n for n, _ in compiler.steps])
 
 

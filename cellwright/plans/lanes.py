@@ -28,6 +28,7 @@ class Lane(NamedTuple):
     value: Column | None  # of the kind's type; for mixed a struct (tag, num, text, bool)
     err: Column | None = None
     nullable: bool = True
+    loose: bool = False  # a sum, difference or product that may have left the finite numbers and isn't checked yet
 
 
 def literal(v: object) -> Lane:
@@ -218,19 +219,38 @@ def relation(op: str, a: Lane, b: Lane) -> Lane:
     return Lane("bool", _TESTS[op](c), err, False)
 
 
+#: The functions that put a column aside under a name and give the reference to it; the last one is in use.
+BINDERS: list[Callable[[Column], Column]] = []
+
+
+def bind(v: Column) -> Column:
+    """``v``, or a reference to it where it is computed beforehand: what is used twice need not be written out twice."""
+    return BINDERS[-1](v) if BINDERS else v
+
+
 def guard(v: Column, err: Column | None) -> Lane:
-    """A number, with #NUM! for what is not finite."""
-    return Lane("num", v, errors(err, F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit("#NUM!"))), False)
+    """A number, with #NUM! for what is not finite (NaN counts as above infinity)."""
+    v = bind(v)
+    return Lane("num", v, errors(err, F.when(F.abs(v) < float("inf"), F.lit(None).cast("string")).otherwise(F.lit("#NUM!"))), False)
+
+
+def settle(x: Lane) -> Lane:
+    """A lane that is checked."""
+    return guard(x.value, x.err) if x.loose else x
 
 
 def arithmetic(op: str, a: Lane, b: Lane) -> Lane:
+    if op in "/^":
+        a, b = settle(a), settle(b)
     (x, ex), (y, ey) = to_num(a), to_num(b)
     err = errors(ex, ey)
     if op == "/":
+        y = bind(y)
         return guard(F.try_divide(x, y), errors(err, F.when(y == 0, F.lit("#DIV/0!"))))
     if op == "^":
         return guard(F.pow(x, y), errors(err, F.when((x == 0) & (y < 0), F.lit("#DIV/0!"))))
-    return guard({"+": x + y, "-": x - y, "*": x * y}[op], err)
+    # what is not finite stays so through sums, differences and products: one check at the end of a chain is enough
+    return Lane("num", {"+": x + y, "-": x - y, "*": x * y}[op], err, False, True)
 
 
 def join_text(a: Lane, b: Lane) -> Lane:

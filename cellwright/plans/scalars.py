@@ -20,6 +20,7 @@ SCALARS: dict[str, Callable[..., Lane]] = {}
 
 def scalar(names: str, takes: str, gives: str) -> Callable[[Callable], Callable]:
     """Registers a function of columns.  ``takes``: n, i (truncated), s or b for each argument, the last one for any beyond.
+    ``gives``: num (checked for overflow), finite, text or bool.
 
     The function gives a column, or a column and cases (condition, error code).
     """
@@ -30,7 +31,7 @@ def scalar(names: str, takes: str, gives: str) -> Callable[[Callable], Callable]
             got = f(*[p[0] for p in pairs])
             v, cases = got if isinstance(got, tuple) else (got, [])
             err = L.errors(*[p[1] for p in pairs], L.when_error(*cases) if cases else None)
-            return L.guard(v, err) if gives == "num" else Lane(gives, v, err, False)
+            return L.guard(v, err) if gives == "num" else Lane("num" if gives == "finite" else gives, v, err, False)
 
         for name in names.split():
             SCALARS[name] = run
@@ -57,15 +58,15 @@ scalar("ROUND", "nn", "num")(_round(lambda y: F.when(y < 2.0**52, _floor(y + 0.5
 scalar("ROUNDUP", "nn", "num")(_round(_ceil))
 scalar("ROUNDDOWN", "nn", "num")(_round(_floor))
 scalar("TRUNC", "nn", "num")(_round(_floor))
-scalar("INT", "n", "num")(_floor)
-scalar("ABS", "n", "num")(F.abs)
-scalar("SIGN", "n", "num")(F.signum)
+scalar("INT", "n", "finite")(_floor)
+scalar("ABS", "n", "finite")(F.abs)
+scalar("SIGN", "n", "finite")(F.signum)
 scalar("MOD", "nn", "num")(lambda a, b: (a - b * _floor(F.try_divide(a, b)), [(b == 0, "#DIV/0!")]))
 scalar("POWER", "nn", "num")(lambda x, y: (F.pow(x, y), [((x == 0) & (y < 0), "#DIV/0!")]))
-scalar("SQRT", "n", "num")(lambda x: (F.sqrt(F.greatest(x, F.lit(0.0))), [(x < 0, "#NUM!")]))
+scalar("SQRT", "n", "finite")(lambda x: (F.sqrt(F.greatest(x, F.lit(0.0))), [(x < 0, "#NUM!")]))
 scalar("EXP", "n", "num")(F.exp)
-scalar("LN", "n", "num")(lambda x: (F.log(x), [(x <= 0, "#NUM!")]))
-scalar("LOG10", "n", "num")(lambda x: (F.log10(x), [(x <= 0, "#NUM!")]))
+scalar("LN", "n", "finite")(lambda x: (F.log(x), [(x <= 0, "#NUM!")]))
+scalar("LOG10", "n", "finite")(lambda x: (F.log10(x), [(x <= 0, "#NUM!")]))
 
 
 @scalar("LOG", "nn", "num")
@@ -74,7 +75,7 @@ def _log(x: Column, base: Column | None = None) -> tuple:
     return F.try_divide(F.log(x), F.log(base)), [((x <= 0) | (base <= 0) | (base == 1), "#NUM!")]
 
 
-scalar("PI", "n", "num")(lambda: F.lit(math.pi))
+scalar("PI", "n", "finite")(lambda: F.lit(math.pi))
 
 
 def _step(how: Callable[[Column], Column]) -> Callable[..., tuple]:
@@ -196,7 +197,7 @@ def _textjoin(between: Lane, skip: Lane, *args: Lane) -> Lane:
 
 
 SCALARS["TEXTJOIN"] = _textjoin
-scalar("LEN", "s", "num")(lambda s: F.length(s).cast("double"))
+scalar("LEN", "s", "finite")(lambda s: F.length(s).cast("double"))
 
 
 @scalar("LEFT", "si", "text")
@@ -244,7 +245,7 @@ def _rept(s: Column, n: Column) -> tuple:
 
 
 scalar("CHAR", "i", "text")(lambda n: (F.char(F.when((n >= 1) & (n <= 255), n).otherwise(1.0).cast("bigint")), [((n < 1) | (n > 255), "#VALUE!")]))
-scalar("CODE", "s", "num")(lambda s: (F.ascii(s).cast("double"), [(s == "", "#VALUE!")]))
+scalar("CODE", "s", "finite")(lambda s: (F.ascii(s).cast("double"), [(s == "", "#VALUE!")]))
 
 
 def _value(x: Lane) -> Lane:
@@ -288,8 +289,8 @@ def _finder(fold: Callable[[Column], Column]) -> Callable[..., tuple]:
     return run
 
 
-scalar("FIND", "ssi", "num")(_finder(lambda s: s))
-scalar("SEARCH", "ssi", "num")(_finder(F.upper))
+scalar("FIND", "ssi", "finite")(_finder(lambda s: s))
+scalar("SEARCH", "ssi", "finite")(_finder(F.upper))
 
 # --- information ----------------------------------------------------------------------------------
 
@@ -362,10 +363,10 @@ for _name, _take in {
     "MINUTE": lambda x: F.floor(_ms_of(x) / 60000) % 60,
     "SECOND": lambda x: F.floor(_ms_of(x) / 1000) % 60,
 }.items():
-    scalar(_name, "n", "num")(lambda x, take=_take: (take(x).cast("double"), _valid(x)))
+    scalar(_name, "n", "finite")(lambda x, take=_take: (take(x).cast("double"), _valid(x)))
 
 
-@scalar("WEEKDAY", "ni", "num")
+@scalar("WEEKDAY", "ni", "finite")
 def _weekday(x: Column, kind: Column | None = None) -> tuple:
     kind = F.lit(1.0) if kind is None else kind
     monday = F.weekday(_day_of(x))  # Monday is 0
@@ -375,7 +376,7 @@ def _weekday(x: Column, kind: Column | None = None) -> tuple:
 
 
 scalar("TIME", "nnn", "num")(lambda h, m, s: (F.when(h * 3600 + m * 60 + s >= 0, (h * 3600 + m * 60 + s) % 86400.0).otherwise(0.0) / 86400.0, [(h * 3600 + m * 60 + s < 0, "#NUM!")]))
-scalar("DAYS", "nn", "num")(lambda a, b: (L.whole(a) - L.whole(b), _valid(a) + _valid(b)))
+scalar("DAYS", "nn", "finite")(lambda a, b: (L.whole(a) - L.whole(b), _valid(a) + _valid(b)))
 
 
 def _near(x: Column) -> Column:
@@ -383,7 +384,7 @@ def _near(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(3e6)), F.lit(-3e6)).cast("int")
 
 
-@scalar("DATE", "iii", "num")
+@scalar("DATE", "iii", "finite")
 def _date(y: Column, m: Column, d: Column) -> tuple:
     good = (y >= 0) & (y <= 9999) & (F.abs(m) < 2e5) & (F.abs(d) < 3e6)
     year = F.when(good, F.when(y < 1900, y + 1900).otherwise(y)).otherwise(1900.0).cast("int")
@@ -402,8 +403,8 @@ def _months(end: bool) -> Callable[..., tuple]:
     return run
 
 
-scalar("EDATE", "ni", "num")(_months(False))
-scalar("EOMONTH", "ni", "num")(_months(True))
+scalar("EDATE", "ni", "finite")(_months(False))
+scalar("EOMONTH", "ni", "finite")(_months(True))
 
 
 def unary(op: str, x: Lane) -> Lane:
@@ -445,19 +446,33 @@ class Compiler:
         self.steps: list[tuple[str, Column]] = []
         self.keeps = False
 
+    def put(self, v: Column) -> Column:
+        """Keeps a column under a new name."""
+        name = f"__v{len(self.steps)}"
+        self.steps.append((name, v))
+        return F.col(name)
+
     def kept(self, tree: tuple) -> Lane:
         """The lane of an argument, by way of an intermediate column if it is not a leaf."""
         x = self.lane(tree)
-        if not self.keeps or tree[0] not in ("call", "binary") or x.value is None:
+        return self.held(x) if tree[0] in ("call", "binary") else x
+
+    def held(self, x: Lane) -> Lane:
+        if not self.keeps or x.value is None:
             return x
-        n = len(self.steps)
-        self.steps.append((f"__v{n}", x.value))
-        if x.err is None:
-            return x._replace(value=F.col(f"__v{n}"))
-        self.steps.append((f"__e{n}", x.err))
-        return x._replace(value=F.col(f"__v{n}"), err=F.col(f"__e{n}"))
+        return x._replace(value=self.put(x.value), err=None if x.err is None else self.put(x.err))
 
     def lane(self, tree: tuple) -> Lane:
+        """The lane of a tree, checked."""
+        if self.keeps:
+            L.BINDERS.append(self.put)
+        try:
+            return L.settle(self.raw(tree))
+        finally:
+            if self.keeps:
+                L.BINDERS.pop()
+
+    def raw(self, tree: tuple) -> Lane:
         found = self.special(tree)
         if found is not None:
             return found
@@ -473,8 +488,10 @@ class Compiler:
             op = tree[1]
             if op == "&":
                 return L.join_text(self.kept(tree[2]), self.kept(tree[3]))
+            if op in "+-*":
+                return L.arithmetic(op, self.raw(tree[2]), self.raw(tree[3]))
             a, b = self.lane(tree[2]), self.lane(tree[3])
-            return L.arithmetic(op, a, b) if op in "+-*/^" else L.relation(op, a, b)
+            return L.arithmetic(op, a, b) if op in "/^" else L.relation(op, a, b)
         if kind == "prefix":
             return unary(tree[1], self.lane(tree[2]))
         if kind == "percent":
