@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, materialize, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
+from .common import BYTE_VALUE, bucketed, materialize, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -191,15 +191,17 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """More registers, and 32 bits of each band's key."""
     for batch in sub_batches(batches, "text"):
         doc, ids, count = shingles(*text_bytes(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(register_nibbles(signatures(doc, ids, count, batch.num_rows, FINE)), pa.binary())], names=["node", "sig"])
+        keys = [np.array(k, np.int64).astype(np.uint32).tobytes() for k in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(register_nibbles(signatures(doc, ids, count, batch.num_rows, FINE)), pa.binary()), pa.array(keys, pa.binary())], names=["node", "sig", "keys"])
 
 
 def _likely(best: bool) -> Callable[[pa.Table], pa.Table]:
     """Pairs of a stray and a text of another class that agree in enough registers; two strays meet once.
 
-    ``best``: only the most similar of each class for each stray.
+    ``best``: only the most similar of each class for each stray.  Otherwise a pair comes from the first band that it shares.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -208,6 +210,8 @@ def _likely(best: bool) -> Callable[[pa.Table], pa.Table]:
         sig = np.concatenate([half >> 4, half & 15], axis=1)
         node, wandering = table.column("node").to_pylist(), np.array(table.column("strays").to_pylist(), bool)
         _, comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32).reshape(-1, BANDS)
+        here = np.array([table.column("bucket")[0].as_py()], np.int64).astype(np.uint32)[0]
         right = np.flatnonzero(~stray)
         found: list[tuple[bytes, bytes]] = []
         for i in np.flatnonzero(stray):
@@ -217,6 +221,9 @@ def _likely(best: bool) -> Callable[[pa.Table], pa.Table]:
             if best and len(near):
                 near = near[np.lexsort((-alike[near], comp[right[near]]))]
                 near = near[np.append(True, np.diff(comp[right[near]]) != 0)]
+            elif len(near):
+                shared = keys[right[near]] == keys[i]
+                near = near[keys[i][shared.argmax(axis=1)] == here]
             found += [(min(node[i], node[j]), max(node[i], node[j])) for j in right[near] if best or not wandering[j] or node[i] < node[j]]
         return pa.table({"leader": pa.array([f[0] for f in found], pa.binary()), "node": pa.array([f[1] for f in found], pa.binary())})
 
@@ -236,7 +243,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     leads = members.groupBy("bucket").agg(F.min("node").alias("leader"))
     found = materialize(members.select("node").distinct(), "neardup-nodes")
     same = F.col("n2") == F.col("node")
-    texts = materialize(rows.select(F.col("node").alias("n2"), "text").join(found, same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
+    shown = rows.select(F.col("node").alias("n2"), "text").join(found, same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    texts = bucketed(shown, "node", "neardup_texts")
     # first every text is compared with the least text it meets
     results = [similarities(members.join(leads, "bucket").where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
     labels = _classes(results)
@@ -250,7 +258,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         labels = _classes(results)
         members = members.select("bucket", "node")
     left = materialize(_straying(members, labels), "neardup-open")
-    sigs = materialize(texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_finely, "node binary, sig binary"), "neardup-sigs")
+    keys = base.select("node", "bands").groupBy("node").agg(F.first("bands").alias("bands"))
+    open_texts = texts.join(left.select("node").distinct(), "node", "left_semi").join(keys, "node").select("node", "text", "bands")
+    sigs = materialize(open_texts.mapInArrow(_sign_finely, "node binary, sig binary, keys binary"), "neardup-sigs")
     for best in (True, False):
         results.append(similarities(_untested(_across(left, sigs, best), results), texts))
         labels = _classes(results)
@@ -265,7 +275,7 @@ def _across(left: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
     signed = left.join(sizes, "bucket").join(sigs, "node").withColumn("h", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
     mine = (F.col("h") % F.col("rows")).cast("int")
     own = (F.floor(F.col("h") / 1024) % F.col("cols")).cast("int")
-    kept = ["bucket", "node", "comp", "strays", "sig"]
+    kept = ["bucket", "node", "comp", "strays", "sig", "keys"]
     # a stray meets every block of texts, a text every block of strays
     across = signed.where("strays").select(*kept, F.lit(True).alias("left"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
     down = signed.select(*kept, F.lit(False).alias("left"), own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
