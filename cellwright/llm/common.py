@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -141,8 +142,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return low, start, end, doc
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task should be small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes of text each, or a single row."""
+    try:
+        yield from _sub_batches(batches, column, most)
+    finally:
+        give_back()
+
+
+def _sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = np.diff(text_bytes(batch.column(batch.schema.get_field_index(column)))[1])
         if not len(sizes):
