@@ -18,6 +18,7 @@ from ..functions.values import Err, Stop
 from ..functions.values import num as number
 from ..plans import lanes as L
 from ..plans.aggregates import RANGE_FUNCTIONS, Ranges, constant, fits, has_field
+from ..plans.fills import last_at_or_before, running_max
 from ..plans.lanes import Lane
 from ..plans.scalars import Compiler
 from ..plans.syntax import parse
@@ -195,15 +196,19 @@ def _approximate(df: DataFrame, name: str, x: Lane, table: DataFrame, t_key: Lan
 
     The answer for a key is the last row before the first that exceeds it.  With m the running maximum by position, rows
     with m <= key are exactly those before the first that exceeds it, so bands of m are disjoint and the last row of each is
-    what a key within the band gets.  Bands are broadcast as sorted arrays after a count, or met by a range join.
+    what a key within the band gets.  Bands are broadcast as a sorted array after a count, or met range by range.
+    A value that leaves the answer blank is kept apart from no answer by being in a struct.
     """
     if t_key.kind != "num" or x.kind != "num":
         raise FormulaError("unsupported", "approximate lookups of numbers")
     rows = table.select(t_key.value.alias("__m"), t_val.value.alias("__v"), place.alias("__p")).where(F.col("__m").isNotNull())
     small = rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    running = F.max("__m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
-    bands = rows.withColumn("__m", running).groupBy("__m").agg(F.max_by(F.struct("__v"), "__p").alias("__r"))
-    q = df.withColumn("__q", L.to_num(x)[0])
+    if small:
+        rising = rows.withColumn("__m", F.max("__m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        rising = running_max(rows, "__p", "__m", "__top").withColumn("__m", F.col("__top"))
+    bands = rising.groupBy("__m").agg(F.max_by(F.struct("__v"), "__p").alias("__r"))
+    q = df.withColumns({"__q": L.to_num(x)[0], "__qe": F.lit(None).cast("string") if x.err is None else x.err})
     if small:
         # one row with the bands in order; each key finds its band by binary search within the row
         packed = bands.agg(F.array_sort(F.collect_list(F.struct("__m", "__r"))).alias("__b"))
@@ -220,12 +225,10 @@ def _approximate(df: DataFrame, name: str, x: Lane, table: DataFrame, t_key: Lan
         )
         joined = joined.withColumn("__r", F.get("__b", at - 1)["__r"]).drop("__b")
     else:
-        w = Window.orderBy("__m")
-        edges = bands.withColumn("__to", F.lead("__m").over(w))
-        joined = q.join(edges, (F.col("__q") >= F.col("__m")) & (F.col("__to").isNull() | (F.col("__q") < F.col("__to"))), "left").drop("__m", "__to")
-    err = L.errors(x, F.when(F.col("__r").isNull(), F.lit("#N/A")))
+        joined = last_at_or_before(q, "__q", bands, "__m", "__r", "__r")
+    err = F.coalesce("__qe", F.when(F.col("__r").isNull(), F.lit("#N/A")))
     v = F.col("__r.__v") if t_val.kind != "num" else F.coalesce(F.col("__r.__v"), F.lit(0.0))
-    return joined.withColumns({name: F.when(err.isNull(), v), f"{name}_err": err}).drop("__q", "__r")
+    return joined.withColumns({name: F.when(err.isNull(), v), f"{name}_err": err}).drop("__q", "__qe", "__r")
 
 
 def lookup_wildcard(table: DataFrame, pattern: str, column: str, value: str, position: str) -> DataFrame:

@@ -119,3 +119,26 @@ def test_volatile_and_functions(frame):
 
     double = lambda x: Lane("num", to_num(x)[0] * 2, x.err, False)
     assert C.with_formula(frame, "v", "=TWICE([i])", functions={"twice": double}).orderBy("i").first().v == 2.0
+
+
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_approximate_lookup_of_unsorted_tables(spark, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(C, "MOST_BROADCAST", most)
+    rng = random.Random(1)
+    table = [(i, float(i + rng.choice([0, 0, 0, 40, -30]))) for i in range(300)]
+    keys = [float(rng.randint(-40, 350)) for _ in range(200)]
+    bands = spark.createDataFrame(table, "p int, k double").repartition(5)
+    df = C.match(spark.createDataFrame([(x,) for x in keys], "x double").repartition(3), "m", "=[x]", bands, "k", "p", 1)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() or most > 2
+
+    def by_rule(x):
+        best = None
+        for p, k in table:
+            if k > x:
+                break
+            best = float(p)
+        return best
+
+    assert sorted((r.x, r.m or 0.0, r.m_err) for r in df.collect()) == sorted((x, by_rule(x) or 0.0, None if by_rule(x) is not None else "#N/A") for x in keys)
