@@ -146,7 +146,7 @@ def _node(text: Column, doc_id: Column) -> Column:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches, "text"):
+    for batch in sub_batches(batches, "text", 1 << 19):
         n = batch.num_rows
         doc, ids, count = shingles(*text_bytes(batch.column(2)))
         keys = band_keys(signatures(doc, ids, count, n))
@@ -157,7 +157,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(sub_batches(batches, "t1", 2 << 20), "t2", 2 << 20):
+    for batch in sub_batches(sub_batches(batches, "t1", 1 << 19), "t2", 1 << 19):
         s = [probability_jaccard(a, b) for a, b in zip(_split(batch.column(2)), _split(batch.column(3)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["leader", "node", "s"])
 
@@ -192,7 +192,7 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """More registers, and 32 bits of each band's key."""
-    for batch in sub_batches(batches, "text"):
+    for batch in sub_batches(batches, "text", 1 << 18):
         doc, ids, count = shingles(*text_bytes(batch.column(1)))
         keys = [np.array(k, np.int64).astype(np.uint32).tobytes() for k in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(register_nibbles(signatures(doc, ids, count, batch.num_rows, FINE)), pa.binary()), pa.array(keys, pa.binary())], names=["node", "sig", "keys"])
@@ -243,7 +243,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     leads = members.groupBy("bucket").agg(F.min("node").alias("leader"))
     found = materialize(members.select("node").distinct(), "neardup-nodes")
     same = F.col("n2") == F.col("node")
-    shown = rows.select(F.col("node").alias("n2"), "text").join(found, same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    # a merge join at every size, lest the few nodes of a small table be broadcast and those of a large one not
+    shown = rows.select(F.col("node").alias("n2"), "text").join(found.hint("merge"), same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
     texts = bucketed(shown, "node", "neardup_texts")
     # first every text is compared with the least text it meets
     results = [similarities(members.join(leads, "bucket").where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
