@@ -38,13 +38,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """As ``materialize``, dealt and sorted by ``key``, so that joins by it need not deal these rows again."""
+def bucketed(df: DataFrame, key: str, label: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, dealt and sorted by ``key``, so that joins by it need not deal these rows again; and the table's name, to drop."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def lower_ascii(text: Column) -> Column:

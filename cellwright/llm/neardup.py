@@ -245,7 +245,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     same = F.col("n2") == F.col("node")
     # a merge join at every size, lest the few nodes of a small table be broadcast and those of a large one not
     shown = rows.select(F.col("node").alias("n2"), "text").join(found.hint("merge"), same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
-    texts = bucketed(shown, "node", "neardup_texts")
+    texts, table = bucketed(shown, "node", "neardup_texts")
     # first every text is compared with the least text it meets
     results = [similarities(members.join(leads, "bucket").where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
     labels = _classes(results)
@@ -267,6 +267,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         labels = _classes(results)
         if best:
             left = materialize(_straying(left.select("bucket", "node"), labels), "neardup-open")
+    docs.sparkSession.sql(f"DROP TABLE {table}")  # its files stay, as those of the other tables
     return nodes, labels
 
 
