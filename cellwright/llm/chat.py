@@ -5,41 +5,34 @@ those of all others become user messages that carry the speaker's name, and only
 text and its end mark are trained on.  Messages of role ``system`` belong to no participant: they
 stay system messages in every rendering.
 
-A dialogue of more than ``PART`` messages is rendered in parts of ``PART`` messages by turn order,
-so that no task has to hold an unbounded dialogue; a part's mask counts from its own start.  Parts
-of long dialogues come from a rank in two steps: counts per turn range, then order within a range.
+A dialogue is rendered in parts of ``PART`` turn numbers, so that no task has to hold a long dialogue and texts are dealt only
+once: part k holds the turns from k * PART on, and its mask counts from its own start.
 
-Null roles are speakers named ``unknown``; null texts are empty; messages are ordered by turn (null
-turns last), role and text, so that ties and repeated rows have a fixed order.  A null conv_id is a
-dialogue of its own.  A dialogue without participants gives no rows.
+Null roles are speakers named ``unknown``; null texts are empty; messages are ordered by turn, role and text, so that ties and
+repeated rows have a fixed order.  Messages without a turn make part -1.  Messages of a null conv_id are one dialogue.  A
+dialogue without participants gives no rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PART = 256
-#: Turns per range of the first step of ranking.
-RANGE = 1024
 SYSTEM = "system"
 
 
 def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
     """conv_id, speaker, part, n_messages, rendered, mask ("start-end,..." in characters of ``rendered``, ends excluded), n_trained."""
     clean = F.regexp_replace(F.coalesce(F.col("role"), F.lit("unknown")), r"[<>|\r\n]", "_")
-    m = turns.select("conv_id", "turn", clean.alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("turn") / RANGE).alias("rg"))
-    # rank within a dialogue: messages of earlier ranges, counted beforehand, and place in the own range
-    counts = m.groupBy("conv_id", "rg").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy(F.col("rg").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col("conv_id").alias("c_id"), F.col("rg").alias("c_rg"), F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("conv_id", "rg").orderBy(F.col("turn").asc_nulls_last(), "role", "text"))
-    m = m.withColumn("place", place).join(counts, F.col("c_id").eqNullSafe(F.col("conv_id")) & F.col("c_rg").eqNullSafe(F.col("rg")))
-    m = m.select("conv_id", "role", "text", (F.col("before") + F.col("place") - 1).alias("rank")).withColumn("part", F.floor(F.col("rank") / part).cast("long"))
-    speakers = m.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("s_id"), F.col("role").alias("speaker")).distinct()
-    # the messages of a part are gathered once, at most ``part`` of them, and rendered for each speaker
-    parts = m.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "role", "text"))).alias("msgs"))
-    parts = parts.join(speakers, F.col("s_id").eqNullSafe(F.col("conv_id")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+    m = turns.select(key.alias("key"), "conv_id", F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long").alias("part"), F.col("turn").cast("long").alias("turn"), clean.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # who speaks in the dialogue of each part: narrow rows, so that the texts are dealt once, by dialogue and part
+    narrow = m.select("key", "part", "role")
+    speakers = narrow.where(F.col("role") != SYSTEM).groupBy("key").agg(F.collect_set("role").alias("speakers"))
+    whose = narrow.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).join(speakers, "key").select("key", "part", "speakers")
+    parts = m.groupBy("key", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"))
+    parts = parts.join(whose, ["key", "part"]).select("conv_id", "part", "msgs", F.explode("speakers").alias("speaker"))
     head = lambda x: F.when(x.role == SYSTEM, F.lit("<|im_start|>system\n")).when(x.role == F.col("speaker"), F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), x.role, F.lit("\n")))
     body = lambda x: F.concat(x.text, F.lit("<|im_end|>\n"))
     rendered = F.array_join(F.transform("msgs", lambda x: F.concat(head(x), body(x))), "")
@@ -57,14 +50,13 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
 
 
 SQL = rf"""
-WITH m AS (SELECT conv_id, regexp_replace(coalesce(role, 'unknown'), '[<>|\r\n]', '_', 'g') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS LAST, regexp_replace(coalesce(role, 'unknown'), '[<>|\r\n]', '_', 'g'), coalesce(text, '')) - 1 AS rank FROM conversations),
+WITH m AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[<>|\r\n]', '_', 'g') AS role, coalesce(text, '') AS text, coalesce(CAST(floor(turn / {PART}.0) AS BIGINT), -1) AS part FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> '{SYSTEM}'),
-x AS (SELECT m.conv_id, speaker, rank // {PART} AS part, rank, text || '<|im_end|>' || chr(10) AS body, role = speaker AS own,
+x AS (SELECT m.conv_id, speaker, part, row_number() OVER (PARTITION BY m.conv_id, speaker, part ORDER BY turn, role, text) AS rank, text || '<|im_end|>' || chr(10) AS body, role = speaker AS own,
     CASE WHEN role = '{SYSTEM}' THEN '<|im_start|>system' WHEN role = speaker THEN '<|im_start|>assistant' ELSE '<|im_start|>user name=' || role END || chr(10) AS head
   FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
 y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY rank) AS fin FROM x)
-SELECT conv_id, speaker, CAST(part AS BIGINT) AS part, count(*) AS n_messages, string_agg(head || body, '' ORDER BY rank) AS rendered,
+SELECT conv_id, speaker, part, count(*) AS n_messages, string_agg(head || body, '' ORDER BY rank) AS rendered,
   coalesce(string_agg(CAST(fin - length(body) AS VARCHAR) || '-' || CAST(fin AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE own), '') AS mask,
   CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_trained
 FROM y GROUP BY conv_id, speaker, part"""

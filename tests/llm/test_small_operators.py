@@ -47,20 +47,19 @@ def by_hand(turns, part=256):
     dialogues = {}
     for c, t, role, text in turns:
         clean = "".join("_" if x in "<>|\r\n" else x for x in ("unknown" if role is None else role))
-        dialogues.setdefault(c, []).append((t is None, t or 0, clean, text or ""))
+        dialogues.setdefault(c, {}).setdefault(-1 if t is None else t // part, []).append((t or 0, clean, text or ""))
     out = []
-    for c, ms in dialogues.items():
-        ms.sort()
-        for speaker in {m[2] for m in ms} - {"system"}:
-            for p in range(0, len(ms), part):
+    for c, parts in dialogues.items():
+        for speaker in {m[1] for ms in parts.values() for m in ms} - {"system"}:
+            for p, ms in parts.items():
                 rendered, mask, n = "", [], 0
-                for *_, role, text in ms[p : p + part]:
+                for _, role, text in sorted(ms):
                     rendered += "<|im_start|>" + ("system" if role == "system" else "assistant" if role == speaker else f"user name={role}") + "\n"
                     if role == speaker:
                         mask.append(f"{len(rendered)}-{len(rendered) + len(text) + 11}")
                         n += len(text) + 11
                     rendered += text + "<|im_end|>\n"
-                out.append((c, speaker, p // part, len(ms[p : p + part]), rendered, ",".join(mask), n))
+                out.append((c, speaker, p, len(ms), rendered, ",".join(mask), n))
     return sorted(out, key=repr)
 
 
