@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _kept(ranged: DataFrame, label: str) -> DataFrame:
+    """``ranged`` with the partition ``__pid`` of each row, written to the shared folder and read back.
+
+    Bounds are sampled and partitions coalesced anew in each use of a range partitioning, so partition numbers are only
+    good for a join if all uses take them from the same written rows.
+    """
+    spark = ranged.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    ranged = ranged.withColumn("__pid", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with row numbers from 1 by ``order``: ranges of rows are sorted apart, and numbers go on from the sizes of the ranges before."""
     ranged = df.repartitionByRange(*[F.col(f"`{o}`") for o in order]).sortWithinPartitions(*[F.col(f"`{o}`") for o in order])
@@ -25,7 +43,8 @@ def last_at_or_before(queries: DataFrame, key: str, steps: DataFrame, at: str, v
     kind = steps.schema[value].dataType
     rows = queries.select(F.col(key).alias("__k"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__v"), F.struct("*").alias("__row"))
     marks = steps.select(F.col(at).alias("__k"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
-    ranged = rows.unionByName(marks).repartitionByRange("__k").withColumn("__pid", F.spark_partition_id())
+    ranged = rows.unionByName(marks).repartitionByRange("__k")
+    ranged = _kept(ranged, "fills-steps")
     here = F.last("__v", ignorenulls=True).over(Window.partitionBy("__pid").orderBy("__k", "__side").rowsBetween(Window.unboundedPreceding, 0))
     ends = ranged.groupBy("__pid").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__k"))).alias("__end"))
     # one row per partition
@@ -36,7 +55,7 @@ def last_at_or_before(queries: DataFrame, key: str, steps: DataFrame, at: str, v
 
 def running_max(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """``df`` with the maximum of ``value`` over the rows up to each by ``order``, range by range."""
-    ranged = df.repartitionByRange(order).withColumn("__pid", F.spark_partition_id())
+    ranged = _kept(df.repartitionByRange(order), "fills-max")
     here = F.max(value).over(Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     ends = ranged.groupBy("__pid").agg(F.max(value).alias("__end"))
     before = ends.select("__pid", F.max("__end").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))

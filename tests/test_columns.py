@@ -86,6 +86,21 @@ def test_approximate_lookup_by_shuffle(spark, monkeypatch):
     assert got == {5.0: None, 10.0: 1.0, 25.0: 2.0, 85.0: 8.0}
 
 
+def test_approximate_lookup_over_many_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    bands = spark.range(120_000).select(F.col("id").alias("p"), (F.col("id") * 10.0).alias("k"), F.md5(F.col("id").cast("string")).alias("note"))
+    keys = spark.range(300_000).select("id", ((F.col("id") * 7919 % 1_300_000) - 50_000.5).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("note")).repartition(6)
+    got = C.match(keys, "m", "=[x]", bands, "k", "p", 1).selectExpr("id", "x", "m", "m_err")
+    right = F.col("m").eqNullSafe(F.when(F.col("x") >= 0, F.floor(F.least(F.col("x") / 10, F.lit(119_999))).cast("double"))) & F.col("m_err").eqNullSafe(F.when(F.col("x") < 0, "#N/A"))
+    found = got.agg(F.count(F.lit(1)), F.count_distinct("id"), F.count_if(right)).first()
+    assert tuple(found) == (300_000, 300_000, 300_000)
+    sample = keys.where("id % 100 = 0")
+    by_ranges = C.match(sample, "m", "=[x]", bands, "k", "p", 1).select("id", "m", "m_err").collect()
+    monkeypatch.setattr(C, "MOST_BROADCAST", 130_000)
+    assert sorted(by_ranges) == sorted(C.match(sample, "m", "=[x]", bands, "k", "p", 1).select("id", "m", "m_err").collect())
+
+
 def test_conditional_column(spark):
     df = spark.createDataFrame([("a",), ("A*",), (">1",), ("zz",), (None,)], "k string")
     table = spark.createDataFrame([("a", 1.0), ("A", 2.0), ("ab", 4.0), (None, 8.0)], "k string, v double")
