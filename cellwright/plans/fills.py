@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _kept(ranged: DataFrame, label: str) -> DataFrame:
@@ -20,6 +23,8 @@ def _kept(ranged: DataFrame, label: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     ranged = ranged.withColumn("__pid", F.spark_partition_id())
+    # nulls without a type cannot be written
+    ranged = ranged.to(StructType.fromJson(json.loads(re.sub(r'ype":"void"', 'ype":"string"', ranged.schema.json()))))
     ranged.write.parquet(path)
     return spark.read.schema(ranged.schema).parquet(path)
 
@@ -27,7 +32,7 @@ def _kept(ranged: DataFrame, label: str) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with row numbers from 1 by ``order``: ranges of rows are sorted apart, and numbers go on from the sizes of the ranges before."""
     ranged = df.repartitionByRange(*[F.col(f"`{o}`") for o in order]).sortWithinPartitions(*[F.col(f"`{o}`") for o in order])
-    ranged = ranged.withColumn("__pid", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = _kept(ranged.withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "fills-numbers")
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row per partition

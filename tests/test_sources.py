@@ -284,6 +284,20 @@ def test_spark_metadata_and_tables(spark, tmp_path):
     assert [tuple(r) for r in back] == [(4.0, "n4", True), (5.0, "n5", False), (6.0, "n6", True)]
 
 
+def test_numbers_over_many_ranges(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cellwright.plans.fills import numbered
+
+    df = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.md5(F.col("id").cast("string")).alias("note")).repartition(6)
+    out = numbered(df, ["id"], "__row")
+    assert out.columns == ["id", "name", "note", "__row"]
+    assert tuple(out.agg(F.count(F.lit(1)), F.count_distinct("__row"), F.count_if(F.col("__row") == F.col("id") + 1), F.max(F.length(F.concat("name", "note")))).first()) == (400_000, 400_000, 400_000, 96)
+    # a column of nulls without a type
+    cells = cells_of_table(df.limit(3).withColumn("none", F.lit(None)), ["id"], str(tmp_path / "x.xlsx"))
+    assert cells.count() == 16 and cells.where("type = 'empty'").count() == 3
+
+
 def test_delimited_table(spark, tmp_path):
     (tmp_path / "x.csv").write_text('1,007,TRUE,"a,b"\n,x,no,9007199254740993\n')
     rows = delimited_table(spark, str(tmp_path)).collect()
