@@ -5,8 +5,11 @@ those of all others become user messages that carry the speaker's name, and only
 text and its end mark are trained on.  Messages of role ``system`` belong to no participant: they
 stay system messages in every rendering.
 
-A dialogue is rendered in parts of ``PART`` turn numbers, so that no task has to hold a long dialogue and texts are dealt only
-once: part k holds the turns from k * PART on, and its mask counts from its own start.
+A dialogue is rendered in parts of ``PART`` turn numbers, so that texts are dealt only once: part k holds the turns from k * PART
+on, and its mask counts from its own start.  Where turns repeat or are missing, such a part can have more than ``PART`` messages
+(all messages of a null conv_id, for example); it is then split by rank into parts of ``PART`` messages, so that no task has to
+hold a long dialogue: its s-th split, from 0 on, has the part number k + s * 2^40.  The SQL doesn't split such parts: its row is
+the splits in order, one after the other.
 
 Null roles are speakers named ``unknown``; null texts are empty; messages are ordered by turn, role and text, so that ties and
 repeated rows have a fixed order.  Messages without a turn make part -1.  Messages of a null conv_id are one dialogue.  A
@@ -18,8 +21,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fills import numbered
+
 PART = 256
+#: What a part number grows by with each split of a part that has too many messages.
+SPLIT = 1 << 40
 SYSTEM = "system"
+#: Characters of a text that ranges of messages are told apart by.
+_HEAD = 64
+
+
+def _split(m: DataFrame, long: DataFrame, part: int) -> DataFrame:
+    """``m`` with the parts that ``long`` lists (key, part) split into parts of ``part`` messages by turn, role and text.
+
+    Messages are ranked over ranges of all of them, so that no task has to sort or hold one part.  Equal texts are told apart by
+    a number, if they are short, so that no range has to hold them all; of two texts that are equal so far, one is longer.
+    """
+    few = m.join(long, ["key", "part"], "left_anti")
+    many = m.join(long, ["key", "part"], "left_semi").withColumn("head", F.substring("text", 1, _HEAD))
+    many = many.withColumn("id", F.when(F.length("text") < _HEAD, F.monotonically_increasing_id()).otherwise(0))
+    many = numbered(many, ["key", "part", "turn", "role", "head", "id"], "at", ["key", "part", "turn", "role", "text"])
+    firsts = many.groupBy("key", "part").agg(F.min("at").alias("first"))
+    many = many.join(firsts, ["key", "part"]).withColumn("part", F.col("part") + F.floor((F.col("at") - F.col("first")) / part) * SPLIT)
+    return few.unionByName(many.select(few.columns))
 
 
 def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
@@ -27,6 +51,9 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
     clean = F.regexp_replace(F.coalesce(F.col("role"), F.lit("unknown")), r"[<>|\r\n]", "_")
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
     m = turns.select(key.alias("key"), "conv_id", F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long").alias("part"), F.col("turn").cast("long").alias("turn"), clean.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    long = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("key", "part")
+    if not long.isEmpty():
+        m = _split(m, long, part)
     # who speaks in the dialogue of each part: narrow rows, so that the texts are dealt once, by dialogue and part
     narrow = m.select("key", "part", "role")
     speakers = narrow.where(F.col("role") != SYSTEM).groupBy("key").agg(F.collect_set("role").alias("speakers"))

@@ -29,9 +29,12 @@ def _kept(ranged: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(ranged.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with row numbers from 1 by ``order``: ranges of rows are sorted apart, and numbers go on from the sizes of the ranges before."""
-    ranged = df.repartitionByRange(*[F.col(f"`{o}`") for o in order]).sortWithinPartitions(*[F.col(f"`{o}`") for o in order])
+def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
+    """``df`` with row numbers from 1 by ``order``: ranges of rows are sorted apart, and numbers go on from the sizes of the ranges before.
+
+    ``within``: an order for the rows of a range that agrees with ``order`` and goes on where that ties.
+    """
+    ranged = df.repartitionByRange(*[F.col(f"`{o}`") for o in order]).sortWithinPartitions(*[F.col(f"`{o}`") for o in within or order])
     ranged = _kept(ranged.withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "fills-numbers")
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -73,6 +73,23 @@ def test_rotation(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_rotation_of_crowded_parts(spark):
+    rng = random.Random(11)
+    turns = [(None, i % 8, ["system", "u", "v"][i % 3], rng.choice([None, "same", "é" * rng.randint(1, 70), f"m{i}"])) for i in range(3000)]
+    turns += [(1, 7, "anna", f"m{i}") for i in range(700)] + [(1, 300, "bo", "later")] + [(2, None, "u", "lost")] * 600 + [(2, 0, "v", "x")]
+    turns += [(4, i, f"p{i % 3}", f"m{i}") for i in range(600)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    out = chat.rotate(df).collect()
+    assert max(r.n_messages for r in out) == 256 and len({r[:3] for r in out}) == len(out)
+    whole = {}
+    for r in sorted(out, key=lambda r: (r.part + 1) // chat.SPLIT):
+        p = (r.part + 1) % chat.SPLIT - 1
+        n, rendered, mask, trained = whole.get((r.conv_id, r.speaker, p), (0, "", "", 0))
+        moved = ",".join("-".join(str(int(x) + len(rendered)) for x in span.split("-")) for span in r["mask"].split(",") if span)
+        whole[r.conv_id, r.speaker, p] = n + r.n_messages, rendered + r.rendered, ",".join(x for x in (mask, moved) if x), trained + r.n_trained
+    assert sorted(((*k, *v) for k, v in whole.items()), key=repr) == by_hand(turns)
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
