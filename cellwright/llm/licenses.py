@@ -2,8 +2,9 @@
 
 A text is normalised (case, copyright and rights-reserved lines, equivalent spellings, punctuation
 and spacing) and its SHA-256 is looked up among the digests of known license texts, normalised in the
-same way.  A copyright line starts with the word and a sign, year or placeholder, so that wrapped text which merely has the word
-first in a line stays.  Only entire texts match: a license quoted inside a longer document doesn't.
+same way.  A copyright line starts with the word and a sign, year, placeholder or name, but not with what goes on in licence prose
+(``PROSE``: notice, holders, law ...), so that wrapped text which merely has the word first in a line stays.  The SQL takes only lines
+with a sign, year or placeholder for copyright lines.  Only entire texts match: a license quoted inside a longer document doesn't.
 
 Null and empty texts, and those of which nothing is left, have no license and a null digest.
 Repeated rows get the same answer.  An empty table gives an empty result.
@@ -73,11 +74,20 @@ SPELLINGS = [
     ("per cent", "percent"),
 ]
 
+#: Words that follow "copyright" at the beginning of a line of licence prose, rather than of a copyright line.
+PROSE = """notices? holders? owners? ownership laws? licen[sc]es? licen[sc]ors? licensing statements? protections? interests? infringements? acts?
+treaty treaties conventions? disclaimers? permissions? rights? claims? information terms? headers? legends? status registration works? material
+patents? trademarks? trade moral database designs? intellectual privacy publicity relevant related applicable such other any all this these that those which who
+where when if unless but then you your it its we and or nor in on of to for from under with without as at is are was were be been shall may must can
+cannot will would should could has have had does do not applies apply exists? belongs remains subsists restrictions? exceptions? limitations?
+including includes? except granted held protected conditions? appears?"""
+_COPYRIGHT = rf"copyright[ \t:]*(?:\(c\)|©|<|\[|[0-9][0-9][0-9][0-9])|copyright(?:[ \t]*[,:][ \t]*|[ \t]+)(?!(?:{'|'.join(PROSE.split())})(?![a-z0-9-]))[^ \t\r\n.,;:]"
+
 
 def normalise(text: Column) -> Column:
     """Words of the text, one space apart."""
     t = lower_ascii(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(^|\n)[ \t*#/;-]*(copyright[ \t:]*(\(c\)|©|<|\[|[0-9][0-9][0-9][0-9])|\(c\)|©)[^\n]*", "\n")
+    t = F.regexp_replace(t, rf"(^|\n)[ \t*#/;-]*({_COPYRIGHT}|\(c\)|©)[^\n]*", "\n")
     t = F.regexp_replace(t, r"(^|\n)[ \t*#/;-]*all rights reserved[ .]*(\n|$)", "\n")
     t = F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     # spellings only where one occurs: most texts have none

@@ -331,3 +331,18 @@ def test_licences(spark):
     assert len(rows) == len(cases) and all((r.digest is None) == (r.doc_id in (5, 6, 7)) for r in rows)
     assert licenses.scan(H.documents(spark, [])).count() == 0
     assert licenses.scan(H.documents(spark), {}).where("license IS NOT NULL").count() == 0
+
+
+def test_copyright_lines_and_wrapped_prose(spark):
+    first = "Copyright (c) <year> <copyright holders>"
+    lines = ["Copyright OpenJS Foundation and other contributors", " * Copyright The Foo Authors.  All rights reserved.", "Copyright Acme Inc. 2019", "Copyright, 2020 X", "Copyright by X", "COPYRIGHT: Émile", "Copyright 2019\nCopyright Orson Wells\n(c) Y", "Copyright Lawson & Co", "Copyright © Law Firm", "Copyright In-Q-Tel"]
+    mit = licenses.KNOWN["MIT"]
+    texts = [mit.replace(first, x) for x in lines]
+    # the word first in a line of wrapped prose
+    texts += [mit.replace(" copyright notice", "\ncopyright notice").replace(" COPYRIGHT HOLDERS", "\n# COPYRIGHT HOLDERS"), mit.replace(" copyright notice", "\n copyright\nnotice")]
+    got = {r.doc_id: r.license for r in licenses.scan(H.documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [i for i in range(len(texts)) if got[i] != "MIT"] == []
+    prose = ["a b\ncopyright law, or c", "a b\ncopyright notice. c", "a b\ncopyright holder's c", "a b\ncopyright, patent c", "a b\ncopyright. You c", "a b\ncopyright and related c", "a b\ncopyrighted work c"]
+    known = {f"k{i}": t.replace("\n", " ") for i, t in enumerate(prose)}
+    got = {r.doc_id: r.license for r in licenses.scan(H.documents(spark, [(i, t, "s") for i, t in enumerate(prose)]), known).collect()}
+    assert got == {i: f"k{i}" for i in range(len(prose))}
