@@ -252,20 +252,21 @@ def match(df: DataFrame, name: str, key: str, table: DataFrame, column: str, pos
 def conditional_column(df: DataFrame, name: str, function: str, key: str, table: DataFrame, column: str, value: str | None = None) -> DataFrame:
     """A filled-down column of SUMIF / COUNTIF / AVERAGEIF(table[column], key, table[value]).
 
-    Keys that mean equality are answered by one aggregation and a join; keys that are patterns or comparisons
-    (">5", "a*") are few distinct ones as a rule, and each distinct one is an aggregate of its own over the table.
+    Keys that mean equality, texts that spell a number or a boolean among them, are answered by one aggregation and a join;
+    keys that are patterns or comparisons (">5", "a*") are few distinct ones as a rule, at most 1000, and each distinct one is
+    an aggregate of its own over the table.
     """
     x = row_compiler(df).lane(parse(key))
     t_key = row_compiler(table).lane(("field", None, column))
     t_val = None if value is None else row_compiler(table).lane(("field", None, value))
     text = L.part(x, "text")
-    special = F.coalesce(text.rlike(r"^[<>=]") | text.rlike(r"[*?~]") | F.lower(text).isin("true", "false") | L.numeric_text(text).isNotNull() | (text == ""), F.lit(False)) | L.tag(x).isNull()
+    special = F.coalesce(text.rlike(r"^[<>=]") | text.rlike(r"[*?~]") | (text == ""), F.lit(False)) | L.tag(x).isNull()
     v = t_key if t_val is None else t_val
     sums = table.select(_plain_key(t_key).alias("__k"), L.part(v, "num").alias("__v")).groupBy("__k").agg(F.count(F.lit(1)).alias("__c"), F.sum("__v").alias("__s"), F.count("__v").alias("__n"))
     odd = df.where(special).select(L.to_text(x)[0].alias("t"), L.tag(x).isNull().alias("blank")).distinct().limit(1001).collect()
     if len(odd) > 1000:
         raise FormulaError("unsupported", "more than 1000 distinct criteria that are not plain values")
-    joined = df.withColumn("__q", F.when(~special, _plain_key(x))).join(_small(sums), F.col("__q") == F.col("__k"), "left")
+    joined = df.withColumn("__q", F.when(~special, _criterion_key(x))).join(_small(sums), F.col("__q") == F.col("__k"), "left")
     parts = {n: F.coalesce(F.col(n), F.lit(0)) for n in ("__c", "__s", "__n")}
     if odd:
         tests = [fits(t_key, parse_criterion(None if r.blank else r.t)) for r in odd]
@@ -290,6 +291,15 @@ def _plain_key(x: Lane) -> Column:
     return F.when(L.tag(x).isNotNull(), _key(x))
 
 
+def _criterion_key(x: Lane) -> Column:
+    """The ``_plain_key`` of the values that equal a criterion: a text that spells a number or a boolean means that."""
+    text = L.part(x, "text")
+    n = L.numeric_text(text)
+    key = lambda k, n, b: F.struct(F.lit(k).alias("k"), n.cast("double").alias("n"), F.lit(None).cast("string").alias("s"), b.cast("boolean").alias("b"))
+    none = F.lit(None)
+    return F.when(n.isNotNull(), key(0, n, none)).when(F.lower(text).isin("true", "false"), key(2, none, F.lower(text) == "true")).otherwise(_plain_key(x))
+
+
 # --- fills: relative references become windows --------------------------------------------------------
 
 

@@ -108,6 +108,26 @@ def test_conditional_column(spark):
     assert got == {"a": 3.0, "A*": 7.0, ">1": 0.0, "zz": 0.0, None: 8.0}
 
 
+def test_conditional_column_of_numeric_texts(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(3000).select(F.format_string("%07d", "id").alias("k"))
+    table = spark.range(6000).select((F.col("id") % 2500).cast("double").alias("k"), F.col("id").cast("double").alias("v"))
+    got = {int(r.k): r.s for r in C.conditional_column(ids, "s", "SUMIF", "=[k]", table, "k", "v").collect()}
+    assert got == {i: float(sum(range(i, 6000, 2500))) if i < 2500 else 0.0 for i in range(3000)}
+
+
+def test_conditional_column_of_odd_texts(spark):
+    odd = spark.createDataFrame([("TRUE",), ("false",), (" 1.0",), ("1e0",), ("-0",), ("100%",), ("",), (None,), (">0",), ("x",)], "k string")
+    for kind, rows, want in (
+        ("boolean", [(True,), (True,), (False,), (None,)], {"TRUE": 2, "false": 1, "": 1, None: 1}),
+        ("double", [(1.0,), (0.0,), (None,)], {" 1.0": 1, "1e0": 1, "-0": 1, ">0": 1, "": 1, None: 1}),
+        ("string", [("TRUE",), ("1",), ("",), ("X",), (None,)], {"x": 1, "": 2, None: 2}),
+    ):
+        got = {r.k: r.n for r in C.conditional_column(odd, "n", "COUNTIF", "=[k]", spark.createDataFrame(rows, f"t {kind}"), "t").collect()}
+        assert got == {r.k: float(want.get(r.k, 0)) for r in odd.collect()}, kind
+
+
 def test_fill(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(1, 6)], "i int, v double")
     got = C.fill(df, "r", "=SUM(A$1:A2)", {"A": "v"}, ["i"], row=2, errors=False).orderBy("i").collect()
