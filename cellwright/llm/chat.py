@@ -18,7 +18,7 @@ dialogue without participants gives no rows; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fills import numbered
@@ -76,6 +76,20 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
     return out.select("conv_id", "speaker", "part", "n_messages", "rendered", F.array_join("s.spans", ",").alias("mask"), F.col("s.n").alias("n_trained"))
 
 
+def starts(rotated: DataFrame) -> DataFrame:
+    """``rotated`` (see ``rotate``) with ``start``: the characters of the speaker's rendering that come in earlier parts.
+
+    Parts in the order of ``start`` make the whole rendering, and ``start`` is what its spans lack in each mask.  Part -1 (no
+    turn) comes last; order is by part, then by split.
+    """
+    place = F.struct((F.col("part") + 1) % SPLIT == 0, F.pmod(F.col("part") + 1, F.lit(SPLIT)), F.floor((F.col("part") + 1) / SPLIT))
+    sizes = rotated.select(F.col("conv_id").alias("c"), F.col("speaker").alias("s"), F.col("part").alias("p"), F.length("rendered").cast("long").alias("n"), place.alias("place"))
+    earlier = F.sum("n").over(Window.partitionBy("c", "s").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("c", "s", "p", F.coalesce(earlier, F.lit(0)).alias("start"))
+    same = F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("s") == F.col("speaker")) & (F.col("p") == F.col("part"))
+    return rotated.join(sizes, same).drop("c", "s", "p")
+
+
 SQL = rf"""
 WITH m AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[<>|\r\n]', '_', 'g') AS role, coalesce(text, '') AS text, coalesce(CAST(floor(turn / {PART}.0) AS BIGINT), -1) AS part FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> '{SYSTEM}'),

@@ -90,6 +90,21 @@ def test_rotation_of_crowded_parts(spark):
     assert sorted(((*k, *v) for k, v in whole.items()), key=repr) == by_hand(turns)
 
 
+def test_whole_renderings(spark):
+    turns = [(1, 0, "system", "be kind")] + [(1, i, f"p{i % 2}", f"m{i}é") for i in range(1, 700)] + [(1, None, "p0", "late")]
+    turns += [(None, 3, "u", f"m{i}") for i in range(600)] + [(None, 300, "v", "end"), (None, 0, "v", "begin")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    rows = chat.starts(chat.rotate(df)).collect()
+    assert len(rows) == chat.rotate(df).count() == 2 * 4 + 2 * 4
+    for c, speaker in ((1, "p0"), (1, "p1"), (None, "u"), (None, "v")):
+        own = sorted((r for r in rows if (r.conv_id, r.speaker) == (c, speaker)), key=lambda r: r.start)
+        whole = "".join(r.rendered for r in own)
+        ms = sorted((t is None, t or 0, role, text) for i, t, role, text in turns if i == c)
+        assert whole == "".join(f"<|im_start|>{'system' if role == 'system' else 'assistant' if role == speaker else 'user name=' + role}\n{text}<|im_end|>\n" for *_, role, text in ms)
+        spans = [[int(x) + r.start for x in s.split("-")] for r in own for s in r["mask"].split(",") if s]
+        assert [whole[a:b] for a, b in spans] == [f"{text}<|im_end|>\n" for *_, role, text in ms if role == speaker]
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
