@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from .scratch import materialize
 
 
 def _kept(ranged: DataFrame, label: str) -> DataFrame:
@@ -19,14 +14,7 @@ def _kept(ranged: DataFrame, label: str) -> DataFrame:
     Bounds are sampled and partitions coalesced anew in each use of a range partitioning, so partition numbers are only
     good for a join if all uses take them from the same written rows.
     """
-    spark = ranged.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    ranged = ranged.withColumn("__pid", F.spark_partition_id())
-    # nulls without a type cannot be written
-    ranged = ranged.to(StructType.fromJson(json.loads(re.sub(r'ype":"void"', 'ype":"string"', ranged.schema.json()))))
-    ranged.write.parquet(path)
-    return spark.read.schema(ranged.schema).parquet(path)
+    return materialize(ranged.withColumn("__pid", F.spark_partition_id()), label)
 
 
 def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
@@ -68,3 +56,22 @@ def running_max(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     ends = ranged.groupBy("__pid").agg(F.max(value).alias("__end"))
     before = ends.select("__pid", F.max("__end").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     return ranged.withColumn(name, here).join(F.broadcast(before), "__pid").withColumn(name, F.greatest(name, "__before")).drop("__pid", "__before")
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each by ``order``, within ``by``; 0 for the first.
+
+    A key of ``by`` may span many ranges: its sums go on from one to the next.
+    """
+    by = by or []
+    ranged = _kept(df.repartitionByRange(*by, *order), "fills-sums")
+    here = F.sum(value).over(Window.partitionBy("__pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ranged.groupBy("__pid", *by).agg(F.sum(value).alias("__end"))
+    earlier = F.sum("__end").over(Window.partitionBy(*by or [F.lit(1)]).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
+    # at most one row per partition: the key that goes on from the range before
+    before = ends.select(F.col("__pid").alias("__range"), *[F.col(b).alias(f"__by_{b}") for b in by], earlier.alias("__before")).where("__before IS NOT NULL")
+    same = F.col("__range") == F.col("__pid")
+    for b in by:
+        same &= F.col(f"__by_{b}").eqNullSafe(F.col(b))
+    out = ranged.withColumn(name, here).join(F.broadcast(before), same, "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(0)) + F.coalesce("__before", F.lit(0))).drop("__pid", "__range", "__before", *[f"__by_{b}" for b in by])
