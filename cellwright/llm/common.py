@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,37 +10,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import new_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Word characters: ASCII digits and lower-case letters, and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, label: str) -> tuple[DataFrame, str]:
     """As ``materialize``, dealt and sorted by ``key``, so that joins by it need not deal these rows again; and the table's name, to drop."""
     spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
+    path = new_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    df.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
     return spark.table(name), name
 
 

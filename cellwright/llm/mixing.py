@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..plans.scratch import materialize
 
 CYCLE = (5, 2, 1)
 SHARE = 1.5

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, bucketed, materialize, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
+from ..plans.scratch import materialize
+from .common import BYTE_VALUE, bucketed, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
 
 WORDS = 5
 SIMILARITY = 0.8

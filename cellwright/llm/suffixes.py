@@ -33,7 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, materialize, mix, prefix_hash, span_hash, sub_batches, text_bytes
+from ..plans.scratch import materialize
+from .common import BYTE_VALUE, mix, prefix_hash, span_hash, sub_batches, text_bytes
 
 WINDOW = 100
 ANCHOR = 32

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, materialize, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
+from ..plans.scratch import materialize
+from .common import BYTE_VALUE, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
 
 SAMPLE = 12_000
 FEATURES = 4096
