@@ -39,7 +39,7 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text as an array; null has none."""
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 # --- numpy side: whole Arrow batches of texts at once -------------------------------------------

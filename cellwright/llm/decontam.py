@@ -1,65 +1,121 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 A window is ``n`` consecutive words of a benchmark item, or a whole item that has fewer (but some).
-The hashes of all windows form the set; every window of every document is tested against it, and
-each window that passes is verified by its words.  ``annotate`` tells hits per row; ``drop_documents`` and
+The windows of all items form a hash set, keyed by 64 bits of their words.  The windows of every document are looked up in it, and
+a window that is found is verified by its words.  ``annotate`` tells hits per row; ``drop_documents`` and
 ``remove_spans`` act on them.
 
+Each word is hashed once; the hash of 2, 4, 8 ... words comes from those of their halves, and that of n words from the powers of
+two that make up n.  A set of more than ``BLOCK`` windows and items is broadcast block by block, each against all documents.
+
 Null and empty texts have no words: such documents are clean and such items have no windows.
 Repeated rows get one result each.  Empty tables give empty results or leave all rows clean.
-Other columns are kept apart from the working ones, whatever their names.
+Other columns are kept apart from the working ones, whatever their names.  The benchmark's windows are written and counted when
+a plan is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .common import WORD, words
 
 N = 10
-#: Up to so many windows the set is shipped with the plan (8 bytes each); beyond, windows are joined by shuffle.
-MOST_BROADCAST = 50_000
+#: Pairs of a window and an item that are broadcast at a time (about 200 bytes each).
+BLOCK = 500_000
 
 
-def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """(gram, n_words, item) of each distinct window and item."""
-    w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    size = F.least(F.size("w"), F.lit(n))
-    starts = F.sequence(F.lit(1), F.size("w") - size + 1)
-    w = w.select("item", size.alias("n_words"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.least(F.size("w"), F.lit(n))), " "))).alias("gram"))
-    return w.distinct()
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _candidates(lengths: list[int], hashes: list[int] | None) -> Column:
-    """Structs (p, l, gram) of the windows of a document ``w`` whose hash is in the set."""
-    known = f"IN ({', '.join(f'{h}L' if h != -(2**63) else 'bigint(-9223372036854775808BD)' for h in hashes)})" if hashes else ""
-    parts = []
-    for n in lengths:
-        starts = f"if(size(w) >= {n}, sequence(1, size(w) - {n - 1}), cast(array() AS array<int>))"
-        if known:
-            starts = f"filter({starts}, i -> xxhash64(slice(w, i, {n})) {known})"
-        parts.append(f"transform({starts}, i -> struct(i AS p, {n} AS l, array_join(slice(w, i, {n}), ' ') AS gram))")
-    return F.expr(parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")
+def _joined(a: Column, b: Column, gap: int, n: Column) -> Column:
+    """Hashes of n windows: each of ``a`` with that of ``b`` which begins ``gap`` words later."""
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(gap + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def window_hashes(w: Column, lengths: list[int]) -> Column:
+    """An array for the hashes of the windows of all ``lengths`` of the words ``w``, one length after the other."""
+
+    def number(n: int) -> Column:
+        return F.greatest(F.size(w) - (n - 1), F.lit(0))
 
+    def of_length(n: int, powers: dict[int, Column]) -> Column:
+        done, out = 0, None
+        for p in sorted(powers, reverse=True):
+            if n - done >= p:
+                out, done = powers[p] if out is None else _joined(out, powers[p], done, number(done + p)), done + p
+        return out
 
-def annotate(docs: DataFrame, benchmark: DataFrame, n: int = N, most_broadcast: int = MOST_BROADCAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def grow(powers: dict[int, Column]) -> Column:
+        top = max(powers)
+        if 2 * top <= max(lengths):
+            return _let(_joined(powers[top], powers[top], top, number(2 * top)), lambda h: grow({**powers, 2 * top: h}))
+        return F.concat(*[of_length(n, powers) for n in lengths])
+
+    return _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: grow({1: h}))
+
+
+def _lengths(benchmark: DataFrame, n: int) -> list[int]:
+    """The distinct lengths of windows, ``n`` at most."""
+    size = F.least(F.size(words(F.col("text"))), F.lit(n))
+    return sorted(r.n for r in benchmark.select(size.alias("n")).where("n > 0").distinct().collect())
+
+
+def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
+    """(h, gram, n_words, item) of each distinct window and item."""
+    w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w"))
+    parts = []
+    for size in _lengths(benchmark, n):
+        own = w.where(F.size("w") >= n if size == n else F.size("w") == size)
+        own = own.select("item", "w", F.posexplode(window_hashes(F.col("w"), [size])).alias("p", "h"))
+        parts.append(own.select("h", F.array_join(F.slice("w", F.col("p") + 1, F.lit(size)), " ").alias("gram"), F.lit(size).alias("n_words"), "item"))
+    if not parts:
+        return w.limit(0).select(F.lit(0).cast("long").alias("h"), F.lit("").alias("gram"), F.lit(0).alias("n_words"), "item")
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def _hits(base: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """row, doc_id, nw, p (from 1), l, found (items) of each window of ``base`` in the set, and a row without a hit for each of ``base``."""
+    items = grams.groupBy("h", "gram", "n_words").agg(F.collect_set("item").alias("found")).withColumnRenamed("h", "known")
+    hashes = F.concat(window_hashes(F.col("w"), lengths), F.array(F.lit(None).cast("long")))
+    # outer, or else a filter that asks whether there are any computes all hashes again
+    flat = base.select("row", "doc_id", "w", hashes.alias("hs")).select("row", "doc_id", "w", F.posexplode_outer("hs").alias("k", "h"))
+    nw = F.size("w")
+    # hashes come by length: which length the k-th has, and where it begins
+    length, place, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+    for n in lengths:
+        upto = before + F.greatest(nw - (n - 1), F.lit(0))
+        mine = length.isNull() & (F.col("k") < upto)
+        length, place = F.when(mine, F.lit(n)).otherwise(length), F.when(mine, F.col("k") - before + 1).otherwise(place)
+        before = upto
+    if len(lengths) == 1:
+        length, place = F.lit(lengths[0]), F.col("k") + 1
+    flat = flat.select("row", "doc_id", "w", "h", nw.alias("nw"), length.alias("l"), place.alias("p"))
+    # words are compared after the join, of the few windows whose hash is known; as a key, they would be of all
+    joined = flat.join(F.broadcast(items), F.col("h") == F.col("known"), "left")
+    verified = (F.col("l") == F.col("n_words")) & (F.array_join(F.slice("w", F.col("p"), F.col("l")), " ") == F.col("gram"))
+    return joined.where(F.col("h").isNull() | F.when(F.col("known").isNotNull(), verified)).select("row", "doc_id", "nw", "p", "l", "found")
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, n: int = N, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids), spans (of words, from 0), contaminated for each row of ``docs``."""
-    grams = item_windows(benchmark, n)
-    bounded = grams.select("gram", "n_words").distinct().limit(most_broadcast + 1)
-    known = bounded.select("n_words", F.xxhash64(F.split("gram", " ")).alias("h")).collect()
-    fits = len(known) <= most_broadcast
-    lengths = sorted({r.n_words for r in known}) if fits else sorted(r.n_words for r in grams.select("n_words").distinct().collect())
+    grams = materialize(item_windows(benchmark, n), "decontam-windows")
+    lengths = sorted(r.n_words for r in grams.select("n_words").distinct().collect()) or [n]
+    blocks = max(1, -(-grams.count() // block))
     base = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_column)).alias("w"))
-    if not lengths:
-        hits = base.select("doc_id", "row", F.size("w").alias("nw"), F.lit(None).cast("struct<p:int,l:int,gram:string>").alias("c"))
-    else:
-        hits = base.select("doc_id", "row", F.size("w").alias("nw"), F.explode_outer(_candidates(lengths, sorted({r.h for r in known}) if fits else None)).alias("c"))
-    hits = hits.select("doc_id", "row", "nw", F.col("c.p").alias("p"), F.col("c.l").alias("l"), F.col("c.gram").alias("gram"))
-    items = grams.groupBy("gram").agg(F.collect_set("item").alias("found"))
-    joined = hits.join(F.broadcast(items) if fits else items, "gram", "left")
+    if blocks > 1:  # rows keep their numbers from one block to the next
+        base = materialize(docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("t")), "decontam-rows").select("doc_id", "row", words(F.col("t")).alias("w"))
+    own = lambda b: grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
+    hits = reduce(DataFrame.union, [_hits(base, own(b), lengths) for b in range(blocks)])
     at = F.when(F.col("found").isNotNull(), F.struct("p", "l"))
-    per = joined.groupBy("row", "doc_id", "nw").agg(F.array_sort(F.collect_set(at)).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("items"))
+    per = hits.groupBy("row", "doc_id", "nw").agg(F.array_sort(F.collect_set(at)).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("items"))
     none = F.array().cast("array<struct<b:int,e:int>>")
     # merge overlapping windows; they are sorted by start
     spans = F.aggregate(
