@@ -74,14 +74,16 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         fields = re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[: w * h * depth]
         if len(fields) < w * h * depth:
             raise MediaError("too few samples")
-        a = np.array(fields, dtype=np.int64)
+        if any(not f.isdigit() or len(f) > 10 for f in fields):
+            raise MediaError("bad samples")
+        a = np.array([int(f) for f in fields], dtype=np.int64)
     else:
         at += 1  # one blank ends the header
         if kind == b"P4":
             row = (w + 7) // 8
-            raw = np.frombuffer(data, np.uint8, offset=at)
-            if len(raw) < row * h:
+            if len(data) - at < row * h:
                 raise MediaError("too few samples")
+            raw = np.frombuffer(data, np.uint8, offset=at)
             return ((1 - np.unpackbits(raw[: row * h].reshape(h, row), axis=1)[:, :w]) * 255).astype(np.uint8)
         kind_of = np.dtype(">u2") if top > 255 else np.dtype("u1")
         if len(data) - at < w * h * depth * kind_of.itemsize:
@@ -93,12 +95,24 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return a.reshape((h, w, 3) if depth == 3 else (h, w))
 
 
+def _masked(pixels: np.ndarray, masks: tuple[int, int, int]) -> np.ndarray:
+    """Red, green and blue as the bits that each mask has in a row, scaled to 8 bits."""
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for i, mask in enumerate(masks):
+        low = (mask & -mask).bit_length() - 1
+        top = mask >> max(low, 0)
+        if not mask or top & (top + 1):
+            raise MediaError("bad colour masks")
+        out[..., i] = np.rint(((pixels & np.uint32(mask)) >> np.uint32(low)).astype(np.float64) * (255 / top))
+    return out
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     """(height, width, 3) of uint8, or (height, width) where the palette is grey."""
     if data[:2] != b"BM" or len(data) < 54:
         raise MediaError("not BMP")
     start, header = struct.unpack_from("<II", data, 10)
-    if header < 40:
+    if header < 40 or start < 54:
         raise MediaError("unsupported BMP header")
     w, h, planes, bits, packed = struct.unpack_from("<iiHHI", data, 18)
     colours = struct.unpack_from("<I", data, 46)[0]
@@ -111,6 +125,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8, count=row * h, offset=start).reshape(h, row)
     if not down:
         raw = raw[::-1]
+    if packed == 3:
+        if len(data) < 66:
+            raise MediaError("no colour masks")
+        return _masked(raw[:, : w * 4].copy().view("<u4"), struct.unpack_from("<III", data, 54))
     if bits >= 24:
         step = bits // 8
         return np.ascontiguousarray(raw[:, : w * step].reshape(h, w, step)[:, :, 2::-1])
