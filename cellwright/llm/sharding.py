@@ -60,8 +60,9 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None =
     owners = ",".join(map(str, fill_table(shards, size)))
     spark = df.sparkSession
     table = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "shard")).select(F.col("slot").cast("long"), F.col("shard").cast("int"))
-    placed = df.drop("shard").withColumn("slot", slot_of(F.col(key), size))
-    return placed.join(F.broadcast(table), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    placed = df.select(*kept, slot_of(F.col(f"`{key}`"), size).alias("slot"))
+    return placed.join(F.broadcast(table), "slot").select(*kept, "slot", "shard")
 
 
 def sql(shards: int = SHARDS, size: int = SIZE) -> str:
