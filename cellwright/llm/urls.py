@@ -2,11 +2,12 @@
 
 A rule ``(action, host, path)`` fits a URL whose host is the rule's or a subdomain of it and whose
 path starts with the rule's; the longest fitting rule decides (of equally long ones the first by
-text).  Where no rule fits, the model decides: each n-gram of ``^host$`` and of the path adds the
-weight of its bucket, and a URL is blocked if the sum is positive.  Weights are fixed-point
-integers, so sums don't depend on their order.
+text, and of contradictory ones that which allows).  A few rules are one expression; more are joined by the suffixes that a host can have.  Where no rule fits, the model
+decides: each n-gram of ``^host$`` and of the path adds the weight of its bucket, and a URL is blocked if the sum is positive.
+Weights are fixed-point integers, so sums don't depend on their order.
 
-The model is trained on the driver from ``LABELLED``, a fixed small table, by gradient descent.
+The model is trained on the driver by gradient descent, from ``LABELLED`` or from a table of (url, label) of which at most ``SAMPLE``
+rows are taken, those with the least hashes.
 Null URLs and those without ``://`` have empty host and path; they get the model's verdict on
 empty strings.  Repeated rows are judged alike; an empty table gives an empty result.
 """
@@ -14,9 +15,9 @@ empty strings.  Repeated rows are judged alike; an empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
-import math
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 BUCKETS = 2048
 SIZES = (3, 4)
 SCALE = 1_000_000
-MOST_RULES = 1000
+#: Up to so many rules are one expression, and up to so many are broadcast; more are joined by shuffle.
+MOST_RULES, MOST_BROADCAST = 100, 100_000
+#: Labelled URLs that are taken from a table.
+SAMPLE = 5000
 
 #: Invented URLs with label 1 for block.
 LABELLED = [
@@ -87,26 +91,26 @@ def _bucket(gram: str) -> int:
 
 
 @lru_cache
-def train(steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[int, tuple[int, ...]]:
-    """Bias and bucket weights in units of 1 / SCALE.  The work is bounded by ``LABELLED``."""
-    rows = []
-    for host, path, y in LABELLED:
-        found: dict[int, float] = {}
-        for g in grams(host, path):
-            found[_bucket(g)] = found.get(_bucket(g), 0.0) + 1.0
-        rows.append((found, y))
-    w, bias = [0.0] * BUCKETS, 0.0
+def train(labelled: tuple[tuple[str, str, int], ...] = tuple(LABELLED), steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[int, tuple[int, ...]]:
+    """Bias and bucket weights in units of 1 / SCALE, from (host, path, label).  The work is bounded by their number."""
+    found = [[_bucket(g) for g in grams(host, path)] for host, path, _ in labelled]
+    y = np.array([label for *_, label in labelled], float)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    bucket = np.array([b for f in found for b in f], np.int64)
+    w, bias, n = np.zeros(BUCKETS), 0.0, max(1, len(y))
     for _ in range(steps):
-        step, b = [0.0] * BUCKETS, 0.0
-        for found, y in rows:
-            z = bias + sum(w[k] * v for k, v in found.items())
-            e = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y
-            b += e
-            for k, v in found.items():
-                step[k] += e * v
-        bias -= rate * b / len(rows)
-        w = [x - rate * (g / len(rows) + decay * x) for x, g in zip(w, step, strict=True)]
-    return round(bias * SCALE), tuple(round(x * SCALE) for x in w)
+        z = np.bincount(row, w[bucket], minlength=len(y)) + bias if len(row) else np.full(len(y), bias)
+        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        bias -= rate * e.sum() / n
+        w = w - rate * (np.bincount(bucket, e[row], minlength=BUCKETS) / n + decay * w)
+    return round(float(bias) * SCALE), tuple(round(float(x) * SCALE) for x in w)
+
+
+def labelled_urls(table: DataFrame, sample: int = SAMPLE) -> tuple[tuple[str, str, int], ...]:
+    """(host, path, label) of at most ``sample`` distinct rows of a table (url, label) with labels 0 and 1."""
+    host, path = host_path(F.col("url"))
+    rows = table.where(F.col("label").isin(0, 1)).select(host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label")).distinct()
+    return tuple((r.host, r.path, r.label) for r in rows.orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(sample).collect())
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -121,19 +125,45 @@ def _fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
     return ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (units of 1 / SCALE) of each row of ``pages``."""
-    rules = RULES if rules is None else rules
-    if len(rules) > MOST_RULES or any(r[0] not in ("allow", "block") for r in rules):
-        raise ValueError("rules are (allow or block, host, path), 1000 at most")
-    host, path = host_path(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+def _chained(base: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     # a later branch is tested first: shortest rules go in first
-    for a, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), [-ord(c) for c in r[1] + r[2]])):
+    for a, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), [-ord(c) for c in r[1] + r[2]], r[0] == "allow")):
         fits = _fits(F.col("host"), F.col("path"), h, p)
         rule, action = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(a)).otherwise(action)
-    bias, weights = train()
+    return base.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
+
+
+def _joined(base: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same by a join of rules with the ends of hosts, as many labels long as a rule's host is at most."""
+    size = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.count(F.lit(1)).alias("n")).first()
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(size["labels"] or 1))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    wide = base.withColumn("row", F.monotonically_increasing_id()).withColumn("end", F.explode(ends))
+    table = rules.select("action", F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
+    if size["n"] <= MOST_BROADCAST:
+        table = F.broadcast(table)
+    hit = wide.join(table, (F.col("end") == F.col("rule_host")) & F.col("path").startswith(F.col("rule_path")), "left")
+    rule = F.concat("rule_host", "rule_path")
+    best = F.min(F.when(rule.isNotNull(), F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), "action")))
+    return hit.groupBy("row", "page_id", "host", "path").agg(best.alias("b")).select("page_id", "host", "path", "b.rule", "b.action")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (units of 1 / SCALE) of each row of ``pages``.
+
+    ``rules``: a list or a table (action, host, path), of any number.  ``labelled``: a table (url, label) to train on.
+    """
+    rules = RULES if rules is None else rules
+    host, path = host_path(F.col("url"))
+    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+    if isinstance(rules, list) and any(r[0] not in ("allow", "block") for r in rules):
+        raise ValueError("rules are (allow or block, host, path)")
+    if isinstance(rules, list) and len(rules) <= MOST_RULES:
+        ruled = _chained(base, rules)
+    else:
+        ruled = _joined(base, pages.sparkSession.createDataFrame(rules, "action string, host string, path string") if isinstance(rules, list) else rules)
+    bias, weights = train() if labelled is None else train(labelled_urls(labelled))
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
 
     def part(mark: str, s: Column, n: int) -> Column:
@@ -145,7 +175,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
         F.lit(bias).cast("bigint"),
         lambda acc, x: acc + x,
     )
-    scored = base.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), table.alias("weights")).withColumn("score", total)
+    scored = ruled.withColumn("weights", table).withColumn("score", total)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
 
 
