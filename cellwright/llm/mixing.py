@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fills import numbered, running_sum
 from ..plans.scratch import materialize
 
 CYCLE = (5, 2, 1)
@@ -28,7 +29,7 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 GOOD, POOR, UNKNOWN = 1.0, 0.25, 0.5
 RANGES = 4096
-#: Goals of up to so many sources (100 bytes each) are broadcast; of more, joined by shuffle.
+#: Goals of up to so many sources (100 bytes each) are broadcast, and they are ordered in one task; of more, joined by shuffle and ordered by ranges.
 MOST_BROADCAST = 100_000
 TOKEN = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -38,28 +39,37 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
 
 
-def targets(sources: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
-    """``sources`` (source, source_size) with ``target``.  One row per source: small beside the documents.
+def targets(sources: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = SHARE, most: int = MOST_EPOCHS, most_sources: int = MOST_BROADCAST) -> DataFrame:
+    """``sources`` (source, source_size) with ``target``.
 
     Weights repeat along the sources by code point.  With the sources ordered by capacity per
     weight, those before some point get their capacity and the rest shares what is left by weight.
+    Up to ``most_sources`` are ordered in one task; more are ordered range by range.
     """
-    everything = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, cycle)), ((F.row_number().over(everything) - 1) % len(cycle) + 1).cast("int")).cast("double")
-    s = sources.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap"))
-    by = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    s = s.select(
-        "*",
-        (F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).alias("left"),
-        (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("rest"),
-        F.row_number().over(by).alias("nr"),
-    )
+    sources = materialize(sources.select("source", "source_size"), "mix-sources")
+    totals = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("size")).first()
+    small = totals["n"] <= most_sources
+    s = sources.withColumn("last", F.col("source").isNull())
+    everything = Window.orderBy("last", "source")
+    s = s.withColumn("place", F.row_number().over(everything)) if small else numbered(s, ["last", "source"], "place")
+    weight = F.element_at(F.array(*map(F.lit, cycle)), ((F.col("place") - 1) % len(cycle) + 1).cast("int")).cast("double")
+    s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    order = ["ratio", "last", "source"]
+    if small:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        s = s.withColumns({"caps": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "weights": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "nr": F.row_number().over(Window.orderBy(*order))})
+    else:
+        s = numbered(running_sum(running_sum(s, order, "cap", "caps"), order, "weight", "weights"), order, "nr")
+    # whole numbers as doubles: sums are exact in any order
+    whole = float(sum(cycle)) * (totals["n"] // len(cycle)) + float(sum(cycle[: totals["n"] % len(cycle)]))
+    s = s.withColumn("left", float(totals["size"] or 0) * share - F.col("caps")).withColumn("rest", whole - F.col("weights"))
     # the first source, in that order, that stays within its capacity sets the common level
-    s = s.withColumn("first", F.min(F.when(F.col("left") * F.col("weight") / F.col("rest") <= F.col("cap"), F.struct("nr", "left", "rest"))).over(whole))
-    even = F.col("first.left") * F.col("weight") / F.col("first.rest")
-    return s.select("source", "source_size", F.when(F.col("first").isNull() | (F.col("nr") < F.col("first.nr")), F.col("cap")).otherwise(F.least(even, F.col("cap"))).alias("target"))
+    s = materialize(s.select("source", "source_size", "weight", "cap", "nr", "left", "rest"), "mix-order")
+    first = s.where(F.col("left") * F.col("weight") / F.col("rest") <= F.col("cap")).agg(F.min(F.struct("nr", "left", "rest")).alias("f")).first().f
+    if first is None:
+        return s.select("source", "source_size", F.col("cap").alias("target"))
+    even = F.lit(first["left"]) * F.col("weight") / F.lit(first["rest"])
+    return s.select("source", "source_size", F.when(F.col("nr") < first["nr"], F.col("cap")).otherwise(F.least(even, F.col("cap"))).alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
