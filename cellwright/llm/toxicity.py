@@ -2,7 +2,9 @@
 
 A logistic regression on the presence of words and word beginnings (4, 5 and 6 bytes).  Beside the
 usual loss, training penalises the squared change of the score when the identity terms of a labelled
-text are swapped for others of their group, so that neutral mentions of a group don't count.
+text are swapped for others of their group, so that neutral mentions of a group don't count.  Groups of terms are a parameter
+(``IDENTITY``: English, German, French and Spanish); ``gaps`` tells how much scores still change under swaps.  Where no labelled
+text has a term, there is nothing to penalise, and the model is the plain one.
 
 Labels come from rows whose crc32(doc_id as text) mod 5 is not 0, at most about ``SAMPLE`` of them (chosen
 by a hash of the id if there are more).  Candidate features are counted over the whole sample on
@@ -49,14 +51,47 @@ IDENTITY = [
     ["immigrant", "refugee", "foreigner", "citizen"],
     ["immigrants", "refugees", "foreigners", "citizens"],
     ["disabled", "deaf", "blind"],
+    ["frauen", "männer"],
+    ["mädchen", "junge"],
+    ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"],
+    ["schwule", "lesben", "heterosexuelle", "bisexuelle"],
+    ["schwarze", "weiße", "asiaten"],
+    ["ausländer", "flüchtlinge", "einwanderer", "bürger"],
+    ["femmes", "hommes"],
+    ["fille", "garçon"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    ["homosexuels", "hétérosexuels", "bisexuels"],
+    ["noirs", "blancs", "asiatiques"],
+    ["étrangers", "réfugiés", "immigrés", "citoyens"],
+    ["mujeres", "hombres"],
+    ["niña", "niño"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    ["homosexuales", "heterosexuales", "bisexuales"],
+    ["negros", "blancos", "asiáticos"],
+    ["extranjeros", "refugiados", "inmigrantes", "ciudadanos"],
 ]
-_NEXT = {t: g[(i + 1) % len(g)] for g in IDENTITY for i, t in enumerate(g)}
-_TERM = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")(?![0-9A-Za-z\x80-\U0010ffff])", re.I)
 
 
-def swapped(text: str) -> str:
-    """Each identity term replaced by the next of its group."""
-    return _TERM.sub(lambda m: _NEXT[m[0].lower()], text)
+class Swaps:
+    """Replaces each identity term by the next of its group; of a term in several groups the first counts."""
+
+    def __init__(self, groups: list[list[str]]) -> None:
+        self.next: dict[str, str] = {}
+        for g in groups:
+            for i, t in enumerate(g):
+                self.next.setdefault(t.lower(), g[(i + 1) % len(g)].lower())
+        terms = "|".join(re.escape(t) for t in sorted(self.next, key=len, reverse=True))
+        self.pattern = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])(" + terms + r")(?![0-9A-Za-z\x80-\U0010ffff])", re.I) if terms else None
+
+    def found(self, text: str | None) -> bool:
+        return bool(text and self.pattern and self.pattern.search(text))
+
+    def swapped(self, text: str) -> str:
+        return self.pattern.sub(lambda m: self.next.get(m[0].lower(), m[0]), text) if self.pattern else text
+
+
+def swapped(text: str, groups: list[list[str]] | None = None) -> str:
+    return Swaps(IDENTITY if groups is None else groups).swapped(text)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +178,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_kept: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_kept: int = FEATURES, identity: list[list[str]] | None = None, penalty: float = PENALTY) -> Model:
+    """The model of the labelled rows that aren't held out.  Runs jobs."""
+    swaps = Swaps(IDENTITY if identity is None else identity)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     count = known.count()
     if count > sample:
@@ -172,16 +209,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_kep
     odds = F.log(rate / (1 - rate)) - float(np.log((pos + 0.5) / (n - pos + 0.5)))
     strong = F.abs(odds) * F.sqrt(F.least(F.col("n"), n - F.col("n") + 1.0) * rate * (1 - rate) + 0.25 * F.log1p(F.col("pos")))
     chosen = counts.select("f", strong.alias("s")).orderBy(F.col("s").desc(), "f").limit(features_kept).collect()
-    identity = _of_texts(sorted(_NEXT))[1].view(np.int64)
-    model = Model(np.unique(np.r_[np.array([r.f for r in chosen], np.int64), identity].view(np.uint64)), np.zeros(0), 0.0)
+    terms = _of_texts(sorted(swaps.next))[1].view(np.int64)
+    model = Model(np.unique(np.r_[np.array([r.f for r in chosen], np.int64), terms].view(np.uint64)), np.zeros(0), 0.0)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
             n = batch.num_rows
             doc, at = model.select(*features(*text_bytes(batch.column(0))))
             texts = batch.column(0).to_pylist()
-            other = [i for i, t in enumerate(texts) if t and _TERM.search(t)]
-            doc2, at2 = model.select(*_of_texts([swapped(texts[i]) for i in other])) if other else (doc[:0], at[:0])
+            other = [i for i, t in enumerate(texts) if swaps.found(t)]
+            doc2, at2 = model.select(*_of_texts([swaps.swapped(texts[i]) for i in other])) if other else (doc[:0], at[:0])
             split = lambda d, a, k: np.split(a, np.searchsorted(d, np.arange(1, k))) if k else []
             own, alt = split(doc, at, n), dict(zip(other, split(doc2, at2, len(other)), strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -192,10 +229,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_kep
     coded.sort(key=lambda r: (r.y, r.own))
     own = [np.array(r.own, np.int64) for r in coded]
     pairs = [(a, np.array(r.alt, np.int64)) for a, r in zip(own, coded, strict=True) if r.alt is not None]
-    w, bias = fit(own, np.array([r.y for r in coded], float), pairs, len(model.ids))
+    w, bias = fit(own, np.array([r.y for r in coded], float), pairs, len(model.ids), penalty)
     return Model(model.ids, w, bias)
 
 
+def gaps(docs: DataFrame, model: Model, identity: list[list[str]] | None = None) -> DataFrame:
+    """doc_id, score and swapped_score of the rows that have an identity term."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    swaps = Swaps(IDENTITY if identity is None else identity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            texts = batch.column(1).to_pylist()
+            some = [i for i, t in enumerate(texts) if swaps.found(t)]
+            own = [model.score(*text_bytes(pa.array(x, pa.string()))) for x in ([texts[i] for i in some], [swaps.swapped(texts[i]) for i in some])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), *map(pa.array, own)], names=["doc_id", "score", "swapped_score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, swapped_score double")
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     model = train(docs, labels)
