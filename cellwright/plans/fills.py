@@ -31,31 +31,33 @@ def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | Non
     return ranged.join(F.broadcast(starts), "__pid").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__pid", "__at", "__n", "__before")
 
 
-def last_at_or_before(queries: DataFrame, key: str, steps: DataFrame, at: str, value: str, name: str) -> DataFrame:
+def last_at_or_before(queries: DataFrame, key: str, steps: DataFrame, at: str, value: str, name: str, falling: bool = False) -> DataFrame:
     """``queries`` with, as ``name``, the ``value`` of the last step whose ``at`` is not above ``key`` (an as-of join).
 
     Both sides are dealt to ranges of the key together; what a range begins with comes from the ranges before it.
+    ``falling``: of the last step, downwards, whose ``at`` is not below ``key``.
     """
     kind = steps.schema[value].dataType
     rows = queries.select(F.col(key).alias("__k"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__v"), F.struct("*").alias("__row"))
     marks = steps.select(F.col(at).alias("__k"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
-    ranged = rows.unionByName(marks).repartitionByRange("__k")
-    ranged = _kept(ranged, "fills-steps")
-    here = F.last("__v", ignorenulls=True).over(Window.partitionBy("__pid").orderBy("__k", "__side").rowsBetween(Window.unboundedPreceding, 0))
-    ends = ranged.groupBy("__pid").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__k"))).alias("__end"))
+    order = F.col("__k").desc() if falling else F.col("__k").asc()
+    ranged = _kept(rows.unionByName(marks).repartitionByRange(order), "fills-steps")
+    here = F.last("__v", ignorenulls=True).over(Window.partitionBy("__pid").orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranged.groupBy("__pid").agg((F.min_by if falling else F.max_by)("__v", F.when(F.col("__side") == 0, F.col("__k"))).alias("__end"))
     # one row per partition
     before = ends.select("__pid", F.last("__end", ignorenulls=True).over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     out = ranged.withColumn("__here", here).join(F.broadcast(before), "__pid").where("__side = 1")
     return out.select("__row.*", F.coalesce("__here", "__before").alias(name))
 
 
-def running_max(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """``df`` with the maximum of ``value`` over the rows up to each by ``order``, range by range."""
-    ranged = _kept(df.repartitionByRange(order), "fills-max")
-    here = F.max(value).over(Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    ends = ranged.groupBy("__pid").agg(F.max(value).alias("__end"))
-    before = ends.select("__pid", F.max("__end").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    return ranged.withColumn(name, here).join(F.broadcast(before), "__pid").withColumn(name, F.greatest(name, "__before")).drop("__pid", "__before")
+def running_extreme(df: DataFrame, order: list[str], value: str, name: str, least: bool = False) -> DataFrame:
+    """``df`` with the maximum (or minimum) of ``value`` over the rows up to each by ``order``, range by range."""
+    of, both = (F.min, F.least) if least else (F.max, F.greatest)
+    ranged = _kept(df.repartitionByRange(*order), "fills-extremes")
+    here = of(value).over(Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranged.groupBy("__pid").agg(of(value).alias("__end"))
+    before = ends.select("__pid", of("__end").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    return ranged.withColumn(name, here).join(F.broadcast(before), "__pid").withColumn(name, both(name, "__before")).drop("__pid", "__before")
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, name: str, by: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ Large delimited text goes through Spark's own splitting reader and is typed by e
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from ..errors import WorkbookError
 from ..functions.refs import format_cell
 from .detect import detect, open_workbook
 from .model import Cell
+from .theme import resolve_color
 
 CELLS = "path string, sheet string, sheet_index int, row int, col int, ref string, type string, n double, s string, b boolean, err string, t timestamp_ntz, formula string, style int, format string"
 META = "path string, sheet string, sheet_index int, kind string, ref string, data string"
@@ -47,27 +49,29 @@ def _lanes(c: Cell) -> list:
     return out
 
 
-def read_cells(files_: DataFrame, sheet: str | None = None, strict: bool = True) -> DataFrame:
-    """The cells of workbooks (path, content).  ``sheet`` picks one by name; files that can't be read fail, or are left out if not ``strict``."""
+def _batches(path: str, content: bytes, sheet: str | None) -> Iterator[pa.RecordBatch]:
     names = [f.split(" ")[0] for f in CELLS.split(", ")]
+    book = open_workbook(content, sheet, metadata=False)
+    for i, s in enumerate(book.sheets):
+        for some in itertools.batched(s.cells, _BATCH):
+            rows = [(path, s.name, i, c.row, c.col, format_cell(c.col, c.row), c.type, *_lanes(c), c.formula, c.style, book.formats[c.style] if c.style is not None and c.style < len(book.formats) else None) for c in some]
+            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=names)
+
+
+def read_cells(files_: DataFrame, sheet: str | None = None, strict: bool = True) -> DataFrame:
+    """The cells of workbooks (path, content), at most ``_BATCH`` at a time.
+
+    ``sheet`` picks one by name; files that can't be read fail, or are left out if not ``strict`` (from where they can't be read).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    book = open_workbook(content, sheet)
+                    yield from _batches(path, content, sheet)
                 except WorkbookError:
                     if strict:
                         raise
-                    continue
-                for i, s in enumerate(book.sheets):
-                    cells = list(s.cells)
-                    for k in range(0, len(cells), _BATCH):
-                        rows = [
-                            (path, s.name, i, c.row, c.col, format_cell(c.col, c.row), c.type, *_lanes(c), c.formula, c.style, book.formats[c.style] if c.style is not None and c.style < len(book.formats) else None)
-                            for c in cells[k : k + _BATCH]
-                        ]
-                        yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=names)
 
     return files_.select("path", "content").mapInArrow(run, CELLS)
 
@@ -97,6 +101,25 @@ def read_metadata(files_: DataFrame) -> DataFrame:
     return files_.select("path", "content").mapInArrow(run, META)
 
 
+def with_colors(cells: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``cells`` with font_color and fill_color as ARGB, by the styles and theme of their workbook; null where none is given or known."""
+    style = "array<struct<style:int,font_color:string,fill_color:string>>"
+
+    def run(styles: str | None, theme: str | None) -> list[tuple]:
+        colors = (json.loads(theme) if theme else {}).get("colors")
+        out = []
+        for i, s in enumerate(json.loads(styles or "[]")):
+            fill = s.get("fill")
+            out.append((i, resolve_color(s.get("color"), colors), resolve_color(fill.get("fore") if isinstance(fill, dict) and "pattern" in fill else fill, colors)))
+        return out
+
+    # a row per workbook
+    own = metadata.where("kind IN ('styles', 'theme')").groupBy("path").agg(F.to_json(F.collect_list(F.when(F.col("kind") == "styles", F.col("data")))).alias("styles"), F.first(F.when(F.col("kind") == "theme", F.col("data")), ignorenulls=True).alias("theme"))
+    listed = F.udf(lambda styles, theme: run("[" + ",".join(json.loads(styles)) + "]", theme), style)
+    table = own.select("path", F.explode(listed("styles", "theme")).alias("x")).select("path", "x.*")
+    return cells.join(table, ["path", "style"], "left")
+
+
 def names_of(metadata: DataFrame) -> DataFrame:
     """Defined names as the evaluator takes them."""
     d = F.from_json("data", "name string, refers_to string, sheet_index int")

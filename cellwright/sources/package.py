@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import re
 import struct
@@ -89,52 +90,125 @@ def local(name: str) -> str:
     return name.rpartition(":")[2]
 
 
+def _last_tag(held: bytes, upto: int) -> tuple[int, int]:
+    """Where the last whole tag before ``upto`` begins and ends."""
+    at = upto
+    while (at := held.rfind(b"<", 0, at)) >= 0:
+        m = _PIECE.match(held, at)
+        if m is not None and m[3] is not None and m.end() <= upto:
+            return at, m.end()
+    return 0, 0
+
+
 def parse_events(chunks: Iterator[bytes], open_: Callable, close: Callable, text: Callable) -> None:
-    """Calls back for each element and text.  Entities are never expanded.  What expat rejects is read on by a tolerant scan."""
+    for _ in parse_steps(chunks, open_, close, text):
+        pass
+
+
+def parse_steps(chunks: Iterator[bytes], open_: Callable, close: Callable, text: Callable) -> Iterator[None]:
+    """Calls back for each element and text; a step for each chunk, so that a caller can stop.  Entities are never expanded.
+
+    Where expat rejects what follows, a tolerant scan goes on after the last tag, without the characters that have been told since.
+    """
     parser = expat.ParserCreate()
-    parser.buffer_text, parser.buffer_size = True, 1 << 16
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = open_, close, text
-    parser.EntityDeclHandler = lambda *a: (_ for _ in ()).throw(WorkbookError("unsupported", "entity declarations"))
-    given: list[bytes] = []
-    opened = [0]
+    parser.buffer_text, parser.buffer_size = True, 1 << 18  # more than the text of a cell can have
+    told: list[tuple[int, int]] = []  # places and lengths of texts since the last tag of the chunk before
 
-    def count(name: str, attributes: dict[str, str]) -> None:
-        opened[0] += 1
-        open_(name, attributes)
+    def tell(s: str) -> None:
+        told.append((parser.CurrentByteIndex, len(s)))
+        text(s)
 
-    parser.StartElementHandler = count
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = open_, close, tell
+    parser.EntityDeclHandler = lambda *a: (_ for _ in ()).throw(WorkbookError("unsupported", "entity declarations"))
+    chunks = iter(chunks)
+    held, before, utf8 = b"", 0, None  # bytes from the last tag on, and how many came before them
     try:
         for chunk in chunks:
-            if not opened[0]:
-                given.append(chunk)  # kept only until the first element
+            if utf8 is None:  # without a mark or a declaration, it is
+                utf8 = not re.search(rb"encoding=[\"'](?!utf-?8|us-ascii)", chunk[:200], re.I) and not chunk.startswith((b"\xff\xfe", b"\xfe\xff", b"<\0", b"\0<"))
+            start, end = _last_tag(held, max(0, parser.CurrentByteIndex - before))
+            told[:] = [t for t in told if t[0] >= before + end]
+            held, before = held[start:] + chunk, before + start
             parser.Parse(chunk, False)
+            yield
         parser.Parse(b"", True)
     except expat.ExpatError:
-        # what came before stays; the rest is malformed.  A part without any element yet is scanned from its start.
-        if not opened[0]:
-            for kind, value, attributes in scan(b"".join([*given, *chunks])):
-                {"open": lambda v, a: open_(v, a), "close": lambda v, _: close(v), "text": lambda v, _: text(v)}[kind](value, attributes)
-
-
-_SCAN = re.compile(rb"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<\?.*?\?>|<!.*?>|<(/?)([^\s/>]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|([^<]+)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-
-
-def scan(data: bytes) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """A scanner that never fails: (open, name, attributes), (close, name, {}), (text, value, {})."""
-    for m in _SCAN.finditer(data):
-        if m[3] is not None:
-            name = m[3].decode("utf-8", "replace")
-            if m[2]:
-                yield "close", name, {}
+        if not utf8:
+            raise WorkbookError("corrupt-xml", "malformed XML that is not in UTF-8") from None
+        end = _last_tag(held, parser.ErrorByteIndex - before)[1]
+        known = sum(n for at, n in told if at >= before + end)
+        for kind, value, attributes in scan(itertools.chain([held[end:]], chunks)):
+            if kind != "text":
+                known = 0
+                open_(value, attributes) if kind == "open" else close(value)
+            elif len(value) > known:
+                text(value[known:])
+                known = 0
+            else:
+                known -= len(value)
+            yield
+
+
+#: One piece of malformed XML at a time, none of them cut by the end of a buffer: comment, CDATA, instruction, declaration, tag.
+_PIECE = re.compile(rb"<!--(?:.*?)-->|<!\[CDATA\[(.*?)\]\]>|<\?.*?\?>|<![^>]*>|<(/?)([^\s/>=<][^\s/><]*)((?:[^>\"'<]|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>/]+))")
+_MOST_HELD = 1 << 24
+
+
+def _settled(held: bytes, at: int) -> int:
+    """The end of text that no reference or character goes on beyond."""
+    end = len(held)
+    start = held.rfind(b"&", max(at, end - 12))
+    end = start if start >= 0 else end
+    lead = end
+    while lead > max(at, end - 3) and held[lead - 1] & 0xC0 == 0x80:
+        lead -= 1
+    return lead - 1 if lead > at and held[lead - 1] >= 0xC0 else end
+
+
+def scan(chunks: Iterator[bytes]) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """A scanner that never fails: (open, name, attributes), (close, name, {}), (text, value, {}).
+
+    A ``<`` that begins nothing is text, and so is an ``&`` that is no reference.
+    """
+    held, more = b"", True
+    chunks = iter(chunks)
+    while more:
+        chunk = next(chunks, None)
+        more = chunk is not None
+        held += chunk or b""
+        at = 0
+        while at < len(held):
+            if held[at : at + 1] != b"<":
+                end = held.find(b"<", at)
+                last = end < 0
+                if last:
+                    end = _settled(held, at) if more else len(held)
+                if end > at:
+                    yield "text", unescape(held[at:end].decode("utf-8", "replace")), {}
+                at = end
+                if last:
+                    break
+                continue
+            m = _PIECE.match(held, at)
+            if m is None:
+                if more and len(held) - at < _MOST_HELD and b">" not in held[at : at + 4096]:
+                    break  # the piece may end in a later chunk
+                yield "text", "<", {}
+                at += 1
                 continue
-            yield "open", name, {k: unescape(a or b) for k, a, b in _ATTRIBUTE.findall(m[4].decode("utf-8", "replace"))}
-            if m[5]:
-                yield "close", name, {}
-        elif m[1] is not None:
-            yield "text", m[1].decode("utf-8", "replace"), {}
-        elif m[6] is not None:
-            yield "text", unescape(m[6].decode("utf-8", "replace")), {}
+            at = m.end()
+            if m[3] is not None:
+                name = m[3].decode("utf-8", "replace")
+                if m[2]:
+                    yield "close", name, {}
+                    continue
+                yield "open", name, {k: unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[4].decode("utf-8", "replace"))}
+                if m[5]:
+                    yield "close", name, {}
+            elif m[1] is not None:
+                yield "text", m[1].decode("utf-8", "replace"), {}
+        held = held[at:]
 
 
 class Element:
@@ -188,9 +262,11 @@ class Builder:
         self.stack[-1].children.append(e)
         self.stack.append(e)
 
-    def close(self, _: str) -> None:
-        if len(self.stack) > 1:
-            self.stack.pop()
+    def close(self, name: str) -> None:
+        # in malformed XML, a close ends the innermost element of that name, and none if there isn't one
+        depth = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].name == local(name)), 0)
+        if depth:
+            del self.stack[depth:]
 
     def data(self, s: str) -> None:
         self.stack[-1].text += s

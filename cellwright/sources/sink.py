@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +65,28 @@ def cells_of_table(df: DataFrame, order: list[str], path: str, sheet: str = "She
     return out.select(F.format_string(path.replace("%", "%%").replace("{part}", "%05d"), "__part").alias("path") if "{part}" in path else F.lit(path).alias("path"), F.lit(sheet).alias("sheet"), F.lit(0).alias("sheet_index"), "row", "c.*", F.lit(None).cast("string").alias("formula"))
 
 
+def _write_local(path: str, content: bytes) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(part, "wb") as f:
+        f.write(content)
+    os.replace(part, path)  # a task that runs again leaves one whole file
+
+
 def save(rendered: DataFrame, spark: SparkSession) -> None:
-    """Writes (path, content) through Spark's file systems, a file at a time."""
+    """Writes (path, content).  Each task writes its own files where paths are files; other stores go through Spark's file systems, a file at a time."""
+    schemes = {r.s for r in rendered.select(F.regexp_extract("path", "^([A-Za-z][A-Za-z0-9+.-]*):", 1).alias("s")).distinct().collect()}
+    if schemes <= {"", "file"}:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                paths = b.column(0).to_pylist()
+                for path, content in zip(paths, b.column(1).to_pylist(), strict=True):
+                    _write_local(url2pathname(urlsplit(path).path) if path.startswith("file:") else path, content)
+                yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
+
+        rendered.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+        return
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for r in rendered.toLocalIterator():
         target = jvm.org.apache.hadoop.fs.Path(r.path)

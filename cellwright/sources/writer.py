@@ -23,6 +23,12 @@ HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 #: Enumerations of the format.
 VALIDATION_TYPES = ("none", "whole", "decimal", "list", "date", "time", "textLength", "custom")
 VALIDATION_OPERATORS = ("between", "notBetween", "equal", "notEqual", "lessThan", "lessThanOrEqual", "greaterThan", "greaterThanOrEqual")
+UNDERLINES = ("single", "double", "singleAccounting", "doubleAccounting")
+LINES = ("thin", "medium", "thick", "dashed", "dotted", "double", "hair", "mediumDashed", "dashDot", "mediumDashDot", "dashDotDot", "mediumDashDotDot", "slantDashDot")
+PATTERNS = (
+    *("none", "solid", "mediumGray", "darkGray", "lightGray", "darkHorizontal", "darkVertical", "darkDown", "darkUp", "darkGrid", "darkTrellis"),
+    *("lightHorizontal", "lightVertical", "lightDown", "lightUp", "lightGrid", "lightTrellis", "gray125", "gray0625"),
+)
 MEDIA = {"png": "image/png", "jpeg": "image/jpeg", "jpg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp"}
 
 
@@ -55,10 +61,12 @@ class SheetInput:
 class WorkbookInput:
     sheets: list[SheetInput]
     names: list[dict] = field(default_factory=list)  # name, refers_to, sheet_index, hidden
-    #: Styles by number: dictionaries with format, bold, italic, color, fill, border, align, wrap.
+    #: Styles by number: dictionaries with format; bold, italic, strike, underline, color, font, size; fill; border; align, valign, wrap,
+    #: shrink, indent, rotation; locked, hidden.
     styles: list[dict] = field(default_factory=list)
     protection: dict | None = None
     date1904: bool = False
+    theme: str | None = None  # the theme part as it was read
 
 
 def fail(message: str) -> None:
@@ -95,6 +103,38 @@ def text_tag(name: str, s: str, a: dict | None = None) -> str:
 # --- styles ---------------------------------------------------------------------------------------
 
 
+def _color(name: str, c: str | dict | None) -> str:
+    if not c:
+        return ""
+    c = {"rgb": c} if isinstance(c, str) else c
+    need(len(set(c) & {"rgb", "theme", "indexed", "auto"}) == 1 and set(c) <= {"rgb", "theme", "tint", "indexed", "auto"}, f"not a colour: {c!r}")
+    if "rgb" in c:
+        need(bool(re.fullmatch("[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8}", c["rgb"])), f"not a colour: {c!r}")
+    need(c.get("theme") is None or 0 <= c["theme"] < 12, f"no colour of a theme: {c!r}")
+    need(c.get("tint") is None or -1 <= c["tint"] <= 1, f"not a tint: {c!r}")
+    return tag(name, c)
+
+
+def _fill(f: str | dict | None) -> str:
+    """A colour is a solid fill; else pattern, fore and back."""
+    if not f:
+        return ""
+    if isinstance(f, str) or "pattern" not in f:
+        f = {"pattern": "solid", "fore": f}
+    need(f["pattern"] in PATTERNS, f"not a pattern: {f['pattern']!r}")
+    return f"<fill>{tag('patternFill', {'patternType': f['pattern']}, _color('fgColor', f.get('fore')) + _color('bgColor', f.get('back')))}</fill>"
+
+
+def _border(b: str | dict | None) -> str:
+    """One line for all sides, or style and colour by side."""
+    if not b:
+        return ""
+    sides = dict.fromkeys(("left", "right", "top", "bottom"), {"style": b}) if isinstance(b, str) else b
+    need(set(sides) <= {"left", "right", "top", "bottom"} and all(e.get("style") in LINES for e in sides.values()), f"not a border: {b!r}")
+    edge = lambda side: tag(side, {"style": sides[side]["style"]}, _color("color", sides[side].get("color"))) if side in sides else f"<{side}/>"
+    return f"<border>{edge('left')}{edge('right')}{edge('top')}{edge('bottom')}<diagonal/></border>"
+
+
 class Styles:
     """Interns fonts, fills, borders, formats, cell styles and differential styles; index 0 is the default."""
 
@@ -113,12 +153,11 @@ class Styles:
         return table.setdefault(xml, start + len(table))
 
     def _parts(self, s: dict) -> tuple[str, str, str]:
-        font = "".join(f"<{t}/>" for t, k in (("b", "bold"), ("i", "italic"), ("u", "underline")) if s.get(k))
-        colour = tag("color", {"rgb": s["color"]}) if s.get("color") else ""
-        fill = f'<fill><patternFill patternType="solid">{tag("fgColor", {"rgb": s["fill"]})}</patternFill></fill>' if s.get("fill") else ""
-        line = lambda side: tag(side, {"style": s["border"]}) if s.get("border") else f"<{side}/>"
-        border = f"<border>{line('left')}{line('right')}{line('top')}{line('bottom')}<diagonal/></border>" if s.get("border") else ""
-        return (font + colour), fill, border
+        font = "".join(f"<{t}/>" for t, k in (("b", "bold"), ("i", "italic"), ("strike", "strike")) if s.get(k))
+        line = s.get("underline")
+        need(line in (None, False, True, *UNDERLINES), f"not an underline: {line!r}")
+        font += "" if not line else "<u/>" if line in (True, "single") else tag("u", {"val": line})
+        return font + _color("color", s.get("color")), _fill(s.get("fill")), _border(s.get("border"))
 
     def format_id(self, code: str | None) -> int:
         from .model import BUILTIN_FORMATS
@@ -133,9 +172,12 @@ class Styles:
         f = self._id(self.fonts, f'<font>{font}<sz val="{number(float(s.get("size", 11)))}"/><name val={quoteattr(s.get("font", "Calibri"))}/></font>') if font or "size" in s or "font" in s else 0
         xf = {"numFmtId": self.format_id(s.get("format")), "fontId": f, "fillId": self._id(self.fills, fill) if fill else 0, "borderId": self._id(self.borders, border) if border else 0, "xfId": 0}
         xf |= {k: 1 for k, v in (("applyNumberFormat", xf["numFmtId"]), ("applyFont", f), ("applyFill", xf["fillId"]), ("applyBorder", xf["borderId"])) if v}
-        align = {"horizontal": s.get("align"), "vertical": s.get("valign"), "wrapText": True if s.get("wrap") else None}
-        body = tag("alignment", align) if any(v is not None for v in align.values()) else ""
-        return self._id(self.xfs, tag("xf", xf | ({"applyAlignment": 1} if body else {}), body))
+        align = {"horizontal": s.get("align"), "vertical": s.get("valign"), "textRotation": s.get("rotation"), "wrapText": s.get("wrap"), "indent": s.get("indent"), "shrinkToFit": s.get("shrink")}
+        need(0 <= (s.get("rotation") or 0) <= 180 or s.get("rotation") == 255, "a rotation is 0 to 180, or 255")
+        align = {k: v for k, v in align.items() if v}
+        lock = {k: s[k] for k in ("locked", "hidden") if s.get(k) is not None}
+        body = (tag("alignment", align) if align else "") + (tag("protection", lock) if lock else "")
+        return self._id(self.xfs, tag("xf", xf | ({"applyAlignment": 1} if align else {}) | ({"applyProtection": 1} if lock else {}), body))
 
     def difference(self, s: dict) -> int:
         if "xml" in s:
@@ -465,7 +507,10 @@ def workbook_parts(book: WorkbookInput) -> Iterator[tuple[str, str | bytes]]:
         "xl/workbook.xml",
         f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{REL}">{tag("workbookPr", {"date1904": True if book.date1904 else None})}{tag("workbookProtection", book.protection) if book.protection is not None else ""}<sheets>{sheets}</sheets>{f"<definedNames>{defined}</definedNames>" if defined else ""}</workbook>',
     )
-    yield "xl/_rels/workbook.xml.rels", _relations([*[("worksheet", f"worksheets/sheet{i}.xml", False) for i in range(1, n + 1)], ("styles", "styles.xml", False)])
+    yield "xl/_rels/workbook.xml.rels", _relations([*[("worksheet", f"worksheets/sheet{i}.xml", False) for i in range(1, n + 1)], ("styles", "styles.xml", False), *([("theme", "theme/theme1.xml", False)] if book.theme else [])])
+    if book.theme:
+        yield "xl/theme/theme1.xml", book.theme
+        parts.types["/xl/theme/theme1.xml"] = "application/vnd.openxmlformats-officedocument.theme+xml"
     yield "_rels/.rels", _relations([("officeDocument", "xl/workbook.xml", False)])
     types = {"/xl/workbook.xml": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml", "/xl/styles.xml": "application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"} | parts.types
     defaults = {"rels": "application/vnd.openxmlformats-package.relationships+xml", "xml": "application/xml"} | {e: "application/vnd.openxmlformats-officedocument.vmlDrawing" if e == "vml" else MEDIA[e] for e in sorted(parts.extensions)}
@@ -519,7 +564,7 @@ def from_workbook(book: Workbook) -> WorkbookInput:
             copy.conditional.append(rule | ({"style": {"xml": dxfs[int(dxf)]}} if dxf is not None and int(dxf) < len(dxfs) else {}))
         sheets.append(copy)
     names = {(n["sheet_index"], n["name"].upper()): n for n in book.names if not n["name"].startswith("_xlnm._FilterDatabase")}
-    return WorkbookInput(sheets, list(names.values()), book.meta.get("styles") or [{"format": f} if f else {} for f in book.formats], protection=next(iter(book.meta.get("protection", [])), None), date1904=bool(book.meta.get("date1904", [False])[0]))
+    return WorkbookInput(sheets, list(names.values()), book.meta.get("styles") or [{"format": f} if f else {} for f in book.formats], protection=next(iter(book.meta.get("protection", [])), None), date1904=bool(book.meta.get("date1904", [False])[0]), theme=next((t["xml"] for t in book.meta.get("theme", [])), None))
 
 
 def _by_row(cells: list[Cell]) -> Iterator[tuple[int, list[Cell]]]:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Iterator
 
 from ..errors import WorkbookError
 from ..functions.refs import MAX_COL, MAX_ROW, column_letters, column_number, format_cell, parse_cell
 from ..plans.syntax import translate
 from .model import Cell, Sheet, Workbook, format_of, number_cell
-from .package import Builder, Element, Package, local, parse_events, tree, unescape_text
+from .package import Builder, Element, Package, local, parse_events, parse_steps, tree, unescape_text
+from .theme import theme_colors
 
 #: Parts of a sheet that are notes of one kind each: element, kind, attribute that holds the reference.
 _NOTES = {
@@ -36,7 +38,7 @@ class _Sheet:
         self.strings, self.dates, self.date1904 = strings, dates, date1904
         self.rest, self.cells = Builder(), []
         self.row, self.col, self.depth = 0, 0, 0
-        self.inside, self.cell, self.taking = False, None, None
+        self.inside, self.cell, self.taking, self.done = False, None, None, False
         self.column_styles: list[tuple[int, int, int]] = []
         self.row_style: int | None = None
         self.rows: list[tuple[int, dict[str, str]]] = []
@@ -80,7 +82,7 @@ class _Sheet:
         if not self.inside:
             self.rest.close(name)
         elif name == "sheetData":
-            self.inside = False
+            self.inside, self.done = False, True
         elif name == "c" and self.cell is not None:
             if self.row <= MAX_ROW and self.col <= MAX_COL:
                 self.cells.append(self.decode(self.cell))
@@ -155,31 +157,80 @@ def _int(s: str | None, otherwise: int) -> int:
         return otherwise
 
 
+def color_data(e: Element | None) -> str | dict | None:
+    """ARGB where it is given, else theme number and tint, index, or automatic."""
+    if e is None:
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8}", e.get("rgb", "")):
+        return e.get("rgb")
+    if e.get("theme", "").isdigit():
+        try:
+            tint = float(e.get("tint", "0"))
+        except ValueError:
+            tint = 0.0
+        return {"theme": int(e.get("theme")), **({"tint": tint} if tint else {})}
+    if e.get("indexed", "").isdigit():
+        return {"indexed": int(e.get("indexed"))}
+    return {"auto": True} if e.get("auto") in ("1", "true") else None
+
+
+def _font_data(font: Element) -> dict:
+    out: dict = {}
+    on = lambda e: e is not None and e.get("val") not in ("0", "false", "none")
+    for t, k in (("b", "bold"), ("i", "italic"), ("strike", "strike")):
+        if on(font.first(t)):
+            out[k] = True
+    if on(font.first("u")):
+        out["underline"] = {None: True, "single": True}.get(font.first("u").get("val"), font.first("u").get("val"))
+    color = color_data(font.first("color"))
+    if color:
+        out["color"] = color
+    for t, k in (("name", "font"), ("sz", "size")):
+        v = font.first(t).get("val") if font.first(t) is not None else None
+        if v:
+            out[k] = float(v) if k == "size" else v
+    return out
+
+
+def _fill_data(pattern: Element | None) -> str | dict | None:
+    """A solid fill's colour, or pattern and colours."""
+    kind = pattern.get("patternType", "none") if pattern is not None else "none"
+    if kind == "none":
+        return None
+    fore, back = color_data(pattern.first("fgColor")), color_data(pattern.first("bgColor"))
+    if kind == "solid" and fore and not isinstance(back, str):
+        return fore
+    return {k: v for k, v in (("pattern", kind), ("fore", fore), ("back", back)) if v}
+
+
+def _border_data(border: Element) -> str | dict | None:
+    """The one line of all four sides, or line and colour by side."""
+    sides = {c.name: {k: v for k, v in (("style", c.get("style")), ("color", color_data(c.first("color")))) if v} for c in border.children if c.get("style") and c.get("style") != "none"}
+    sides = {k: v for k, v in sides.items() if k in ("left", "right", "top", "bottom")}
+    if not sides:
+        return None
+    lines = {v["style"] for v in sides.values()}
+    return lines.pop() if len(sides) == 4 and len(lines) == 1 and not any("color" in v for v in sides.values()) else sides
+
+
 def style_data(root: Element, formats: list[str | None]) -> list[dict]:
-    """Cell styles as the writer takes them: format, font, fill, border and alignment."""
+    """Cell styles as the writer takes them: format, font, fill, border, alignment and protection."""
     group = lambda name: next((e.children for e in root.all(name)), [])
     fonts, fills, borders = group("fonts"), group("fills"), group("borders")
     out = []
     for xf, code in zip(group("cellXfs"), formats, strict=False):
         s: dict = {"format": code} if code else {}
         pick = lambda table, key, xf=xf: table[_int(xf.get(key), 0)] if 0 <= _int(xf.get(key), 0) < len(table) else None
-        font, fill, border, align = pick(fonts, "fontId"), pick(fills, "fillId"), pick(borders, "borderId"), xf.first("alignment")
+        font, fill, border, align, lock = pick(fonts, "fontId"), pick(fills, "fillId"), pick(borders, "borderId"), xf.first("alignment"), xf.first("protection")
         if font is not None and _int(xf.get("fontId"), 0):
-            s |= {k: True for t, k in (("b", "bold"), ("i", "italic"), ("u", "underline")) if font.first(t) is not None and font.first(t).get("val") not in ("0", "false", "none")}
-            for t, k, of in (("color", "color", "rgb"), ("name", "font", "val"), ("sz", "size", "val")):
-                v = font.first(t).get(of) if font.first(t) is not None else None
-                if v:
-                    s[k] = float(v) if k == "size" else v
-        pattern = fill.first("patternFill") if fill is not None else None
-        if pattern is not None and pattern.get("patternType") == "solid" and pattern.first("fgColor") is not None and pattern.first("fgColor").get("rgb"):
-            s["fill"] = pattern.first("fgColor").get("rgb")
-        line = next((c.get("style") for c in border.children if c.get("style")), None) if border is not None else None
-        if line:
-            s["border"] = line
+            s |= _font_data(font)
+        s |= {k: v for k, v in (("fill", _fill_data(fill.first("patternFill")) if fill is not None and _int(xf.get("fillId"), 0) > 1 else None), ("border", _border_data(border) if border is not None else None)) if v}
         if align is not None:
             s |= {k: align.get(a) for a, k in (("horizontal", "align"), ("vertical", "valign")) if align.get(a)}
-            if align.get("wrapText") in ("1", "true"):
-                s["wrap"] = True
+            s |= {k: _int(align.get(a), 0) for a, k in (("textRotation", "rotation"), ("indent", "indent")) if _int(align.get(a), 0)}
+            s |= {k: True for a, k in (("wrapText", "wrap"), ("shrinkToFit", "shrink")) if align.get(a) in ("1", "true")}
+        if lock is not None:
+            s |= {k: lock.get(k) in ("1", "true") for k in ("locked", "hidden") if lock.get(k) is not None}
         out.append(s)
     return out
 
@@ -214,13 +265,19 @@ def open_xlsx(data: bytes, only: str | None = None, metadata: bool = True, **gua
         {"name": e.get("name", ""), "refers_to": e.text, "sheet_index": _int(e.get("localSheetId"), -1) if e.get("localSheetId") else None, "hidden": e.get("hidden") in ("1", "true")} for e in book.all("definedName")
     ]
     out = Workbook("xlsx", [], names, formats, {"styles": styles, "dxfs": [e.xml() for d in sheet_styles.all("dxfs") for e in d.children], "protection": [e.data() for e in book.children if e.name == "workbookProtection"], "date1904": [date1904]})
+    if part.get("theme") in package:
+        raw = package.read(part["theme"])
+        out.meta["theme"] = [{"colors": theme_colors(tree(iter([raw]))), "xml": raw.decode("utf-8", "replace")}]
     for e in book.all("sheet"):
         kind, target, _ = relations.get(e.get("id", ""), ("", "", False))
         state = e.get("state", "visible")
         sheet = Sheet(e.get("name", ""), state if state in ("hidden", "veryHidden") else "visible", target)
         out.sheets.append(sheet)
         if kind == "worksheet" and target in package and only in (None, sheet.name):
-            _read_sheet(package, sheet, strings, dates, date1904, metadata)
+            if metadata:
+                _read_sheet(package, sheet, strings, dates, date1904)
+            else:
+                sheet.cells = _Cells(package, target, strings, dates, date1904)
     if only is not None:
         out.sheet(only)
     return out
@@ -233,12 +290,26 @@ def _items(package: Package, part: str | None) -> list[Element]:
     return [e for e in sst.children if e.name == "si"] if sst else []
 
 
-def _read_sheet(package: Package, sheet: Sheet, strings: list[str], dates: list[bool], date1904: bool, metadata: bool) -> None:
+class _Cells:
+    """A sheet's cells as its part is parsed, chunk by chunk, anew with each iteration."""
+
+    def __init__(self, package: Package, part: str, *context: object) -> None:
+        self.package, self.part, self.context = package, part, context
+
+    def __iter__(self) -> Iterator[Cell]:
+        reader = _Sheet(*self.context)
+        for _ in parse_steps(self.package.chunks(self.part), reader.open, reader.close, reader.text):
+            yield from reader.cells
+            reader.cells.clear()
+            if reader.done:
+                return
+        yield from reader.cells
+
+
+def _read_sheet(package: Package, sheet: Sheet, strings: list[str], dates: list[bool], date1904: bool) -> None:
     reader = _Sheet(strings, dates, date1904)
     parse_events(package.chunks(sheet.part), reader.open, reader.close, reader.text)
     sheet.cells = reader.cells
-    if not metadata:
-        return
     root = reader.rest.root.first("worksheet") or reader.rest.root
     relations = package.relations(sheet.part)
     for row, a in reader.rows:
@@ -304,7 +375,7 @@ def _images(package: Package, sheet: Sheet, drawing: str) -> None:
 
 
 def stream_rows(data: bytes, sheet: str | None = None) -> Iterator[tuple[int, list[Cell]]]:
-    """Sparse rows of one sheet (the first, if none is named), without metadata."""
+    """Sparse rows of one sheet (the first, if none is named), as its part is inflated: who stops early reads no further."""
     book = open_xlsx(data, sheet, metadata=False)
     yield from book.rows(sheet if sheet is not None else book.sheets[0].name)
 

@@ -320,3 +320,65 @@ def test_streaming(spark, tmp_path):
     q = write_workbooks(spark.readStream.schema("id long").parquet(str(tmp_path / "rows")), ["id"], str(tmp_path / "out"), str(tmp_path / "c2"))
     q.awaitTermination()
     assert read_cells(files(spark, str(tmp_path / "out" / "*.xlsx"))).where("row > 1").count() == 5
+
+
+@pytest.mark.parametrize("size", [1 << 16, 7, 1])
+def test_malformed_sheets_are_read_on(monkeypatch, size):
+    from cellwright.sources import package
+
+    monkeypatch.setattr(package, "CHUNK", size)
+    rows = "".join(f'<row r="{i}"><c r="A{i}" t="str"><v>{v}</v></c></row>' for i, v in enumerate(["a", "b &amp; é", "c & d", "e < f", "g &#233; &nope; h", "<b>x</b>", "tail"], 1))
+    cells = open_xlsx(sheet_xml(rows)).sheets[0].cells
+    assert [c.value for c in cells] == ["a", "b & é", "c & d", "e < f", "g é &nope; h", "x", "tail"]
+    # a close that has no open, a tag without its end, attributes without quotes
+    odd = '<row r="1"><c r="A1"><v>1</v></c></wrong></row><row r=2><c r=A2><v>2</v></c></row><row r="3"><c r="A3" t="b"><v>1</v>'
+    assert [(c.row, c.value) for c in open_xlsx(sheet_xml(odd)).sheets[0].cells][:2] == [(1, 1.0), (2, 2.0)]
+    events = list(package.scan(iter([b"<a x='1&lt;' y=2 z><!-- <b> --><![CDATA[<&]]>t<c/></a> < & <d"])))
+    assert events == [("open", "a", {"x": "1<", "y": "2"}), ("text", "<&", {}), ("text", "t", {}), ("open", "c", {}), ("close", "c", {}), ("close", "a", {}), ("text", " ", {}), ("text", "<", {}), ("text", " & ", {}), ("text", "<", {}), ("text", "d", {})]
+
+
+OFFICE = ["FFFFFF", "000000", "EEECE1", "1F497D", "4F81BD", "C0504D", "9BBB59", "8064A2", "4BACC6", "F79646", "0000FF", "800080"]
+
+
+def theme_xml(lt1='<a:sysClr val="window"/>'):
+    slots = dict(zip(("lt1", "dk1", "lt2", "dk2", *[f"accent{i}" for i in range(1, 7)], "hlink", "folHlink"), OFFICE, strict=True))
+    body = "".join(f"<a:{k}>{lt1 if k == 'lt1' else f'<a:srgbClr val={chr(34)}{v}{chr(34)}/>'}</a:{k}>" for k, v in sorted(slots.items()))
+    return f'<a:theme xmlns:a="x"><a:themeElements><a:clrScheme name="Office">{body}</a:clrScheme><a:fmtScheme><a:srgbClr val="123456"/></a:fmtScheme></a:themeElements></a:theme>'
+
+
+def test_themes_and_tints():
+    from cellwright.sources.package import tree
+    from cellwright.sources.theme import from_hls, resolve_color, theme_colors, tinted, to_hls
+
+    read = lambda x: theme_colors(tree(iter([x.encode()])))
+    assert read(theme_xml()) == OFFICE
+    assert read(theme_xml("<a:sysClr val='other'/>")) is None and read("<a/>") is None
+    assert read(theme_xml("<a:sysClr val='other' lastClr='abcdef'/>"))[0] == "ABCDEF"
+    # shades as spreadsheets show them
+    assert [tinted("4F81BD", t) for t in (0.7999, 0.5999, 0.3999, -0.25, -0.5)] == ["DCE6F1", "B8CCE4", "96B4D8", "376193", "244062"]
+    assert [tinted("000000", 0.5), tinted("FFFFFF", -0.5), tinted("ff0000", 0.0), tinted("FF0000", 9.0), tinted("00FF00", float("nan"))] == ["808080", "808080", "FF0000", "FFFFFF", "00FF00"]
+    assert resolve_color("ff00ff", None) == "FFFF00FF" and resolve_color({"theme": 4}, OFFICE) == "FF4F81BD" and resolve_color({"theme": 4}, None) is None
+    assert [resolve_color(c, OFFICE) for c in ({"auto": True}, {"indexed": 3}, {"theme": 12}, None, {"rgb": "80123456"})] == [None, None, None, None, "80123456"]
+    rng = random.Random(1)
+    for _ in range(2000):
+        rgb = tuple(rng.randrange(256) for _ in range(3))
+        assert max(abs(a - b) for a, b in zip(rgb, from_hls(*to_hls(rgb)), strict=True)) <= 6
+
+
+def test_styles_and_theme_go_round():
+    styles = [
+        {"underline": "doubleAccounting", "strike": True, "color": {"theme": 4, "tint": -0.25}},
+        {"fill": {"pattern": "lightUp", "fore": {"indexed": 10}, "back": "FF112233"}, "border": {"left": {"style": "thin", "color": "FFFF0000"}, "bottom": {"style": "double"}}},
+        {"fill": {"theme": 5}, "border": "dashed", "rotation": 45, "indent": 2, "shrink": True, "wrap": True, "align": "left", "locked": False, "hidden": True},
+        {"underline": True, "italic": True},
+    ]
+    cells = [Cell(1, i + 1, "number", 1.0, None, i) for i in range(4)]
+    book = open_xlsx(write_xlsx(WorkbookInput([SheetInput("S", [(1, cells)])], styles=styles, theme=theme_xml())))
+    again = open_xlsx(write_xlsx(from_workbook(book)))
+    for b in (book, again):
+        assert b.meta["theme"][0]["colors"] == OFFICE
+        for c, want in zip(b.sheets[0].cells, styles, strict=True):
+            assert {k: v for k, v in b.meta["styles"][c.style].items() if k not in ("font", "size", "format")} == want
+    for bad in ({"underline": "wavy"}, {"fill": {"pattern": "x"}}, {"border": "thick!"}, {"color": {"theme": 99}}, {"color": "red"}, {"color": {"rgb": "FF000000", "theme": 1}}, {"rotation": 200}):
+        with pytest.raises(WorkbookError):
+            write_xlsx(WorkbookInput([SheetInput("S")], styles=[bad]))
