@@ -6,9 +6,10 @@ can fail, an error column ``<name>_err``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..errors import FormulaError
@@ -17,14 +18,19 @@ from ..functions.refs import column_number
 from ..functions.values import Err, Stop
 from ..functions.values import num as number
 from ..plans import lanes as L
-from ..plans.aggregates import RANGE_FUNCTIONS, Ranges, constant, fits, has_field
-from ..plans.fills import last_at_or_before, running_max
+from ..plans.aggregates import RANGE_FUNCTIONS, Ranges, constant, fits, glob_like, has_field
+from ..plans.fills import last_at_or_before, numbered, running_extreme
 from ..plans.lanes import Lane
 from ..plans.scalars import Compiler
-from ..plans.syntax import parse
+from ..plans.scratch import materialize, new_path
+from ..plans.syntax import children, parse
 
 #: Lookup tables with at most so many keys are broadcast after a count; larger ones are joined by shuffle.
 MOST_BROADCAST = 100_000
+#: Patterns and comparisons that one pass over a table answers.
+BLOCK = 500
+#: Up to so many bands of an approximate lookup are tested one by one.
+FEW = 16
 
 
 def row_compiler(df: DataFrame, **options: object) -> Compiler:
@@ -168,67 +174,137 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
 
 
-def lookup(df: DataFrame, name: str, key: str, table: DataFrame, column: str, value: str, position: str | list[str], approximate: bool = False) -> DataFrame:
+def lookup(df: DataFrame, name: str, key: str, table: DataFrame, column: str, value: str, position: str | list[str], approximate: bool = False, falling: bool = False) -> DataFrame:
     """VLOOKUP / INDEX(MATCH): ``df`` with the value of the table's matching row as ``name``, and ``name_err``.
 
     ``key`` is a formula over ``df``; ``column`` and ``value`` are columns of ``table`` and ``position`` gives its row order.
-    Exact: the first row whose ``column`` equals the key.  Approximate: the last row before the first that exceeds the key.
-    A miss is #N/A and a blank result 0.  Text keys with wildcards go to ``lookup_wildcard``.
+    Exact: the first row whose ``column`` equals the key, or fits it if the key is a text with ``*`` or ``?``.  Approximate: the last
+    row before the first that exceeds the key (``falling``: that is below it).  A miss is #N/A and a blank result 0.
     """
     x = row_compiler(df).lane(parse(key))
     position = [position] if isinstance(position, str) else position
     t_key = row_compiler(table).lane(("field", None, column))
     t_val = row_compiler(table).lane(("field", None, value))
-    place = F.struct(*[table[f"`{p}`"] for p in position])
-    filled = {"num": 0.0, "text": None, "bool": None}[t_val.kind]
     if approximate:
-        return _approximate(df, name, x, table, t_key, t_val, place)
+        return _approximate(df, name, x, table, t_key, t_val, position, falling)
+    place = F.struct(*[table[f"`{p}`"] for p in position])
     first = table.select(_key(t_key).alias("__k"), t_val.value.alias("__v"), place.alias("__p")).where(F.col("__k.k").isNotNull())
     first = first.groupBy("__k").agg(F.min_by(F.struct("__v"), "__p").alias("__r"))
-    joined = df.withColumn("__q", _key(x)).join(_small(first), F.col("__q") == F.col("__k"), "left")
-    err = L.errors(x, F.when(F.col("__r").isNull(), F.lit("#N/A")))
-    v = F.col("__r.__v") if filled is None else F.coalesce(F.col("__r.__v"), F.lit(filled))
-    return joined.withColumns({name: F.when(err.isNull(), v), f"{name}_err": err}).drop("__q", "__k", "__r")
-
-
-def _approximate(df: DataFrame, name: str, x: Lane, table: DataFrame, t_key: Lane, t_val: Lane, place: Column) -> DataFrame:
+    text = L.part(x, "text")
+    wild = F.coalesce(text.rlike("[*?]"), F.lit(False))
+    joined = df.withColumn("__q", _key(x)).withColumn("__w", F.when(wild, text)).join(_small(first), F.col("__q") == F.col("__k"), "left")
+    found = F.col("__r")
+    if x.kind in ("text", "mixed") and t_key.kind in ("text", "mixed"):
+        some = df.where(wild).select(text.alias("t")).distinct()
+        rows = _first_fits(some, table, t_key, t_val, place)
+        if rows is not None:
+            joined = joined.join(_small(rows.select(F.col("t").alias("__t"), F.col("r").alias("__wr"))), F.col("__w") == F.col("__t"), "left")
+            found = F.when(F.col("__w").isNotNull(), F.col("__wr")).otherwise(found)
+    joined = joined.withColumn("__found", found)
+    err = L.errors(x, F.when(F.col("__found").isNull(), F.lit("#N/A")))
+    v = _filled(F.col("__found.__v"), t_val)
+    return joined.withColumns({name: F.when(err.isNull(), v), f"{name}_err": err}).drop("__q", "__k", "__r", "__w", "__t", "__wr", "__found")
+
+
+def _filled(v: Column, x: Lane) -> Column:
+    """A blank result is 0, where the column has numbers."""
+    return F.coalesce(v, F.lit(0.0)) if x.kind == "num" else v
+
+
+def _blocks(distinct: DataFrame) -> Iterator[list[Row]]:
+    """Rows in blocks of ``BLOCK``, however many there are."""
+    held: list[Row] = []
+    for r in distinct.toLocalIterator():
+        held.append(r)
+        if len(held) == BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _per_criterion(distinct: DataFrame, table: DataFrame, answer: Callable[[Row], Column], schema: str) -> DataFrame | None:
+    """One row of ``schema`` for each row of ``distinct``: the row and its aggregate over ``table``, a block of rows with each pass."""
+    spark, path = table.sparkSession, None
+    for rows in _blocks(distinct):
+        got = table.agg(*[answer(r).alias(f"a{i}") for i, r in enumerate(rows)]).first()
+        path = path or new_path(spark, "criteria")
+        spark.createDataFrame([(*r, got[i]) for i, r in enumerate(rows)], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(spark.createDataFrame([], schema).schema).parquet(path) if path else None
+
+
+def _first_fits(patterns: DataFrame, table: DataFrame, t_key: Lane, t_val: Lane, place: Column) -> DataFrame | None:
+    """(t, r) of each pattern: the value of the first text that it fits, in a struct."""
+    kind = table.select(t_val.value).schema[0].dataType.simpleString()
+    is_text = L.tag(t_key) == 1
+
+    def first(r: Row) -> Column:
+        hit = F.coalesce(is_text & F.upper(L.part(t_key, "text")).like(glob_like(r.t)), F.lit(False))
+        return F.min_by(F.struct(t_val.value.alias("__v")), F.when(hit, place))
+
+    return _per_criterion(patterns, table, first, f"t string, r struct<__v:{kind}>")
+
+
+def _approximate(df: DataFrame, name: str, x: Lane, table: DataFrame, t_key: Lane, t_val: Lane, position: list[str], falling: bool) -> DataFrame:
     """Bands: rows that are the running maximum so far; in a sorted table each row is one.
 
     The answer for a key is the last row before the first that exceeds it.  With m the running maximum by position, rows
     with m <= key are exactly those before the first that exceeds it, so bands of m are disjoint and the last row of each is
-    what a key within the band gets.  Bands are broadcast as a sorted array after a count, or met range by range.
+    what a key within the band gets.  Falling tables have the running minimum instead.  Up to ``MOST_BROADCAST`` rows make a constant
+    array of bounds, in which each key finds its band by bisection, and a broadcast table of answers; more are met range by range.
+    Numbers are below texts, and texts below booleans: a key of another kind comes before or after all rows.
     A value that leaves the answer blank is kept apart from no answer by being in a struct.
     """
-    if t_key.kind != "num" or x.kind != "num":
-        raise FormulaError("unsupported", "approximate lookups of numbers")
-    rows = table.select(t_key.value.alias("__m"), t_val.value.alias("__v"), place.alias("__p")).where(F.col("__m").isNotNull())
+    if x.kind == "mixed" or t_key.kind == "mixed":
+        raise FormulaError("unsupported", "approximate lookups among values of several kinds")
+    kind = t_key.kind if x.kind == "blank" else x.kind
+    none = F.lit(None).cast("string") if x.err is None else x.err
+    if kind != t_key.kind:
+        after = (L.KINDS.index(kind) > L.KINDS.index(t_key.kind)) != falling
+        last = table.where(L.tag(t_key).isNotNull()).agg(F.max_by(F.struct(t_val.value.alias("__v")), F.struct(*position)).alias("__r"))
+        joined = df.crossJoin(F.broadcast(last)) if after else df.withColumn("__r", F.lit(None).cast(last.schema["__r"].dataType))
+        return _answered(joined.withColumn("__qe", none), name, t_val)
+    fold, blank = {"num": (lambda c: c, 0.0), "text": (F.upper, ""), "bool": (lambda c: c, False)}[kind]
+    rows = table.select(fold(t_key.value).alias("__m"), t_val.value.alias("__v"), *[F.col(f"`{p}`").alias(f"__p{i}") for i, p in enumerate(position)]).where(F.col("__m").isNotNull())
+    order = [f"__p{i}" for i in range(len(position))]
     small = rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    of = F.min if falling else F.max
     if small:
-        rising = rows.withColumn("__m", F.max("__m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+        rising = rows.withColumn("__top", of("__m").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     else:
-        rising = running_max(rows, "__p", "__m", "__top").withColumn("__m", F.col("__top"))
-    bands = rising.groupBy("__m").agg(F.max_by(F.struct("__v"), "__p").alias("__r"))
-    q = df.withColumns({"__q": L.to_num(x)[0], "__qe": F.lit(None).cast("string") if x.err is None else x.err})
-    if small:
-        # one row with the bands in order; each key finds its band by binary search within the row
-        packed = bands.agg(F.array_sort(F.collect_list(F.struct("__m", "__r"))).alias("__b"))
-        joined = q.crossJoin(F.broadcast(packed))
+        rising = running_extreme(rows, order, "__m", "__top", falling)
+    bands = rising.groupBy(F.col("__top").alias("__m")).agg(F.max_by(F.struct("__v"), F.struct(*order)).alias("__r"))
+    q = df.withColumns({"__q": F.coalesce(F.lit(blank) if x.kind == "blank" else fold(x.value), F.lit(blank)), "__qe": none})
+    if not small:
+        return _answered(last_at_or_before(q, "__q", bands, "__m", "__r", "__r", falling), name, t_val)
+    found = materialize(bands, "lookup-bands")
+    bounds = sorted((r[0] for r in found.select("__m").collect()), reverse=falling, key=lambda b: b.encode() if isinstance(b, str) else b)
+    step = F.lit(None).cast("int")
+    if len(bounds) <= FEW:
+        for i, b in enumerate(bounds):
+            reached = F.col("__q") <= F.lit(b) if falling else F.col("__q") >= F.lit(b)
+            step = F.when(reached, F.lit(i)).otherwise(step)
+    else:
+        kind_of = {"num": "double", "text": "string", "bool": "boolean"}[kind]
+        table_of = F.from_json(F.lit(json.dumps([repr(b) if kind == "num" else b for b in bounds])), "array<string>").cast(f"array<{kind_of}>")
+        middle = lambda a: F.floor((a.lo + a.hi) / 2).cast("int")
+        reached = lambda a: (F.get(table_of, middle(a)) >= F.col("__q")) if falling else (F.get(table_of, middle(a)) <= F.col("__q"))
         at = F.aggregate(
-            F.sequence(F.lit(1), F.lit(17)),
-            F.struct(F.lit(0).alias("lo"), F.size("__b").alias("hi")),
-            lambda acc, _: F.when(acc.lo >= acc.hi, acc).otherwise(
-                F.when(F.get("__b", F.floor((acc.lo + acc.hi) / 2).cast("int"))["__m"] <= F.col("__q"), F.struct((F.floor((acc.lo + acc.hi) / 2) + 1).cast("int").alias("lo"), acc.hi.alias("hi"))).otherwise(
-                    F.struct(acc.lo.alias("lo"), F.floor((acc.lo + acc.hi) / 2).cast("int").alias("hi"))
-                )
-            ),
-            lambda acc: acc.lo,
+            F.sequence(F.lit(1), F.lit(len(bounds).bit_length())),
+            F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
+            lambda a, _: F.when(a.lo >= a.hi, a).otherwise(F.when(reached(a), F.struct((middle(a) + 1).alias("lo"), a.hi.alias("hi"))).otherwise(F.struct(a.lo.alias("lo"), middle(a).alias("hi")))),
+            lambda a: a.lo,
         )
-        joined = joined.withColumn("__r", F.get("__b", at - 1)["__r"]).drop("__b")
-    else:
-        joined = last_at_or_before(q, "__q", bands, "__m", "__r", "__r")
+        step = at - 1
+    w = Window.orderBy(F.col("__m").desc() if falling else F.col("__m").asc())
+    numbered_bands = found.select((F.row_number().over(w) - 1).alias("__i"), "__r")
+    joined = q.withColumn("__step", step).join(F.broadcast(numbered_bands), F.col("__step") == F.col("__i"), "left")
+    return _answered(joined, name, t_val)
+
+
+def _answered(joined: DataFrame, name: str, t_val: Lane) -> DataFrame:
     err = F.coalesce("__qe", F.when(F.col("__r").isNull(), F.lit("#N/A")))
-    v = F.col("__r.__v") if t_val.kind != "num" else F.coalesce(F.col("__r.__v"), F.lit(0.0))
-    return joined.withColumns({name: F.when(err.isNull(), v), f"{name}_err": err}).drop("__q", "__qe", "__r")
+    return joined.withColumns({name: F.when(err.isNull(), _filled(F.col("__r.__v"), t_val)), f"{name}_err": err}).drop("__q", "__qe", "__r", "__step", "__i")
 
 
 def lookup_wildcard(table: DataFrame, pattern: str, column: str, value: str, position: str) -> DataFrame:
@@ -240,21 +316,43 @@ def lookup_wildcard(table: DataFrame, pattern: str, column: str, value: str, pos
 
 def match(df: DataFrame, name: str, key: str, table: DataFrame, column: str, position: str, kind: int = 0) -> DataFrame:
     """MATCH: the 1-based ``position`` value; kind 0 exact, 1 ascending, -1 descending."""
-    numbered = table.withColumn("__pos", F.col(f"`{position}`").cast("double"))
-    if kind == 0:
-        return lookup(df, name, key, numbered, column, "__pos", position)
-    if kind > 0:
-        return lookup(df, name, key, numbered, column, "__pos", position, approximate=True)
-    mirrored = numbered.withColumn("__minus", -F.col(f"`{column}`").cast("double"))
-    return lookup(df, name, f"=-({key.removeprefix('=')})", mirrored, "__minus", "__pos", position, approximate=True)
+    placed = table.withColumn("__pos", F.col(f"`{position}`").cast("double"))
+    return lookup(df, name, key, placed, column, "__pos", position, approximate=kind != 0, falling=kind < 0)
+
+
+def index(df: DataFrame, name: str, row: str, table: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """INDEX(table[value], row): the value of the row of that number by ``order``; #REF! if there is none."""
+    x = row_compiler(df).lane(parse(row))
+    n, err = L.to_num(x)
+    t_val = row_compiler(table).lane(("field", None, value))
+    rows = table.select(t_val.value.alias("__v"), *[F.col(f"`{o}`").alias(f"__o{i}") for i, o in enumerate(order)])
+    placed = numbered(rows, [f"__o{i}" for i in range(len(order))], "__nr").select("__nr", F.struct("__v").alias("__r"))
+    joined = df.withColumn("__q", L.whole(n).cast("long")).join(_small(placed), F.col("__q") == F.col("__nr"), "left")
+    err = L.errors(err, F.when(F.col("__r").isNull(), F.lit("#REF!")))
+    return joined.withColumns({name: F.when(err.isNull(), _filled(F.col("__r.__v"), t_val)), f"{name}_err": err}).drop("__q", "__nr", "__r")
+
+
+def hlookup(df: DataFrame, name: str, key: str, table: DataFrame, row: int, order: list[str], columns: list[str], approximate: bool = False) -> DataFrame:
+    """HLOOKUP over the wide ``columns`` of ``table``: their names are its first row, and row ``row`` - 1 by ``order`` has the values."""
+    if row < 2 or len({table.schema[c].dataType for c in columns}) > 1:
+        raise FormulaError("unsupported", "a row of values below the names, all of one type")
+    picked = table.orderBy(*order).offset(row - 2).limit(1)
+    across = picked.select(F.explode(F.array(*[F.struct(F.lit(i).alias("__at"), F.lit(c).alias("__title"), F.col(f"`{c}`").alias("__value")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    return lookup(df, name, key, across, "__title", "__value", "__at", approximate)
+
+
+def side_by_side(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Rows of two tables by position, for range functions over ranges of both; the longer one's rest has blanks.  Column names must differ."""
+    a, b = numbered(left, left_order, "__row_a"), numbered(right, right_order, "__row_b")
+    return a.join(b, F.col("__row_a") == F.col("__row_b"), "full").drop("__row_a", "__row_b")
 
 
 def conditional_column(df: DataFrame, name: str, function: str, key: str, table: DataFrame, column: str, value: str | None = None) -> DataFrame:
     """A filled-down column of SUMIF / COUNTIF / AVERAGEIF(table[column], key, table[value]).
 
     Keys that mean equality, texts that spell a number or a boolean among them, are answered by one aggregation and a join;
-    keys that are patterns or comparisons (">5", "a*") are few distinct ones as a rule, at most 1000, and each distinct one is
-    an aggregate of its own over the table.
+    keys that are patterns or comparisons (">5", "a*") are few distinct ones as a rule: each distinct one is an aggregate of its own
+    over the table, ``BLOCK`` of them with each pass.
     """
     x = row_compiler(df).lane(parse(key))
     t_key = row_compiler(table).lane(("field", None, column))
@@ -263,18 +361,20 @@ def conditional_column(df: DataFrame, name: str, function: str, key: str, table:
     special = F.coalesce(text.rlike(r"^[<>=]") | text.rlike(r"[*?~]") | (text == ""), F.lit(False)) | L.tag(x).isNull()
     v = t_key if t_val is None else t_val
     sums = table.select(_plain_key(t_key).alias("__k"), L.part(v, "num").alias("__v")).groupBy("__k").agg(F.count(F.lit(1)).alias("__c"), F.sum("__v").alias("__s"), F.count("__v").alias("__n"))
-    odd = df.where(special).select(L.to_text(x)[0].alias("t"), L.tag(x).isNull().alias("blank")).distinct().limit(1001).collect()
-    if len(odd) > 1000:
-        raise FormulaError("unsupported", "more than 1000 distinct criteria that are not plain values")
+    written = F.when(L.tag(x).isNull(), F.lit("b")).otherwise(F.concat(F.lit("t"), L.to_text(x)[0]))
+    number = L.part(v, "num")
+
+    def answer(r: Row) -> Column:
+        t = fits(t_key, parse_criterion(None if r.t == "b" else r.t[1:]))
+        return F.struct(F.count_if(t).alias("c"), F.coalesce(F.sum(F.when(t, number)), F.lit(0.0)).cast("double").alias("s"), F.count(F.when(t, number)).alias("n"))
+
+    odd = _per_criterion(df.where(special).select(written.alias("t")).distinct(), table, answer, "t string, a struct<c:long,s:double,n:long>")
     joined = df.withColumn("__q", F.when(~special, _criterion_key(x))).join(_small(sums), F.col("__q") == F.col("__k"), "left")
-    parts = {n: F.coalesce(F.col(n), F.lit(0)) for n in ("__c", "__s", "__n")}
-    if odd:
-        tests = [fits(t_key, parse_criterion(None if r.blank else r.t)) for r in odd]
-        number = L.part(v, "num")
-        row = table.agg(*[F.struct(F.count_if(t).alias("c"), F.coalesce(F.sum(F.when(t, number)), F.lit(0.0)).alias("s"), F.count(F.when(t, number)).alias("n")).alias(f"o{i}") for i, t in enumerate(tests)]).first()
-        for i, r in enumerate(odd):
-            mine = special & (L.tag(x).isNull() if r.blank else (L.to_text(x)[0] == r.t) & L.tag(x).isNotNull())
-            parts = {"__c": F.when(mine, row[i]["c"]).otherwise(parts["__c"]), "__s": F.when(mine, row[i]["s"]).otherwise(parts["__s"]), "__n": F.when(mine, row[i]["n"]).otherwise(parts["__n"])}
+    parts = {n: F.col(n) for n in ("__c", "__s", "__n")}
+    if odd is not None:
+        joined = joined.withColumn("__w", F.when(special, written)).join(_small(odd.select(F.col("t").alias("__t"), F.col("a").alias("__a"))), F.col("__w") == F.col("__t"), "left")
+        parts = {n: F.coalesce(F.col(f"__a.{n[2:]}"), c) for n, c in parts.items()}
+    parts = {n: F.coalesce(c, F.lit(0)) for n, c in parts.items()}
     err = x.err
     if function == "COUNTIF":
         out = parts["__c"].cast("double")
@@ -283,7 +383,7 @@ def conditional_column(df: DataFrame, name: str, function: str, key: str, table:
     else:
         out = F.try_divide(parts["__s"].cast("double"), parts["__n"].cast("double"))
         err = L.errors(err, F.when(parts["__n"] == 0, F.lit("#DIV/0!")))
-    return joined.withColumns(_outputs(name, Lane("num", out, err, False), None)).drop("__q", "__k", "__c", "__s", "__n")
+    return joined.withColumns(_outputs(name, Lane("num", out, err, False), None)).drop("__q", "__k", "__c", "__s", "__n", "__w", "__t", "__a")
 
 
 def _plain_key(x: Lane) -> Column:
@@ -303,7 +403,7 @@ def _criterion_key(x: Lane) -> Column:
 # --- fills: relative references become windows --------------------------------------------------------
 
 
-def fill(df: DataFrame, name: str, formula: str, columns: dict[str, str], order: list[str], by: list[str] | None = None, row: int = 1, errors: bool | None = None) -> DataFrame:
+def fill(df: DataFrame, name: str, formula: str | tuple, columns: dict[str, str], order: list[str], by: list[str] | None = None, row: int = 1, errors: bool | None = None) -> DataFrame:
     """A formula of row ``row`` filled down a table whose rows are ordered by ``order`` within ``by``.
 
     ``columns`` maps column letters to DataFrame columns.  ``A2`` in row 2 is the row's own value, ``A1`` the one before
@@ -345,7 +445,55 @@ def fill(df: DataFrame, name: str, formula: str, columns: dict[str, str], order:
         return _FRAMED[tree[1]](L.part(x, "num"), L.tag(x), w.rowsBetween(start, stop))
 
     compiler = Compiler(resolve, special=special)
-    return df.withColumns(_outputs(name, compiler.lane(parse(formula)), errors))
+    return df.withColumns(_outputs(name, compiler.lane(formula if isinstance(formula, tuple) else parse(formula)), errors))
+
+
+def recur(df: DataFrame, name: str, formula: str, own: str, start: float, columns: dict[str, str], order: list[str], by: list[str] | None = None, row: int = 2) -> DataFrame:
+    """A column that refers to its own cell above, in closed form: ``start`` in the first row, then ``formula`` of row ``row``.
+
+    ``own`` is the column's letter.  The formula is a sum with the cell above as one term (a running sum of the others), or the cell above
+    times or divided by a constant (powers of it).  Errors go on downwards.
+    """
+    tree, above = parse(formula), ("cell", column_number(own), row - 1, False, False, None)
+    w = Window.partitionBy(*[F.col(f"`{b}`") for b in by or []]).orderBy(*[F.col(f"`{o}`") for o in order])
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(w)
+    if tree[0] == "binary" and tree[1] in "*/" and above in tree[2:]:
+        other = tree[3] if tree[2] == above else tree[2]
+        if not has_field(other) and not _mentions(other) and (tree[1] == "*" or tree[2] == above):
+            factor = number(constant(other))
+            if tree[1] == "/" and factor == 0:
+                return df.withColumns({name: F.when(place == 1, F.lit(float(start))), f"{name}_err": F.when(place > 1, F.lit("#DIV/0!"))})
+            powers = F.pow(F.lit(factor), (place - 1).cast("double"))
+            x = L.guard(F.lit(float(start)) * powers if tree[1] == "*" else F.lit(float(start)) / powers, None)
+            return df.withColumns(_outputs(name, x, None))
+    terms = _terms(tree)
+    if [t for t in terms if t[1] == above] != [(1, above)] or any(_mentions(t, above) for _, t in terms if t != above):
+        raise FormulaError("unsupported", "a recursion that is neither a sum nor a constant multiple")
+    rest: tuple = ("value", 0.0)
+    for sign, t in terms:
+        if t != above:
+            rest = ("binary", "+" if sign > 0 else "-", rest, t)
+    stepped = fill(df, "__step", rest, columns, order, by, row, errors=True)
+    later = F.col("__place") > 1
+    stepped = stepped.withColumn("__place", place)
+    total = F.sum(F.when(later, F.col("__step"))).over(so_far)
+    err = F.first(F.when(later, F.col("__step_err")), ignorenulls=True).over(so_far)
+    value = F.lit(float(start)) + F.coalesce(total, F.lit(0.0))
+    return stepped.withColumns({name: value, f"{name}_err": err}).withColumn(name, F.when(F.col(f"{name}_err").isNull(), F.col(name))).drop("__step", "__step_err", "__place")
+
+
+def _mentions(tree: tuple, cell: tuple | None = None) -> bool:
+    """Whether a tree has the cell, or any."""
+    return (tree == cell if cell else tree[0] == "cell") or any(_mentions(c, cell) for c in children(tree))
+
+
+def _terms(tree: tuple, sign: int = 1) -> list[tuple[int, tuple]]:
+    if tree[0] == "binary" and tree[1] in "+-":
+        return _terms(tree[2], sign) + _terms(tree[3], sign if tree[1] == "+" else -sign)
+    if tree[0] == "prefix" and tree[1] in "+-":
+        return _terms(tree[2], sign if tree[1] == "+" else -sign)
+    return [(sign, tree)]
 
 
 def _framed(of: Callable[[Column], Column], empty: object) -> Callable[[Column, Column, object], Lane]:
@@ -367,4 +515,4 @@ _FRAMED: dict[str, Callable[..., Lane]] = {
     "COUNTA": lambda _, tag, frame: Lane("num", F.count(tag).over(frame).cast("double"), None, False),
 }
 
-__all__ = ["RANGE_FUNCTIONS", "aggregate", "conditional_column", "fill", "filter_formula", "lookup", "lookup_wildcard", "match", "nth_value", "with_formula", "with_formulas"]
+__all__ = ["RANGE_FUNCTIONS", "aggregate", "conditional_column", "fill", "filter_formula", "hlookup", "index", "lookup", "lookup_wildcard", "match", "nth_value", "recur", "side_by_side", "with_formula", "with_formulas"]

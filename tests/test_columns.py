@@ -177,3 +177,105 @@ def test_approximate_lookup_of_unsorted_tables(spark, monkeypatch, most):
         return best
 
     assert sorted((r.x, r.m or 0.0, r.m_err) for r in df.collect()) == sorted((x, by_rule(x) or 0.0, None if by_rule(x) is not None else "#N/A") for x in keys)
+
+
+def first_before(table, x, falling=False):
+    """The rule, row by row: the last value before the first that is out of order."""
+    best = None
+    for p, k in table:
+        if k is None:
+            continue
+        if (k < x) if falling else (k > x):
+            break
+        best = p
+    return best
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+@pytest.mark.parametrize("few", [16, 2])
+def test_approximate_lookups_of_all_kinds(spark, monkeypatch, most, few):
+    import random
+
+    monkeypatch.setattr(C, "MOST_BROADCAST", most)
+    monkeypatch.setattr(C, "FEW", few)
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 4))) for _ in range(60)}, key=lambda w: w.upper().encode())
+    texts = [(i, w) for i, w in enumerate(words)]
+    texts[7], texts[20] = (7, None), (20, "zz")
+    numbers = [(i, float(200 - 3 * i + rng.choice([0, 0, 40]))) for i in range(50)]
+    keys = [(w.upper() if i % 2 else w + "x", float(rng.randint(-20, 260))) for i, w in enumerate(words)] + [("", 0.0), (None, None)]
+    df = spark.createDataFrame(keys, "s string, x double").repartition(3)
+    t, n = spark.createDataFrame(texts, "p int, k string").repartition(4), spark.createDataFrame(numbers, "p int, k double").repartition(4)
+    got = {(r.s, r.x): (r.m, r.m_err) for r in C.match(df, "m", "=[s]", t, "k", "p", 1).collect()}
+    upper = [(p, k and k.upper().encode()) for p, k in texts]
+    want = {(s, x): first_before(upper, (s or "").upper().encode()) for s, x in keys}
+    assert got == {k: (None if v is None else float(v), "#N/A" if v is None else None) for k, v in want.items()}
+    for column, table, of in (("x", numbers, lambda k: k[1] or 0.0), ("s", [(p, k and k.upper().encode()) for p, k in reversed(texts)], lambda k: (k[0] or "").upper().encode())):
+        frame = n if column == "x" else spark.createDataFrame([(len(texts) - p, k) for p, k in texts], "p int, k string").repartition(4)
+        place = (lambda p: float(p)) if column == "x" else (lambda p: float(len(texts) - p))
+        got = {(r.s, r.x): (r.m, r.m_err) for r in C.match(df, "m", f"=[{column}]", frame, "k", "p", -1).collect()}
+        want = {k: first_before(table, of(k), True) for k in keys}
+        assert got == {k: (None if v is None else place(v), "#N/A" if v is None else None) for k, v in want.items()}
+    # keys of another kind come before or after all
+    assert {r.m for r in C.match(df, "m", "=[s]", n, "k", "p", 1).collect()} == {49.0}
+    assert {r.m_err for r in C.match(df, "m", "=[x]", t, "k", "p", 1).collect()} == {"#N/A"}
+    assert {r.m_err for r in C.match(df, "m", "=[s]", n, "k", "p", -1).collect()} == {"#N/A"}
+
+
+def test_wildcard_keys_by_row(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 2)
+    table = spark.createDataFrame([(3, "banana", 1.0), (1, "apple", 2.0), (2, "Apricot", None), (4, "a*", 4.0), (5, None, 5.0)], "p int, k string, v double")
+    keys = ["a*", "AP?icot", "*an*", "z*", "a~*", "apple", "", None, "????????", "b?nana", "~"]
+    got = {r.s: (r.v, r.v_err) for r in C.lookup(spark.createDataFrame([(k,) for k in keys], "s string"), "v", "=[s]", table, "k", "v", "p").collect()}
+    miss = (None, "#N/A")
+    assert got == {"a*": (2.0, None), "AP?icot": (0.0, None), "*an*": (1.0, None), "z*": miss, "a~*": (4.0, None), "apple": (2.0, None), "": miss, None: miss, "????????": miss, "b?nana": (1.0, None), "~": miss}
+
+
+def test_index_hlookup_and_position(spark):
+    table = spark.createDataFrame([(30, "c"), (10, "a"), (20, None)], "k int, v string")
+    keys = spark.createDataFrame([(0.0,), (1.9,), (2.0,), (3.0,), (4.0,), (-1.0,)], "x double")
+    got = {r.x: (r.v, r.v_err) for r in C.index(keys, "v", "=[x]", table, "v", ["k"]).collect()}
+    assert got == {0.0: (None, "#REF!"), 1.9: ("a", None), 2.0: (None, None), 3.0: ("c", None), 4.0: (None, "#REF!"), -1.0: (None, "#REF!")}
+    wide = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, None)], "i int, jan double, feb double")
+    names = spark.createDataFrame([("FEB",), ("jan",), ("f*",), ("x",)], "s string")
+    got = {r.s: (r.v, r.v_err) for r in C.hlookup(names, "v", "=[s]", wide, 3, ["i"], ["jan", "feb"]).collect()}
+    assert got == {"FEB": (0.0, None), "jan": (3.0, None), "f*": (0.0, None), "x": (None, "#N/A")}
+    a, b = spark.createDataFrame([(i, float(i)) for i in range(5)], "i int, x double"), spark.createDataFrame([(9 - i, float(i)) for i in range(3)], "j int, y double")
+    rows = C.side_by_side(a, b, ["i"], ["j"]).orderBy("i").collect()
+    assert [(r.x, r.y) for r in rows] == [(0.0, 2.0), (1.0, 1.0), (2.0, 0.0), (3.0, None), (4.0, None)]
+
+
+def test_recursive_columns(spark):
+    df = spark.createDataFrame([("a", i, float(i * i) if i != 4 else None, "x" if i == 5 else "1") for i in range(1, 7)] + [("b", 1, 7.0, "1")], "g string, i int, v double, s string")
+    run = lambda f, start=10.0, **c: [r for r in C.recur(df, "r", f, "D", start, c, ["i"], ["g"]).where("g = 'a'").orderBy("i").collect()]
+    assert [r.r for r in run("=D1+B2", B="v")] == [10.0, 14.0, 23.0, 23.0, 48.0, 84.0]
+    assert [r.r for r in run("=1+(D1-B1)", B="v")] == [10.0, 10.0, 7.0, -1.0, 0.0, -24.0]
+    assert [(r.r, r.r_err) for r in run("=D1+C2", C="s")][3:] == [(13.0, None), (None, "#VALUE!"), (None, "#VALUE!")]
+    assert [r.r for r in run("=D1*3", 1.0)] == [1.0, 3.0, 9.0, 27.0, 81.0, 243.0] and [r.r for r in run("=D1/2", 8.0)][:3] == [8.0, 4.0, 2.0]
+    for bad in ("=D1*D1", "=B2-D1", "=D1+D1", "=D1*B2", "=SUM(D$1:D1)", "=2/D1"):
+        with pytest.raises(FormulaError):
+            run(bad, B="v")
+
+
+def test_running_sums(spark):
+    import random
+
+    from cellwright.plans.fills import running_sum
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randint(-5, 9)) for i in range(3000)]
+    got = {r.i: r.s for r in running_sum(spark.createDataFrame(rows, "g string, i int, v int").repartition(5), ["i"], "v", "s", ["g"]).collect()}
+    sums = {}
+    for g, i, v in rows:
+        assert got[i] == sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + v
+    every = {r.i: r.s for r in running_sum(spark.createDataFrame(rows, "g string, i int, v int").repartition(5), ["i"], "v", "s").collect()}
+    assert every[0] == 0 and every[2999] == sum(v for *_, v in rows[:-1])
+
+
+def test_many_odd_criteria(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 40)
+    df = spark.range(130).selectExpr("concat('>=', id) k").union(spark.createDataFrame([("1*",), (None,), ("",)], "k string"))
+    table = spark.range(100).selectExpr("cast(id as double) v")
+    got = {r.k: r.n for r in C.conditional_column(df, "n", "COUNTIF", "=[k]", table, "v").collect()}
+    assert got == {**{f">={i}": float(max(0, 100 - i)) for i in range(130)}, "1*": 11.0, None: 0.0, "": 0.0}
