@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import columns as C
 from .operators import files
+from .plans.fills import numbered, running_sum
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,8 +77,8 @@ _columns(
     "op_compare",
     "lineitem",
     _LINE,
-    {"gt": "=[l_quantity]>24", "eq": '=[l_returnflag]="r"', "num_text": '=[l_quantity]<"1"', "num_bool": "=[l_quantity]>TRUE", "ne": "=[l_linestatus]<>[l_returnflag]", "between": "=AND([l_quantity]>=10,[l_quantity]<=20)"},
-    {"gt": f"{_Q} > 24", "eq": "upper(l_returnflag) = 'R'", "num_text": "true", "num_bool": "false", "ne": "upper(l_linestatus) <> upper(l_returnflag)", "between": f"{_Q} >= 10 AND {_Q} <= 20"},
+    {"gt": "=[l_quantity]>24", "eq": '=[l_returnflag]="r"', "num_text": '=IF([l_linenumber]=1,[l_returnflag],[l_quantity])<[l_linestatus]', "num_bool": "=IF([l_linenumber]=1,[l_quantity]>0,[l_quantity])>TRUE", "ne": "=[l_linestatus]<>[l_returnflag]", "between": "=AND([l_quantity]>=10,[l_quantity]<=20)"},
+    {"gt": f"{_Q} > 24", "eq": "upper(l_returnflag) = 'R'", "num_text": "l_linenumber <> 1 OR upper(l_returnflag) < upper(l_linestatus)", "num_bool": "false", "ne": "upper(l_linestatus) <> upper(l_returnflag)", "between": f"{_Q} >= 10 AND {_Q} <= 20"},
 )
 _columns("op_concat", "customer", ["c_custkey"], {"label": '=[c_name]&"/"&[c_nationkey]&"/"&TRUE'}, {"label": "c_name || '/' || CAST(c_nationkey AS VARCHAR) || '/TRUE'"})
 
@@ -209,8 +210,8 @@ _aggregate(
     "agg_basic",
     "lineitem",
     ["l_returnflag", "l_linestatus"],
-    {"s": "=ROUND(SUM([l_extendedprice]),2)", "a": "=ROUND(AVERAGE([l_quantity]),6)", "n": "=COUNT([l_quantity])", "na": "=COUNTA([l_shipdate])", "nb": "=COUNTBLANK([l_shipdate])", "lo": "=MIN([l_extendedprice])", "hi": "=MAX([l_extendedprice])", "rows": "=ROWS([l_tax])"},
-    {"s": _half(f"sum({_P})", 2), "a": _half(f"avg({_Q})", 6), "n": "count(l_quantity)::DOUBLE", "na": "count(l_shipdate)::DOUBLE", "nb": "(count(*) - count(l_shipdate))::DOUBLE", "lo": f"min({_P})", "hi": f"max({_P})", "rows": "count(*)::DOUBLE"},
+    {"s": "=ROUND(SUM([l_extendedprice]),2)", "a": "=ROUND(AVERAGE([l_quantity]),6)", "n": "=COUNT([l_quantity])", "na": "=COUNTA([l_shipdate])", "nb": "=COUNTBLANK([l_shipdate])", "lo": "=MIN([l_extendedprice])", "hi": "=MAX([l_extendedprice])", "rows": "=ROWS([l_tax])", "cols": "=COLUMNS([l_tax])"},
+    {"s": _half(f"sum({_P})", 2), "a": _half(f"avg({_Q})", 6), "n": "count(l_quantity)::DOUBLE", "na": "count(l_shipdate)::DOUBLE", "nb": "(count(*) - count(l_shipdate))::DOUBLE", "lo": f"min({_P})", "hi": f"max({_P})", "rows": "count(*)::DOUBLE", "cols": "1.0::DOUBLE"},
 )
 _aggregate("agg_median", "lineitem", ["l_linenumber"], {"m": "=MEDIAN([l_quantity])", "p": "=MEDIAN([l_extendedprice])"}, {"m": f"quantile_cont({_Q}, 0.5)", "p": f"quantile_cont({_P}, 0.5)"})
 _aggregate("agg_logic", "orders", ["o_orderstatus"], {"a": "=AND([o_totalprice]>900)", "o": "=OR([o_totalprice]>500000)", "x": "=XOR([o_totalprice]>100000)"}, {"a": "bool_and(o_totalprice > 900)", "o": "bool_or(o_totalprice > 500000)", "x": "count(*) FILTER (WHERE o_totalprice > 100000) % 2 = 1"})
@@ -331,7 +332,7 @@ def countif_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "fill_running",
-    """SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN floor(run) ELSE floor(run) END AS run, delta, n, CASE WHEN prior IS NULL THEN 0 ELSE prior END AS prior FROM (SELECT *,
+    """SELECT o_orderkey, floor(run) AS run, delta, n, CASE WHEN prior IS NULL THEN 0 ELSE prior END AS prior FROM (SELECT *,
       sum(o_totalprice::DOUBLE) OVER w AS run, count(*) OVER w AS n0, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::DOUBLE AS n,
       o_totalprice::DOUBLE - coalesce(lag(o_totalprice::DOUBLE) OVER w, 0) AS delta, lag(o_totalprice::DOUBLE) OVER w AS prior
       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))""",
@@ -344,5 +345,142 @@ def fill_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", "run", "delta", "n", "prior")
 
 
+# --- lookups over tables of any size and kind -------------------------------------------------------------
+
+
+@_query("row_numbers", "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS nr FROM lineitem")
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers over an order of all rows, range by range."""
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return numbered(df, ["l_extendedprice", "l_orderkey", "l_linenumber"], "nr")
+
+
+@_query("running_totals", f"SELECT l_orderkey, l_linenumber, coalesce(sum({_Q}) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem")
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes before each row within a flag, of which there are few: their sums go on from range to range."""
+    df = load(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    return running_sum(df, ["l_orderkey", "l_linenumber", "q"], "q", "before", ["l_returnflag"]).select("l_orderkey", "l_linenumber", "before")
+
+
+_MANY = "(SELECT i * 0.75::DOUBLE AS lo, 'band-' || (i * 7919 % 150000) AS band FROM range(150000) t(i))"
+
+
+def _many_bands(spark: SparkSession) -> DataFrame:
+    return spark.range(150_000).select((F.col("id") * 0.75).alias("lo"), F.concat(F.lit("band-"), F.col("id") * 7919 % 150_000).alias("band"))
+
+
+@_query("vlookup_many_bands", f"SELECT l_orderkey, l_linenumber, band, CASE WHEN band IS NULL THEN '#N/A' END AS band_err FROM (SELECT l_orderkey, l_linenumber, {_P} - 1000 AS x FROM lineitem) l ASOF LEFT JOIN {_MANY} b ON x >= lo")
+def vlookup_many_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More bands than are broadcast: both sides meet range by range."""
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return C.lookup(df, "band", "=[l_extendedprice]-1000", _many_bands(spark), "lo", "band", "lo", approximate=True).drop("l_extendedprice")
+
+
+@_query("vlookup_thousands", f"SELECT l_orderkey, l_linenumber, band FROM lineitem ASOF LEFT JOIN (SELECT * FROM {_MANY} WHERE lo < 30000) b ON {_P} >= lo")
+def vlookup_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of bands, found by bisection."""
+    bands = _many_bands(spark).where("lo < 30000")
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return C.lookup(df, "band", "=[l_extendedprice]", bands, "lo", "band", "lo", approximate=True).select("l_orderkey", "l_linenumber", "band")
+
+
+@_query("index_match", "SELECT o_orderkey, p_retailprice::DOUBLE AS price, CASE WHEN p_partkey IS NULL THEN '#REF!' END AS price_err FROM orders LEFT JOIN (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS nr FROM part) ON nr = o_custkey * 3 % 2500")
+def index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INDEX by a computed position, in descending order of the table's key; beyond its end #REF!."""
+    part = load(spark, sf_dir, "part").withColumn("place", -F.col("p_partkey"))
+    return C.index(load(spark, sf_dir, "orders"), "price", "=MOD([o_custkey]*3,2500)", part, "p_retailprice", ["place"]).select("o_orderkey", "price", "price_err")
+
+
+@_query("match_desc", f"SELECT l_orderkey, l_linenumber, CASE WHEN {_Q} > 50 THEN NULL WHEN {_Q} > 40 THEN 1 WHEN {_Q} > 20 THEN 2 ELSE 3 END::DOUBLE AS pos FROM lineitem")
+def match_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MATCH with -1: the last value, downwards, that isn't below the key."""
+    table = spark.sql("SELECT * FROM (VALUES (1, 50.0D), (2, 40.0D), (3, 20.0D)) AS t(i, v)")
+    return C.match(load(spark, sf_dir, "lineitem"), "pos", "=[l_quantity]", table, "v", "i", -1).select("l_orderkey", "l_linenumber", "pos")
+
+
+@_query(
+    "lookup_text_sorted",
+    "SELECT c_custkey, n_name AS nation, CASE WHEN n_name IS NULL THEN '#N/A' END AS nation_err FROM (SELECT c_custkey, upper(substr(c_mktsegment, 1 + c_custkey::INT % 3, 4)) AS k FROM customer) ASOF LEFT JOIN (SELECT n_name, upper(n_name) AS u FROM nation) ON k >= u",
+)
+def lookup_text_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VLOOKUP(..., TRUE) with texts in alphabetical order."""
+    nation = load(spark, sf_dir, "nation").withColumn("place", F.upper("n_name"))
+    return C.lookup(load(spark, sf_dir, "customer"), "nation", "=MID([c_mktsegment],1+MOD([c_custkey],3),4)", nation, "n_name", "n_name", "place", approximate=True).select("c_custkey", "nation", "nation_err")
+
+
+@_query(
+    "lookup_wildcard",
+    """SELECT p_partkey, pat, (SELECT min(t.p_partkey)::DOUBLE FROM part t WHERE upper(t.p_type) LIKE replace(replace(upper(pat), '*', '%'), '?', '_')) AS first FROM
+    (SELECT p_partkey, left(p_type, 2 + p_partkey::INT % 4) || '*' || right(p_type, p_partkey::INT % 3) || CASE WHEN p_partkey % 5 = 0 THEN '?' ELSE '' END AS pat FROM part)""",
+)
+def lookup_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern of its own in every row: the first text that each fits."""
+    part = load(spark, sf_dir, "part")
+    keys = C.with_formula(part, "pat", '=LEFT([p_type],2+MOD([p_partkey],4))&"*"&RIGHT([p_type],MOD([p_partkey],3))&IF(MOD([p_partkey],5)=0,"?","")', errors=False)
+    return C.lookup(keys, "first", "=[pat]", part.select("p_partkey", "p_type"), "p_type", "p_partkey", "p_partkey").select("p_partkey", "pat", "first")
+
+
+@_query("hlookup", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 10.0 WHEN 'O' THEN 20.0 WHEN 'P' THEN 30.0 END::DOUBLE AS v, CASE WHEN o_orderstatus NOT IN ('F', 'O', 'P') THEN '#N/A' END AS v_err FROM orders")
+def hlookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HLOOKUP in a wide table: names are the first row, values come from the third."""
+    wide = spark.sql("SELECT * FROM (VALUES (1, 1.0D, 2.0D, 3.0D), (2, 10.0D, 20.0D, 30.0D)) AS t(i, f, o, p)")
+    return C.hlookup(load(spark, sf_dir, "orders"), "v", "=[o_orderstatus]", wide, 3, ["i"], ["f", "o", "p"]).select("o_orderkey", "v", "v_err")
+
+
+@_query(
+    "sumifs_by_position",
+    f"""SELECT l_returnflag, {_half('coalesce(sum(o_totalprice::DOUBLE) FILTER (WHERE l_quantity::DOUBLE > 24), 0)', 2)} AS s, count(*) FILTER (WHERE upper(o_orderstatus) = 'F')::DOUBLE AS n,
+    {_half('coalesce(sum(l_quantity::DOUBLE * o_totalprice::DOUBLE), 0)', 2)} AS p FROM
+    (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag) AS a FROM lineitem) FULL JOIN (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS b FROM orders) ON a = b GROUP BY l_returnflag""",
+)
+def sumifs_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SUMIFS, COUNTIF and SUMPRODUCT over ranges of two tables, row by row."""
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    both = C.side_by_side(lines, load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"], ["o_orderkey"])
+    formulas = {"s": '=ROUND(SUMIFS([o_totalprice],[l_quantity],">24"),2)', "n": '=COUNTIF([o_orderstatus],"f")', "p": "=ROUND(SUMPRODUCT([l_quantity],[o_totalprice]),2)"}
+    return C.aggregate(both, formulas, ["l_returnflag"], errors=False)
+
+
+@_query(
+    "countif_many_criteria",
+    "SELECT p_partkey, (SELECT count(*) FROM part t WHERE t.p_retailprice::DOUBLE >= p.p_partkey)::DOUBLE AS n FROM part p",
+)
+def countif_many_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comparison of its own in every row."""
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    keys = C.with_formula(part, "crit", '=">="&[p_partkey]', errors=False)
+    return C.conditional_column(keys, "n", "COUNTIF", "=[crit]", part, "p_retailprice").select("p_partkey", "n")
+
+
+@_query(
+    "fill_recursive",
+    f"SELECT o_orderkey, {_half('bal', 2)} AS bal, pow(2, nr - 1) AS twice FROM (SELECT o_orderkey, row_number() OVER w AS nr, 100 + sum(CASE WHEN first THEN 0 ELSE p END) OVER w AS bal FROM (SELECT o_custkey, o_orderkey, o_totalprice::DOUBLE - 5 AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS first FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+)
+def fill_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that refer to their own cell above: a running balance and a doubling."""
+    df = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    where = {"order": ["o_orderkey"], "by": ["o_custkey"]}
+    df = C.recur(df, "b", "=B1+A2-5", "B", 100.0, columns={"A": "o_totalprice"}, **where)
+    df = C.recur(df, "twice", "=C1*2", "C", 1.0, columns={}, **where)
+    return C.with_formula(df, "bal", "=ROUND([b],2)", errors=False).select("o_orderkey", "bal", "twice")
+
+
+_columns(
+    "fn_more",
+    "orders",
+    ["o_orderkey"],
+    {"c": '=CONCATENATE([o_orderstatus],"-",[o_custkey],TRUE)', "s": "=SECOND([o_orderkey]/86400)", "at": "=@[o_custkey]+0", "un": "=-(+[o_custkey])%"},
+    {"c": "o_orderstatus || '-' || o_custkey || 'TRUE'", "s": "(o_orderkey % 60)::DOUBLE", "at": "o_custkey::DOUBLE", "un": "-o_custkey::DOUBLE / 100"},
+)
+_columns(
+    "fn_random",
+    "orders",
+    ["o_orderkey"],
+    {"whole": "=MOD(RANDBETWEEN(3,9),1)=0", "low": "=RANDBETWEEN(5,12)>=5", "high": "=RANDBETWEEN(5,12)<=12", "part": "=INT(RAND())"},
+    {"whole": "true", "low": "true", "high": "true", "part": "0.0::DOUBLE"},
+    seed=11,
+)
+
+
 QUERIES |= files.QUERIES
 SQL |= files.SQL
