@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import new_path
-from ..sources.cells import delimited_table, files, formats, inferred, read_cells, read_metadata, to_table, with_colors
+from ..sources.cells import delimited_table, files, formats, inferred, read_cells, read_images, read_metadata, to_table, with_colors
 from ..sources.detect import open_workbook
 from ..sources.model import Cell
 from ..sources.samples import ods, package, xlsb, xlsx_of_xml
@@ -150,14 +150,26 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_partkey").cast("long").alias("p_partkey"), "note", "size", "even")
 
 
-@_query("SELECT p_partkey::DOUBLE AS k, p_name || ' line' AS a, 'line, ' || p_size AS b FROM part")
+@_query(
+    "SELECT p_partkey::DOUBLE AS k, p_name || ' line' AS a, 'line, ' || p_size AS b, false AS broken FROM part UNION ALL SELECT p_partkey::DOUBLE, p_name || chr(10) || ' line', 'line, ' || p_size, true FROM part"
+)
 def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of delimited text by the splitting reader."""
-    folder = new_path(spark, "csv-table")
+    """Folders of delimited text by the splitting reader, and with line breaks in fields."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    p.select(F.concat(F.col("p_partkey"), F.lit(',"'), F.col("p_name"), F.lit(' line","line, '), F.col("p_size"), F.lit('"')).alias("value")).write.text(folder)
-    t = delimited_table(spark, folder)
-    return t.select(F.col("A.n").alias("k"), F.col("B.s").alias("a"), F.col("C.s").alias("b"))
+    out = None
+    for broken in (False, True):
+        folder = new_path(spark, "csv-table")
+        p.select(F.concat(F.col("p_partkey"), F.lit(',"'), F.col("p_name"), F.lit("\n line" if broken else " line"), F.lit('","line, '), F.col("p_size"), F.lit('"')).alias("value")).write.text(folder)
+        t = delimited_table(spark, folder, line_breaks=broken)
+        rows = t.select(F.col("A.n").alias("k"), F.col("B.s").alias("a"), F.col("C.s").alias("b"), F.lit(broken).alias("broken"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_query("SELECT * FROM (VALUES ('One', 'B2', '89504e47')) v(sheet, ref, content)")
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of a workbook as binary columns."""
+    return read_images(_one(spark, _full_book())).select("sheet", "ref", F.lower(F.hex("content")).alias("content"))
 
 
 @_query("SELECT * FROM (VALUES ('a', 'xlsx'), ('b', 'ods'), ('c', 'xlsb'), ('d', 'csv'), ('e', NULL), ('f', NULL), ('g', 'csv'), ('h', 'ods')) v(path, format)")

@@ -6,7 +6,6 @@ Large delimited text goes through Spark's own splitting reader and is typed by e
 
 from __future__ import annotations
 
-import base64
 import itertools
 import json
 from collections.abc import Iterator
@@ -77,11 +76,24 @@ def read_cells(files_: DataFrame, sheet: str | None = None, strict: bool = True)
 
 
 def _plain(x: object) -> object:
-    return base64.b64encode(x).decode() if isinstance(x, bytes) else x
+    return {"size": len(x)} if isinstance(x, bytes) else x
+
+
+def read_images(files_: DataFrame) -> DataFrame:
+    """path, sheet, ref (the anchor's first cell), name and content of each picture, a file's pictures one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s in open_workbook(content).sheets:
+                    for ref, data in s.meta.get("image", []):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([s.name]), pa.array([ref]), pa.array([data["name"]]), pa.array([data["bytes"]], pa.binary())], names=["path", "sheet", "ref", "name", "content"])
+
+    return files_.select("path", "content").mapInArrow(run, "path string, sheet string, ref string, name string, content binary")
 
 
 def read_metadata(files_: DataFrame) -> DataFrame:
-    """Everything but cells: a row per sheet, name, merge, link, comment, table, column, validation, image and so on; ``data`` is JSON."""
+    """Everything but cells: a row per sheet, name, merge, link, comment, table, column, validation, image (``read_images`` has the bytes) and so on; ``data`` is JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +171,10 @@ def inferred(s: Column) -> Column:
     return F.struct(kind.alias("type"), F.when(kind == "number", x).alias("n"), F.when(kind == "string", s).alias("s"), F.when(kind == "boolean", F.lower(s) == "true").alias("b"))
 
 
-def delimited_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Delimited text of any size: each field with its own type, by Spark's splitting reader (no line breaks within fields)."""
-    raw = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path, header=False, inferSchema=False)
+def delimited_table(spark: SparkSession, path: str, delimiter: str = ",", line_breaks: bool = False) -> DataFrame:
+    """Delimited text of any size: each field with its own type, by Spark's splitting reader.
+
+    ``line_breaks``: fields may have some; then a file isn't split, but streamed by one task.
+    """
+    raw = spark.read.option("multiLine", line_breaks).option("sep", delimiter).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path, header=False, inferSchema=False)
     return raw.select(*[inferred(F.col(c)).alias(format_cell(i, 1)[:-1]) for i, c in enumerate(raw.columns, 1)])

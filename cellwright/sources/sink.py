@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import itertools
 import os
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 from urllib.request import url2pathname
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +18,34 @@ from .model import Cell
 from .writer import SheetInput, WorkbookInput, _by_row, write_xlsx
 
 
-def _cell(row: int, col: int, kind: str, n: object, s: object, b: object, err: object, t: object, formula: object) -> Cell:
-    null = lambda x: None if x is None or x is pd.NaT or x != x else x
-    v = {"number": null(n), "string": null(s), "boolean": None if null(b) is None else bool(b), "error": null(err), "date": t.to_pydatetime() if isinstance(t, pd.Timestamp) else null(t)}.get(kind)
-    return Cell(int(row), int(col), kind, v, null(formula))
+_COLUMNS = ["path", "sheet_index", "sheet", "row", "col", "type", "n", "s", "b", "err", "t", "formula"]
+_VALUE = {"number": 6, "string": 7, "boolean": 8, "error": 9, "date": 10}
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+
+def _cell(r: tuple) -> Cell:
+    at = _VALUE.get(r[5])
+    return Cell(r[3], r[4], r[5], None if at is None else r[at], r[11])
 
 
 def render(cells: DataFrame) -> DataFrame:
-    """(path, content): one workbook for each ``path``, rendered by one task each.  A workbook must fit into a task."""
+    """(path, content): one workbook for each ``path``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sheet_index", "row", "col"])
-        sheets = []
-        for name, own in pdf.groupby("sheet", sort=False):
-            found = [_cell(*x) for x in zip(*[own[c] for c in ("row", "col", "type", "n", "s", "b", "err", "t", "formula")], strict=True)]
-            sheets.append(SheetInput(name, _by_row(found)))
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [write_xlsx(WorkbookInput(sheets))]})
+    Cells come to a task in their order and are written as they come, so that a task holds a workbook's compressed bytes only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, own in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+            sheets = (SheetInput(sheet, _by_row(map(_cell, some)), streamed=True) for (_, sheet), some in itertools.groupby(own, key=lambda r: r[1:3]))
+            content = write_xlsx(WorkbookInput(sheets))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
 
-    columns = ["path", "sheet", "sheet_index", "row", "col", "type", "n", "s", "b", "err", "t", "formula"]
-    return cells.select(*columns).groupBy("path").applyInPandas(run, "path string, content binary")
+    ordered = cells.select(*_COLUMNS).repartition("path").sortWithinPartitions("path", "sheet_index", "sheet", "row", "col")
+    return ordered.mapInArrow(run, "path string, content binary")
 
 
 def cells_of_table(df: DataFrame, order: list[str], path: str, sheet: str = "Sheet1", rows: int = MAX_ROW - 1) -> DataFrame:
@@ -93,6 +101,3 @@ def save(rendered: DataFrame, spark: SparkSession) -> None:
         stream = target.getFileSystem(conf).create(target, True)
         stream.write(bytearray(r.content))
         stream.close()
-
-
-__all__ = ["cells_of_table", "dt", "render", "save"]

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import itertools
 import re
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from xml.sax.saxutils import escape, quoteattr
 
 from ..errors import WorkbookError
 from ..functions.refs import MAX_COL, MAX_ROW, canonical_range, column_letters, datetime_to_serial, format_cell, overlaps
-from .model import Cell, Sheet, Workbook
+from .model import Cell, Workbook
 from .package import escape_text
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+#: Content of a part: whole, or in pieces of text.
+Content = str | bytes | Iterator[str]
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 #: Enumerations of the format.
 VALIDATION_TYPES = ("none", "whole", "decimal", "list", "date", "time", "textLength", "custom")
@@ -55,11 +58,12 @@ class SheetInput:
     page_setup: dict | None = None
     print_options: dict | None = None
     header_footer: dict | None = None
+    streamed: bool = False  # write rows as they come
 
 
 @dataclass
 class WorkbookInput:
-    sheets: list[SheetInput]
+    sheets: Iterable[SheetInput]
     names: list[dict] = field(default_factory=list)  # name, refers_to, sheet_index, hidden
     #: Styles by number: dictionaries with format; bold, italic, strike, underline, color, font, size; fill; border; align, valign, wrap,
     #: shrink, indent, rotation; locked, hidden.
@@ -203,29 +207,39 @@ class Styles:
 # --- cells ----------------------------------------------------------------------------------------
 
 
+#: What a text can't have if it is to be written as it is.
+_SPECIAL = re.compile("[&<>\x00-\x1f\\ufffe\\uffff\\ud800-\\udfff]|_x|^\\s|\\s\\Z")
+
+
+def _text(name: str, s: str) -> str:
+    return text_tag(name, s) if _SPECIAL.search(s) else f"<{name}>{s}</{name}>"
+
+
 def cell_xml(c: Cell, style: int, date1904: bool) -> str:
-    a: dict[str, object] = {"r": format_cell(c.col, c.row), "s": style or None}
+    ref = f"{column_letters(c.col)}{c.row}"
+    head = f'<c r="{ref}" s="{style}"' if style else f'<c r="{ref}"'
     v, kind = c.value, c.type
     if kind == "date":
-        need(isinstance(v, dt.datetime), f"{a['r']}: not a date")
+        need(isinstance(v, dt.datetime), f"{ref}: not a date")
         v, kind = datetime_to_serial(v, date1904), "number"
     formula = ""
     if c.formula is not None:
         body = c.formula.removeprefix("=")
-        need(0 < len(body) <= 8192, f"{a['r']}: a formula has 1 to 8192 characters")
-        formula = text_tag("f", body)
-    if kind == "empty":
-        return tag("c", a, formula)
+        need(0 < len(body) <= 8192, f"{ref}: a formula has 1 to 8192 characters")
+        formula = _text("f", body)
     if kind == "number":
-        need(isinstance(v, (int, float)) and v - v == 0, f"{a['r']}: not a finite number")
-        return tag("c", a, f"{formula}<v>{number(float(v))}</v>")
+        need(isinstance(v, (int, float)) and v - v == 0, f"{ref}: not a finite number")
+        return f"{head}>{formula}<v>{number(float(v))}</v></c>"
+    if kind == "string":
+        need(isinstance(v, str), f"{ref}: not a text")
+        need(len(v) <= 32767, f"{ref}: text of more than 32767 characters")
+        return f'{head} t="str">{formula}{_text("v", v)}</c>' if formula else f'{head} t="inlineStr"><is>{_text("t", v)}</is></c>'
+    if kind == "empty":
+        return f"{head}>{formula}</c>" if formula else f"{head}/>"
     if kind == "boolean":
-        return tag("c", a | {"t": "b"}, f"{formula}<v>{int(bool(v))}</v>")
-    if kind == "error":
-        return tag("c", a | {"t": "e"}, f"{formula}{text_tag('v', str(v))}")
-    need(kind == "string" and isinstance(v, str), f"{a['r']}: unknown type {kind!r}")
-    need(len(v) <= 32767, f"{a['r']}: text of more than 32767 characters")
-    return tag("c", a | {"t": "str"}, formula + text_tag("v", v)) if formula else tag("c", a | {"t": "inlineStr"}, f"<is>{text_tag('t', v)}</is>")
+        return f'{head} t="b">{formula}<v>{int(bool(v))}</v></c>'
+    need(kind == "error", f"{ref}: unknown type {kind!r}")
+    return f'{head} t="e">{formula}{_text("v", str(v))}</c>'
 
 
 def rows_xml(s: SheetInput, styles: Styles, date1904: bool, seen: dict) -> Iterator[str]:
@@ -245,10 +259,11 @@ def rows_xml(s: SheetInput, styles: Styles, date1904: bool, seen: dict) -> Itera
             yield tag("row", {"r": other} | properties(other))
         last, col, out = row, 0, []
         for c in cells:
-            need(c.row == row and col < c.col <= MAX_COL, f"{row}: cells are out of order or off the grid")
+            if not (c.row == row and col < c.col <= MAX_COL):
+                fail(f"{row}: cells are out of order or off the grid")
             col = c.col
             out.append(cell_xml(c, styles.of(c), date1904))
-            if any(r[1] == row and r[0] <= c.col <= r[2] for r in headers):
+            if headers and any(r[1] == row and r[0] <= c.col <= r[2] for r in headers):
                 seen.setdefault("headers", {})[row, c.col] = c.value
         if cells:
             lo, hi = seen.get("columns", (cells[0].col, col))
@@ -345,58 +360,71 @@ def _validations(s: SheetInput) -> str:
     return f'<dataValidations count="{len(out)}">{"".join(out)}</dataValidations>' if out else ""
 
 
-def _sheet_parts(s: SheetInput, index: int, styles: Styles, parts: _Parts, date1904: bool) -> Iterator[tuple[str, str | bytes]]:
-    """(part name, content) of a sheet and all that hangs on it."""
+def _sheet_parts(s: SheetInput, index: int, styles: Styles, parts: _Parts, date1904: bool) -> Iterator[tuple[str, Content]]:
+    """(part name, content) of a sheet and all that hangs on it.  A streamed sheet's part comes in pieces, without its dimension."""
     seen: dict = {}
     name = f"xl/worksheets/sheet{index}.xml"
     before, merges = _before_data(s), _merges(s)
-    data = "".join(rows_xml(s, styles, date1904, seen))
     relations: list[tuple[str, str, bool]] = []
+    extra: list[tuple[str, str | bytes]] = []
 
     def relate(kind: str, target: str, external: bool = False) -> str:
         relations.append((kind, target, external))
         return f"rId{len(relations)}"
 
-    after = [tag("sheetProtection", {"sheet": True} | s.protection) if s.protection is not None else ""]
-    if s.autofilter:
-        _range(s.autofilter, "autofilter")
-        after.append(tag("autoFilter", {"ref": s.autofilter}))
-    after += [merges, _conditional(s, styles), _validations(s)]
-    links = []
-    for h in s.hyperlinks:
-        _range(h["ref"], "hyperlink")
-        if h.get("target") or h.get("location"):
-            links.append(tag("hyperlink", {"ref": h["ref"], "r:id": relate("hyperlink", h["target"], True) if h.get("target") else None, "location": h.get("location"), "tooltip": h.get("tooltip"), "display": h.get("display")}))
-    after.append(f"<hyperlinks>{''.join(links)}</hyperlinks>" if links else "")
-    after.append(tag("printOptions", s.print_options) if s.print_options else "")
-    if s.margins:
-        need(all(0 <= float(v) <= 49 for v in s.margins.values()), "a margin is 0 to 49")
-        after.append(tag("pageMargins", {k: float(s.margins.get(k, 0.7)) for k in ("left", "right", "top", "bottom", "header", "footer")}))
-    if s.page_setup:
-        need(10 <= int(s.page_setup.get("scale", 100)) <= 400, "a scale is 10 to 400")
-        after.append(tag("pageSetup", s.page_setup))
-    if s.header_footer:
-        after.append(f"<headerFooter>{''.join(text_tag(k, s.header_footer[k]) for k in ('oddHeader', 'oddFooter', 'evenHeader', 'evenFooter') if k in s.header_footer)}</headerFooter>")
-    extra: list[tuple[str, str | bytes]] = []
-    if s.images:
-        n = parts.next("drawing")
-        after.append(tag("drawing", {"r:id": relate("drawing", f"../drawings/drawing{n}.xml")}))
-        extra += _drawing(s, n, parts)
-    if s.comments:
-        n = parts.next("comments")
-        relate("comments", f"../comments{n}.xml")
-        after.append(tag("legacyDrawing", {"r:id": relate("vmlDrawing", f"../drawings/vmlDrawing{n}.vml")}))
-        extra += _comments(s, n, parts)
-    tables = []
-    for t in s.tables:
-        n = parts.next("table")
-        tables.append(tag("tablePart", {"r:id": relate("table", f"../tables/table{n}.xml")}))
-        extra.append((f"xl/tables/table{n}.xml", _table(t, n, seen, parts, s)))
-        parts.types[f"/xl/tables/table{n}.xml"] = "application/vnd.openxmlformats-officedocument.spreadsheetml.table+xml"
-    after.append(f'<tableParts count="{len(tables)}">{"".join(tables)}</tableParts>' if tables else "")
-    size = f"{format_cell(seen['columns'][0], seen['rows'][0])}:{format_cell(seen['columns'][1], seen['rows'][1])}" if "columns" in seen else "A1"
+    def after_data() -> str:
+        after = [tag("sheetProtection", {"sheet": True} | s.protection) if s.protection is not None else ""]
+        if s.autofilter:
+            _range(s.autofilter, "autofilter")
+            after.append(tag("autoFilter", {"ref": s.autofilter}))
+        after += [merges, _conditional(s, styles), _validations(s)]
+        links = []
+        for h in s.hyperlinks:
+            _range(h["ref"], "hyperlink")
+            if h.get("target") or h.get("location"):
+                links.append(tag("hyperlink", {"ref": h["ref"], "r:id": relate("hyperlink", h["target"], True) if h.get("target") else None, "location": h.get("location"), "tooltip": h.get("tooltip"), "display": h.get("display")}))
+        after.append(f"<hyperlinks>{''.join(links)}</hyperlinks>" if links else "")
+        after.append(tag("printOptions", s.print_options) if s.print_options else "")
+        if s.margins:
+            need(all(0 <= float(v) <= 49 for v in s.margins.values()), "a margin is 0 to 49")
+            after.append(tag("pageMargins", {k: float(s.margins.get(k, 0.7)) for k in ("left", "right", "top", "bottom", "header", "footer")}))
+        if s.page_setup:
+            need(10 <= int(s.page_setup.get("scale", 100)) <= 400, "a scale is 10 to 400")
+            after.append(tag("pageSetup", s.page_setup))
+        if s.header_footer:
+            after.append(f"<headerFooter>{''.join(text_tag(k, s.header_footer[k]) for k in ('oddHeader', 'oddFooter', 'evenHeader', 'evenFooter') if k in s.header_footer)}</headerFooter>")
+        if s.images:
+            n = parts.next("drawing")
+            after.append(tag("drawing", {"r:id": relate("drawing", f"../drawings/drawing{n}.xml")}))
+            extra.extend(_drawing(s, n, parts))
+        if s.comments:
+            n = parts.next("comments")
+            relate("comments", f"../comments{n}.xml")
+            after.append(tag("legacyDrawing", {"r:id": relate("vmlDrawing", f"../drawings/vmlDrawing{n}.vml")}))
+            extra.extend(_comments(s, n, parts))
+        tables = []
+        for t in s.tables:
+            n = parts.next("table")
+            tables.append(tag("tablePart", {"r:id": relate("table", f"../tables/table{n}.xml")}))
+            extra.append((f"xl/tables/table{n}.xml", _table(t, n, seen, parts, s)))
+            parts.types[f"/xl/tables/table{n}.xml"] = "application/vnd.openxmlformats-officedocument.spreadsheetml.table+xml"
+        after.append(f'<tableParts count="{len(tables)}">{"".join(tables)}</tableParts>' if tables else "")
+        return "".join(after)
+
     parts.types["/" + name] = "application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"
-    yield name, f'{HEAD}<worksheet xmlns="{MAIN}" xmlns:r="{REL}"><dimension ref="{size}"/>{before}<sheetData>{data}</sheetData>{"".join(after)}</worksheet>'
+    root = f'{HEAD}<worksheet xmlns="{MAIN}" xmlns:r="{REL}">'
+
+    def pieces() -> Iterator[str]:
+        yield f"{root}{before}<sheetData>"
+        yield from rows_xml(s, styles, date1904, seen)
+        yield f"</sheetData>{after_data()}</worksheet>"
+
+    if s.streamed:
+        yield name, pieces()
+    else:
+        data = "".join(rows_xml(s, styles, date1904, seen))
+        size = f"{format_cell(seen['columns'][0], seen['rows'][0])}:{format_cell(seen['columns'][1], seen['rows'][1])}" if "columns" in seen else "A1"
+        yield name, f'{root}<dimension ref="{size}"/>{before}<sheetData>{data}</sheetData>{after_data()}</worksheet>'
     if relations:
         yield f"xl/worksheets/_rels/sheet{index}.xml.rels", _relations([(k, t, e) for k, t, e in relations])
     yield from extra
@@ -473,26 +501,36 @@ def _is_name(s: object) -> bool:
     return not re.fullmatch(r"[A-Za-z]{1,3}[0-9]{1,7}|[RrCc]|[Rr]\d*[Cc]\d*", s)
 
 
-def _check(book: WorkbookInput) -> None:
-    need(bool(book.sheets), "a workbook has a sheet")
-    need(any(s.state == "visible" for s in book.sheets), "a workbook has a visible sheet")
-    for s in book.sheets:
-        need(isinstance(s.name, str) and 1 <= len(s.name) <= 31 and not re.search(r"[\\/?*\[\]:\x00-\x1f]", s.name) and not (s.name.startswith("'") or s.name.endswith("'")), f"not a sheet name: {s.name!r}")
-        need(s.state in ("visible", "hidden", "veryHidden"), f"not a state: {s.state!r}")
-    need(len({s.name.upper() for s in book.sheets}) == len(book.sheets), "two sheets have one name")
-    keys = [(n.get("sheet_index"), n["name"].upper()) for n in book.names]
+def _check_sheet(s: SheetInput) -> None:
+    need(isinstance(s.name, str) and 1 <= len(s.name) <= 31 and not re.search(r"[\\/?*\[\]:\x00-\x1f]", s.name) and not (s.name.startswith("'") or s.name.endswith("'")), f"not a sheet name: {s.name!r}")
+    need(s.state in ("visible", "hidden", "veryHidden"), f"not a state: {s.state!r}")
+
+
+def _check(sheets: list[SheetInput], given: list[dict]) -> None:
+    need(bool(sheets), "a workbook has a sheet")
+    need(any(s.state == "visible" for s in sheets), "a workbook has a visible sheet")
+    need(len({s.name.upper() for s in sheets}) == len(sheets), "two sheets have one name")
+    keys = [(n.get("sheet_index"), n["name"].upper()) for n in given]
     need(len(set(keys)) == len(keys), "two names are the same")
-    for n in book.names:
+    for n in given:
         need(_is_name(n["name"]) or n["name"].startswith("_xlnm."), f"not a name: {n['name']!r}")
-        need(n.get("sheet_index") is None or 0 <= n["sheet_index"] < len(book.sheets), "a name's sheet doesn't exist")
+        need(n.get("sheet_index") is None or 0 <= n["sheet_index"] < len(sheets), "a name's sheet doesn't exist")
 
 
-def workbook_parts(book: WorkbookInput) -> Iterator[tuple[str, str | bytes]]:
-    """All parts: sheets first, then what is known only after them."""
-    _check(book)
+def workbook_parts(book: WorkbookInput) -> Iterator[tuple[str, Content]]:
+    """All parts: sheets first, then what is known only after them.  Sheets may come one by one; a list is checked before any is written."""
+    if isinstance(book.sheets, list):
+        for s in book.sheets:
+            _check_sheet(s)
+        _check(book.sheets, book.names)
     styles, parts = Styles(book.styles), _Parts()
-    for i, s in enumerate(book.sheets, 1):
-        yield from _sheet_parts(s, i, styles, parts, book.date1904)
+    done: list[SheetInput] = []
+    for s in book.sheets:
+        _check_sheet(s)
+        done.append(s)
+        yield from _sheet_parts(s, len(done), styles, parts, book.date1904)
+    _check(done, book.names)
+    book = replace(book, sheets=done)
     names = list(book.names)
     for i, s in enumerate(book.sheets):
         if s.autofilter:
@@ -525,7 +563,12 @@ def write_xlsx(book: WorkbookInput, out: io.IOBase | None = None) -> bytes | Non
         for name, content in workbook_parts(book):
             info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
             info.compress_type, info.external_attr, info.create_system = zipfile.ZIP_DEFLATED, 0, 0
-            z.writestr(info, content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content)
+            if isinstance(content, (str, bytes)):
+                z.writestr(info, content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content)
+                continue
+            with z.open(info, "w") as f:
+                for piece in content:
+                    f.write(piece.encode("utf-8", "surrogatepass"))
     return None if out else buffer.getvalue()
 
 
@@ -567,8 +610,9 @@ def from_workbook(book: Workbook) -> WorkbookInput:
     return WorkbookInput(sheets, list(names.values()), book.meta.get("styles") or [{"format": f} if f else {} for f in book.formats], protection=next(iter(book.meta.get("protection", [])), None), date1904=bool(book.meta.get("date1904", [False])[0]), theme=next((t["xml"] for t in book.meta.get("theme", [])), None))
 
 
-def _by_row(cells: list[Cell]) -> Iterator[tuple[int, list[Cell]]]:
-    return Workbook("", [Sheet("x", cells=cells)]).rows("x")
+def _by_row(cells: Iterable[Cell]) -> Iterator[tuple[int, list[Cell]]]:
+    for row, own in itertools.groupby(cells, key=lambda c: c.row):
+        yield row, list(own)
 
 
 def crc32(data: bytes) -> int:

@@ -37,7 +37,7 @@ class _Sheet:
     def __init__(self, strings: list[str], dates: list[bool], date1904: bool) -> None:
         self.strings, self.dates, self.date1904 = strings, dates, date1904
         self.rest, self.cells = Builder(), []
-        self.row, self.col, self.depth = 0, 0, 0
+        self.row, self.col, self.depth, self.row_text = 0, 0, 0, "0"
         self.inside, self.cell, self.taking, self.done = False, None, None, False
         self.column_styles: list[tuple[int, int, int]] = []
         self.row_style: int | None = None
@@ -45,7 +45,8 @@ class _Sheet:
         self.masters: dict[str, tuple[str, int, int]] = {}
 
     def open(self, name: str, a: dict[str, str]) -> None:
-        name = local(name)
+        if ":" in name:
+            name = local(name)
         if not self.inside:
             if name == "sheetData":
                 self.inside = True
@@ -53,51 +54,53 @@ class _Sheet:
             if name == "col" and self.rest.stack[-1].name == "cols" and "style" in a:
                 self.column_styles.append((_int(a.get("min"), 1), _int(a.get("max"), 1), _int(a["style"], 0)))
             self.rest.open(name, a)
-            return
-        if name == "row":
-            self.row = _int(a.get("r"), self.row + 1)
-            self.col = 0
-            self.row_style = _int(a["s"], 0) if a.get("customFormat") in ("1", "true") and "s" in a else None
-            extra = {k: v for k, v in a.items() if k not in ("r", "spans", "s", "customFormat") and ":" not in k}
-            if extra:
-                self.rows.append((self.row, extra))
         elif name == "c":
             self.col += 1
-            if "r" in a:
+            ref = a.get("r")
+            if ref is not None and ref != column_letters(self.col) + self.row_text:
                 try:
-                    self.col, self.row = parse_cell(a["r"])
+                    self.col, self.row = parse_cell(ref)
+                    self.row_text = str(self.row)
                 except WorkbookError:
                     pass
-            self.cell = {"t": a.get("t", "n"), "s": a.get("s"), "v": "", "f": None, "fa": {}, "runs": []}
+            self.cell = {"t": a.get("t", "n"), "s": a.get("s"), "v": "", "f": None, "fa": a, "runs": None}
+        elif name == "row":
+            self.row = _int(a.get("r"), self.row + 1)
+            self.col, self.row_text = 0, str(self.row)
+            self.row_style = _int(a["s"], 0) if a.get("customFormat") in ("1", "true") and "s" in a else None
+            extra = {k: v for k, v in a.items() if k not in ("r", "spans", "s", "customFormat") and ":" not in k}
+            if extra:
+                self.rows.append((self.row, extra))
+        elif name == "rPh":
+            self.taking = None
+            self.depth += 1
         elif self.cell is not None and name in ("v", "f", "t"):
             self.taking = name
             if name == "f":
                 self.cell["f"], self.cell["fa"] = "", a
-        elif name == "rPh":
-            self.taking = None
-            self.depth += 1
 
     def close(self, name: str) -> None:
-        name = local(name)
+        if ":" in name:
+            name = local(name)
         if not self.inside:
             self.rest.close(name)
-        elif name == "sheetData":
-            self.inside, self.done = False, True
-        elif name == "c" and self.cell is not None:
-            if self.row <= MAX_ROW and self.col <= MAX_COL:
+        elif name == "c":
+            if self.cell is not None and self.row <= MAX_ROW and self.col <= MAX_COL:
                 self.cells.append(self.decode(self.cell))
             self.cell = None
-        elif name == "rPh":
-            self.depth -= 1
         elif name in ("v", "f", "t"):
             self.taking = None
+        elif name == "sheetData":
+            self.inside, self.done = False, True
+        elif name == "rPh":
+            self.depth -= 1
 
     def text(self, s: str) -> None:
         if not self.inside:
             self.rest.data(s)
         elif self.cell is not None and self.taking and not self.depth:
             if self.taking == "t":
-                self.cell["runs"].append(s)
+                self.cell["runs"] = (self.cell["runs"] or "") + s
             else:
                 self.cell[self.taking] += s
 
@@ -107,7 +110,7 @@ class _Sheet:
             return _int(own, 0)
         if self.row_style is not None:
             return self.row_style
-        return next((s for a, b, s in self.column_styles if a <= self.col <= b), 0)
+        return next((s for a, b, s in self.column_styles if a <= self.col <= b), 0) if self.column_styles else 0
 
     def formula(self, c: dict) -> str | None:
         if c["f"] is None or c["fa"].get("t") == "dataTable":
@@ -128,13 +131,13 @@ class _Sheet:
         return body or None
 
     def decode(self, c: dict) -> Cell:
-        kind, v, style, formula = c["t"], c["v"], self.style(c["s"]), self.formula(c)
+        kind, v, style, formula = c["t"], c["v"], self.style(c["s"]), None if c["f"] is None else self.formula(c)
         at = (self.row, self.col)
         if kind == "s":
             i = _int(v, -1)
             return Cell(*at, "string", self.strings[i], formula, style) if 0 <= i < len(self.strings) else Cell(*at, "empty", None, formula, style)
         if kind == "inlineStr":
-            return Cell(*at, "string", unescape_text("".join(c["runs"])), formula, style)
+            return Cell(*at, "string", unescape_text(c["runs"] or ""), formula, style)
         if kind == "str":
             return Cell(*at, "string", unescape_text(v), formula, style)
         if kind == "b":
