@@ -1,6 +1,7 @@
 """Suffix-array dedup: removes bytes covered by 100-byte strings that start earlier in the corpus.
 
-Order is by doc_id (null first), then by 24 bits of a hash of the text where ids repeat, then by start.  All strings of
+Order is by doc_id (null first), then by the text's digest where ids repeat, then by start.  Where ids are whole numbers and each
+has one text, they are the documents' numbers; else rows of an id and a digest are numbered in that order.  All strings of
 ``WINDOW`` bytes that occur at several places keep their earliest place; every byte of the others is removed.
 
 1. Anchors.  In each window the smallest hashed 32-byte substring (leftmost of equals) is its
@@ -16,7 +17,8 @@ Order is by doc_id (null first), then by 24 bits of a hash of the text where ids
 4. An anchor with more than ``MOST_PIECES`` different pieces is cut into single windows, which step 2
    settles: such pieces are groups of any size, and equal windows meet by partial aggregation.
 
-Every step is a join or aggregation by hash; no task holds more than one bounded chunk of pieces.
+Every step is a join or aggregation by hash; no task holds more than one bounded chunk of pieces.  Anchors that make up
+more than a thousandth of all are dealt to ``SALTS`` tasks.  Ids, digests and repeated pieces are written when a plan is built.
 Null texts are empty.  Rows repeated in id and text are one document: they remove nothing from one another
 and get equal results.  An empty table gives an empty result.
 """
@@ -32,8 +34,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ..plans.scratch import materialize
+from ..plans.fills import numbered
+from ..plans.scratch import materialize, scratch
 from .common import BYTE_VALUE, mix, prefix_hash, span_hash, sub_batches, text_bytes
 
 WINDOW = 100
@@ -41,7 +45,10 @@ ANCHOR = 32
 MOST_PIECES = 16_000
 #: Bytes of pieces that are merged at once, and shards they are dealt to.
 CHUNK, SHARDS = 1 << 17, 8
-_PLACE = 30  # bits for the place in a batch
+#: Bits for the place in a batch, which is one text at least: Spark's strings have less than 2 GB.
+_PLACE = 31
+#: Tasks that an anchor is dealt to, if it is one of those that make up more than this share of all, and than so many rows.
+SALTS, HOT, HOT_ROWS = 64, 0.001, 10_000
 
 
 # --- anchors ---------------------------------------------------------------------------------------
@@ -52,8 +59,6 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, windo
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) < window:
         return none
-    if len(data) >> _PLACE:
-        raise ValueError("a text of more than 1 GB")
     prefix = prefix_hash(BYTE_VALUE[data])
     at = np.arange(len(data) - anchor + 1)
     h = span_hash(prefix, at, at + anchor)
@@ -186,12 +191,12 @@ def _windows_by_value(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.
 def foreign_windows(pieces: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece and offset of the windows that occur earlier in another piece.
 
-    ``owner`` has a row (doc, hash, start) for each piece: its earliest place.
+    ``owner`` has a row (doc, start) for each piece: its earliest place.
     """
     block, piece, offset = shared_windows(pieces)
     if not len(block):
         return piece, offset
-    order = np.lexsort((owner["start"][piece] + offset, owner["th"][piece], owner["did"][piece], block))
+    order = np.lexsort((owner["start"][piece] + offset, owner["doc"][piece], block))
     block, piece, offset = block[order], piece[order], offset[order]
     later = np.append(False, block[1:] == block[:-1])
     return piece[later], offset[later]
@@ -199,12 +204,22 @@ def foreign_windows(pieces: list[bytes], owner: np.ndarray) -> tuple[np.ndarray,
 
 # --- Spark -----------------------------------------------------------------------------------------
 
-_NULL_ID = -(2**63)
 
-
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, doc_id, text) of every row, and (doc, same) of every document: its number and the digest of its text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.shiftrightunsigned(F.xxhash64(text), 40).alias("th"), text.alias("text"))
+    same = F.unhex(F.md5(text.cast("binary")))
+    ids = materialize(docs.select("doc_id", same.alias("same")), "suffix-ids")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        odd = ids.groupBy("doc_id").agg((F.min("same") < F.max("same")).alias("two")).where("two OR doc_id IS NULL")
+        if odd.isEmpty():
+            number = F.col("doc_id").cast("long")
+            return docs.select(number.alias("doc"), "doc_id", text.alias("text")), ids.select(number.alias("doc"), "same")
+    ids = materialize(numbered(ids.distinct(), ["doc_id", "same"], "doc"), "suffix-numbers")
+    known = ids.select(F.col("doc_id").alias("known_id"), F.col("same").alias("known_same"), "doc")
+    here = F.col("known_id").eqNullSafe(F.col("doc_id")) & (F.col("known_same") == F.col("same"))
+    rows = docs.select("doc_id", same.alias("same"), text.alias("text")).join(known, here)
+    return materialize(rows.select("doc", "doc_id", "text"), "suffix-rows"), ids.select("doc", "same")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +234,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor, document, and in one number: the document's hash, first window and number of windows."""
+    """Anchor, document, and in one number: first window and number of windows."""
     for batch in sub_batches(batches, "text"):
-        data, offsets = text_bytes(batch.column(2))
+        data, offsets = text_bytes(batch.column(1))
         key, start, n = pieces_of(data, offsets)
         doc = np.searchsorted(offsets, start, side="right") - 1
-        th = batch.column(1).to_numpy()[doc]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(th << 38 | (start - offsets[doc]) << 8 | n)], names=["key", "did", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array((start - offsets[doc]) << 8 | n)], names=["key", "doc", "at"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +248,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "text"):
         data, offsets = text_bytes(batch.column(2))
         raw, off = data.tobytes(), offsets.tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(raw[a:b]) for a, b in itertools.pairwise(off)], pa.binary())], names=["did", "th", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(raw[a:b]) for a, b in itertools.pairwise(off)], pa.binary())], names=["doc", "doc_id", "z"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -249,8 +263,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterato
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of each document that its list ``at`` names."""
     for batch in sub_batches(_unpacked(batches), "text"):
-        data, offsets = text_bytes(batch.column(2))
-        lists = batch.column(3)
+        data, offsets = text_bytes(batch.column(1))
+        lists = batch.column(2)
         flat, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
         doc = np.repeat(np.arange(batch.num_rows), counts)
         start, n = flat >> 8, flat & 255
@@ -260,23 +274,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(bytes_)])
         # the anchor again, from the piece itself: all its windows have the same
         key = pieces_of(bytes_, np.append(0, ends))[0].view(np.int64)
-        own = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(key), binary, batch.column(0).take(own), batch.column(1).take(own), pa.array(start)], names=["key", "piece", "did", "th", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), binary, batch.column(0).take(pa.array(doc)), pa.array(start)], names=["key", "piece", "doc", "start"])
 
 
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of pieces, one by one."""
     for batch in sub_batches(batches, "piece", 1 << 18):
-        rows = [(p[i : i + WINDOW], s + i) for p, s in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True) for i in range(len(p) - WINDOW + 1)]
+        rows = [(p[i : i + WINDOW], s + i) for p, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True) for i in range(len(p) - WINDOW + 1)]
         own = pa.array(np.repeat(np.arange(batch.num_rows), [len(p) - WINDOW + 1 for p in batch.column(0).to_pylist()]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), batch.column(1).take(own), batch.column(2).take(own), pa.array([r[1] for r in rows], pa.int64())], names=["w", "did", "th", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), batch.column(1).take(own), pa.array([r[1] for r in rows], pa.int64())], names=["w", "doc", "start"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by key; whole keys are gathered up to CHUNK bytes, plus one key of MOST_PIECES at most."""
 
     def settle(part: pa.Table) -> pa.RecordBatch:
-        owner = np.zeros(part.num_rows, dtype=[("did", "i8"), ("th", "i8"), ("start", "i8")])
+        owner = np.zeros(part.num_rows, dtype=[("doc", "i8"), ("start", "i8")])
         for name in owner.dtype.names:
             owner[name] = part.column(name).to_numpy()
         piece, offset = foreign_windows(part.column("piece").to_pylist(), owner)
@@ -284,7 +297,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, offset = piece[order], offset[order]
         new = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(piece) else np.zeros(0, np.int64)
         n = np.diff(np.append(new, len(piece)))
-        return pa.RecordBatch.from_arrays([pa.array(owner["did"][piece[new]]), pa.array(owner["th"][piece[new]]), pa.array((owner["start"][piece[new]] + offset[new]) << 8 | n)], names=["did", "th", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(owner["doc"][piece[new]]), pa.array((owner["start"][piece[new]] + offset[new]) << 8 | n)], names=["doc", "run"])
 
     held: list[pa.RecordBatch] = []
     for batch in sub_batches(batches, "piece", CHUNK // 4):
@@ -317,47 +330,58 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_spans = int(gone[0] if len(gone) else 0) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
             rows.append((len(text), int(gone.sum()), n_spans, text[~gone].tobytes()))
         n, removed, number, kept = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], names=["did", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def _found(d: DataFrame) -> DataFrame:
+    """(doc, at) of the pieces whose anchor occurs at different places of different texts."""
+    keys = d.select(F.xxhash64("text").alias("whole"), "text").mapInArrow(_keys, "key long, at long").groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
+    keys = materialize(keys.where("low < high").select("key", "n"), "suffix-keys")
+    found = d.select("doc", "text").mapInArrow(_anchors, "key long, doc long, at long")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = [r.key for r in keys.where(F.col("n") > max(total * HOT, HOT_ROWS)).select("key").collect()]  # at most 1 / HOT
+    if not hot:
+        return found.join(keys.select("key"), "key", "left_semi").select("doc", "at")
+    salted = found.withColumn("salt", F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(keys.select("key", F.explode(salts).alias("salt")), ["key", "salt"], "left_semi").select("doc", "at")
 
 
-def _repeats(docs: DataFrame, d: DataFrame, packed: DataFrame) -> DataFrame:
-    """By document (did, th): spans, pieces that are repeated in part; owns, starts of pieces that are the earliest;
+def _repeats(d: DataFrame, ids: DataFrame, packed: DataFrame) -> DataFrame:
+    """By document: spans, pieces that are repeated in part; owns, starts of pieces that are the earliest;
     runs, windows that occur earlier in another piece; copy, whether an earlier document is equal."""
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = whole.select("did", F.shiftrightunsigned(F.xxhash64("text"), 40).alias("th"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"))
-    firsts = whole.groupBy("same").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("same", "first")
-    copies = materialize(whole.join(firsts, "same").where(F.col("did") > F.col("first")).select("did", "th").distinct(), "suffix-copies")
-    keys = d.select(F.xxhash64("text").alias("whole"), "text").mapInArrow(_keys, "key long, at long").groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("key")
-    found = d.mapInArrow(_anchors, "key long, did long, at long").join(keys, "key", "left_semi")
-    anchors = found.select("did", F.shiftrightunsigned("at", 38).alias("th"), F.col("at").bitwiseAND(F.lit((1 << 38) - 1)).alias("at"))
-    spans = materialize(anchors.groupBy("did", "th").agg(F.collect_set("at").alias("spans")).join(copies, ["did", "th"], "left_anti"), "suffix-spans")
-    pieces = packed.join(spans, ["did", "th"]).select("did", "th", "z", "spans").mapInArrow(_cut, "key long, piece binary, did long, th long, start long")
-    earliest = F.min(F.struct("did", "th", "start")).alias("own")
+    firsts = ids.groupBy("same").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("same", "first")
+    copies = materialize(ids.join(firsts, "same").where(F.col("doc") > F.col("first")).select("doc").distinct(), "suffix-copies")
+    spans = materialize(_found(d).groupBy("doc").agg(F.collect_set("at").alias("spans")).join(copies, "doc", "left_anti"), "suffix-spans")
+    pieces = packed.select("doc", "z").join(spans, "doc").select("doc", "z", "spans").mapInArrow(_cut, "key long, piece binary, doc long, start long")
+    earliest = F.min(F.struct("doc", "start")).alias("own")
     different = materialize(pieces.groupBy("key", "piece").agg(earliest), "suffix-pieces").select("key", "piece", "own.*")
     shared = different.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     mixed = different.join(shared, "key")
-    merged = mixed.where(F.col("pieces") <= MOST_PIECES).select("key", "piece", "did", "th", "start").repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "did long, th long, run long")
-    single = mixed.where(F.col("pieces") > MOST_PIECES).select("piece", "did", "th", "start").mapInArrow(_singles, "w binary, did long, th long, start long")
-    owner = single.groupBy("w").agg(F.min(F.struct("did", "th", "start")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = single.join(owner, "w").where(F.struct("did", "th", "start") != F.col("o")).select("did", "th", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("run"))
-    runs = materialize(merged.union(later), "suffix-runs").groupBy("did", "th").agg(F.collect_list("run").alias("runs"))
-    owns = different.groupBy("did", "th").agg(F.collect_list("start").alias("owns"))
-    marks = spans.join(owns, ["did", "th"], "left").join(runs, ["did", "th"], "left").withColumn("copy", F.lit(False))
+    merged = mixed.where(F.col("pieces") <= MOST_PIECES).select("key", "piece", "doc", "start").repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, run long")
+    single = mixed.where(F.col("pieces") > MOST_PIECES).select("piece", "doc", "start").mapInArrow(_singles, "w binary, doc long, start long")
+    owner = single.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = single.join(owner, "w").where(F.struct("doc", "start") != F.col("o")).select("doc", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("run"))
+    runs = materialize(merged.union(later), "suffix-runs").groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    owns = different.groupBy("doc").agg(F.collect_list("start").alias("owns"))
+    marks = spans.join(owns, "doc", "left").join(runs, "doc", "left").withColumn("copy", F.lit(False))
     return marks.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that remain) of every row."""
-    d = _documents(docs)
-    packed = d.mapInArrow(_pack, "did long, th long, z binary")
-    marks = _repeats(docs, d, packed)
-    done = packed.join(marks, ["did", "th"], "left").select("did", "z", "spans", "owns", "runs", "copy")
-    out = done.mapInArrow(_remove, "did long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.nullif(F.col("did"), F.lit(_NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    d, ids = _documents(docs)
+    packed = d.mapInArrow(_pack, f"doc long, doc_id {kind}, z binary")
+    marks = _repeats(d.select("doc", "text"), ids, packed)
+    done = packed.join(marks, "doc", "left").select("doc_id", "z", "spans", "owns", "runs", "copy")
+    return done.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The rows of ``remove_repeats`` with a digest of what is kept; the intermediate tables have gone."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffix-report")
 
 
 def brute_force(texts: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int, str]]:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -7,8 +8,8 @@ from cellwright.llm import suffixes as S
 
 
 def by_hand(rows):
-    """Documents by id (null first) and text hash order are only known for distinct ids; repeated rows are one document."""
-    distinct = sorted({(i, t) for i, t, *_ in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    """Documents by id (null first) and digest; repeated rows are one document."""
+    distinct = sorted({(i, t) for i, t, *_ in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest()))
     return dict(zip(distinct, S.brute_force([(t or "").encode() for _, t in distinct]), strict=True))
 
 
@@ -58,3 +59,28 @@ def test_shared_windows_like_a_table():
         assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in where.values() if len(v) > 1)
     every = bytes(range(256))
     assert len(S.shared_windows([every, every[1:], every])[0]) == 157 * 3 - 1
+
+
+@pytest.mark.parametrize("kind", ["null", "same", "text"])
+def test_many_rows_without_ids_of_their_own(spark, kind):
+    rng = random.Random(21)
+    passage = [H.prose(rng, 25) for _ in range(40)]
+    texts = [f"{H.prose(rng, 3)} {rng.choice(passage)} {H.prose(rng, rng.randint(0, 6))}" for _ in range(6000)]
+    texts += texts[:50] + [None, ""]
+    ids = {"null": lambda i: None, "same": lambda i: i % 3, "text": lambda i: f"d{i % 7}" if i % 5 else None}[kind]
+    rows = [(ids(i), t) for i, t in enumerate(texts)]
+    distinct = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, hashlib.md5((r[1] or "").encode()).digest()))
+    want = dict(zip(distinct, S.brute_force([(t or "").encode() for _, t in distinct]), strict=True))
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'text' else 'long'}, text string").repartition(5)
+    got = S.report(df).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
+
+
+def test_hot_anchors_are_dealt_apart(spark, monkeypatch):
+    rng = random.Random(22)
+    line = "the very same line of a hundred bytes and more that all of the documents of this table have somewhere in it."
+    rows = [(i, f"{H.prose(rng, 20)} {line} {H.prose(rng, 20)}", "s") for i in range(300)]
+    want = by_hand(rows)
+    monkeypatch.setattr(S, "HOT_ROWS", 50)
+    got = S.report(H.documents(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((i, *want[i, t]) for i, t, *_ in rows), key=repr)
