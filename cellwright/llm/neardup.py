@@ -29,10 +29,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, scratch
 from .common import BYTE_VALUE, bucketed, mix, prefix_hash, span_hash, sub_batches, text_bytes, word_spans
 
 WORDS = 5
@@ -142,8 +142,8 @@ def _split(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _node(text: Column, doc_id: Column) -> Column:
-    """Equal texts are one node; null texts are told apart by id."""
-    return F.unhex(F.coalesce(F.md5(text.cast("binary")), F.md5(F.concat(F.lit("\0null\0"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))))
+    """Equal texts are one node; null texts are told apart by id, and from texts by one more byte."""
+    return F.unhex(F.coalesce(F.md5(text.cast("binary")), F.concat(F.lit("00"), F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")))))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +191,26 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _linked(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """``labels`` with the classes joined that the links among ``found`` connect.  Only the graph of classes is walked."""
+    links = found.where(F.col("s") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links)
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    every = materialize(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))), "neardup-labels")
+    of = lambda end: every.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("a_comp != b_comp").select(F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b")).distinct()
+    up = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return materialize(every.join(up, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "neardup-labels")
+
+
 def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """More registers, and 32 bits of each band's key."""
+    """More registers, and the bands' keys."""
     for batch in sub_batches(batches, "text", 1 << 18):
         doc, ids, count = shingles(*text_bytes(batch.column(1)))
-        keys = [np.array(k, np.int64).astype(np.uint32).tobytes() for k in batch.column(2).to_pylist()]
+        keys = [np.array(k, np.int64).tobytes() for k in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(register_nibbles(signatures(doc, ids, count, batch.num_rows, FINE)), pa.binary()), pa.array(keys, pa.binary())], names=["node", "sig", "keys"])
 
 
@@ -211,8 +226,8 @@ def _likely(best: bool) -> Callable[[pa.Table], pa.Table]:
         sig = np.concatenate([half >> 4, half & 15], axis=1)
         node, wandering = table.column("node").to_pylist(), np.array(table.column("strays").to_pylist(), bool)
         _, comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32).reshape(-1, BANDS)
-        here = np.array([table.column("bucket")[0].as_py()], np.int64).astype(np.uint32)[0]
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+        here = table.column("bucket")[0].as_py()
         right = np.flatnonzero(~stray)
         found: list[tuple[bytes, bytes]] = []
         for i in np.flatnonzero(stray):
@@ -249,7 +264,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     texts, table = bucketed(shown, "node", "neardup_texts")
     # first every text is compared with the least text it meets
     results = [similarities(members.join(leads, "bucket").where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
-    labels = _classes(results)
+    labels = _linked(None, results[0])
     for _ in range(ROUNDS):
         of = _labelled(members, labels).groupBy("bucket").agg(F.min(F.struct("comp", "node")).alias("low"), F.max("comp").alias("high"))
         of = of.where(F.col("low.comp") < F.col("high")).select("bucket", "low")
@@ -257,7 +272,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         pairs = _labelled(members, labels).where(F.col("comp") != F.col("low.comp")).select(F.least("node", "low.node").alias("leader"), F.greatest("node", "low.node").alias("node"), F.col("node").alias("own"))
         pairs = _untested(pairs.distinct(), results).groupBy("own").agg(F.min(F.struct("leader", "node")).alias("p")).select("p.leader", "p.node").distinct()
         results.append(similarities(pairs, texts))
-        labels = _classes(results)
+        labels = _linked(labels, results[-1])
         members = members.select("bucket", "node")
     left = materialize(_straying(members, labels), "neardup-open")
     keys = base.select("node", "bands").groupBy("node").agg(F.first("bands").alias("bands"))
@@ -265,10 +280,10 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     sigs = materialize(open_texts.mapInArrow(_sign_finely, "node binary, sig binary, keys binary"), "neardup-sigs")
     for best in (True, False):
         results.append(similarities(_untested(_across(left, sigs, best), results), texts))
-        labels = _classes(results)
+        labels = _linked(labels, results[-1])
         if best:
             left = materialize(_straying(left.select("bucket", "node"), labels), "neardup-open")
-    docs.sparkSession.sql(f"DROP TABLE {table}")  # its files stay, as those of the other tables
+    docs.sparkSession.sql(f"DROP TABLE {table}")
     return nodes, labels
 
 
@@ -297,24 +312,26 @@ def _straying(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return m.join(main, "bucket").select("bucket", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("strays"))
 
 
-def _classes(results: list[DataFrame]) -> DataFrame | None:
-    links = reduce(DataFrame.union, results).where(F.col("s") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    return None if links.isEmpty() else components(links)
-
-
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, keep (whether the row's id is its class's) of every row."""
-    nodes, labels = link(docs)
-    labelled = _labelled(nodes, labels).select("doc_id", "comp")
-    least = labelled.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("class_id"))
-    return labelled.join(least, F.col("comp") == F.col("c")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+    """doc_id, class_id, keep (whether the row's id is its class's) of every row.  Its rows are written when the plan is built."""
+    with scratch(docs.sparkSession) as keep:
+        nodes, labels = link(docs)
+        labelled = _labelled(nodes, labels).select("doc_id", "comp")
+        least = labelled.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("class_id"))
+        out = labelled.join(least, F.col("comp") == F.col("c")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+        return keep(out, "neardup-classes")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each class: that with the least id, and of rows with that id the first by text."""
-    nodes, labels = link(docs)
-    labelled = _labelled(nodes, labels).select("doc_id", "node", "comp")
-    stays = labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("__keep_id"), F.col("k.node").alias("__keep_node"))
+    """One row of each class: that with the least id, of rows with that id the first by text, and of equal texts the least by a hash of all columns."""
+    with scratch(docs.sparkSession) as keep:
+        nodes, labels = link(docs)
+        rows = _labelled(nodes, labels).groupBy("comp", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+        stays = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "n")).alias("k"))
+        stays = keep(stays.select(F.col("k.doc_id").alias("__keep_id"), F.col("k.node").alias("__keep_node"), F.col("k.n").alias("__keep_n")), "neardup-stays")
     same = (F.col("__keep_node") == _node(docs["text"], docs["doc_id"])) & F.col("__keep_id").eqNullSafe(docs["doc_id"])
-    # rows repeated as a whole, or in id and text, leave one
-    return docs.join(stays, same).dropDuplicates(["__keep_id", "__keep_node"]).select(*docs.columns)
+    kept = docs.join(stays, same)
+    if not stays.where("__keep_n > 1").isEmpty():
+        order = Window.partitionBy("__keep_id", "__keep_node").orderBy(F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns]))
+        kept = kept.withColumn("__keep_nr", F.row_number().over(order)).where("__keep_nr = 1")
+    return kept.select(*[docs[f"`{c}`"] for c in docs.columns])
