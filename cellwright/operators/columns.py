@@ -19,7 +19,7 @@ from ..functions.values import Err, Stop
 from ..functions.values import num as number
 from ..plans import lanes as L
 from ..plans.aggregates import RANGE_FUNCTIONS, Ranges, constant, fits, glob_like, has_field
-from ..plans.fills import last_at_or_before, numbered, running_extreme
+from ..plans.fills import last_at_or_before, numbered, running_extreme, running_sum
 from ..plans.lanes import Lane
 from ..plans.scalars import Compiler
 from ..plans.scratch import materialize, new_path
@@ -82,8 +82,12 @@ def filter_formula(df: DataFrame, formula: str, **options: object) -> DataFrame:
 # --- aggregates -----------------------------------------------------------------------------------
 
 
-def aggregate(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, order: list[str] | None = None, errors: bool | None = None, **options: object) -> DataFrame:
-    """One row per group (or one in all) with a value for each formula of range functions."""
+def aggregate(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, order: list[str] | None = None, errors: bool | None = None, ranks: bool = False, **options: object) -> DataFrame:
+    """One row per group (or one in all) with a value for each formula of range functions.
+
+    ``ranks``: find medians by the ranks of values over ranges of all of them.  Otherwise a task holds the distinct values of a group,
+    which is faster where they are not many.
+    """
     by = by or []
     row = row_compiler(df, **options)
     row.keeps = True
@@ -92,7 +96,8 @@ def aggregate(df: DataFrame, formulas: dict[str, str], by: list[str] | None = No
 
     class Ordered(Ranges):
         def _special(self, tree: tuple) -> Lane | None:
-            if tree[0] == "call" and tree[1] in ("LARGE", "SMALL") and len(tree[2]) == 2 and has_field(tree[2][0]):
+            median = ranks and tree[0] == "call" and tree[1] == "MEDIAN" and len(tree[2]) == 1 and has_field(tree[2][0])
+            if median or tree[0] == "call" and tree[1] in ("LARGE", "SMALL") and len(tree[2]) == 2 and has_field(tree[2][0]):
                 if tree not in ranked:
                     ranked[tree] = f"__nth{len(ranked)}"
                     extra.append((ranked[tree], tree))
@@ -107,7 +112,7 @@ def aggregate(df: DataFrame, formulas: dict[str, str], by: list[str] | None = No
             columns |= _outputs(name, ranges.lane(tree), errors)
         except _Later:
             if tree not in ranked:
-                raise FormulaError("unsupported", "LARGE and SMALL stand alone in an aggregate") from None
+                raise FormulaError("unsupported", "LARGE and SMALL, and MEDIAN by ranks, stand alone in an aggregate") from None
             columns[name] = F.lit(None).cast("double")
             columns[f"{name}_err"] = F.lit(None).cast("string")
     df = _with_steps(df, row)
@@ -124,14 +129,18 @@ class _Later(Exception):
 
 
 def _with_nth(df: DataFrame, out: DataFrame, name: str, tree: tuple, by: list[str], row: Compiler, errors: bool | None) -> DataFrame:
-    try:
-        k = constant(tree[2][1])
-        k = int(number(k))
-        code = "#NUM!" if k < 1 else None
-    except Stop as e:
-        k, code = 1, str(e.err)
+    code = None
     x = row.lane(tree[2][0])
-    found = nth_value(df.select(*by, L.part(x, "num").alias("__v")), "__v", max(k, 1), tree[1] == "LARGE", by).withColumnRenamed("nth", "__n")
+    values = df.select(*[F.col(f"`{b}`") for b in by], L.part(x, "num").alias("__v"))
+    if tree[1] == "MEDIAN":
+        found = median_by_ranks(values, "__v", by).withColumnRenamed("median", "__n")
+    else:
+        try:
+            k = int(number(constant(tree[2][1])))
+            code = "#NUM!" if k < 1 else None
+        except Stop as e:
+            k, code = 1, str(e.err)
+        found = nth_value(values, "__v", max(k, 1), tree[1] == "LARGE", by).withColumnRenamed("nth", "__n")
     keep = [c for c in out.columns if c not in (name, f"{name}_err")]
     if by:
         match = None
@@ -146,6 +155,27 @@ def _with_nth(df: DataFrame, out: DataFrame, name: str, tree: tuple, by: list[st
     return joined.select(*keep, value.alias(name), *([] if errors is False else [err.cast("string").alias(f"{name}_err")]))
 
 
+def median_by_ranks(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """The median of each group's numbers as ``median``: equal values are counted first, then ranked range by range."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running_sum(counted, [column], "__c", "__below", by)
+    total = ranked.groupBy(*by).agg(F.sum("__c").alias("__all")) if by else ranked.agg(F.sum("__c").alias("__all"))
+    first, last = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    if by:
+        totals = total.select(*[F.col(f"`{b}`").alias(f"__of_{b}") for b in by], "__all")
+        same = None
+        for b in by:
+            one = F.col(f"`__of_{b}`").eqNullSafe(F.col(f"`{b}`"))
+            same = one if same is None else same & one
+        ranked = ranked.join(totals, same)
+    else:
+        ranked = ranked.crossJoin(F.broadcast(total))
+    has = lambda at: (F.col("__below") <= at) & (at < F.col("__below") + F.col("__c"))
+    low, high = F.max(F.when(has(first), F.col(column))), F.max(F.when(has(last), F.col(column)))
+    middle = ranked.where(has(first) | has(last))
+    return (middle.groupBy(*by) if by else middle).agg(((low + high) / 2).alias("median")).where("median IS NOT NULL")
+
+
 def nth_value(df: DataFrame, column: str, k: int, largest: bool, by: list[str]) -> DataFrame:
     """The k-th largest or smallest value of each group, as ``nth``.
 
@@ -408,7 +438,7 @@ def fill(df: DataFrame, name: str, formula: str | tuple, columns: dict[str, str]
 
     ``columns`` maps column letters to DataFrame columns.  ``A2`` in row 2 is the row's own value, ``A1`` the one before
     (blank before the first row); range functions over ``A$1:A2`` run from the start and over ``A1:A3`` slide.
-    The first row of the table is row 1.  Give ``by`` on large tables: without it one task orders all rows.
+    The first row of the table is row 1.  Without ``by`` one task orders all rows; ``fill_blocks`` is for tables that are too large for that.
     """
     w = Window.partitionBy(*[F.col(f"`{b}`") for b in by or []]).orderBy(*[F.col(f"`{o}`") for o in order])
     base = row_compiler(df)
@@ -448,6 +478,30 @@ def fill(df: DataFrame, name: str, formula: str | tuple, columns: dict[str, str]
     return df.withColumns(_outputs(name, compiler.lane(formula if isinstance(formula, tuple) else parse(formula)), errors))
 
 
+def fill_blocks(df: DataFrame, name: str, formula: str, columns: dict[str, str], order: list[str], row: int = 1, errors: bool | None = None, block: int = 1_000_000) -> DataFrame:
+    """``fill`` over one order of all rows, for formulas whose references are relative: rows are numbered range by range and dealt to
+    blocks, each with the rows before and after it that its formulas reach."""
+    tree = parse(formula)
+    cells = [t for t in _all(tree) if t[0] == "cell"]
+    if any(t[4] for t in cells) or any(t[0] in ("name", "spill") for t in _all(tree)):
+        raise FormulaError("unsupported", "a reference that is not relative")
+    above = max([row - t[2] for t in cells] + [0])
+    below = max([t[2] - row for t in cells] + [0])
+    rows = numbered(df, order, "__nr").withColumn("__nr", F.col("__nr") - 1)
+    own = F.floor(F.col("__nr") / block)
+    # the blocks that a row belongs to or is in reach of
+    first, last = F.floor((F.col("__nr") - below) / block), F.floor((F.col("__nr") + above) / block)
+    spread = rows.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    out = fill(spread, name, tree, columns, ["__nr"], ["__block"], row, errors)
+    return out.where(F.col("__own") == F.col("__block")).drop("__nr", "__own", "__block")
+
+
+def _all(tree: tuple) -> Iterator[tuple]:
+    yield tree
+    for c in children(tree):
+        yield from _all(c)
+
+
 def recur(df: DataFrame, name: str, formula: str, own: str, start: float, columns: dict[str, str], order: list[str], by: list[str] | None = None, row: int = 2) -> DataFrame:
     """A column that refers to its own cell above, in closed form: ``start`` in the first row, then ``formula`` of row ``row``.
 
@@ -515,4 +569,4 @@ _FRAMED: dict[str, Callable[..., Lane]] = {
     "COUNTA": lambda _, tag, frame: Lane("num", F.count(tag).over(frame).cast("double"), None, False),
 }
 
-__all__ = ["RANGE_FUNCTIONS", "aggregate", "conditional_column", "fill", "filter_formula", "hlookup", "index", "lookup", "lookup_wildcard", "match", "nth_value", "recur", "side_by_side", "with_formula", "with_formulas"]
+__all__ = ["RANGE_FUNCTIONS", "aggregate", "conditional_column", "fill", "fill_blocks", "filter_formula", "hlookup", "index", "lookup", "lookup_wildcard", "match", "median_by_ranks", "nth_value", "recur", "side_by_side", "with_formula", "with_formulas"]

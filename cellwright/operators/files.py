@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import FormulaError, WorkbookError
+from ..functions.refs import canonical_range, column_letters, datetime_to_serial, format_cell, parse_cell, serial_to_datetime
 from ..plans.scratch import new_path
+from ..plans.syntax import parse
 from ..sources.cells import delimited_table, files, formats, inferred, read_cells, read_images, read_metadata, to_table, with_colors
 from ..sources.detect import open_workbook
 from ..sources.model import Cell
@@ -17,7 +21,9 @@ from ..sources.samples import ods, package, xlsb, xlsx_of_xml
 from ..sources.sink import cells_of_table, render, save
 from ..sources.theme import SLOTS, resolve_color
 from ..sources.writer import SheetInput, WorkbookInput, _by_row, from_workbook, write_xlsx
+from ..sources.xlsx import open_xlsx
 from .evaluate import evaluate_workbooks, user_function
+from .uniform import uniform_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -298,3 +304,96 @@ def streaming_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_workbooks(stream, ["c_custkey"], folder, checkpoint).awaitTermination()
     cells = read_cells(files(spark, f"{folder}/*.xlsx")).where("row > 1 AND col = 1")
     return cells.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("keys"), F.count_distinct("n").alias("kinds"))
+
+
+def _code(run: Callable[[], object]) -> str:
+    try:
+        run()
+    except (FormulaError, WorkbookError) as e:
+        return e.code
+    return "fine"
+
+
+@_query(
+    """SELECT * FROM (VALUES ('=(', 'parse-error'), ('=1+', 'parse-error'), ('="a', 'parse-error'), ('=A1 B1', 'parse-error'), ('=A1:', 'parse-error'), ('deep', 'depth-exceeded'), ('calls', 'depth-exceeded'), ('wide', 'too-many-args'),
+    ('=Table1[x]', 'fine'), ('=[1]Sheet!A1', 'fine'), ('=''a b''!A1#', 'fine'), ('=50%%', 'fine'), ('={1,2;3,4}', 'fine')) v(formula, code)"""
+)
+def formula_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the grammar takes, and the codes of what it doesn't."""
+    long = {"deep": "=" + "(" * 300 + "1" + ")" * 300, "calls": "=" + "ABS(" * 70 + "1" + ")" * 70, "wide": f"=SUM({','.join(['1'] * 256)})"}
+    given = ["=(", "=1+", '="a', "=A1 B1", "=A1:", "deep", "calls", "wide", "=Table1[x]", "=[1]Sheet!A1", "='a b'!A1#", "=50%%", "={1,2;3,4}"]
+    return spark.createDataFrame([(f, _code(lambda f=f: parse(long.get(f, f)))) for f in given], "formula string, code string")
+
+
+@_query(
+    """SELECT * FROM (VALUES ('empty', 'not-a-zip'), ('junk', 'not-a-zip'), ('word', 'not-xlsx'), ('no main', 'missing-part'), ('bomb', 'part-too-large'), ('entities', 'unsupported'), ('no sheet', 'no-such-sheet'), ('good', 'fine')) v(package, code)"""
+)
+def package_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages that aren't workbooks, or would be too large when inflated."""
+    good = xlsx_of_xml("<worksheet><sheetData/></worksheet>")
+    given = {
+        "empty": b"", "junk": b"PK junk", "word": package({"word/document.xml": "<x/>"}), "no main": package({"[Content_Types].xml": "<Types/>"}), "bomb": xlsx_of_xml("<worksheet>" + " " * 30_000_000),
+        "entities": xlsx_of_xml('<!DOCTYPE x [<!ENTITY a "b">]><worksheet><sheetData/></worksheet>'), "no sheet": good, "good": good,
+    }
+    return spark.createDataFrame([(k, _code(lambda k=k, v=v: open_xlsx(v, "Nope" if k == "no sheet" else None))) for k, v in given.items()], "package string, code string")
+
+
+@_query(
+    """SELECT what, 'invalid-input' AS code FROM (VALUES ('no sheets'), ('name'), ('long name'), ('hidden'), ('merges'), ('widths'), ('heights'), ('tables'), ('validation'), ('picture'), ('number'), ('rows'), ('text'), ('margins'), ('color'), ('border'), ('formula')) v(what)"""
+)
+def writer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input that the writer doesn't take."""
+    sheet = lambda **x: WorkbookInput([SheetInput(**({"name": "S"} | x))])
+    one = lambda *c: [(1, [Cell(1, 1, *c)])]
+    given = {
+        "no sheets": WorkbookInput([]), "name": sheet(name="a/b"), "long name": sheet(name="x" * 32), "hidden": sheet(state="hidden"), "merges": sheet(merges=["A1:B2", "B2:C3"]), "widths": sheet(columns=[{"min": 1, "max": 1, "width": 300}]),
+        "heights": sheet(row_properties={1: {"height": 500}}), "tables": sheet(tables=[{"name": "A1", "ref": "A1:A2", "columns": ["x"]}]), "validation": sheet(validations=[{"type": "odd", "sqref": "A1"}]),
+        "picture": sheet(images=[{"bytes": b"", "extension": "svg", "from": (0, 0)}]), "number": sheet(rows=one("number", float("nan"))), "rows": sheet(rows=[(2, []), (1, [])]), "text": sheet(rows=one("string", "x" * 32768)),
+        "margins": sheet(margins={"left": 99}), "color": WorkbookInput([SheetInput("S")], styles=[{"color": "red"}]), "border": WorkbookInput([SheetInput("S")], styles=[{"border": "wavy"}]), "formula": sheet(rows=one("empty", None, "x" * 9000)),
+    }
+    return spark.createDataFrame([(k, _code(lambda v=v: write_xlsx(v))) for k, v in given.items()], "what string, code string")
+
+
+@_query(
+    """SELECT i AS col, CASE WHEN i <= 26 THEN chr(CAST(64 + i AS INT)) WHEN i <= 702 THEN chr(CAST(64 + (i - 1) // 26 AS INT)) || chr(CAST(65 + (i - 1) % 26 AS INT))
+    ELSE chr(CAST(64 + (i - 703) // 676 + 1 AS INT)) || chr(CAST(65 + ((i - 703) // 26) % 26 AS INT)) || chr(CAST(65 + (i - 703) % 26 AS INT)) END AS letters, i AS again, true AS canonical FROM range(1, 16385) t(i)"""
+)
+def a1_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns to letters and back, over the whole grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = b.column(0).to_pylist()
+            letters = [column_letters(c) for c in cols]
+            again = [parse_cell(f"${x}$7")[0] if parse_cell(format_cell(c, 7)) == (c, 7) else None for c, x in zip(cols, letters, strict=True)]
+            canonical = [canonical_range(f"{x}1:{x}9") is not None and canonical_range(f"{x.lower()}1") is None for x in letters]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(letters), pa.array(again, pa.int64()), pa.array(canonical)], names=["col", "letters", "again", "canonical"])
+
+    return spark.range(1, 16385).withColumnRenamed("id", "col").mapInArrow(run, "col long, letters string, again long, canonical boolean")
+
+
+@_query(
+    """SELECT o_orderkey, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE))::DOUBLE AS serial, date_diff('day', DATE '1904-01-01', CAST(o_orderdate AS DATE))::DOUBLE AS serial1904, strftime(o_orderdate, '%Y-%m-%d') AS back FROM orders"""
+)
+def date_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates to serials of both epochs, and back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            when = [dt.datetime(t.year, t.month, t.day) for t in b.column(1).to_pylist()]
+            serials = [[datetime_to_serial(t, e) for t in when] for e in (False, True)]
+            back = [x.strftime("%Y-%m-%d") if x == serial_to_datetime(n, True) else None for x, n in zip((serial_to_datetime(m) for m in serials[0]), serials[1], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(serials[0]), pa.array(serials[1]), pa.array(back)], names=["o_orderkey", "serial", "serial1904", "back"])
+
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate").mapInArrow(run, "o_orderkey long, serial double, serial1904 double, back string")
+
+
+@_query(
+    "SELECT CAST(c_nationkey AS VARCHAR) AS path, 3 AS first_row, CAST(count(*) + 2 AS INT) AS last_row, 'A3*2' AS formula FROM customer GROUP BY c_nationkey HAVING count(*) > 1"
+)
+def uniform_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled-down formulas of each workbook, told by their relative form."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    cells = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("string").alias("path"), F.lit("S").alias("sheet"), (F.row_number().over(w) + 2).cast("int").alias("row"), F.lit(2).alias("col"))
+    cells = cells.withColumn("formula", F.concat(F.lit("A"), "row", F.lit("*2")))
+    return uniform_columns(cells).select("path", "first_row", "last_row", "formula")

@@ -465,6 +465,24 @@ def fill_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_formula(df, "bal", "=ROUND([b],2)", errors=False).select("o_orderkey", "bal", "twice")
 
 
+@_query("median_by_ranks", f"SELECT l_returnflag, quantile_cont({_P}, 0.5) AS m, quantile_cont({_Q}, 0.5) AS q FROM lineitem GROUP BY 1")
+def median_by_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of few large groups, by ranks over ranges of all values."""
+    return C.aggregate(load(spark, sf_dir, "lineitem"), {"m": "=MEDIAN([l_extendedprice])", "q": "=MEDIAN([l_quantity])"}, ["l_returnflag"], errors=False, ranks=True)
+
+
+@_query(
+    "fill_one_order",
+    f"""SELECT l_orderkey, l_linenumber, l_extendedprice, {_P} - lag({_P}, 1, 0) OVER w AS step, {_half(f"(sum({_P}) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))", 2)} AS near FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_extendedprice)""",
+)
+def fill_one_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences and sliding sums over one order of all rows, block by block."""
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    df = C.fill_blocks(df, "step", "=A5-A4", {"A": "l_extendedprice"}, order, 5, False, block=1000)
+    return C.fill_blocks(df, "near", "=ROUND(SUM(A3:A6),2)", {"A": "l_extendedprice"}, order, 5, False, block=1000)
+
+
 _columns(
     "fn_more",
     "orders",

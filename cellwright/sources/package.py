@@ -134,7 +134,7 @@ def parse_steps(chunks: Iterator[bytes], open_: Callable, close: Callable, text:
         parser.Parse(b"", True)
     except expat.ExpatError:
         if not utf8:
-            raise WorkbookError("corrupt-xml", "malformed XML that is not in UTF-8") from None
+            raise WorkbookError("unsupported", "malformed XML that is not in UTF-8") from None
         end = _last_tag(held, parser.ErrorByteIndex - before)[1]
         known = sum(n for at, n in told if at >= before + end)
         for kind, value, attributes in scan(itertools.chain([held[end:]], chunks)):

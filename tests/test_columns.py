@@ -279,3 +279,24 @@ def test_many_odd_criteria(spark, monkeypatch):
     table = spark.range(100).selectExpr("cast(id as double) v")
     got = {r.k: r.n for r in C.conditional_column(df, "n", "COUNTIF", "=[k]", table, "v").collect()}
     assert got == {**{f">={i}": float(max(0, 100 - i)) for i in range(130)}, "1*": 11.0, None: 0.0, "": 0.0}
+
+
+def test_medians_by_ranks_and_blocks(spark):
+    import random
+    import statistics
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", "b", None, "none"]), i, float(rng.randint(0, 40))) for i in range(1500)]
+    rows = [(g, i, None if g == "none" or i % 17 == 0 else v) for g, i, v in rows]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(4)
+    got = {r.g: (r.m, r.m_err) for r in C.aggregate(df, {"m": "=MEDIAN([v])", "n": "=COUNT([v])"}, ["g"], ranks=True).collect()}
+    for g in ("a", "b", None):
+        assert got[g] == (statistics.median(v for h, _, v in rows if h == g and v is not None), None)
+    assert got["none"] == (None, "#NUM!")
+    assert C.aggregate(df, {"m": "=MEDIAN([v])"}, ranks=True, errors=False).first().m == statistics.median(v for *_, v in rows if v is not None)
+    one = {r.i: (r.x, r.y) for r in C.fill(C.fill(df, "x", "=A4-A2+A6", {"A": "v"}, ["i"], row=4, errors=False), "y", "=COUNT(A1:A7)+MAX(A3:A4)", {"A": "v"}, ["i"], row=4, errors=False).collect()}
+    for block in (2, 7, 5000):
+        many = C.fill_blocks(C.fill_blocks(df, "x", "=A4-A2+A6", {"A": "v"}, ["i"], 4, False, block), "y", "=COUNT(A1:A7)+MAX(A3:A4)", {"A": "v"}, ["i"], 4, False, block)
+        assert {r.i: (r.x, r.y) for r in many.collect()} == one
+    with pytest.raises(FormulaError):
+        C.fill_blocks(df, "x", "=SUM(A$1:A4)", {"A": "v"}, ["i"])
