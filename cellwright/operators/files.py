@@ -18,7 +18,7 @@ from ..sources.cells import delimited_table, files, formats, inferred, read_cell
 from ..sources.detect import open_workbook
 from ..sources.model import Cell
 from ..sources.samples import ods, package, xlsb, xlsx_of_xml
-from ..sources.sink import cells_of_table, render, save
+from ..sources.sink import cells_of_table, render, render_table, save
 from ..sources.theme import SLOTS, resolve_color
 from ..sources.writer import SheetInput, WorkbookInput, _by_row, from_workbook, write_xlsx
 from ..sources.xlsx import open_xlsx
@@ -42,7 +42,7 @@ def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers to .xlsx files of 5000 rows, and back."""
     df = spark.read.parquet(f"{sf_dir}/customer.parquet")
     names = df.columns
-    cells = read_cells(render(cells_of_table(df, ["c_custkey"], "part-{part}.xlsx", rows=5000)))
+    cells = read_cells(render_table(df, ["c_custkey"], "part-{part}.xlsx", rows=5000))
     body = cells.where("row > 1").groupBy("path", "row").agg(*[F.first(F.when(F.col("col") == i, F.col("s" if n in ("c_name", "c_mktsegment") else "n")), ignorenulls=True).alias(n) for i, n in enumerate(names, 1)])
     return body.select(*names)
 

@@ -10,10 +10,12 @@ from urllib.parse import urlsplit
 from urllib.request import url2pathname
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.refs import MAX_ROW
+from ..plans.fills import numbered
 from .model import Cell
 from .writer import SheetInput, WorkbookInput, _by_row, write_xlsx
 
@@ -48,29 +50,61 @@ def render(cells: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "path string, content binary")
 
 
+def _kind(t: T.DataType) -> str:
+    """What the cells of a column are: boolean, number, date or, of any other type, string."""
+    if isinstance(t, T.BooleanType):
+        return "boolean"
+    if isinstance(t, T.NumericType):
+        return "number"
+    return "date" if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
+
+
+_SPARK = {"boolean": "boolean", "number": "double", "date": "timestamp_ntz", "string": "string"}
+
+
+def _named(path: str, part: str) -> Column:
+    """``path`` with the number of the part in place of ``{part}``."""
+    return F.format_string(path.replace("%", "%%").replace("{part}", "%05d"), part) if "{part}" in path else F.lit(path)
+
+
+def render_table(df: DataFrame, order: list[str], path: str, sheet: str = "Sheet1", rows: int = MAX_ROW - 1) -> DataFrame:
+    """(path, content): a table as workbooks of at most ``rows`` rows below a header row, numbered through by ``order``.
+
+    As ``render`` of ``cells_of_table``, but rows go to the writing tasks whole.
+    """
+    kinds = [_kind(f.dataType) for f in df.schema.fields]
+    body = numbered(df, order, "__row").withColumn("__part", F.floor((F.col("__row") - 1) / rows).cast("int")).withColumn("__row", ((F.col("__row") - 1) % rows + 2).cast("int"))
+    values = [F.col(f"`{f.name}`").cast(_SPARK[k]).alias(f"v{i}") for i, (f, k) in enumerate(zip(df.schema.fields, kinds, strict=True))]
+    wide = body.select(_named(path, "__part").alias("path"), F.col("__row").alias("row"), *values)
+    header = [Cell(1, i, "string", name) for i, name in enumerate(df.columns, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, own in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+            lines = ((r[1], [Cell(r[1], i, "empty" if v is None else k, v) for i, (k, v) in enumerate(zip(kinds, r[2:], strict=True), 1)]) for r in own)
+            content = write_xlsx(WorkbookInput(iter([SheetInput(sheet, itertools.chain([(1, header)], lines), streamed=True)])))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["path", "content"])
+
+    return wide.repartition("path").sortWithinPartitions("path", "row").mapInArrow(run, "path string, content binary")
+
+
 def cells_of_table(df: DataFrame, order: list[str], path: str, sheet: str = "Sheet1", rows: int = MAX_ROW - 1) -> DataFrame:
     """A table as cells with a header row, in workbooks of at most ``rows`` rows, numbered through by ``order``.
 
     Row numbers come from a range partitioning and the sizes of its partitions, not from one sorted task.
     """
-    from pyspark.sql import types as T
-
-    from ..plans.fills import numbered
-
     body = numbered(df, order, "__row").withColumn("__part", F.floor((F.col("__row") - 1) / rows).cast("int")).withColumn("__row", ((F.col("__row") - 1) % rows + 2).cast("int"))
     none = {"n": "double", "s": "string", "b": "boolean", "err": "string", "t": "timestamp_ntz"}
     entries = []
     for i, f in enumerate(df.schema.fields, 1):
-        c = F.col(f"`{f.name}`")
-        lane = "b" if isinstance(f.dataType, T.BooleanType) else "n" if isinstance(f.dataType, T.NumericType) else "t" if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "s"
-        kind = {"b": "boolean", "n": "number", "t": "date", "s": "string"}[lane]
+        c, kind = F.col(f"`{f.name}`"), _kind(f.dataType)
+        lane = {"boolean": "b", "number": "n", "date": "t", "string": "s"}[kind]
         lanes = [(c.cast(none[k]) if k == lane else F.lit(None).cast(none[k])).alias(k) for k in none]
         entries.append(F.struct(F.lit(i).alias("col"), F.when(c.isNull(), "empty").otherwise(kind).alias("type"), *lanes))
     header = [F.struct(F.lit(i).alias("col"), F.lit("string").alias("type"), *[(F.lit(n) if k == "s" else F.lit(None).cast(none[k])).alias(k) for k in none]) for i, n in enumerate(df.columns, 1)]
     flat = body.select("__part", F.col("__row").alias("row"), F.explode(F.array(*entries)).alias("c"))
     top = body.select("__part").distinct().select("__part", F.lit(1).alias("row"), F.explode(F.array(*header)).alias("c"))
     out = flat.unionByName(top)
-    return out.select(F.format_string(path.replace("%", "%%").replace("{part}", "%05d"), "__part").alias("path") if "{part}" in path else F.lit(path).alias("path"), F.lit(sheet).alias("sheet"), F.lit(0).alias("sheet_index"), "row", "c.*", F.lit(None).cast("string").alias("formula"))
+    return out.select(_named(path, "__part").alias("path"), F.lit(sheet).alias("sheet"), F.lit(0).alias("sheet_index"), "row", "c.*", F.lit(None).cast("string").alias("formula"))
 
 
 def _write_local(path: str, content: bytes) -> None:

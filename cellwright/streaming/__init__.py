@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.cells import read_cells
-from ..sources.sink import cells_of_table, render, save
+from ..sources.sink import render_table, save
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -17,11 +17,14 @@ def stream_cells(spark: SparkSession, folder: str, sheet: str | None = None, fil
     return read_cells(files, sheet, strict=False)
 
 
-def write_workbooks(df: DataFrame, order: list[str], folder: str, checkpoint: str) -> StreamingQuery:
-    """A workbook for each batch.  A batch that runs again overwrites its own file."""
+def write_workbooks(df: DataFrame, order: list[str], folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Workbooks for each batch.  A batch that runs again overwrites its own files.
+
+    ``every``: a time between batches, for a query that goes on; without it, the query ends when it has written what is there.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            save(render(cells_of_table(batch, order, f"{folder}/batch-{number:06d}" + "-{part}.xlsx")), batch.sparkSession)
+            save(render_table(batch, order, f"{folder}/batch-{number:06d}" + "-{part}.xlsx"), batch.sparkSession)
 
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()

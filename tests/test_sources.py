@@ -382,3 +382,15 @@ def test_styles_and_theme_go_round():
     for bad in ({"underline": "wavy"}, {"fill": {"pattern": "x"}}, {"border": "thick!"}, {"color": {"theme": 99}}, {"color": "red"}, {"color": {"rgb": "FF000000", "theme": 1}}, {"rotation": 200}):
         with pytest.raises(WorkbookError):
             write_xlsx(WorkbookInput([SheetInput("S")], styles=[bad]))
+
+
+def test_tables_as_cells_and_as_rows_alike(spark, tmp_path):
+    from cellwright.sources.sink import render_table
+
+    rows = [(i, f"n{i} & <x>" if i % 3 else None, i % 2 == 0, dt.date(2024, 1, 1 + i), float(i) / 3 if i % 4 else None) for i in range(1, 18)]
+    df = spark.createDataFrame(rows, "id int, `na.me` string, even boolean, day date, part double").repartition(3)
+    out = [{r.path: bytes(r.content) for r in f.collect()} for f in (render(cells_of_table(df, ["id"], "p-{part}.xlsx", rows=5)), render_table(df, ["id"], "p-{part}.xlsx", rows=5))]
+    assert len(out[0]) == 4 and out[0].keys() == out[1].keys()
+    for path in out[0]:
+        a, b = (open_xlsx(o[path]) for o in out)
+        assert [c._replace(style=None) for c in a.sheets[0].cells] == [c._replace(style=None) for c in b.sheets[0].cells] and out[0][path] == out[1][path]
