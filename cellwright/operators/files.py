@@ -15,6 +15,7 @@ from ..functions.refs import canonical_range, column_letters, datetime_to_serial
 from ..plans.scratch import new_path
 from ..plans.syntax import parse
 from ..sources.cells import delimited_table, files, formats, inferred, read_cells, read_images, read_metadata, to_table, with_colors
+from ..sources.datasource import register
 from ..sources.detect import open_workbook
 from ..sources.model import Cell
 from ..sources.samples import ods, package, xlsb, xlsx_of_xml
@@ -140,6 +141,15 @@ def xlsx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(read_cells(files(spark, folder), "Data").withColumn("path", F.regexp_extract("path", "[^/]+$", 0)))
 
 
+@_query(_expected("xlsx"))
+def workbook_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the data source, with a task for each sheet and the sheet's name pushed down."""
+    register(spark)
+    folder = new_path(spark, "workbook-source")
+    save(_made(spark.read.parquet(f"{sf_dir}/customer.parquet"), _xlsx, "xlsx").withColumn("path", F.concat(F.lit(f"{folder}/"), "path")), spark)
+    return _back(spark.read.format("workbook").load(folder).where("sheet = 'Data'").withColumn("path", F.regexp_extract("path", "[^/]+$", 0)))
+
+
 @_query(
     """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ', "big"' WHEN 1 THEN p_name || chr(10) || 'x' ELSE '00' || p_size END AS note, p_size::DOUBLE AS size, p_size % 2 = 0 AS even FROM part"""
 )

@@ -48,7 +48,8 @@ def _lanes(c: Cell) -> list:
     return out
 
 
-def _batches(path: str, content: bytes, sheet: str | None) -> Iterator[pa.RecordBatch]:
+def cell_batches(path: str, content: bytes, sheet: str | None) -> Iterator[pa.RecordBatch]:
+    """The cells of a workbook, or of one of its sheets, at most ``_BATCH`` at a time; sheets keep their places."""
     names = [f.split(" ")[0] for f in CELLS.split(", ")]
     book = open_workbook(content, sheet, metadata=False)
     for i, s in enumerate(book.sheets):
@@ -67,7 +68,7 @@ def read_cells(files_: DataFrame, sheet: str | None = None, strict: bool = True)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    yield from _batches(path, content, sheet)
+                    yield from cell_batches(path, content, sheet)
                 except WorkbookError:
                     if strict:
                         raise

@@ -394,3 +394,27 @@ def test_tables_as_cells_and_as_rows_alike(spark, tmp_path):
     for path in out[0]:
         a, b = (open_xlsx(o[path]) for o in out)
         assert [c._replace(style=None) for c in a.sheets[0].cells] == [c._replace(style=None) for c in b.sheets[0].cells] and out[0][path] == out[1][path]
+
+
+def test_data_source(spark, tmp_path):
+    from cellwright.sources.datasource import WorkbookReader, listed, register
+
+    register(spark)
+    two = write_xlsx(WorkbookInput([SheetInput("A", rows_of([Cell(1, 1, "number", 1.0)])), SheetInput("B", rows_of([Cell(1, 1, "string", "x"), Cell(2, 1, "date", dt.datetime(2024, 2, 29))]))]))
+    (tmp_path / "b.xlsx").write_bytes(two)
+    (tmp_path / "a.ods").write_bytes(nine_ods())
+    (tmp_path / "c.xlsb").write_bytes(nine_xlsb())
+    df = spark.read.format("workbook").load(str(tmp_path))
+    assert df.count() == 3 + 9 + 9 and df.rdd.getNumPartitions() == 4
+    want = {tuple(r)[1:] for r in read_cells(files(spark, str(tmp_path))).collect()}
+    assert {tuple(r)[1:] for r in df.collect()} == want
+    assert spark.read.format("workbook").option("sheet", "B").load(str(tmp_path / "b.*")).where("row = 2").first().t == dt.datetime(2024, 2, 29)
+    assert df.where("sheet = 'A'").collect()[0].n == 1.0 and df.where("sheet = 'A'").count() == 1
+    reader = WorkbookReader({"path": str(tmp_path)})
+    from pyspark.sql.datasource import EqualTo
+
+    assert list(reader.pushFilters([EqualTo(("sheet",), "B"), EqualTo(("row",), 2)])) == [EqualTo(("row",), 2)] and [p.sheet for p in reader.partitions()] == ["B"]
+    assert list(reader.pushFilters([EqualTo(("sheet",), "A")])) == [] and reader.partitions() == []
+    assert listed(f"file://{tmp_path}/*.xlsx") == [f"file://{tmp_path}/b.xlsx"]
+    with pytest.raises(Exception, match="no file"):
+        spark.read.format("workbook").load(str(tmp_path / "none")).count()
