@@ -14,8 +14,9 @@ has one text, they are the documents' numbers; else rows of an id and a digest a
    array, and an interleave of the shards' rows is refined symbol by symbol, ``WINDOW`` times.
    Boundaries that appear on the way mark where common prefixes end; rows still in one block share
    a window.  No suffixes of different shards are compared or sorted again.
-4. An anchor with more than ``MOST_PIECES`` different pieces is cut into single windows, which step 2
-   settles: such pieces are groups of any size, and equal windows meet by partial aggregation.
+4. The pieces of an anchor that has more than ``MOST_PIECES`` different ones are cut where the second smallest substring of their
+   windows changes, and so on: anchors of two substrings, then of three.  Steps 2 and 3 settle those.  What is still that frequent
+   with ``LEVELS`` substrings is cut into single windows, which step 2 settles.
 
 Every step is a join or aggregation by hash; no task holds more than one bounded chunk of pieces.  Anchors that make up
 more than a thousandth of all are dealt to ``SALTS`` tasks.  Ids, digests and repeated pieces are written when a plan is built.
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from .common import BYTE_VALUE, mix, prefix_hash, span_hash, sub_batches, text_b
 WINDOW = 100
 ANCHOR = 32
 MOST_PIECES = 16_000
+LEVELS = 4
 #: Bytes of pieces that are merged at once, and shards they are dealt to.
 CHUNK, SHARDS = 1 << 17, 8
 #: Bits for the place in a batch, which is one text at least: Spark's strings have less than 2 GB.
@@ -81,6 +83,33 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, windo
     return h[place[new]], start[new], np.diff(np.append(new, len(start)))
 
 
+def finer_pieces(data: np.ndarray, offsets: np.ndarray, level: int, anchor: int = ANCHOR, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, hash, first window and number of windows of the parts of pieces whose windows have one ``level`` + 1 st smallest substring.
+
+    All windows of a piece have the ``level`` smallest in common: they are those of its first window.
+    """
+    prefix = prefix_hash(BYTE_VALUE[data])
+    at = np.arange(len(data) - anchor + 1)
+    h = span_hash(prefix, at, at + anchor)
+    low = (h & ~np.uint64((1 << _PLACE) - 1)) | at.astype(np.uint64)
+    size = window - anchor + 1
+    first = offsets[:-1, None] + np.arange(size)
+    smallest = np.argpartition(low[first], level - 1, axis=1)[:, :level]
+    low[np.take_along_axis(first, smallest, axis=1)] |= ~np.uint64((1 << _PLACE) - 1)
+    width = 1
+    while width * 2 <= size:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < size:
+        low = np.minimum(low[: len(low) - (size - width)], low[size - width :])
+    n = np.diff(offsets) - window + 1
+    piece = np.repeat(np.arange(len(n)), n)
+    start = offsets[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    place = (low[start] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (place[1:] != place[:-1])))
+    return piece[new], h[place[new]], start[new], np.diff(np.append(new, len(piece)))
+
+
 # --- transforms and their merge ---------------------------------------------------------------------
 
 
@@ -282,7 +311,20 @@ def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "piece", 1 << 18):
         rows = [(p[i : i + WINDOW], s + i) for p, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True) for i in range(len(p) - WINDOW + 1)]
         own = pa.array(np.repeat(np.arange(batch.num_rows), [len(p) - WINDOW + 1 for p in batch.column(0).to_pylist()]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), batch.column(1).take(own), pa.array([r[1] for r in rows], pa.int64())], names=["w", "doc", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), batch.column(1).take(own), pa.array([r[1] for r in rows], pa.int64())], names=["piece", "doc", "start"])
+
+
+def _finer(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "piece", 1 << 18):
+            data, offsets = text_bytes(batch.column(1))
+            own, h, start, n = finer_pieces(data, offsets, level)
+            key = mix(batch.column(0).to_numpy().view(np.uint64)[own] ^ mix(h))
+            raw, begin = data.tobytes(), start.tolist()
+            pieces = pa.array([raw[b : b + k + WINDOW - 1] for b, k in zip(begin, n.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pieces, batch.column(2).take(pa.array(own)), pa.array(batch.column(3).to_numpy()[own] + start - offsets[own])], names=["key", "piece", "doc", "start"])
+
+    return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,22 +389,38 @@ def _found(d: DataFrame) -> DataFrame:
     return salted.join(keys.select("key", F.explode(salts).alias("salt")), ["key", "salt"], "left_semi").select("doc", "at")
 
 
+def _runs(different: DataFrame, level: int) -> DataFrame:
+    """(doc, run) of the windows that occur earlier in another one of the different pieces (key, piece, doc, start)."""
+    shared = materialize(different.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1"), "suffix-shared")
+    mixed = different.join(shared, "key")
+    few = mixed.where(F.col("pieces") <= MOST_PIECES).select("key", "piece", "doc", "start")
+    merged = few.repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, run long")
+    if shared.where(F.col("pieces") > MOST_PIECES).isEmpty():
+        return merged
+    many = mixed.where(F.col("pieces") > MOST_PIECES).select("key", "piece", "doc", "start")
+    if level < LEVELS:
+        parts, same = materialize(many.mapInArrow(_finer(level), "key long, piece binary, doc long, start long"), "suffix-parts"), ["key", "piece"]
+    else:
+        parts, same = many.select("piece", "doc", "start").mapInArrow(_singles, "piece binary, doc long, start long"), ["piece"]
+    owner = parts.groupBy(*same).agg(F.min(F.struct("doc", "start")).alias("o"), F.count(F.lit(1)).alias("n"))
+    if level < LEVELS:
+        owner = materialize(owner, "suffix-owners")
+    later = parts.join(owner.where("n > 1"), same).where(F.struct("doc", "start") != F.col("o"))
+    later = merged.union(later.select("doc", F.shiftleft("start", 8).bitwiseOR(F.octet_length("piece").cast("long") - (WINDOW - 1)).alias("run")))
+    return later.union(_runs(owner.select("key", "piece", "o.*"), level + 1)) if level < LEVELS else later
+
+
 def _repeats(d: DataFrame, ids: DataFrame, packed: DataFrame) -> DataFrame:
     """By document: spans, pieces that are repeated in part; owns, starts of pieces that are the earliest;
     runs, windows that occur earlier in another piece; copy, whether an earlier document is equal."""
-    firsts = ids.groupBy("same").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("same", "first")
+    # written, so that a text with very many copies can be dealt to several tasks of the join
+    firsts = materialize(ids.groupBy("same").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("same", "first"), "suffix-firsts")
     copies = materialize(ids.join(firsts, "same").where(F.col("doc") > F.col("first")).select("doc").distinct(), "suffix-copies")
     spans = materialize(_found(d).groupBy("doc").agg(F.collect_set("at").alias("spans")).join(copies, "doc", "left_anti"), "suffix-spans")
     pieces = packed.select("doc", "z").join(spans, "doc").select("doc", "z", "spans").mapInArrow(_cut, "key long, piece binary, doc long, start long")
     earliest = F.min(F.struct("doc", "start")).alias("own")
     different = materialize(pieces.groupBy("key", "piece").agg(earliest), "suffix-pieces").select("key", "piece", "own.*")
-    shared = different.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    mixed = different.join(shared, "key")
-    merged = mixed.where(F.col("pieces") <= MOST_PIECES).select("key", "piece", "doc", "start").repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, run long")
-    single = mixed.where(F.col("pieces") > MOST_PIECES).select("piece", "doc", "start").mapInArrow(_singles, "w binary, doc long, start long")
-    owner = single.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = single.join(owner, "w").where(F.struct("doc", "start") != F.col("o")).select("doc", F.shiftleft("start", 8).bitwiseOR(F.lit(1)).alias("run"))
-    runs = materialize(merged.union(later), "suffix-runs").groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    runs = materialize(_runs(different, 1), "suffix-runs").groupBy("doc").agg(F.collect_list("run").alias("runs"))
     owns = different.groupBy("doc").agg(F.collect_list("start").alias("owns"))
     marks = spans.join(owns, "doc", "left").join(runs, "doc", "left").withColumn("copy", F.lit(False))
     return marks.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)

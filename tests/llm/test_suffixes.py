@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tests.llm import helpers as H
 
@@ -24,9 +25,10 @@ def table(rng, n=14):
     return rows
 
 
-@pytest.mark.parametrize("most", [S.MOST_PIECES, 3])
-def test_like_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, levels", [(S.MOST_PIECES, S.LEVELS), (3, S.LEVELS), (1, S.LEVELS), (3, 1)])
+def test_like_brute_force(spark, monkeypatch, most, levels):
     monkeypatch.setattr(S, "MOST_PIECES", most)
+    monkeypatch.setattr(S, "LEVELS", levels)
     rows = table(random.Random(11))
     want = by_hand(rows)
     got = S.report(H.documents(spark, rows)).collect()
@@ -76,6 +78,30 @@ def test_many_rows_without_ids_of_their_own(spark, kind):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
 
 
+def test_finer_pieces():
+    """Parts of a piece are runs of windows, all of them, and equal windows of different pieces are in parts of equal hash."""
+    rng = random.Random(31)
+    base = bytes(rng.choice(b"abcdefgh ") for _ in range(400))
+    texts = [base, base[:150] + b"#" + base[150:], b"?" + base[40:300]]
+    pieces, keys = [], []
+    for t in texts:
+        key, start, n = S.pieces_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        pieces += [t[a : a + k + 99] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+        keys += key.tolist()
+    for level in (1, 2, 3):
+        offsets = np.cumsum([0] + [len(p) for p in pieces])
+        data = b"".join(pieces)
+        own, h, start, n = S.finer_pieces(np.frombuffer(data, np.uint8), offsets, level)
+        assert [sum(n[own == i]) for i in range(len(pieces))] == [len(p) - 99 for p in pieces]
+        seen = {}
+        for i, x, a, k in zip(own.tolist(), h.tolist(), start.tolist(), n.tolist(), strict=True):
+            for j in range(a, a + k):
+                assert seen.setdefault((keys[i], data[j : j + 100]), x) == x
+        # one level down, parts are pieces
+        keys = [(keys[i], x) for i, x in zip(own.tolist(), h.tolist(), strict=True)]
+        pieces = [data[a : a + k + 99] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+
+
 def test_hot_anchors_are_dealt_apart(spark, monkeypatch):
     rng = random.Random(22)
     line = "the very same line of a hundred bytes and more that all of the documents of this table have somewhere in it."
