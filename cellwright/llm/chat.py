@@ -24,8 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fills import numbered, running_sum
+from ..plans.scratch import materialize
 
 CHUNK = 256
+#: Up to so many keys of long dialogues are broadcast, after a count.
+MOST_BROADCAST = 100_000
 SYSTEM = "system"
 NOBODY = "%unknown"
 #: Characters of a text that ranges of messages are told apart by.
@@ -72,9 +75,11 @@ def rotate(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """conv_id, speaker, part, start, n_messages, rendered, mask ("start-end,..." in characters of ``rendered``, ends excluded), n_trained."""
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
     m = turns.select(key.alias("key"), "conv_id", F.lit(0).cast("long").alias("part"), F.col("turn").cast("long").alias("turn"), speaker_name(F.col("role")).alias("name"), escaped(F.col("text")).alias("text"))
-    long = m.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("key")
-    some = not long.isEmpty()
+    long = materialize(m.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("key"), "chat-long")
+    some = long.count()
     if some:
+        # so that texts of other dialogues aren't dealt for it
+        long = F.broadcast(long) if some <= MOST_BROADCAST else long
         many = _ranked(m, long, chunk)
         m = m.join(long, "key", "left_anti").unionByName(many)
     # who speaks in each dialogue: narrow rows, so that the texts are dealt once, by dialogue and chunk
