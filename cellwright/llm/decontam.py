@@ -111,7 +111,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = N, block: int = BLO
     blocks = max(1, -(-grams.count() // block))
     base = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_column)).alias("w"))
     if blocks > 1:  # rows keep their numbers from one block to the next
-        base = materialize(docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("t")), "decontam-rows").select("doc_id", "row", words(F.col("t")).alias("w"))
+        rows = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("t"))
+        base = materialize(rows, "decontam-rows").select("doc_id", "row", words(F.col("t")).alias("w"))
     own = lambda b: grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
     hits = reduce(DataFrame.union, [_hits(base, own(b), lengths) for b in range(blocks)])
     at = F.when(F.col("found").isNotNull(), F.struct("p", "l"))
@@ -152,7 +153,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any hit.  Rows are told apart by id and text."""
-    bad = annotate(docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("k"), "text"), benchmark, id_column="k").where("contaminated").select(F.col("doc_id.doc_id").alias("__bad_id"), F.col("doc_id.h").alias("__bad_h")).distinct()
+    keyed = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("k"), "text")
+    bad = annotate(keyed, benchmark, id_column="k").where("contaminated")
+    bad = bad.select(F.col("doc_id.doc_id").alias("__bad_id"), F.col("doc_id.h").alias("__bad_h")).distinct()
     return docs.join(bad, F.col("__bad_id").eqNullSafe(docs["doc_id"]) & (F.col("__bad_h") == F.xxhash64(docs["text"])), "left_anti")
 
 

@@ -229,7 +229,9 @@ def media_features(images: DataFrame, id_column: str = "doc_id", content: str =
                     row = [None, None, None, None, str(e)]
                 for column, v in zip(rows, row, strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()), strict=True)]], names=[id_column, "height", "width", "tile", "dhash", "error"])
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
+            columns = [pa.array(r, t) for r, t in zip(rows, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, "height", "width", "tile", "dhash", "error"])
 
     return images.select(id_column, content).mapInArrow(run, f"`{id_column}` {kind}, height int, width int, tile binary, dhash string, error string")
 
