@@ -82,9 +82,20 @@ def filter_formula(df: DataFrame, formula: str, **options: object) -> DataFrame:
 # --- aggregates -----------------------------------------------------------------------------------
 
 
-def aggregate(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, order: list[str] | None = None, errors: bool | None = None, ranks: bool = False, **options: object) -> DataFrame:
+def aggregate(
+    df: DataFrame,
+    formulas: dict[str, str],
+    by: list[str] | None = None,
+    order: list[str] | None = None,
+    errors: bool | None = None,
+    ranks: bool = False,
+    aggregates: dict[str, Callable[..., Lane]] | None = None,
+    **options: object,
+) -> DataFrame:
     """One row per group (or one in all) with a value for each formula of range functions.
 
+    ``aggregates``: range functions of one's own, from the lanes of their arguments to the lane of an aggregate.
+
     ``ranks``: find medians by the ranks of values over ranges of all of them.  Otherwise a task holds the distinct values of a group,
     which is faster where they are not many.
     """
@@ -93,6 +104,7 @@ def aggregate(df: DataFrame, formulas: dict[str, str], by: list[str] | None = No
     row.keeps = True
     ranked: dict[tuple, str] = {}
     extra: list[tuple[str, tuple]] = []
+    own = {name.upper(): run for name, run in (aggregates or {}).items()}
 
     class Ordered(Ranges):
         def _special(self, tree: tuple) -> Lane | None:
@@ -102,6 +114,8 @@ def aggregate(df: DataFrame, formulas: dict[str, str], by: list[str] | None = No
                     ranked[tree] = f"__nth{len(ranked)}"
                     extra.append((ranked[tree], tree))
                 raise _Later
+            if tree[0] == "call" and tree[1] in own:
+                return own[tree[1]](*[self.row.lane(a) if has_field(a) else self.lane(a) for a in tree[2]])
             return super()._special(tree)
 
     ranges = Ordered(row, [F.col(f"`{o}`") for o in order or []], **{k: v for k, v in options.items() if k != "functions"})
@@ -569,4 +583,9 @@ _FRAMED: dict[str, Callable[..., Lane]] = {
     "COUNTA": lambda _, tag, frame: Lane("num", F.count(tag).over(frame).cast("double"), None, False),
 }
 
-__all__ = ["RANGE_FUNCTIONS", "aggregate", "conditional_column", "fill", "fill_blocks", "filter_formula", "hlookup", "index", "lookup", "lookup_wildcard", "match", "median_by_ranks", "nth_value", "recur", "side_by_side", "with_formula", "with_formulas"]
+__all__ = [
+    "RANGE_FUNCTIONS",
+    *("aggregate", "conditional_column", "filter_formula", "median_by_ranks", "nth_value", "side_by_side", "with_formula", "with_formulas"),
+    *("hlookup", "index", "lookup", "lookup_wildcard", "match"),
+    *("fill", "fill_blocks", "recur"),
+]

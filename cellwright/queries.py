@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import columns as C
 from .operators import files
 from .plans.fills import numbered, running_sum
+from .plans.lanes import Lane, part, to_num
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,6 +472,17 @@ def median_by_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.aggregate(load(spark, sf_dir, "lineitem"), {"m": "=MEDIAN([l_extendedprice])", "q": "=MEDIAN([l_quantity])"}, ["l_returnflag"], errors=False, ranks=True)
 
 
+@_query("user_functions", f"SELECT l_returnflag, {_half(f'exp(avg(ln({_Q})))', 6)} AS geo, {_half(f'(max({_P}) - min({_P}))', 2)} AS spread, count(*) FILTER (WHERE {_Q} * 2 > 60)::DOUBLE AS big FROM lineitem GROUP BY 1")
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of one's own: of a row's values, and of ranges."""
+    geomean = lambda x: Lane("num", F.exp(F.avg(F.ln(part(x, "num")))), None, False)
+    spread = lambda x: Lane("num", F.max(part(x, "num")) - F.min(part(x, "num")), None, False)
+    twice = lambda x: Lane("num", to_num(x)[0] * 2, x.err, False)
+    df = C.with_formula(load(spark, sf_dir, "lineitem"), "double_q", "=TWICE([l_quantity])", errors=False, functions={"twice": twice})
+    formulas = {"geo": "=ROUND(GEOMEAN([l_quantity]),6)", "spread": "=ROUND(SPREAD([l_extendedprice]),2)", "big": '=COUNTIF([double_q],">60")'}
+    return C.aggregate(df, formulas, ["l_returnflag"], errors=False, aggregates={"geomean": geomean, "spread": spread})
+
+
 @_query(
     "fill_one_order",
     f"""SELECT l_orderkey, l_linenumber, l_extendedprice, {_P} - lag({_P}, 1, 0) OVER w AS step, {_half(f"(sum({_P}) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))", 2)} AS near FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_extendedprice)""",

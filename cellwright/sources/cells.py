@@ -54,7 +54,10 @@ def cell_batches(path: str, content: bytes, sheet: str | None) -> Iterator[pa.Re
     book = open_workbook(content, sheet, metadata=False)
     for i, s in enumerate(book.sheets):
         for some in itertools.batched(s.cells, _BATCH):
-            rows = [(path, s.name, i, c.row, c.col, format_cell(c.col, c.row), c.type, *_lanes(c), c.formula, c.style, book.formats[c.style] if c.style is not None and c.style < len(book.formats) else None) for c in some]
+            rows = []
+            for c in some:
+                code = book.formats[c.style] if c.style is not None and c.style < len(book.formats) else None
+                rows.append((path, s.name, i, c.row, c.col, format_cell(c.col, c.row), c.type, *_lanes(c), c.formula, c.style, code))
             yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=names)
 
 
@@ -88,7 +91,8 @@ def read_images(files_: DataFrame) -> DataFrame:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for s in open_workbook(content).sheets:
                     for ref, data in s.meta.get("image", []):
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([s.name]), pa.array([ref]), pa.array([data["name"]]), pa.array([data["bytes"]], pa.binary())], names=["path", "sheet", "ref", "name", "content"])
+                        row = [pa.array([x]) for x in (path, s.name, ref, data["name"])]
+                        yield pa.RecordBatch.from_arrays([*row, pa.array([data["bytes"]], pa.binary())], names=["path", "sheet", "ref", "name", "content"])
 
     return files_.select("path", "content").mapInArrow(run, "path string, sheet string, ref string, name string, content binary")
 
@@ -127,7 +131,9 @@ def with_colors(cells: DataFrame, metadata: DataFrame) -> DataFrame:
         return out
 
     # a row per workbook
-    own = metadata.where("kind IN ('styles', 'theme')").groupBy("path").agg(F.to_json(F.collect_list(F.when(F.col("kind") == "styles", F.col("data")))).alias("styles"), F.first(F.when(F.col("kind") == "theme", F.col("data")), ignorenulls=True).alias("theme"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("data"))
+    own = metadata.where("kind IN ('styles', 'theme')").groupBy("path")
+    own = own.agg(F.to_json(F.collect_list(of("styles"))).alias("styles"), F.first(of("theme"), ignorenulls=True).alias("theme"))
     listed = F.udf(lambda styles, theme: run("[" + ",".join(json.loads(styles)) + "]", theme), style)
     table = own.select("path", F.explode(listed("styles", "theme")).alias("x")).select("path", "x.*")
     return cells.join(table, ["path", "style"], "left")

@@ -545,13 +545,15 @@ def workbook_parts(book: WorkbookInput) -> Iterator[tuple[str, Content]]:
         "xl/workbook.xml",
         f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{REL}">{tag("workbookPr", {"date1904": True if book.date1904 else None})}{tag("workbookProtection", book.protection) if book.protection is not None else ""}<sheets>{sheets}</sheets>{f"<definedNames>{defined}</definedNames>" if defined else ""}</workbook>',
     )
-    yield "xl/_rels/workbook.xml.rels", _relations([*[("worksheet", f"worksheets/sheet{i}.xml", False) for i in range(1, n + 1)], ("styles", "styles.xml", False), *([("theme", "theme/theme1.xml", False)] if book.theme else [])])
+    related = [("worksheet", f"worksheets/sheet{i}.xml", False) for i in range(1, n + 1)] + [("styles", "styles.xml", False)]
+    yield "xl/_rels/workbook.xml.rels", _relations(related + ([("theme", "theme/theme1.xml", False)] if book.theme else []))
     if book.theme:
         yield "xl/theme/theme1.xml", book.theme
         parts.types["/xl/theme/theme1.xml"] = "application/vnd.openxmlformats-officedocument.theme+xml"
     yield "_rels/.rels", _relations([("officeDocument", "xl/workbook.xml", False)])
     types = {"/xl/workbook.xml": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml", "/xl/styles.xml": "application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"} | parts.types
-    defaults = {"rels": "application/vnd.openxmlformats-package.relationships+xml", "xml": "application/xml"} | {e: "application/vnd.openxmlformats-officedocument.vmlDrawing" if e == "vml" else MEDIA[e] for e in sorted(parts.extensions)}
+    defaults = {"rels": "application/vnd.openxmlformats-package.relationships+xml", "xml": "application/xml"}
+    defaults |= {e: "application/vnd.openxmlformats-officedocument.vmlDrawing" if e == "vml" else MEDIA[e] for e in sorted(parts.extensions)}
     body = "".join(tag("Default", {"Extension": e, "ContentType": t}) for e, t in defaults.items()) + "".join(tag("Override", {"PartName": p, "ContentType": t}) for p, t in types.items())
     yield "[Content_Types].xml", f'{HEAD}<Types xmlns="{PACKAGE}/content-types">{body}</Types>'
 
@@ -607,7 +609,10 @@ def from_workbook(book: Workbook) -> WorkbookInput:
             copy.conditional.append(rule | ({"style": {"xml": dxfs[int(dxf)]}} if dxf is not None and int(dxf) < len(dxfs) else {}))
         sheets.append(copy)
     names = {(n["sheet_index"], n["name"].upper()): n for n in book.names if not n["name"].startswith("_xlnm._FilterDatabase")}
-    return WorkbookInput(sheets, list(names.values()), book.meta.get("styles") or [{"format": f} if f else {} for f in book.formats], protection=next(iter(book.meta.get("protection", [])), None), date1904=bool(book.meta.get("date1904", [False])[0]), theme=next((t["xml"] for t in book.meta.get("theme", [])), None))
+    styles = book.meta.get("styles") or [{"format": f} if f else {} for f in book.formats]
+    protection = next(iter(book.meta.get("protection", [])), None)
+    theme = next((t["xml"] for t in book.meta.get("theme", [])), None)
+    return WorkbookInput(sheets, list(names.values()), styles, protection, bool(book.meta.get("date1904", [False])[0]), theme)
 
 
 def _by_row(cells: Iterable[Cell]) -> Iterator[tuple[int, list[Cell]]]:

@@ -267,7 +267,9 @@ def open_xlsx(data: bytes, only: str | None = None, metadata: bool = True, **gua
     names = [
         {"name": e.get("name", ""), "refers_to": e.text, "sheet_index": _int(e.get("localSheetId"), -1) if e.get("localSheetId") else None, "hidden": e.get("hidden") in ("1", "true")} for e in book.all("definedName")
     ]
-    out = Workbook("xlsx", [], names, formats, {"styles": styles, "dxfs": [e.xml() for d in sheet_styles.all("dxfs") for e in d.children], "protection": [e.data() for e in book.children if e.name == "workbookProtection"], "date1904": [date1904]})
+    dxfs = [e.xml() for d in sheet_styles.all("dxfs") for e in d.children]
+    protection = [e.data() for e in book.children if e.name == "workbookProtection"]
+    out = Workbook("xlsx", [], names, formats, {"styles": styles, "dxfs": dxfs, "protection": protection, "date1904": [date1904]})
     if part.get("theme") in package:
         raw = package.read(part["theme"])
         out.meta["theme"] = [{"colors": theme_colors(tree(iter([raw]))), "xml": raw.decode("utf-8", "replace")}]
