@@ -256,7 +256,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     placed = base.select("node", "bands").groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = materialize(placed.join(shared, "bucket", "left_semi").select("bucket", "node"), "neardup-members")
-    leads = members.groupBy("bucket").agg(F.min("node").alias("leader"))
+    # what is joined by bucket is written first, so that a large bucket can be dealt to several tasks
+    leads = materialize(members.groupBy("bucket").agg(F.min("node").alias("leader")), "neardup-leads")
     found = materialize(members.select("node").distinct(), "neardup-nodes")
     same = F.col("n2") == F.col("node")
     # a merge join at every size, lest the few nodes of a small table be broadcast and those of a large one not
@@ -267,7 +268,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     labels = _linked(None, results[0])
     for _ in range(ROUNDS):
         of = _labelled(members, labels).groupBy("bucket").agg(F.min(F.struct("comp", "node")).alias("low"), F.max("comp").alias("high"))
-        of = of.where(F.col("low.comp") < F.col("high")).select("bucket", "low")
+        of = materialize(of.where(F.col("low.comp") < F.col("high")).select("bucket", "low"), "neardup-lows")
         members = materialize(members.join(of, "bucket"), "neardup-open")
         pairs = _labelled(members, labels).where(F.col("comp") != F.col("low.comp")).select(F.least("node", "low.node").alias("leader"), F.greatest("node", "low.node").alias("node"), F.col("node").alias("own"))
         pairs = _untested(pairs.distinct(), results).groupBy("own").agg(F.min(F.struct("leader", "node")).alias("p")).select("p.leader", "p.node").distinct()
@@ -309,6 +310,7 @@ def _straying(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     m = _labelled(members, labels).select("bucket", "node", "comp")
     sizes = m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    main = materialize(main, "neardup-main")
     return m.join(main, "bucket").select("bucket", "node", "comp", (F.col("comp") != F.col("main.comp")).alias("strays"))
 
 
@@ -317,7 +319,7 @@ def classes(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         nodes, labels = link(docs)
         labelled = _labelled(nodes, labels).select("doc_id", "comp")
-        least = labelled.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("class_id"))
+        least = materialize(labelled.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("class_id")), "neardup-least")
         out = labelled.join(least, F.col("comp") == F.col("c")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
         return keep(out, "neardup-classes")
 
