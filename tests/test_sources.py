@@ -284,15 +284,31 @@ def test_spark_metadata_and_tables(spark, tmp_path):
     assert [tuple(r) for r in back] == [(4.0, "n4", True), (5.0, "n5", False), (6.0, "n6", True)]
 
 
-def test_numbers_over_many_ranges(spark, tmp_path):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_over_many_ranges(spark, tmp_path, adaptive):
     from pyspark.sql import functions as F
 
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        _numbers_over_many_ranges(spark, tmp_path, F)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def _numbers_over_many_ranges(spark, tmp_path, F):  # noqa: N803
+
     from cellwright.plans.fills import numbered
 
-    df = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.md5(F.col("id").cast("string")).alias("note")).repartition(6)
+    df = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_000).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.md5(F.col("id").cast("string")).alias("note")).repartition(6)
     out = numbered(df, ["id"], "__row")
     assert out.columns == ["id", "name", "note", "__row"]
-    assert tuple(out.agg(F.count(F.lit(1)), F.count_distinct("__row"), F.count_if(F.col("__row") == F.col("id") + 1), F.max(F.length(F.concat("name", "note")))).first()) == (400_000, 400_000, 400_000, 96)
+    assert tuple(out.agg(F.count(F.lit(1)), F.count_distinct("__row"), F.count_if(F.col("__row") == F.col("id") + 1), F.max(F.length(F.concat("name", "note")))).first()) == (1_000_000, 1_000_000, 1_000_000, 96)
+    # null and very frequent keys
+    odd = spark.range(50_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("k"), "id").repartition(5)
+    rows = numbered(odd, ["k", "id"], "__row").orderBy("__row").collect()
+    assert [r["__row"] for r in rows] == list(range(1, 50_001))
+    assert [(r.k is not None, r.k or 0, r.id) for r in rows] == sorted((r.k is not None, r.k or 0, r.id) for r in rows)
     # a column of nulls without a type
     cells = cells_of_table(df.limit(3).withColumn("none", F.lit(None)), ["id"], str(tmp_path / "x.xlsx"))
     assert cells.count() == 16 and cells.where("type = 'empty'").count() == 3
