@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FormulaError
 from ..functions.criteria import parse_criterion
-from ..functions.refs import column_number
+from ..functions.refs import MAX_COL, column_letters, column_number
 from ..functions.values import Err, Stop
 from ..functions.values import num as number
 from ..plans import lanes as L
@@ -493,21 +493,50 @@ def fill(df: DataFrame, name: str, formula: str | tuple, columns: dict[str, str]
 
 
 def fill_blocks(df: DataFrame, name: str, formula: str, columns: dict[str, str], order: list[str], row: int = 1, errors: bool | None = None, block: int = 1_000_000) -> DataFrame:
-    """``fill`` over one order of all rows, for formulas whose references are relative: rows are numbered range by range and dealt to
-    blocks, each with the rows before and after it that its formulas reach."""
-    tree = parse(formula)
+    """``fill`` over one order of all rows: they are numbered range by range and dealt to blocks, each with the rows before and after it that
+    relative references reach.  Range functions from row 1 (``SUM(A$1:A2)``, up to the own row at most) are sums and extremes that go on
+    from range to range; other absolute references aren't supported."""
+    rows = numbered(df, order, "__nr").withColumn("__nr", F.col("__nr") - 1)
+    columns, added = dict(columns), {}
+
+    def replaced(t: tuple) -> tuple:
+        """Calls over ranges from row 1 become references to columns of running values."""
+        nonlocal rows
+        if not isinstance(t, tuple) or not t or not isinstance(t[0], str):
+            return tuple(map(replaced, t)) if isinstance(t, tuple) else t
+        if t[0] == "call" and t[1] in ("SUM", "COUNT", "AVERAGE", "MIN", "MAX") and len(t[2]) == 1 and t[2][0][0] == "range":
+            a, b = t[2][0][1:]
+            if a[0] == b[0] == "cell" and a[4] and not b[4] and a[2] == 1 and a[1] == b[1] and a[5] is b[5] is None and b[2] <= row:
+                if t[1] == "AVERAGE":
+                    return ("binary", "/", replaced(("call", "SUM", t[2])), replaced(("call", "COUNT", t[2])))
+                if (t[1], a[1]) not in added:
+                    added[t[1], a[1]] = letter = column_letters(MAX_COL - len(added))
+                    columns[letter] = f"__so_far{len(added)}"
+                    rows = _so_far(rows, columns[letter], t[1], columns[next(c for c in columns if column_number(c) == a[1])])
+                return ("cell", column_number(added[t[1], a[1]]), b[2], False, False, None)
+        return tuple(replaced(c) if isinstance(c, tuple) else c for c in t)
+
+    tree = replaced(parse(formula))
     cells = [t for t in _all(tree) if t[0] == "cell"]
     if any(t[4] for t in cells) or any(t[0] in ("name", "spill") for t in _all(tree)):
         raise FormulaError("unsupported", "a reference that is not relative")
     above = max([row - t[2] for t in cells] + [0])
     below = max([t[2] - row for t in cells] + [0])
-    rows = numbered(df, order, "__nr").withColumn("__nr", F.col("__nr") - 1)
     own = F.floor(F.col("__nr") / block)
     # the blocks that a row belongs to or is in reach of
     first, last = F.floor((F.col("__nr") - below) / block), F.floor((F.col("__nr") + above) / block)
     spread = rows.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     out = fill(spread, name, tree, columns, ["__nr"], ["__block"], row, errors)
-    return out.where(F.col("__own") == F.col("__block")).drop("__nr", "__own", "__block")
+    return out.where(F.col("__own") == F.col("__block")).drop("__nr", "__own", "__block", *[c for c in columns.values() if c.startswith("__so_far")])
+
+
+def _so_far(rows: DataFrame, name: str, function: str, column: str) -> DataFrame:
+    """``rows`` with SUM, COUNT, MIN or MAX of the numbers of a column down to each row."""
+    v = L.part(row_compiler(rows).lane(("field", None, column)), "num")
+    if function in ("MIN", "MAX"):
+        return running_extreme(rows.withColumn("__x", v), ["__nr"], "__x", name, function == "MIN").drop("__x")
+    rows = rows.withColumn("__x", F.coalesce(v, F.lit(0.0)) if function == "SUM" else F.when(v.isNotNull(), 1.0).otherwise(0.0))
+    return running_sum(rows, ["__nr"], "__x", "__before_x").withColumn(name, F.col("__before_x") + F.col("__x")).drop("__x", "__before_x")
 
 
 def _all(tree: tuple) -> Iterator[tuple]:

@@ -485,12 +485,13 @@ def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "fill_one_order",
-    f"""SELECT l_orderkey, l_linenumber, l_extendedprice, {_P} - lag({_P}, 1, 0) OVER w AS step, {_half(f"(sum({_P}) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))", 2)} AS near FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_extendedprice)""",
+    f"""SELECT l_orderkey, l_linenumber, l_extendedprice, {_P} - lag({_P}, 1, 0) OVER w AS step, {_half(f"(sum({_P}) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))", 2)} AS near, sum({_Q}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - max({_P}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_extendedprice)""",
 )
 def fill_one_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences and sliding sums over one order of all rows, block by block."""
-    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    """Differences, sliding and running sums over one order of all rows, block by block."""
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     order = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    df = C.fill_blocks(df, "so_far", "=SUM(B$1:B5)-MAX(A$1:A5)", {"A": "l_extendedprice", "B": "l_quantity"}, order, 5, False, block=1000).drop("l_quantity")
     df = C.fill_blocks(df, "step", "=A5-A4", {"A": "l_extendedprice"}, order, 5, False, block=1000)
     return C.fill_blocks(df, "near", "=ROUND(SUM(A3:A6),2)", {"A": "l_extendedprice"}, order, 5, False, block=1000)
 

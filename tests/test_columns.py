@@ -298,5 +298,13 @@ def test_medians_by_ranks_and_blocks(spark):
     for block in (2, 7, 5000):
         many = C.fill_blocks(C.fill_blocks(df, "x", "=A4-A2+A6", {"A": "v"}, ["i"], 4, False, block), "y", "=COUNT(A1:A7)+MAX(A3:A4)", {"A": "v"}, ["i"], 4, False, block)
         assert {r.i: (r.x, r.y) for r in many.collect()} == one
-    with pytest.raises(FormulaError):
-        C.fill_blocks(df, "x", "=SUM(A$1:A4)", {"A": "v"}, ["i"])
+    formula = "=SUM(A$1:A4)-MIN(A$1:A4)+MAX(A$1:A3)*COUNT(A$1:A2)+A5"
+    one = {r.i: r.x for r in C.fill(df, "x", formula, {"A": "v"}, ["i"], row=4, errors=False).collect()}
+    mean = {r.i: (r.x, r.x_err) for r in C.fill(df, "x", "=AVERAGE(A$1:A4)", {"A": "v"}, ["i"], row=4).collect()}
+    for block in (7, 5000):
+        assert {r.i: r.x for r in C.fill_blocks(df, "x", formula, {"A": "v"}, ["i"], 4, False, block).collect()} == one
+        for r in C.fill_blocks(df, "x", "=AVERAGE(A$1:A4)", {"A": "v"}, ["i"], 4, None, block).collect():
+            assert r.x_err == mean[r.i][1] and (r.x == mean[r.i][0] or abs(r.x - mean[r.i][0]) < 1e-9)
+    for bad in ("=SUM(A$2:A4)", "=SUM(A$1:A5)", "=A$1", "=SUM(A$1:A$4)"):
+        with pytest.raises(FormulaError):
+            C.fill_blocks(df, "x", bad, {"A": "v"}, ["i"], 4)
