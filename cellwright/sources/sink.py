@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -115,22 +116,27 @@ def _write_local(path: str, content: bytes) -> None:
     os.replace(part, path)  # a task that runs again leaves one whole file
 
 
+def _is_file(path: str) -> bool:
+    return path.startswith("file:") or not re.match("[A-Za-z][A-Za-z0-9+.-]*:", path)
+
+
 def save(rendered: DataFrame, spark: SparkSession) -> None:
     """Writes (path, content).  Each task writes its own files where paths are files; other stores go through Spark's file systems, a file at a time."""
-    schemes = {r.s for r in rendered.select(F.regexp_extract("path", "^([A-Za-z][A-Za-z0-9+.-]*):", 1).alias("s")).distinct().collect()}
-    if schemes <= {"", "file"}:
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                paths = b.column(0).to_pylist()
-                for path, content in zip(paths, b.column(1).to_pylist(), strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            others = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if _is_file(path):
                     _write_local(url2pathname(urlsplit(path).path) if path.startswith("file:") else path, content)
-                yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
+                else:
+                    others.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(others, pa.string())], names=["path"])
 
-        rendered.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    if not rendered.select("path", "content").mapInArrow(run, "path string").agg(F.count("path")).first()[0]:
         return
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in rendered.toLocalIterator():
+    for r in rendered.where(F.col("path").rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~F.col("path").startswith("file:")).toLocalIterator():
         target = jvm.org.apache.hadoop.fs.Path(r.path)
         stream = target.getFileSystem(conf).create(target, True)
         stream.write(bytearray(r.content))
