@@ -28,7 +28,7 @@ from ..plans.syntax import children, parse
 #: Lookup tables with at most so many keys are broadcast after a count; larger ones are joined by shuffle.
 MOST_BROADCAST = 100_000
 #: Patterns and comparisons that one pass over a table answers.
-BLOCK = 500
+BLOCK = 100
 #: Up to so many bands of an approximate lookup are tested one by one.
 FEW = 16
 
@@ -391,12 +391,37 @@ def side_by_side(left: DataFrame, right: DataFrame, left_order: list[str], right
     return a.join(b, F.col("__row_a") == F.col("__row_b"), "full").drop("__row_a", "__row_b")
 
 
+def _compared(criteria: DataFrame, table: DataFrame) -> DataFrame:
+    """(t, a) of criteria (t, op, x) that compare with numbers, over the numbers ``v`` of a table with values ``x``: from running sums over v."""
+    at = table.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("s"), F.count("x").alias("n"))
+    upto = at
+    for k in ("c", "s", "n"):
+        upto = running_sum(upto, ["v"], k, f"below_{k}")
+    upto = materialize(upto.select("v", *[F.struct(F.col(f"below_{k}").alias("below"), F.col(k).alias("here")).alias(k) for k in ("c", "s", "n")]), "criteria-sums")
+    total = upto.agg(*[F.coalesce(F.sum(f"{k}.here"), F.lit(0)).alias(k) for k in ("c", "s", "n")]).first()
+    steps = upto.select("v", F.struct("v", "c", "s", "n").alias("step"))
+    found = last_at_or_before(criteria, "x", steps, "v", "step", "step")
+    same = F.coalesce(F.col("step.v") == F.col("x"), F.lit(False))
+
+    def answer(k: str) -> Column:
+        here = F.when(same, F.col(f"step.{k}.here")).otherwise(0)
+        most = F.coalesce(F.col(f"step.{k}.below") + F.col(f"step.{k}.here"), F.lit(0))
+        everything = F.lit(total[k])
+        cases = {"<=": most, "<": most - here, ">": everything - most, ">=": everything - most + here, "<>": everything - here}
+        out = F.lit(None)
+        for op, v in cases.items():
+            out = F.when(F.col("op") == op, v).otherwise(out)
+        return out
+
+    return found.select("t", F.struct(answer("c").cast("long").alias("c"), answer("s").cast("double").alias("s"), answer("n").cast("long").alias("n")).alias("a"))
+
+
 def conditional_column(df: DataFrame, name: str, function: str, key: str, table: DataFrame, column: str, value: str | None = None) -> DataFrame:
     """A filled-down column of SUMIF / COUNTIF / AVERAGEIF(table[column], key, table[value]).
 
     Keys that mean equality, texts that spell a number or a boolean among them, are answered by one aggregation and a join;
     keys that are patterns or comparisons (">5", "a*") are few distinct ones as a rule: each distinct one is an aggregate of its own
-    over the table, ``BLOCK`` of them with each pass.
+    over the table, ``BLOCK`` of them with each pass.  More comparisons with numbers than that come from running sums over the numbers.
     """
     x = row_compiler(df).lane(parse(key))
     t_key = row_compiler(table).lane(("field", None, column))
@@ -412,7 +437,17 @@ def conditional_column(df: DataFrame, name: str, function: str, key: str, table:
         t = fits(t_key, parse_criterion(None if r.t == "b" else r.t[1:]))
         return F.struct(F.count_if(t).alias("c"), F.coalesce(F.sum(F.when(t, number)), F.lit(0.0)).cast("double").alias("s"), F.count(F.when(t, number)).alias("n"))
 
-    odd = _per_criterion(df.where(special).select(written.alias("t")).distinct(), table, answer, "t string, a struct<c:long,s:double,n:long>")
+    distinct = df.where(special).select(written.alias("t")).distinct()
+    schema = "t string, a struct<c:long,s:double,n:long>"
+    compared = F.regexp_extract("t", r"^t(<=|>=|<>|<|>)", 1)
+    operand = L.numeric_text(F.regexp_extract("t", r"^t(?:<=|>=|<>|<|>)([\s\S]*)$", 1))
+    distinct = materialize(distinct.select("t", F.when(operand.isNotNull() & (compared != ""), compared).alias("op"), operand.alias("x")), "criteria")
+    if distinct.where("op IS NOT NULL").count() > BLOCK:
+        odd = _per_criterion(distinct.where("op IS NULL").select("t"), table, answer, schema)
+        by_ranges = _compared(distinct.where("op IS NOT NULL"), table.select(L.part(t_key, "num").alias("v"), number.alias("x")))
+        odd = by_ranges if odd is None else odd.union(by_ranges)
+    else:
+        odd = _per_criterion(distinct.select("t"), table, answer, schema)
     joined = df.withColumn("__q", F.when(~special, _criterion_key(x))).join(_small(sums), F.col("__q") == F.col("__k"), "left")
     parts = {n: F.col(n) for n in ("__c", "__s", "__n")}
     if odd is not None:

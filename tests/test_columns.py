@@ -308,3 +308,21 @@ def test_medians_by_ranks_and_blocks(spark):
     for bad in ("=SUM(A$2:A4)", "=SUM(A$1:A5)", "=A$1", "=SUM(A$1:A$4)"):
         with pytest.raises(FormulaError):
             C.fill_blocks(df, "x", bad, {"A": "v"}, ["i"], 4)
+
+
+def test_many_comparisons_by_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 5)
+    rows = [(float(i % 13) if i % 7 else None, float(i) if i % 5 else None) for i in range(400)]
+    table = spark.createDataFrame(rows, "v double, x double").repartition(3)
+    keys = [f"{op}{n}" for op in ("<", "<=", ">", ">=", "<>") for n in ("-1", "0", "3", "3.5", "12", "99", " 1e1")] + ["<x", ">=", "1*", "5"]
+    tests = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<>": lambda a, b: a != b}
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    out = {f: {r.k: r for r in C.conditional_column(df, "r", f, "=[k]", table, "v", "x").collect()} for f in ("COUNTIF", "SUMIF", "AVERAGEIF")}
+    monkeypatch.setattr(C, "BLOCK", 500)
+    for f, got in out.items():
+        for r in C.conditional_column(df, "r", f, "=[k]", table, "v", "x").collect():
+            assert got[r.k].r == r.r or abs(got[r.k].r - r.r) < 1e-6, (f, r.k)
+    for op, test in tests.items():
+        for n in ("-1", "0", "3", "3.5", "12", "99", " 1e1"):
+            hit = [x for v, x in rows if v is not None and test(v, float(n))]
+            assert out["COUNTIF"][op + n].r == float(len(hit)) and abs(out["SUMIF"][op + n].r - sum(x for x in hit if x is not None)) < 1e-6
