@@ -269,12 +269,19 @@ def _blocks(distinct: DataFrame) -> Iterator[list[Row]]:
 
 def _per_criterion(distinct: DataFrame, table: DataFrame, answer: Callable[[Row], Column], schema: str) -> DataFrame | None:
     """One row of ``schema`` for each row of ``distinct``: the row and its aggregate over ``table``, a block of rows with each pass."""
-    spark, path = table.sparkSession, None
-    for rows in _blocks(distinct):
+    spark = table.sparkSession
+
+    def answered(rows: list[Row]) -> DataFrame:
         got = table.agg(*[answer(r).alias(f"a{i}") for i, r in enumerate(rows)]).first()
-        path = path or new_path(spark, "criteria")
-        spark.createDataFrame([(*r, got[i]) for i, r in enumerate(rows)], schema).coalesce(1).write.mode("append").parquet(path)
-    return spark.read.schema(spark.createDataFrame([], schema).schema).parquet(path) if path else None
+        return spark.createDataFrame([(*r, got[i]) for i, r in enumerate(rows)], schema)
+
+    few = distinct.limit(BLOCK + 1).collect()
+    if len(few) <= BLOCK:
+        return answered(few) if few else None
+    path = new_path(spark, "criteria")
+    for rows in _blocks(distinct):
+        answered(rows).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(spark.createDataFrame([], schema).schema).parquet(path)
 
 
 def _first_fits(patterns: DataFrame, table: DataFrame, t_key: Lane, t_val: Lane, place: Column) -> DataFrame | None:
@@ -441,8 +448,10 @@ def conditional_column(df: DataFrame, name: str, function: str, key: str, table:
     schema = "t string, a struct<c:long,s:double,n:long>"
     compared = F.regexp_extract("t", r"^t(<=|>=|<>|<|>)", 1)
     operand = L.numeric_text(F.regexp_extract("t", r"^t(?:<=|>=|<>|<|>)([\s\S]*)$", 1))
-    distinct = materialize(distinct.select("t", F.when(operand.isNotNull() & (compared != ""), compared).alias("op"), operand.alias("x")), "criteria")
-    if distinct.where("op IS NOT NULL").count() > BLOCK:
+    many = distinct.limit(BLOCK + 1).count() > BLOCK
+    if many:
+        distinct = materialize(distinct.select("t", F.when(operand.isNotNull() & (compared != ""), compared).alias("op"), operand.alias("x")), "criteria")
+    if many and distinct.where("op IS NOT NULL").count() > BLOCK:
         odd = _per_criterion(distinct.where("op IS NULL").select("t"), table, answer, schema)
         by_ranges = _compared(distinct.where("op IS NOT NULL"), table.select(L.part(t_key, "num").alias("v"), number.alias("x")))
         odd = by_ranges if odd is None else odd.union(by_ranges)
