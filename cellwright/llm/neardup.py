@@ -263,6 +263,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     # a merge join at every size, lest the few nodes of a small table be broadcast and those of a large one not
     shown = rows.select(F.col("node").alias("n2"), "text").join(found.hint("merge"), same, "left_semi").select(F.col("n2").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
     texts, table = bucketed(shown, "node", "neardup_texts")
+    try:
+        return nodes, _grow(members, leads, base, texts)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _grow(members: DataFrame, leads: DataFrame, base: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(node, comp) from comparisons of the members of buckets, round by round."""
     # first every text is compared with the least text it meets
     results = [similarities(members.join(leads, "bucket").where("node > leader").groupBy("node").agg(F.min("leader").alias("leader")), texts)]
     labels = _linked(None, results[0])
@@ -284,8 +292,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         labels = _linked(labels, results[-1])
         if best:
             left = materialize(_straying(left.select("bucket", "node"), labels), "neardup-open")
-    docs.sparkSession.sql(f"DROP TABLE {table}")
-    return nodes, labels
+    return labels
 
 
 def _across(left: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
