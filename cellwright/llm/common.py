@@ -94,6 +94,24 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * _pow(len(prefix), 1)[start])
 
 
+def span_hashes(codes: np.ndarray, length: int) -> np.ndarray:
+    """``span_hash`` of all spans of ``length`` values, from the first to the last; ``codes`` is overwritten."""
+    n = max(len(codes) - length + 1, 0)
+    codes *= _pow(len(codes), 0)
+    prefix = np.cumsum(codes, dtype=np.uint64, out=codes)
+    x = prefix[length - 1 :].copy()
+    x[1:] -= prefix[: max(n - 1, 0)]
+    x *= _pow(n, 1)
+    # as ``mix``, in place
+    t = x >> np.uint64(31)
+    x ^= t
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= np.right_shift(x, np.uint64(27), out=t)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= np.right_shift(x, np.uint64(33), out=t)
+    return x
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array with n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

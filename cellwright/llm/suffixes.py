@@ -11,9 +11,9 @@ has one text, they are the documents' numbers; else rows of an id and a digest a
 2. Equal pieces are reduced to the earliest; all windows of the others are repeats.
 3. What different pieces with the same anchor share is found by merging Burrows-Wheeler
    transforms: pieces are put into shards, the transform of each shard is made from its own suffix
-   array, and an interleave of the shards' rows is refined symbol by symbol, ``WINDOW`` times.
-   Boundaries that appear on the way mark where common prefixes end; rows still in one block share
-   a window.  No suffixes of different shards are compared or sorted again.
+   array, and an interleave of the shards' rows is refined until it is the order by ``WINDOW`` symbols.
+   Boundaries that appear on the way mark where windows differ; windows alone between two are left out,
+   those still in one block at the end are equal.  No suffixes of different shards are compared or sorted again.
 4. The pieces of an anchor that has more than ``MOST_PIECES`` different ones are cut where the second smallest substring of their
    windows changes, and so on: anchors of two substrings, then of three.  Steps 2 and 3 settle those.  What is still that frequent
    with ``LEVELS`` substrings is cut into single windows, which step 2 settles.
@@ -39,7 +39,7 @@ from pyspark.sql.types import IntegralType
 
 from ..plans.fills import numbered
 from ..plans.scratch import materialize, scratch
-from .common import BYTE_VALUE, mix, prefix_hash, span_hash, sub_batches, text_bytes
+from .common import BYTE_VALUE, mix, span_hashes, sub_batches, text_bytes
 
 WINDOW = 100
 ANCHOR = 32
@@ -47,6 +47,10 @@ MOST_PIECES = 16_000
 LEVELS = 4
 #: Bytes of pieces that are merged at once, and shards they are dealt to.
 CHUNK, SHARDS = 1 << 17, 8
+#: Single windows are left out of a merge after each such number of symbols.
+DROP = 8
+#: Bytes of text that are hashed at once: few enough for a core's cache.
+BLOCK = 1 << 16
 #: Bits for the place in a batch, which is one text at least: Spark's strings have less than 2 GB.
 _PLACE = 31
 #: Tasks that an anchor is dealt to, if it is one of those that make up more than this share of all, and than so many rows.
@@ -56,31 +60,48 @@ SALTS, HOT, HOT_ROWS = 64, 0.001, 10_000
 # --- anchors ---------------------------------------------------------------------------------------
 
 
-def pieces_of(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each piece, in order."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(data) < window:
-        return none
-    prefix = prefix_hash(BYTE_VALUE[data])
-    at = np.arange(len(data) - anchor + 1)
-    h = span_hash(prefix, at, at + anchor)
-    low = (h & ~np.uint64((1 << _PLACE) - 1)) | at.astype(np.uint64)
-    size, width = window - anchor + 1, 1
+def _hashes(data: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the substring at each place, and with its lowest bits replaced by the place: of equals, the leftmost is the smallest."""
+    h = span_hashes(BYTE_VALUE[data], anchor)
+    low = h & ~np.uint64((1 << _PLACE) - 1)
+    low |= np.arange(len(h), dtype=np.uint64)
+    return h, low
+
+
+def _smallest(low: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of each ``size`` neighbours."""
+    width = 1
     while width * 2 <= size:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    if width < size:
-        low = np.minimum(low[: len(low) - (size - width)], low[size - width :])
-    inside = np.zeros(len(data) + 1, np.int32)
+    return np.minimum(low[: len(low) - (size - width)], low[size - width :]) if width < size else low
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window and number of windows of each piece, in order."""
+    if len(data) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, low = _hashes(data, anchor)
+    low = _smallest(low, window - anchor + 1)
+    edges = np.zeros(len(data) + 1, np.int8)
     long = np.flatnonzero(np.diff(offsets) >= window)
-    np.add.at(inside, offsets[long], 1)
-    np.add.at(inside, offsets[long + 1] - window + 1, -1)
-    start = np.flatnonzero(np.cumsum(inside)[: len(low)])
-    if not len(start):
-        return none
-    place = (low[start] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return h[place[new]], start[new], np.diff(np.append(new, len(start)))
+    np.add.at(edges, offsets[long], 1)
+    np.add.at(edges, offsets[long + 1] - window + 1, -1)
+    inside = np.cumsum(edges[: len(low)], dtype=np.int8).view(bool)
+    new = np.append(0, np.flatnonzero((low[1:] != low[:-1]) | (inside[1:] != inside[:-1])) + 1)
+    n, own = np.diff(np.append(new, len(low))), inside[new]
+    start = new[own]
+    return h[(low[start] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)], start, n[own]
+
+
+def anchors_of(windows: np.ndarray, anchor: int = ANCHOR) -> np.ndarray:
+    """Anchor hash of each row of a table of windows."""
+    count, window = windows.shape
+    if not count:
+        return np.zeros(0, np.uint64)
+    h, low = (np.append(x, np.zeros(anchor - 1, np.uint64)).reshape(count, window)[:, : window - anchor + 1] for x in _hashes(windows.ravel(), anchor))
+    place = (low.min(axis=1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64) - np.arange(count) * window
+    return h[np.arange(count), place]
 
 
 def finer_pieces(data: np.ndarray, offsets: np.ndarray, level: int, anchor: int = ANCHOR, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,20 +109,12 @@ def finer_pieces(data: np.ndarray, offsets: np.ndarray, level: int, anchor: int
 
     All windows of a piece have the ``level`` smallest in common: they are those of its first window.
     """
-    prefix = prefix_hash(BYTE_VALUE[data])
-    at = np.arange(len(data) - anchor + 1)
-    h = span_hash(prefix, at, at + anchor)
-    low = (h & ~np.uint64((1 << _PLACE) - 1)) | at.astype(np.uint64)
+    h, low = _hashes(data, anchor)
     size = window - anchor + 1
     first = offsets[:-1, None] + np.arange(size)
     smallest = np.argpartition(low[first], level - 1, axis=1)[:, :level]
     low[np.take_along_axis(first, smallest, axis=1)] |= ~np.uint64((1 << _PLACE) - 1)
-    width = 1
-    while width * 2 <= size:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < size:
-        low = np.minimum(low[: len(low) - (size - width)], low[size - width :])
+    low = _smallest(low, size)
     n = np.diff(offsets) - window + 1
     piece = np.repeat(np.arange(len(n)), n)
     start = offsets[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
@@ -113,20 +126,21 @@ def finer_pieces(data: np.ndarray, offsets: np.ndarray, level: int, anchor: int
 # --- transforms and their merge ---------------------------------------------------------------------
 
 
-def shard_transform(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``codes``, sorted by ``depth`` symbols at least, and the two symbols before each suffix (cyclic), the earlier one first.
+def shard_transform(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix array of ``codes``, sorted by ``depth`` symbols at least.
 
     ``codes`` are strings of bytes that each end with a 0.
     Suffixes are sorted by eight symbols, then those still tied by sixteen, and so on.
     """
     n = len(codes)
-    packed = np.zeros(n + 8, np.uint64)
-    packed[:n] = codes
-    step, key = 8, np.zeros(n, np.uint64)
-    for i in range(step):
-        key = (key << np.uint64(8)) | packed[i : i + n]
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    key = np.zeros(n + 8, np.uint64)
+    key[:n] = codes
+    for width in (1, 2, 4):
+        key[:-width] = key[:-width] << np.uint64(8 * width) | key[width:]
+    key, step = key[:n], 8
+    order = np.argsort(key)
+    sorted_ = key[order]
+    new = np.append(True, sorted_[1:] != sorted_[:-1])
     rank = np.zeros(n + depth + 1, np.int64)  # the first place of its group, plus one; 0 past the end
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
     while step < depth:
@@ -134,76 +148,79 @@ def shard_transform(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
         if not len(tied):
             break
         rows = order[tied]
-        group, then = rank[rows], rank[np.minimum(rows + step, n)]
-        by = np.lexsort((then, group))
-        rows, group, then = rows[by], group[by], then[by]
+        pair = rank[rows] * (n + 1) + rank[np.minimum(rows + step, n)]
+        by = np.argsort(pair)
+        rows, pair = rows[by], pair[by]
         order[tied] = rows
-        fresh = np.append(True, (group[1:] != group[:-1]) | (then[1:] != then[:-1]))
+        fresh = np.append(True, pair[1:] != pair[:-1])
         new[tied] = fresh
         rank[rows] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))] + 1
         step *= 2
-    return order, codes[order - 2].astype(np.uint16) << 8 | codes[order - 1]
+    return order
 
 
-def merge_transforms(symbols: np.ndarray, source: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of the merged transforms by ``depth`` symbols, their rows, and the block of each.
+def merge_transforms(codes: np.ndarray, suffixes: np.ndarray, source: np.ndarray, windows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows that occur more than once, in the interleave of the merged transforms by ``depth`` symbols, and the block of each.
 
-    Rows come transform by transform, each in its own order: the two symbols before the row's suffix, its transform, and
-    how many symbols its string has from there on.  The interleave tells, row by row, which transform the next row comes from.
+    ``suffixes`` come transform by transform, each in its own order: places in ``codes``.  ``source`` is the transform of each, and ``windows`` are
+    the places where ``depth`` symbols of a string begin.  The interleave tells, row by row, which transform the next row comes from.
     It begins with all rows of the first, then the second and so on: the order by no symbol.  Each round sorts, stably, by the two
     symbols before: from the order by h symbols follows that by h + 2 of the suffixes two places earlier.  A row begins a block where its
-    symbols or the block it came from differ from the row above.  A string's first two rows lead nowhere and are left out, so a round
-    keeps exactly the suffixes that have h + 2 symbols.
+    symbols or the block it came from differ from the row above.  Only the suffixes that are the last h symbols of a window, cut there, lead to one, so
+    a round has a row for each window.  A window that is alone in its block has no equal and is left out from then on.
     """
-    before = symbols
-    block = np.zeros(len(symbols), np.int32)
-    row = np.arange(len(symbols))
-    inter = source
+    at = np.arange(len(codes))
+    before = (codes[at - 2].astype(np.uint16) << 8 | codes[at - 1])[suffixes]
+    rank = np.empty(len(codes), np.int32)
+    rank[suffixes] = at
+    here = np.sort(rank[windows + depth])  # the rows of all transforms, each in its own order
+    inter, block = source[here], np.zeros(len(here), np.int32)
+    place = np.argsort(inter, kind="stable")
     for h in range(2, depth + 1, 2):
-        here = np.empty_like(before)
-        here[np.argsort(inter, kind="stable")] = before
-        some = here > 0
-        here, inter, block = here[some], inter[some], block[some]
-        order = np.argsort(here, kind="stable")
-        inter, came, sorted_ = inter[order], block[order], here[order]
-        new = np.append(False, (sorted_[1:] != sorted_[:-1]) | (came[1:] != came[:-1]))
+        symbols = np.empty(len(here), np.uint16)
+        symbols[place] = before[here]
+        order = np.argsort(symbols, kind="stable")
+        inter, came, symbols = inter[order], block[order], symbols[order]
+        new = np.append(True, (symbols[1:] != symbols[:-1]) | (came[1:] != came[:-1]))[: len(here)]
         block = np.cumsum(new, dtype=np.int32)
-        keep = left >= h
-        before, left, row = before[keep], left[keep], row[keep]
-    out = np.empty_like(row)
-    out[np.argsort(inter, kind="stable")] = row
-    return inter, out, block
+        here = np.sort(rank[windows + (depth - h)])
+        place = np.argsort(inter, kind="stable")
+        if h % DROP == 0 or h == depth:
+            many = np.flatnonzero(~(new & np.append(new[1:], True)[: len(here)]))
+            row = np.empty_like(here)
+            row[place] = here
+            row, inter, block = row[many], inter[many], block[many]
+            windows = suffixes[row] - (depth - h)
+            here, place = np.sort(row), np.argsort(inter, kind="stable")
+    return windows, block
 
 
 def shared_windows(pieces: list[bytes], window: int = WINDOW, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Block, piece and offset of every window that occurs more than once, by block."""
     count = max(1, min(shards, len(pieces)))
-    symbols, where, whose, source = [], [], [], []
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     used = np.unique(raw)
     if len(used) > 255:
         return _windows_by_value(pieces, window)
     code = np.zeros(256, np.uint8)  # 0 is the end of a string
     code[used] = np.arange(1, len(used) + 1)
+    whose = np.concatenate([np.arange(s, len(pieces), count) for s in range(count)])
+    dealt = [pieces[i] for i in whose.tolist()]
+    size = np.array([len(p) for p in dealt], np.int64)
+    stop = np.cumsum(size + 1) - 1
+    codes = code[np.frombuffer(b"\0".join(dealt) + b"\0", np.uint8)]
+    codes[stop] = 0
+    n = np.maximum(size - window + 1, 0)
+    windows = np.arange(n.sum()) + np.repeat(stop - size - (np.cumsum(n) - n), n)
+    suffixes, source, begin = [], [], 0
     for s in range(count):
-        own = list(range(s, len(pieces), count))
-        sizes = np.array([len(pieces[i]) + 1 for i in own])
-        stop = np.cumsum(sizes)
-        codes = code[np.frombuffer(b"\0".join(pieces[i] for i in own) + b"\0", np.uint8)]
-        codes[stop - 1] = 0
-        order, symbol = shard_transform(codes, window)
-        string = np.searchsorted(stop, order, side="right")
-        offset = order - (stop - sizes)[string]
-        symbol[offset < 2] = 0
-        symbols.append(symbol)
-        whose.append(np.array(own)[string])
-        where.append(offset)
-        source.append(np.full(len(order), s, np.uint8))
-    piece, offset = np.concatenate(whose), np.concatenate(where)
-    left = np.array([len(p) for p in pieces])[piece] - offset
-    _, row, block = merge_transforms(np.concatenate(symbols), np.concatenate(source), left.astype(np.int32), window)
-    many = np.bincount(block)[block] > 1 if len(block) else np.zeros(0, bool)
-    return block[many], piece[row][many], offset[row][many]
+        end = int(stop[np.searchsorted(whose % count, s, side="right") - 1]) + 1
+        suffixes.append(shard_transform(codes[begin:end], window) + begin)
+        source.append(np.full(end - begin, s, np.uint8))
+        begin = end
+    place, block = merge_transforms(codes, np.concatenate(suffixes), np.concatenate(source), windows, window)
+    string = np.searchsorted(stop, place, side="right")
+    return block, whose[string], place - (stop - size)[string]
 
 
 def _windows_by_value(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,7 +270,7 @@ def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchor, and a hash of text and place: it tells whether an anchor occurs at different places of different texts."""
-    for batch in sub_batches(batches, "text"):
+    for batch in sub_batches(batches, "text", BLOCK):
         data, offsets = text_bytes(batch.column(1))
         key, start, _ = pieces_of(data, offsets)
         doc = np.searchsorted(offsets, start, side="right") - 1
@@ -264,7 +281,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchor, document, and in one number: first window and number of windows."""
-    for batch in sub_batches(batches, "text"):
+    for batch in sub_batches(batches, "text", BLOCK):
         data, offsets = text_bytes(batch.column(1))
         key, start, n = pieces_of(data, offsets)
         doc = np.searchsorted(offsets, start, side="right") - 1
@@ -291,7 +308,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterato
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of each document that its list ``at`` names."""
-    for batch in sub_batches(_unpacked(batches), "text"):
+    for batch in sub_batches(_unpacked(batches), "text", 2 * BLOCK):
         data, offsets = text_bytes(batch.column(1))
         lists = batch.column(2)
         flat, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
@@ -301,8 +318,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(size)
         bytes_ = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
         binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(bytes_)])
-        # the anchor again, from the piece itself: all its windows have the same
-        key = pieces_of(bytes_, np.append(0, ends))[0].view(np.int64)
+        # the anchor again, from the piece's first window: all its windows have the same
+        key = anchors_of(data[begin[:, None] + np.arange(WINDOW)]).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(key), binary, batch.column(0).take(pa.array(doc)), pa.array(start)], names=["key", "piece", "doc", "start"])
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tests.llm import helpers as H
 
+from cellwright.llm import common as C
 from cellwright.llm import suffixes as S
 
 
@@ -110,3 +111,80 @@ def test_hot_anchors_are_dealt_apart(spark, monkeypatch):
     monkeypatch.setattr(S, "HOT_ROWS", 50)
     got = S.report(H.documents(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted(((i, *want[i, t]) for i, t, *_ in rows), key=repr)
+
+
+@pytest.mark.parametrize("drop", [2, 8, 14, 200])
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_single_windows_may_go_at_any_time(monkeypatch, drop, shards):
+    rng = random.Random(41)
+    base = [bytes(rng.choice(b"ab") for _ in range(160)) for _ in range(4)] + [b"a" * 140, b"ab" * 80]
+    pieces = list(dict.fromkeys(b[rng.randrange(9) : rng.randrange(99, 161)] for b in base for _ in range(7)))
+    monkeypatch.setattr(S, "DROP", drop)
+    block, piece, offset = S.shared_windows(pieces, shards=shards)
+    found, where = {}, {}
+    for b, i, j in zip(block.tolist(), piece.tolist(), offset.tolist(), strict=True):
+        found.setdefault(b, set()).add((i, j))
+    for i, p in enumerate(pieces):
+        for j in range(len(p) - 99):
+            where.setdefault(p[j : j + 100], set()).add((i, j))
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in where.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("shared, rows_a_window", [(32, 20), (118, 3 * 50 + 2)])
+def test_a_merge_sorts_only_windows_that_may_be_equal(monkeypatch, shared, rows_a_window):
+    """In 50 rounds, three sorts with a row for each window at most; few where pieces have no more than an anchor in common."""
+    rng = random.Random(42)
+    middle = bytes(rng.randrange(97, 123) for _ in range(shared))
+    ends = [bytes(rng.randrange(97, 123) for _ in range(136 - shared)) for _ in range(200)]
+    pieces = [e[: len(e) // 2] + middle + e[len(e) // 2 :] for e in ends]
+    rows = 0
+
+    def counting(f):
+        def run(x, *args, **kwargs):
+            nonlocal rows
+            rows += np.shape(x)[-1]
+            return f(x, *args, **kwargs)
+
+        return run
+
+    transforms = S.shard_transform
+
+    def untold(*args):
+        nonlocal rows
+        before = rows
+        out = transforms(*args)
+        rows = before
+        return out
+
+    for name in ("argsort", "sort", "lexsort"):
+        monkeypatch.setattr(np, name, counting(getattr(np, name)))
+    monkeypatch.setattr(S, "shard_transform", untold)
+    assert len(S.shared_windows(pieces)[0]) >= 200 * max(0, shared - 99)  # more where ends agree by chance
+    assert rows <= rows_a_window * 200 * 37
+
+
+def test_anchors_are_the_smallest_hashes():
+    """Against the definition, window by window, for texts that are cut at any place and hashed in one."""
+    rng = random.Random(43)
+    texts = ["".join(rng.choice("abcé ") for _ in range(k)).encode() for k in (0, 99, 100, 101, 400, 5, 250)] + [b"a" * 300, b"", b"xy" * 90]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    prefix = C.prefix_hash(C.BYTE_VALUE[data])
+    at = np.arange(len(data) - 31)
+    h = C.span_hash(prefix, at, at + 32)
+    assert (C.span_hashes(C.BYTE_VALUE[data], 32) == h).all()
+    assert len(C.span_hashes(C.BYTE_VALUE[data[:31]], 32)) == 0
+    want = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        last = None
+        for w in range(a, b - 99):
+            place = min(range(w, w + 69), key=lambda p: (int(h[p]) >> 31, p))
+            if place == last:
+                want[-1][2] += 1
+            else:
+                want.append([int(h[place]), w, 1])
+            last = place
+    key, start, n = S.pieces_of(data, offsets)
+    assert [list(r) for r in zip(key.tolist(), start.tolist(), n.tolist(), strict=True)] == want
+    assert S.anchors_of(data[start[:, None] + np.arange(100)]).tolist() == key.tolist()
+    assert len(S.anchors_of(np.zeros((0, 100), np.uint8))) == 0
